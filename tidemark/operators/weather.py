@@ -1,0 +1,210 @@
+"""Weather: standard columns, unions with precedence, roll-ups, summaries and comparisons."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.calendar import is_weekend
+from ..schema import WEATHER
+from .clean import keep_first
+from .features import WEATHER_MEASURES
+from .fill import linear_fill
+
+# Provider column that stands in for a standard one.
+ALIASES = {
+    "temperature": "temperature_2m",
+    "humidity": "relativehumidity_2m",
+    "pressure": "pressure_msl",
+    "wind_speed": "windspeed_10m",
+    "cloud_cover": "cloudcover",
+}
+
+# Region -> cities, and the zone of all of them.
+REGIONS = {"广东": ["广州", "深圳", "东莞", "佛山", "中山", "珠海", "惠州", "江门", "肇庆", "汕头"]}
+DEFAULT_TIMEZONE = "Asia/Shanghai"
+
+
+def region_cities(spark: SparkSession, regions: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The configured regions as a ``region, city, timezone`` table."""
+    rows = [(r, c, DEFAULT_TIMEZONE) for r, cities in (regions or REGIONS).items() for c in cities]
+    return spark.createDataFrame(rows, "region string, city string, timezone string")
+
+
+def standardise(df: DataFrame, provider: str) -> DataFrame:
+    """The eleven standard columns; a missing one comes from its alias or is null."""
+    columns = []
+    for field in WEATHER:
+        name = field.name
+        if name == "data_source":
+            col = F.lit(provider)
+        elif name in df.columns:
+            col = F.col(name)
+        elif ALIASES.get(name) in df.columns:
+            col = F.col(ALIASES[name])
+        else:
+            col = F.lit(None)
+        columns.append(col.cast(field.dataType).alias(name))
+    return df.select(columns)
+
+
+def local_time(ts: Column, timezone: Column) -> Column:
+    """A UTC instant as the city's wall clock shows it."""
+    return F.from_utc_timestamp(ts, timezone)
+
+
+def split_horizon(days: int, max_history: int = 3) -> tuple[int, int]:
+    """How many days of a request are history and how many are forecast."""
+    history = min(max_history, days)
+    return history, max(1, days - history)
+
+
+def horizon(history: DataFrame, forecast: DataFrame, as_of: dt.date, days: int, max_history: int = 3) -> DataFrame:
+    """The last days of history up to ``as_of`` and the days of forecast after it; history wins."""
+    back, ahead = split_horizon(days, max_history)
+    now = F.lit(as_of)
+    past = history.filter((F.col("date") > F.date_sub(now, back)) & (F.col("date") <= now))
+    coming = forecast.filter((F.col("date") > now) & (F.col("date") <= F.date_add(now, ahead)))
+    return union_preferring(past, coming)
+
+
+def union_preferring(first: DataFrame, second: DataFrame, keys: Sequence[str] = ("city", "date")) -> DataFrame:
+    """Rows of both, one per key; where both have one, the first relation's."""
+    both = first.withColumn("_prio", F.lit(0)).unionByName(
+        second.withColumn("_prio", F.lit(1)), allowMissingColumns=True
+    )
+    return keep_first(both, list(keys), "_prio").drop("_prio")
+
+
+def fail_over(primary: DataFrame, secondary: DataFrame, measures: Sequence[str],
+              keys: Sequence[str] = ("city", "date")) -> DataFrame:
+    """Primary readings, taken from the secondary row where the primary has no row.
+
+    Both sides are first reduced to one row per key; the join then needs no further shuffle.
+    """
+    a = keep_first(primary.select(*keys, *measures), keys).withColumn("_primary", F.lit(True))
+    b = keep_first(secondary.select(*keys, *measures), keys).select(
+        *keys, *[F.col(m).alias(f"_b_{m}") for m in measures]
+    )
+    won = F.coalesce("_primary", F.lit(False))
+    return a.join(b, list(keys), "full_outer").select(
+        *keys, *[F.when(won, F.col(m)).otherwise(F.col(f"_b_{m}")).alias(m) for m in measures],
+        F.when(won, "primary").otherwise("secondary").alias("data_source"),
+    )
+
+
+def compare_sources(a: DataFrame, b: DataFrame, measures: Sequence[str] = ("temperature", "humidity", "pressure"),
+                    keys: Sequence[str] = ("city", "date")) -> DataFrame:
+    """Both providers' values and their difference, for each key that either has."""
+    left = keep_first(a.select(*keys, *measures), keys)
+    right = keep_first(b.select(*keys, *measures), keys)
+    left = left.select(*keys, *[F.col(m).alias(f"{m}_a") for m in measures])
+    right = right.select(*keys, *[F.col(m).alias(f"{m}_b") for m in measures])
+    diffs = [(F.col(f"{m}_a") - F.col(f"{m}_b")).alias(f"{m}_diff") for m in measures]
+    return left.join(right, list(keys), "full_outer").select("*", *diffs)
+
+
+def overlap_days(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("date",)) -> DataFrame:
+    """Days that both relations hold."""
+    return a.select(*columns).distinct().intersect(b.select(*columns).distinct())
+
+
+def enrich(main: DataFrame, weather: DataFrame, key: Sequence[str] = ("region",), date: str = "date") -> DataFrame:
+    """Weather beside each main row, its gaps filled within the region.
+
+    Filling stays within a region: one region's weather says nothing about the next one's.
+    """
+    measures = [c for c in WEATHER_MEASURES if c in weather.columns]
+    return linear_fill(main.join(weather, [*key, date], "left"), key, measures, date)
+
+
+def by_region(weather: DataFrame, cities: DataFrame) -> DataFrame:
+    """City weather per region and day: means over the cities, and the sum of precipitation.
+
+    Reduced to one row per city and day before the join with the city table.
+    """
+    means = [c for c in WEATHER_MEASURES if c != "precipitation"]
+    daily = weather.groupBy("city", "date").agg(
+        *[F.avg(c).alias(c) for c in means], F.sum("precipitation").alias("precipitation")
+    )
+    return daily.join(cities.select("city", "region"), "city").groupBy("region", "date").agg(
+        *[F.avg(c).alias(c) for c in means], F.sum("precipitation").alias("precipitation")
+    )
+
+
+def daily_forecast(readings: DataFrame) -> DataFrame:
+    """3-hourly readings per city and day, with a confidence from the day's temperature range."""
+    span = F.abs(F.col("temp_max") - F.col("temp_min"))
+    return readings.groupBy("city", "date").agg(
+        F.avg("temperature").alias("temperature"), F.min("temperature").alias("temp_min"),
+        F.max("temperature").alias("temp_max"), F.avg("humidity").alias("humidity"),
+        F.avg("pressure").alias("pressure"), F.avg("wind_speed").alias("wind_speed"),
+        F.sum("precipitation").alias("precipitation"),
+        F.mode("weather_main", True).alias("weather_main"),
+        F.when(F.min("data_source") == F.max("data_source"), F.min("data_source")).otherwise("mixed")
+        .alias("data_source"),
+    ).withColumn("is_weekend", is_weekend(F.col("date"))).withColumn(
+        "temp_confidence", F.least(F.lit(95.0), F.greatest(F.lit(70.0), 100 - span * 5))
+    )
+
+
+def weather_summary(weather: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
+                    key: Sequence[str] = ("city",)) -> DataFrame:
+    """Per city and period; completeness is 1 minus the null share of the worst column."""
+    rows = weather
+    if start is not None:
+        rows = rows.filter(F.col("date") >= F.lit(start))
+    if end is not None:
+        rows = rows.filter(F.col("date") <= F.lit(end))
+    nulls = [F.count_if(F.col(c).isNull()) for c in weather.columns if c not in key]
+    t, h, p = F.col("temperature"), F.col("humidity"), F.col("precipitation")
+    return rows.groupBy(*key).agg(
+        F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("total_days"),
+        F.avg(t).alias("temperature_mean"), F.min(t).alias("temperature_min"), F.max(t).alias("temperature_max"),
+        F.stddev_samp(t).alias("temperature_std"),
+        F.avg(h).alias("humidity_mean"), F.min(h).alias("humidity_min"), F.max(h).alias("humidity_max"),
+        F.sum(p).alias("precipitation_total"), F.max(p).alias("precipitation_max"),
+        F.count_if(p > 0).alias("rainy_days"),
+        (1 - F.greatest(*nulls) / F.count("*")).alias("data_completeness"),
+    )
+
+
+def city_summary(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFrame:
+    """Per city to one digit, with weather types counted and the share of filled cells."""
+    cells = len(weather.columns)
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in weather.columns), F.lit(0))
+
+    def tenth(col: Column) -> Column:
+        return F.round(col, 1)
+
+    stats = []
+    for c in ("temperature", "humidity", "pressure"):
+        stats += [tenth(F.avg(c)).alias(f"{c}_mean"), tenth(F.max(c)).alias(f"{c}_max"),
+                  tenth(F.min(c)).alias(f"{c}_min")]
+    base = weather.groupBy(*key).agg(
+        F.count("*").alias("total_days"), *stats, tenth(F.stddev_samp("temperature")).alias("temperature_std"),
+        tenth(F.avg("wind_speed")).alias("wind_speed_mean"), tenth(F.max("wind_speed")).alias("wind_speed_max"),
+        tenth(F.sum("precipitation")).alias("precipitation_total"),
+        F.count_if(F.col("precipitation") > 0).alias("precipitation_days"),
+        F.count_if("is_holiday").alias("holidays"), F.count_if("is_weekend").alias("weekends"),
+        (100 - F.floor(nulls / (F.count("*") * cells) * 100)).alias("data_quality"),
+    )
+    return base.join(weather_types(weather, key), list(key), "left")
+
+
+def weather_types(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFrame:
+    """How often each weather type occurs, as a map; counted per type before types are gathered."""
+    counted = weather.filter(F.col("weather_main").isNotNull()).groupBy(*key, "weather_main").agg(
+        F.count("*").alias("n")
+    )
+    entries = F.array_sort(F.collect_list(F.struct("weather_main", "n")))
+    return counted.groupBy(*key).agg(F.map_from_entries(entries).alias("weather_types"))
+
+
+def mean_and_max(weather: DataFrame, measure: str = "max_temperature", key: Sequence[str] = ("city",)) -> DataFrame:
+    return weather.groupBy(*key).agg(
+        F.avg(measure).alias(f"mean_{measure}"), F.max(measure).alias(f"max_{measure}")
+    )
