@@ -52,7 +52,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str | None = None) ->
             rank = F.col(order)
         kept = [F.min_by(F.struct(*payload), rank).alias("_kept"), F.min(order).alias(order)]
         return df.groupBy(*keys).agg(*kept).select(
-            *keys, *[F.col("_kept")[c].alias(c) if c != order else F.col(c) for c in rest]
+            *[F.col("_kept")[c].alias(c) if c in payload else F.col(c) for c in df.columns]
         )
     if len(rest) == 1:
         return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import percent_of
+from ..functions.numeric import cents, percent_of
 from ..functions.quantile import exact_quantiles
 from ..schema import date_columns, numeric_columns
 
@@ -24,9 +24,9 @@ def main_summary(df: DataFrame, key: Sequence[str] = ("region",), value: str = "
         F.count("*").alias("total_records"),
         F.date_format(F.min(date), "yyyy-MM-dd").alias("start"),
         F.date_format(F.max(date), "yyyy-MM-dd").alias("end"),
-        F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"),
-        F.round(F.min(v), 2).alias("min"), F.round(F.max(v), 2).alias("max"),
-        F.round(F.percentile(v, 0.5), 2).alias("median"),
+        cents(F.avg(v)).alias("mean"), cents(F.stddev_samp(v)).alias("std"),
+        cents(F.min(v)).alias("min"), cents(F.max(v)).alias("max"),
+        cents(F.percentile(v, 0.5)).alias("median"),
         F.count_if(v.isNull()).alias("missing_values"),
         F.count_if(v == 0).alias("zero_values"), F.count_if(v < 0).alias("negative_values"),
     )
@@ -69,6 +69,10 @@ def _per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFr
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _no_rows(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def count_duplicates(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row; copies collapse before the shuffle."""
     return df.groupBy(*df.columns).count().agg(
@@ -90,6 +94,9 @@ def missing_values(df: DataFrame) -> DataFrame:
 def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of the numeric columns."""
     columns = list(columns or numeric_columns(df))
+    if not columns:
+        return _no_rows(df, "column string, count bigint, mean double, std double, min double, p25 double, "
+                            "p50 double, p75 double, max double")
     basic = _per_column(df, columns, {
         "count": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")),
         "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double")),
@@ -105,6 +112,8 @@ def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def describe_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or date_columns(df))
+    if not columns:
+        return _no_rows(df, "column string, min string, max string, range_days int")
     found = _per_column(df, columns, {"_min": lambda c: F.min(c.cast("date")), "_max": lambda c: F.max(c.cast("date"))})
     return found.select(
         "column", F.date_format("_min", "yyyy-MM-dd").alias("min"), F.date_format("_max", "yyyy-MM-dd").alias("max"),

@@ -62,10 +62,16 @@ def _pipeline(features: Sequence[str], settings: ForestSettings, target: str) ->
     ])
 
 
+def _spread(rows: DataFrame, key: Sequence[str], date: str) -> DataFrame:
+    """Rows over all cores, by hash, where they lie in fewer partitions; growing a tree uses one task each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *key, date)
+
+
 def train(rows: DataFrame, features: Sequence[str], settings: ForestSettings = ForestSettings(),
-          target: str = "residual") -> PipelineModel:
+          target: str = "residual", key: Sequence[str] = (), date: str = "date") -> PipelineModel:
     """Assemble, standardise and grow the forest on training rows."""
-    return _pipeline(features, settings, target).fit(rows)
+    return _pipeline(features, settings, target).fit(_spread(rows, key, date))
 
 
 def search(rows: DataFrame, features: Sequence[str], key: Sequence[str], grid: dict[str, Sequence[int]] | None = None,
@@ -86,7 +92,7 @@ def search(rows: DataFrame, features: Sequence[str], key: Sequence[str], grid: d
         estimator=pipeline, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=target, predictionCol="predicted_residual", metricName="mse"),
     )
-    fitted = validator.fit(folded)
+    fitted = validator.fit(_spread(folded, key, date))
     scores = [({p.name: v for p, v in m.items()}, float(s)) for m, s in zip(maps, fitted.avgMetrics)]
     return fitted.bestModel, scores
 

@@ -60,7 +60,7 @@ def correct(df: DataFrame, fitted: DataFrame, key: Sequence[str], weather: DataF
     names = features.feature_names(table, key, value)
     rows = materialise(residual.align(table, fitted, key), "features")
     training, test = residual.split(rows, key, settings.test_share)
-    model = residual.train(training, names, settings)
+    model = residual.train(training, names, settings, key=key)
     return Correction(
         model=model,
         metrics=residual.train_and_test_metrics(model, training, test),

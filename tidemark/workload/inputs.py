@@ -78,8 +78,12 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as weather readings of five cities."""
+    return readings_of(table(spark, sf_dir, "events"))
+
+
+def readings_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
-    rows = table(spark, sf_dir, "events").select(
+    rows = events.select(
         F.col("event_type").alias("city"), "ts", F.col("ts").cast("date").alias("date"),
         F.col("value").alias("temperature"), k.alias("humidity"),
         (1000 + F.col("event_id") % 31).cast("double").alias("pressure"),
