@@ -19,13 +19,13 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
-def cents(col: Column) -> Column:
-    """Rounded to two digits, half up; noise in the last digits of a double does not decide a half."""
-    return F.round(F.round(col, 8), 2)
+def half_up(col: Column, digits: int) -> Column:
+    """Rounded half up; noise in the last digits of a double does not decide a half."""
+    return F.round(F.round(col, 8), digits)
 
 
 def percent_of(part: Column, whole: Column) -> Column:
-    return F.round(ratio(part, whole) * 100, 2)
+    return half_up(ratio(part, whole) * 100, 2)
 
 
 def normal_quantile(confidence: float) -> float:

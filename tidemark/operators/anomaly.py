@@ -109,14 +109,14 @@ def _relative_change(now: Column, before: Column) -> Column:
 
 
 def with_changes(
-    df: DataFrame, key: Sequence[str], value: str = "value", date: str = "date", periods: dict[str, int] | None = None,
+    df: DataFrame, key: Sequence[str], value: str = "value", date: str = "date", ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Absolute relative change against the row ``n`` rows earlier, nulls carried forward first.
+    """Absolute relative change against the row 1 and 7 rows earlier, nulls carried forward first.
 
-    By row position: a missing day is not made up for.
+    By row position: a missing day is not made up for. ``ties`` orders rows of one date.
     """
-    periods = periods or {"daily_change": 1, "weekly_change": 7}
-    order = W.partitionBy(*key).orderBy(date)
+    periods = {"daily_change": 1, "weekly_change": 7}
+    order = W.partitionBy(*key).orderBy(date, *ties)
     carried = F.last(value, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     out = df.withColumn("_carried", carried)
     out = out.withColumns({f"_before_{c}": F.lag("_carried", n).over(order) for c, n in periods.items()})
@@ -125,9 +125,10 @@ def with_changes(
 
 
 def with_moving_average(
-    df: DataFrame, key: Sequence[str], value: str = "value", date: str = "date", window: int = 7,
+    df: DataFrame, key: Sequence[str], value: str = "value", date: str = "date", ties: Sequence[str] = (),
+    window: int = 7,
 ) -> DataFrame:
-    frame = W.partitionBy(*key).orderBy(date).rowsBetween(1 - window, 0)
+    frame = W.partitionBy(*key).orderBy(date, *ties).rowsBetween(1 - window, 0)
     full = F.count(value).over(frame) == window
     return df.withColumns({
         "moving_mean": F.when(full, F.avg(value).over(frame)),
@@ -137,14 +138,14 @@ def with_moving_average(
 
 def detect(
     df: DataFrame, key: Sequence[str] = ("customer_id",), value: str = "value", date: str = "date",
-    limits: Thresholds = Thresholds(),
+    limits: Thresholds = Thresholds(), ties: Sequence[str] = (),
 ) -> DataFrame:
     """All rows with the five detector flags, their disjunction and the names of those that fired.
 
     A series of exactly 7 rows is evaluated like any other; its weekly test does not fire.
     """
-    out = with_changes(df, key, value, date)
-    out = with_moving_average(out, key, value, date)
+    out = with_changes(df, key, value, date, ties)
+    out = with_moving_average(out, key, value, date, ties)
     out = with_z_score(out, key, value)
     out = with_fences(out, key, value, limits.iqr_multiplier)
     v = F.col(value)
@@ -174,10 +175,16 @@ def list_anomalies(
 
 def customer_metrics(
     detected: DataFrame, key: Sequence[str] = ("customer_id",), value: str = "value", date: str = "date",
+    ties: Sequence[str] = (), carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per series from the output of :func:`detect`; grouped by the key its windows used."""
+    """One row per series from the output of :func:`detect`; grouped by the key its windows used.
+
+    ``carry`` names columns that are constant within a series and are kept.
+    """
     hit = F.col("is_anomaly")
-    found = F.array_sort(F.collect_list(F.when(hit, F.struct(F.col(date).alias("date"), F.col(value).alias("value")))))
+    entry = F.struct(F.col(date).alias("date"), *ties, F.col(value).alias("value"))
+    found = F.array_sort(F.collect_list(F.when(hit, entry)))
+    last = F.struct(date, *ties) if ties else F.col(date)
     out = detected.groupBy(*key).agg(
         F.count("*").alias("n_rows"),
         F.count_if(hit).alias("anomaly_count"),
@@ -187,8 +194,9 @@ def customer_metrics(
         F.max("z_score").alias("max_z_score"),
         F.max("daily_change").alias("max_daily_change"),
         F.max("weekly_change").alias("max_weekly_change"),
-        F.max_by(value, date).alias("last_value"),
+        F.max_by(value, last).alias("last_value"),
         F.max(date).alias("last_date"),
+        *[F.max(c).alias(c) for c in carry],
     )
     return (
         out.withColumn("has_anomaly", F.col("anomaly_count") > 0)
@@ -208,7 +216,7 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
-def alerts(metrics: DataFrame, customer: str = "customer_id") -> DataFrame:
+def alerts(metrics: DataFrame, customer: str = "customer_id", carry: Sequence[str] = ()) -> DataFrame:
     """One alert per customer with anomalies."""
     latest_value = F.try_element_at("anomaly_values", F.lit(-1))
     deviation = F.when(
@@ -222,13 +230,13 @@ def alerts(metrics: DataFrame, customer: str = "customer_id") -> DataFrame:
         latest_value.alias("latest_anomaly_value"),
         deviation.alias("deviation_from_mean"),
         F.col("max_z_score").alias("z_score"),
+        *carry,
     )
 
 
-def by_severity(alert_rows: DataFrame, top: DataFrame, customer: str = "customer_id") -> DataFrame:
-    """Alerts in display order: severity, then rank of the customer."""
-    ranked = alert_rows.join(F.broadcast(top.select(customer, "total_value")), customer)
-    return ranked.orderBy(severity_rank(F.col("severity")), F.col("total_value").desc(), customer)
+def by_severity(alert_rows: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """Alerts in display order: severity, then total of the customer."""
+    return alert_rows.orderBy(severity_rank(F.col("severity")), F.col("total_value").desc(), customer)
 
 
 def regional_summary(
@@ -244,17 +252,18 @@ def regional_summary(
 
 
 def report_summary(
-    df: DataFrame, top: DataFrame, metrics: DataFrame, analysed_at: dt.datetime | None = None,
+    df: DataFrame, metrics: DataFrame, limits: Thresholds = Thresholds(), analysed_at: dt.datetime | None = None,
     customer: str = "customer_id",
 ) -> DataFrame:
     """One row of totals over the analysis."""
     when = F.current_timestamp() if analysed_at is None else F.lit(analysed_at)
+    customers = df.agg(F.countDistinct(customer).alias("n")).scalar()
     return metrics.agg(
         F.count_if("has_anomaly").alias("customers_with_anomalies"),
         F.coalesce(F.sum("anomaly_count"), F.lit(0)).alias("total_anomalies"),
     ).select(
-        df.agg(F.countDistinct(customer).alias("n")).scalar().alias("total_customers"),
-        top.agg(F.count("*").alias("n")).scalar().alias("top_customers_analyzed"),
+        customers.alias("total_customers"),
+        F.least(customers, F.lit(limits.top_customers)).cast("bigint").alias("top_customers_analyzed"),
         "customers_with_anomalies", "total_anomalies",
         F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("analysis_date"),
     )
@@ -264,17 +273,22 @@ def analyse_customers(
     df: DataFrame, customer: str = "customer_id", date: str = "date", value: str = "value",
     region: str = "region", limits: Thresholds = Thresholds(), analysed_at: dt.datetime | None = None,
 ) -> AnomalyReport:
-    """The whole customer analysis over canonical customer rows."""
+    """The whole customer analysis over canonical customer rows.
+
+    The ranked totals travel with the rows of the ranked customers, so the ranking is
+    computed once for the alerts and their order.
+    """
     top = top_customers(df, customer, value, limits.top_customers)
-    candidates = with_min_history(rows_of_top(df, top, customer), [customer], limits.min_history)
-    detected = detect(candidates, [customer], value, date, limits)
-    metrics = customer_metrics(detected, [customer], value, date)
+    ranked = F.broadcast(top.select(customer, "total_value"))  # at most top_customers rows
+    candidates = with_min_history(df.join(ranked, customer), [customer], limits.min_history)
+    detected = detect(candidates, [customer], value, date, limits, [region])
+    metrics = customer_metrics(detected, [customer], value, date, [region], ["total_value"])
     return AnomalyReport(
-        summary=report_summary(df, top, metrics, analysed_at, customer),
+        summary=report_summary(df, metrics, limits, analysed_at, customer),
         top_customers=top,
         details=metrics,
         regions=regional_summary(df, region, value, customer),
-        alerts=by_severity(alerts(metrics, customer), top, customer),
+        alerts=by_severity(alerts(metrics, customer, ["total_value"]), customer),
         rows=detected,
     )
 
@@ -282,7 +296,7 @@ def analyse_customers(
 def real_time_alerts(
     df: DataFrame, customer: str = "customer_id", date: str = "date", value: str = "value",
     limits: Thresholds = Thresholds(), days: int = 3, alert_time: dt.datetime | None = None,
-    per_customer_clock: bool = False,
+    per_customer_clock: bool = False, ties: Sequence[str] = (),
 ) -> DataFrame:
     """The latest value of each customer against the earlier ones of the last days.
 
@@ -290,7 +304,7 @@ def real_time_alerts(
     values that differ.
     """
     rows = recent(df.filter(F.col(customer).isNotNull()), days, date, [customer] if per_customer_clock else ())
-    order = W.partitionBy(customer).orderBy(date)
+    order = W.partitionBy(customer).orderBy(date, *ties)
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     scored = (
         rows.withColumn("_mean", F.avg(value).over(earlier))

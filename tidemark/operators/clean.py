@@ -36,29 +36,42 @@ def canonical_customers(
     )
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+def _nulls_last(df: DataFrame, column: str) -> Column:
+    """A column to rank by; whole numbers stay plain, which lets the aggregate hash instead of sort."""
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, (T.LongType, T.IntegerType)):
+        return F.coalesce(F.col(column).cast("bigint"), F.lit(2**63 - 1))
+    return F.struct(F.col(column).isNull(), F.col(column))
+
+
+def keep_first(
+    df: DataFrame, keys: Sequence[str], order: str | None = None, copies: str | None = None,
+) -> DataFrame:
     """One row per key: the first by ``order``, or by all other columns ascending, nulls last.
 
-    Files have no row order on a cluster, so "first" needs a column to say it. This is an
-    aggregate and not a ranking window: copies collapse before the shuffle, however many
-    of them one key has.
+    Files have no row order on a cluster, so "first" needs a column to say it; it should not
+    repeat within a key. This is an aggregate and not a ranking window: copies collapse
+    before the shuffle, however many of them one key has. ``copies`` names a column for how
+    many rows the kept one stands for.
     """
     rest = [c for c in df.columns if c not in keys]
+    counted = [F.count("*").alias(copies)] if copies else []
+    names = [*df.columns, *([copies] if copies else [])]
     if order is not None:
         payload = [c for c in rest if c != order]
-        if df.schema[order].nullable:
-            rank = F.struct(F.col(order).isNull(), F.col(order))
-        else:
-            rank = F.col(order)
-        kept = [F.min_by(F.struct(*payload), rank).alias("_kept"), F.min(order).alias(order)]
-        return df.groupBy(*keys).agg(*kept).select(
-            *[F.col("_kept")[c].alias(c) if c in payload else F.col(c) for c in df.columns]
-        )
+        rank = _nulls_last(df, order)
+        first = [F.min(order).alias(order)]
+        if len(payload) == 1:
+            first.append(F.min_by(payload[0], rank).alias(payload[0]))
+            return df.groupBy(*keys).agg(*first, *counted).select(*names)
+        first.append(F.min_by(F.struct(*payload), rank).alias("_kept"))
+        kept = df.groupBy(*keys).agg(*first, *counted)
+        return kept.select(*[F.col("_kept")[c].alias(c) if c in payload else F.col(c) for c in names])
     if len(rest) == 1:
-        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
+        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0]), *counted).select(*names)
     ranked = F.struct(*[x for c in rest for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))])
-    kept = df.groupBy(*keys).agg(F.min(ranked).alias("_kept"))
-    return kept.select(*[F.col(c) if c in keys else F.col("_kept")[c].alias(c) for c in df.columns])
+    kept = df.groupBy(*keys).agg(F.min(ranked).alias("_kept"), *counted)
+    return kept.select(*[F.col("_kept")[c].alias(c) if c in rest else F.col(c) for c in names])
 
 
 def daily_series(df: DataFrame, key: Sequence[str], value: str = "value", date: str = "date") -> DataFrame:
@@ -83,19 +96,28 @@ def modelling_gate(
     stats = df.groupBy(*key).agg(
         F.count("*").alias("n_rows"), F.count_if(F.col(value).isNull()).alias("n_nulls")
     )
-    reason = (
-        F.when(F.col("n_rows") < min_rows, "too_short")
-        .when(F.col("n_nulls") > F.col("n_rows") * max_null_share, "too_many_nulls")
-    )
-    return stats.withColumn("reason", F.coalesce(reason, F.lit("ok"))).withColumn(
-        "valid", F.col("reason") == "ok"
+    reason = _gate_reason(F.col("n_rows"), F.col("n_nulls"), min_rows, max_null_share)
+    return stats.withColumn("reason", reason).withColumn("valid", F.col("reason") == "ok")
+
+
+def _gate_reason(rows: Column, nulls: Column, min_rows: int, max_null_share: float) -> Column:
+    return (
+        F.when(rows < min_rows, "too_short").when(nulls > rows * max_null_share, "too_many_nulls").otherwise("ok")
     )
 
 
-def modellable(df: DataFrame, key: Sequence[str], value: str = "value", **limits) -> DataFrame:
-    """The rows of the series that pass :func:`modelling_gate`."""
-    good = modelling_gate(df, key, value, **limits).filter("valid").select(*key)
-    return df.join(good, list(key), "left_semi")
+def modellable(
+    df: DataFrame, key: Sequence[str], value: str = "value", min_rows: int = 30, max_null_share: float = 0.1,
+) -> DataFrame:
+    """The rows of the series that pass :func:`modelling_gate`.
+
+    Counted over the series, in the shuffle by key that filling and fitting need anyway.
+    """
+    series = W.partitionBy(*key)
+    reason = _gate_reason(
+        F.count("*").over(series), F.count_if(F.col(value).isNull()).over(series), min_rows, max_null_share
+    )
+    return df.withColumn("_reason", reason).filter(F.col("_reason") == "ok").drop("_reason")
 
 
 def with_min_history(df: DataFrame, key: Sequence[str], min_rows: int = 7) -> DataFrame:

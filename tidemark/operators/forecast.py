@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import normal_quantile, ratio
+from ..functions.numeric import half_up, normal_quantile, ratio
 
 MODELS = ("seasonal_naive", "mean", "drift", "autoregressive")
 
@@ -171,7 +171,9 @@ def predict_harmonic(
     ahead = ahead.withColumn("date", F.date_add("last_date", F.col("step")))
     if spec.regressors:
         if future is not None:
-            ahead = ahead.join(future.select("date", *spec.regressors), "date", "left")
+            # one row per date, and there are only so many dates
+            by_date = future.groupBy("date").agg(*[F.max(r).alias(r) for r in spec.regressors])
+            ahead = ahead.join(F.broadcast(by_date), "date", "left")
             ahead = ahead.withColumns({r: F.coalesce(r, F.lit(0)) for r in spec.regressors})
         else:
             ahead = ahead.withColumns({r: F.lit(0) for r in spec.regressors})
@@ -312,9 +314,9 @@ def fit_metrics(fitted: DataFrame, key: Sequence[str]) -> DataFrame:
     r = F.col("residual")
     mse = F.avg(r * r)
     return fitted.groupBy(*key).agg(
-        F.round(F.sqrt(mse), 4).alias("rmse"), F.round(mse, 4).alias("mse"), F.round(F.avg(F.abs(r)), 4).alias("mae"),
-        F.round(F.avg(F.abs(ratio(r, F.col("fitted")))) * 100, 2).alias("mape"),
-        F.round(F.stddev_pop(r), 4).alias("residual_std"), F.round(F.avg(r), 4).alias("residual_mean"),
+        half_up(F.sqrt(mse), 4).alias("rmse"), half_up(mse, 4).alias("mse"), half_up(F.avg(F.abs(r)), 4).alias("mae"),
+        half_up(F.avg(F.abs(ratio(r, F.col("fitted")))) * 100, 2).alias("mape"),
+        half_up(F.stddev_pop(r), 4).alias("residual_std"), half_up(F.avg(r), 4).alias("residual_mean"),
     )
 
 
@@ -322,7 +324,7 @@ def test_rmse(test: DataFrame, forecast: DataFrame, key: Sequence[str], value: s
     """Root mean squared error of a forecast on the held-out rows it covers."""
     joined = test.join(forecast.select(*key, "date", "forecast"), [*key, "date"])
     error = F.col(value) - F.col("forecast")
-    return joined.groupBy(*key).agg(F.round(F.sqrt(F.avg(error * error)), 4).alias("test_rmse"))
+    return joined.groupBy(*key).agg(half_up(F.sqrt(F.avg(error * error)), 4).alias("test_rmse"))
 
 
 test_rmse.__test__ = False  # the name is not a test case

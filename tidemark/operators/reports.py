@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import cents, percent_of
+from ..functions.numeric import half_up, percent_of
 from ..functions.quantile import exact_quantiles
 from ..schema import date_columns, numeric_columns
 
 
 def main_summary(df: DataFrame, key: Sequence[str] = ("region",), value: str = "value", date: str = "date") -> DataFrame:
-    """Per series of canonical main data: rows, span, statistics to cents, nulls, zeros, negatives.
+    """Per series of canonical main data: rows, span, statistics to two digits, nulls, zeros, negatives.
 
     The median is exact; a canonical series has one row per day, which bounds its buffer.
     """
@@ -24,9 +24,9 @@ def main_summary(df: DataFrame, key: Sequence[str] = ("region",), value: str = "
         F.count("*").alias("total_records"),
         F.date_format(F.min(date), "yyyy-MM-dd").alias("start"),
         F.date_format(F.max(date), "yyyy-MM-dd").alias("end"),
-        cents(F.avg(v)).alias("mean"), cents(F.stddev_samp(v)).alias("std"),
-        cents(F.min(v)).alias("min"), cents(F.max(v)).alias("max"),
-        cents(F.percentile(v, 0.5)).alias("median"),
+        half_up(F.avg(v), 2).alias("mean"), half_up(F.stddev_samp(v), 2).alias("std"),
+        half_up(F.min(v), 2).alias("min"), half_up(F.max(v), 2).alias("max"),
+        half_up(F.percentile(v, 0.5), 2).alias("median"),
         F.count_if(v.isNull()).alias("missing_values"),
         F.count_if(v == 0).alias("zero_values"), F.count_if(v < 0).alias("negative_values"),
     )
@@ -43,10 +43,12 @@ def customer_summary_by_region(
 def customer_summary(
     df: DataFrame, customer: str = "customer_id", region: str = "region", date: str = "date",
 ) -> DataFrame:
-    return df.agg(
+    """Totals over all rows; reduced to customer and region first, so that only those are counted apart."""
+    pairs = df.groupBy(customer, region).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
+    return pairs.agg(
         F.countDistinct(customer).alias("total_customers"), F.countDistinct(region).alias("total_regions"),
-        F.date_format(F.min(date), "yyyy-MM-dd").alias("start"),
-        F.date_format(F.max(date), "yyyy-MM-dd").alias("end"),
+        F.date_format(F.min("_first"), "yyyy-MM-dd").alias("start"),
+        F.date_format(F.max("_last"), "yyyy-MM-dd").alias("end"),
     )
 
 
@@ -75,9 +77,9 @@ def _no_rows(df: DataFrame, schema: str) -> DataFrame:
 
 def count_duplicates(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row; copies collapse before the shuffle."""
-    return df.groupBy(*df.columns).count().agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"),
+    return df.groupBy(*df.columns).agg(F.count("*").alias("_copies")).agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
     )
 
 
@@ -171,28 +173,34 @@ def content_hash(df: DataFrame, key: Sequence[str] = (), scale: int = 6) -> Data
     Each row's text is hashed and the first 32 bits are added up, so that copies count.
     Fractions are rendered with ``scale`` digits.
     """
-    fields = [f for f in df.schema if f.name not in key]
-    text = F.concat_ws("|", *[_as_text(F.col(f.name), f.dataType, scale) for f in fields])
-    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
+    columns = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(
-        F.count("*").alias("n_rows"), F.sum(bits).cast("string").alias("content_hash")
+        F.count("*").alias("n_rows"), F.sum(_row_bits(df, columns, scale)).cast("string").alias("content_hash")
     )
 
 
+def _row_bits(df: DataFrame, columns: Sequence[str], scale: int) -> Column:
+    text = F.concat_ws("|", *[_as_text(F.col(c), df.schema[c].dataType, scale) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
+
+
 def import_envelope(
-    raw: DataFrame, processed: DataFrame, key: str = "region", customer: str | None = None, date: str = "date",
+    processed: DataFrame, copies: str, key: Sequence[str] = ("region",), date: str = "date", scale: int = 6,
 ) -> DataFrame:
-    """What an import reports: rows read and kept, distinct keys, date span, content hash."""
-    bits = content_hash(processed)
-    kept = [
-        F.count("*").alias("processed_rows"),
-        F.countDistinct(key).alias("regions"),
-        F.date_format(F.min(date), "yyyy-MM-dd").alias("start"),
-        F.date_format(F.max(date), "yyyy-MM-dd").alias("end"),
-    ]
-    if customer:
-        kept.insert(1, F.countDistinct(customer).alias("customers"))
-    return processed.agg(*kept).select(
-        raw.agg(F.count("*").alias("n")).scalar().alias("original_rows"), "*",
-        bits.select("content_hash").scalar().alias("content_hash"),
+    """What an import reports: rows read and kept, distinct keys, date span, content hash.
+
+    ``copies`` holds how many rows each kept row stands for, so the input is not read again.
+    Rows are reduced to one per key combination first; only those are counted apart.
+    """
+    columns = [c for c in processed.columns if c != copies]
+    by_key = processed.groupBy(*key).agg(
+        F.sum(copies).alias("_read"), F.count("*").alias("_kept"), F.min(date).alias("_first"),
+        F.max(date).alias("_last"), F.sum(_row_bits(processed, columns, scale)).alias("_bits"),
+    )
+    return by_key.agg(
+        F.sum("_read").alias("original_rows"), F.sum("_kept").alias("processed_rows"),
+        *[F.countDistinct(k).alias({"region": "regions", "customer_id": "customers"}.get(k, k)) for k in key],
+        F.date_format(F.min("_first"), "yyyy-MM-dd").alias("start"),
+        F.date_format(F.max("_last"), "yyyy-MM-dd").alias("end"),
+        F.sum("_bits").cast("string").alias("content_hash"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
+from ..functions.numeric import half_up, ratio
 from ..schema import WEATHER
 from .clean import keep_first
 from .features import WEATHER_MEASURES
@@ -136,15 +137,32 @@ def by_region(weather: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 def daily_forecast(readings: DataFrame) -> DataFrame:
-    """3-hourly readings per city and day, with a confidence from the day's temperature range."""
-    span = F.abs(F.col("temp_max") - F.col("temp_min"))
-    return readings.groupBy("city", "date").agg(
-        F.avg("temperature").alias("temperature"), F.min("temperature").alias("temp_min"),
-        F.max("temperature").alias("temp_max"), F.avg("humidity").alias("humidity"),
-        F.avg("pressure").alias("pressure"), F.avg("wind_speed").alias("wind_speed"),
+    """3-hourly readings per city and day, with a confidence from the day's temperature range.
+
+    The readings are first reduced per city, day, weather type and source, which needs sums
+    and extremes of numbers only and so runs as a hash aggregate over the readings. The most
+    frequent type and the source are then taken from those few rows per city and day.
+    """
+    means = ["temperature", "humidity", "pressure", "wind_speed"]
+    parts = readings.groupBy("city", "date", "weather_main", "data_source").agg(
+        F.count("*").alias("_n"), F.min("temperature").alias("temp_min"), F.max("temperature").alias("temp_max"),
         F.sum("precipitation").alias("precipitation"),
-        F.mode("weather_main", True).alias("weather_main"),
-        F.when(F.min("data_source") == F.max("data_source"), F.min("data_source")).otherwise("mixed")
+        *[x for c in means for x in (F.sum(c).alias(f"_sum_{c}"), F.count(c).alias(f"_n_{c}"))],
+    )
+    by_type = parts.groupBy("city", "date", "weather_main").agg(
+        F.sum("_n").alias("_n"), F.min("temp_min").alias("temp_min"), F.max("temp_max").alias("temp_max"),
+        F.sum("precipitation").alias("precipitation"),
+        F.min("data_source").alias("_source_low"), F.max("data_source").alias("_source_high"),
+        *[F.sum(f"{p}_{c}").alias(f"{p}_{c}") for c in means for p in ("_sum", "_n")],
+    )
+    # no type is no candidate for the most frequent one
+    votes = F.when(F.col("weather_main").isNotNull(), F.struct(-F.col("_n"), F.col("weather_main")))
+    span = F.abs(F.col("temp_max") - F.col("temp_min"))
+    return by_type.groupBy("city", "date").agg(
+        *[ratio(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(c) for c in means],
+        F.min("temp_min").alias("temp_min"), F.max("temp_max").alias("temp_max"),
+        F.sum("precipitation").alias("precipitation"), F.min_by("weather_main", votes).alias("weather_main"),
+        F.when(F.min("_source_low") == F.max("_source_high"), F.min("_source_low")).otherwise("mixed")
         .alias("data_source"),
     ).withColumn("is_weekend", is_weekend(F.col("date"))).withColumn(
         "temp_confidence", F.least(F.lit(95.0), F.greatest(F.lit(70.0), 100 - span * 5))
@@ -178,7 +196,7 @@ def city_summary(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFram
     nulls = sum((F.count_if(F.col(c).isNull()) for c in weather.columns), F.lit(0))
 
     def tenth(col: Column) -> Column:
-        return F.round(col, 1)
+        return half_up(col, 1)
 
     stats = []
     for c in ("temperature", "humidity", "pressure"):

@@ -27,10 +27,10 @@ def run(df: DataFrame, key: Sequence[str], steps: int = 7, spec: forecast.Harmon
         confidence: float = 0.95, weights: dict[str, float] | None = None, value: str = "value") -> Forecasts:
     """All models on the series that pass the gate.
 
-    The fitted parameters are one row per series and feed several results, so they are
-    written once to the shared folder and not solved again for each.
+    The filled series and the parameters (one row per series) feed several results, so they
+    are written once to the shared folder and not computed again for each.
     """
-    ready = fill.interpolate_or_mean(clean.modellable(df, key, value), key, value)
+    ready = materialise(fill.interpolate_or_mean(clean.modellable(df, key, value), key, value), "series")
     params = materialise(forecast.fit_harmonic(ready, key, spec, value), "params")
     fitted = forecast.fitted_values(ready, params, key, spec, value)
     simple = forecast.predict_simple(forecast.fit_simple(ready, key, value), key, steps, confidence)

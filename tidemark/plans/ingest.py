@@ -13,6 +13,9 @@ from ..schema import check_columns
 from ..sources.tabular import write_table
 
 
+COPIES = "_copies"
+
+
 @dataclass(frozen=True)
 class Import:
     """A cleaned relation with its summary and envelope; all lazy."""
@@ -33,9 +36,10 @@ def import_main(raw: DataFrame, date: str = "date", value: str = "value", region
     """One row per region and day, the first by ``sequence``."""
     _require(raw, [date, value])
     extra = [sequence] if sequence else []
-    rows = clean.keep_first(clean.canonical_main(raw, date, value, region, extra), ["region", "date"], sequence)
-    rows = rows.drop(*extra)
-    return Import(rows, reports.main_summary(rows), reports.import_envelope(raw, rows))
+    canonical = clean.canonical_main(raw, date, value, region, extra)
+    kept = clean.keep_first(canonical, ["region", "date"], sequence, COPIES).drop(*extra)
+    rows = kept.drop(COPIES)
+    return Import(rows, reports.main_summary(rows), reports.import_envelope(kept, COPIES))
 
 
 def import_customers(raw: DataFrame, customer: str = "customer_id", date: str = "date", value: str = "value",
@@ -43,10 +47,11 @@ def import_customers(raw: DataFrame, customer: str = "customer_id", date: str =
     """One row per customer, region and day, the first by ``sequence``."""
     _require(raw, [customer, date, value, region])
     extra = [sequence] if sequence else []
-    rows = clean.canonical_customers(raw, customer, date, value, region, extra)
-    rows = clean.keep_first(rows, ["customer_id", "date", "region"], sequence).drop(*extra)
-    summary = reports.customer_summary_by_region(rows)
-    return Import(rows, summary, reports.import_envelope(raw, rows, customer="customer_id"))
+    canonical = clean.canonical_customers(raw, customer, date, value, region, extra)
+    kept = clean.keep_first(canonical, ["customer_id", "date", "region"], sequence, COPIES).drop(*extra)
+    rows = kept.drop(COPIES)
+    envelope = reports.import_envelope(kept, COPIES, ["customer_id", "region"])
+    return Import(rows, reports.customer_summary_by_region(rows), envelope)
 
 
 def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime | None = None) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import weather as rules
+from ..functions.numeric import half_up
 from ..operators.clean import daily_series
 
 KEY = ["customer_id"]
@@ -34,32 +35,34 @@ def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
     return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(
         regions, F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("c_custkey", "region")
+    ).select(F.col("c_custkey").cast("string").alias("customer_id"), "region")
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as customer values with region: several rows per customer and day, many per region and day."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.join(customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_custkey").cast("string").alias("customer_id"), "region",
-        F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("value"),
-        F.col("o_orderkey").alias("seq"),
+    orders = _orders(spark, sf_dir, F.col("o_orderkey").alias("seq"))
+    return orders.join(customer_regions(spark, sf_dir), KEY).select("customer_id", "region", "date", "value", "seq")
+
+
+def _orders(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer_id"), F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_totalprice").alias("value"), *more,
     )
 
 
 def cust_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals per customer and day; added up before the region is looked up."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_custkey", F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("value")
-    )
-    daily = daily_series(orders, ["o_custkey"])
-    return daily.join(customer_regions(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_custkey").cast("string").alias("customer_id"), "region", "date", "value"
-    )
+    """Totals per customer and day; added up before the region is looked up.
+
+    So a customer with very many orders brings at most one row per day to the join, and the
+    join leaves the rows partitioned by customer, as the windows over customers need them.
+    """
+    daily = daily_series(_orders(spark, sf_dir), KEY)
+    return daily.join(customer_regions(spark, sf_dir), KEY).select("customer_id", "region", "date", "value")
 
 
 def region_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_series(raw_orders(spark, sf_dir), ["region"])
+    return daily_series(cust_orders(spark, sf_dir), ["region"])
 
 
 def event_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +103,11 @@ def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City weather by day with every seventh day missing and nulls by a rule on the date."""
     day = F.dayofmonth("date")
     daily = readings(spark, sf_dir).groupBy("city", "date").agg(
-        F.round(F.avg("temperature"), 4).alias("temperature"), F.round(F.avg("humidity"), 4).alias("humidity"),
-        F.round(F.avg("pressure"), 4).alias("pressure"), F.round(F.avg("wind_speed"), 4).alias("wind_speed"),
-        F.round(F.sum("precipitation"), 2).alias("precipitation"), F.max("weather_main").alias("weather_main"),
+        half_up(F.avg("temperature"), 4).alias("temperature"), half_up(F.avg("humidity"), 4).alias("humidity"),
+        half_up(F.avg("pressure"), 4).alias("pressure"), half_up(F.avg("wind_speed"), 4).alias("wind_speed"),
+        F.round(F.sum("precipitation"), 2).alias("precipitation"),
+        F.when(F.max("precipitation") > 150, "Rain").when(F.max("pressure") > 1029, "Clear").otherwise("Clouds")
+        .alias("weather_main"),
     )
     return (
         daily.filter(day % 7 != 0)
@@ -190,7 +195,9 @@ _SQL = {
                weather_main, day(date) IN (1, 15) AS is_holiday, isodow(date) >= 6 AS is_weekend, 'api' AS data_source
         FROM (SELECT city, date, ROUND(AVG(temperature), 4) AS t, ROUND(AVG(humidity), 4) AS h,
                      ROUND(AVG(pressure), 4) AS pressure, ROUND(AVG(wind_speed), 4) AS wind_speed,
-                     ROUND(SUM(precipitation), 2) AS precipitation, MAX(weather_main) AS weather_main
+                     ROUND(SUM(precipitation), 2) AS precipitation,
+                     CASE WHEN MAX(precipitation) > 150 THEN 'Rain' WHEN MAX(pressure) > 1029 THEN 'Clear'
+                          ELSE 'Clouds' END AS weather_main
               FROM readings GROUP BY city, date)
         WHERE day(date) % 7 <> 0""",
     "city_regions": """

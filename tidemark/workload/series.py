@@ -196,13 +196,15 @@ def forecast_input(spark, sf_dir):
     return rounded(fill.forecast_input(holed(spark, sf_dir), KEY), 4, "value").drop("region")
 
 
-@query("numbered_days", "G9", """
-    SELECT event_type AS city, value, event_id,
-           DATE '2020-01-01' + CAST(ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INTEGER) AS date
-    FROM events""")
+@query("numbered_days", "G9", sql_with(ctes("cust_events"), body="""
+    SELECT customer_id, value, datediff('day', DATE '2024-01-01', date) AS seq,
+           DATE '2020-01-01' + CAST(ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS INTEGER) AS date
+    FROM cust_events"""))
 def numbered_days(spark, sf_dir):
-    rows = readings(spark, sf_dir).select("city", F.col("temperature").alias("value"), "event_id")
-    return fill.number_days(rows, ["city"], "event_id")
+    undated = cust_events(spark, sf_dir).select(
+        "customer_id", "value", F.datediff("date", F.lit("2024-01-01").cast("date")).alias("seq")
+    )
+    return fill.number_days(undated, KEY, "seq")
 
 
 @query("calendar_columns", "D1 D3", sql_with(ctes("region_daily"), body=f"""
