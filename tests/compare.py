@@ -85,6 +85,7 @@ def main() -> int:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--skip", nargs="*", default=())
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
@@ -93,6 +94,8 @@ def main() -> int:
     for name, fn in entry.queries().items():
         if args.names and not any(n in name for n in args.names):
             continue
+        if any(n in name for n in args.skip):
+            continue
         start = time.time()
         try:
             df = fn(spark, sf_dir)

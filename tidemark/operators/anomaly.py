@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import percent_of, ratio
+from ..functions.numeric import half_up, percent_of, ratio
 from .clean import recent, with_min_history
 
 # Z-score threshold of each sensitivity.
@@ -320,7 +320,7 @@ def real_time_alerts(
         .filter(F.col("z_score") > limits.z_score)
         .select(
             customer, F.lit("real_time").alias("alert_type"), F.col(value).alias("latest_value"),
-            F.format_string("%.2f ± %.2f", F.col("_mean"), 2 * F.col("_std")).alias("expected_range"),
+            F.format_string("%.2f ± %.2f", half_up(F.col("_mean"), 2), half_up(2 * F.col("_std"), 2)).alias("expected_range"),
             "z_score", F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("alert_time"),
         )
     )

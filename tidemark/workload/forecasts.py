@@ -216,6 +216,77 @@ def trend_regression(spark, sf_dir):
     return rounded(forecast.predict_harmonic(params, fitted, KEY, STEPS, TREND_ONLY, model="trend"), 4, *BOUNDS)
 
 
+WEEKLY = Harmonic(periods=(7,), harmonics=3, use_trend=False)  # as many terms as weekdays: their means
+
+
+def weekdays_sql(src: str, key: str) -> str:
+    return f"""weekdays AS (
+    SELECT {key}, date, value, datediff('day', origin, date) % 7 AS phase, origin
+    FROM (SELECT *, MIN(date) OVER (PARTITION BY {key}) AS origin,
+                 COUNT(*) OVER (PARTITION BY {key}) AS n FROM {src}) WHERE n >= 14),
+weekly AS (
+    SELECT *, AVG(value) OVER (PARTITION BY {key}, phase) AS fitted FROM weekdays)"""
+
+
+@query("weekly_harmonic_fit", "F1 F8", sql_with(ctes("cust_events"), weekdays_sql("cust_events", "customer_id"), body="""
+    SELECT customer_id, date, value AS actual, ROUND(fitted, 4) AS fitted, ROUND(value - fitted, 4) AS residual FROM weekly"""))
+def weekly_harmonic_fit(spark, sf_dir):
+    df = clean.with_min_history(cust_events(spark, sf_dir), KEY, 14)
+    fitted = forecast.fitted_values(df, forecast.fit_harmonic(df, KEY, WEEKLY), KEY, WEEKLY)
+    return rounded(fitted, 4, "fitted", "residual")
+
+
+@query("holiday_effect_fit", "F5 J6", sql_with(ctes("event_regions", "holiday_dates"), body="""
+    SELECT region, date, value AS actual, ROUND(AVG(value) OVER (
+               PARTITION BY region, date IN (SELECT date FROM holiday_dates)), 4) AS fitted FROM event_regions"""))
+def holiday_effect_fit(spark, sf_dir):
+    spec = Harmonic(periods=(), use_trend=False, regressors=("is_holiday",))
+    df = features.flag_dates(event_regions(spark, sf_dir), holiday_dates(spark, sf_dir))
+    fitted = forecast.fitted_values(df, forecast.fit_harmonic(df, REGION, spec), REGION, spec)
+    return rounded(fitted, 4, "fitted").drop("residual")
+
+
+DAMPED_TREND = Harmonic(periods=(), use_damped_trend=True)
+
+
+@query("damped_trend_summary", "F1 F7", sql_with(ctes("cust_events"), """days AS (
+    SELECT customer_id, value, (1 - POW(0.98::DOUBLE, datediff('day', MIN(date) OVER s, date))) * (0.98::DOUBLE / 0.02::DOUBLE) AS x
+    FROM cust_events WINDOW s AS (PARTITION BY customer_id)),
+lines AS (
+    SELECT customer_id, REGR_SLOPE(value, x) AS slope, REGR_INTERCEPT(value, x) AS level FROM days GROUP BY customer_id),
+errors AS (SELECT customer_id, value - (level + slope * x) AS r FROM days JOIN lines USING (customer_id))""", body="""
+    SELECT customer_id, n AS fitted_length, 2 AS parameters_count, ROUND(sd, 4) AS residual_std,
+           ROUND(n * LN(sse / n) + 4, 4) AS aic, ROUND(n * LN(sse / n) + 2 * LN(n), 4) AS bic,
+           '' AS seasonal_periods, TRUE AS use_trend, TRUE AS use_damped_trend
+    FROM (SELECT customer_id, COUNT(*) AS n, SUM(r * r) AS sse, STDDEV_POP(r) AS sd FROM errors GROUP BY customer_id)"""))
+def damped_trend_summary(spark, sf_dir):
+    df = cust_events(spark, sf_dir)
+    fitted = forecast.fitted_values(df, forecast.fit_harmonic(df, KEY, DAMPED_TREND), KEY, DAMPED_TREND)
+    out = forecast.model_summary(fitted, KEY, len(DAMPED_TREND.terms()), DAMPED_TREND)
+    return rounded(out, 4, "residual_std", "aic", "bic")
+
+
+@query("cross_validated_trend", "A16 F1", sql_with(ctes("cust_events"), """folds AS (
+    SELECT *, pos // size AS fold FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS pos,
+               datediff('day', MIN(date) OVER (PARTITION BY customer_id), date) / 1000.0::DOUBLE AS t,
+               COUNT(*) OVER (PARTITION BY customer_id) // 5 AS size FROM cust_events)),
+lines AS (
+    SELECT f.customer_id, f.fold, REGR_SLOPE(o.value, o.t) AS slope, REGR_INTERCEPT(o.value, o.t) AS level
+    FROM (SELECT DISTINCT customer_id, fold FROM folds WHERE fold < 5) AS f
+    JOIN folds AS o ON o.customer_id = f.customer_id AND o.fold <> f.fold GROUP BY f.customer_id, f.fold),
+errors AS (
+    SELECT customer_id, fold, value, ABS(value - (level + slope * t)) AS e FROM folds JOIN lines USING (customer_id, fold)),
+scored AS (
+    SELECT customer_id, fold, AVG(e) AS mae, SQRT(AVG(e * e)) AS rmse,
+           AVG(CASE WHEN value <> 0 THEN e / ABS(value) END) * 100 AS mape FROM errors GROUP BY customer_id, fold)""", body="""
+    SELECT customer_id, ROUND(AVG(mae), 4) AS mae_mean, ROUND(AVG(rmse), 4) AS rmse_mean, ROUND(AVG(mape), 4) AS mape_mean
+    FROM scored GROUP BY customer_id"""))
+def cross_validated_trend(spark, sf_dir):
+    out = forecast.cross_validate_harmonic(cust_events(spark, sf_dir), KEY, TREND_ONLY)
+    return rounded(out, 4, "mae_mean", "rmse_mean", "mape_mean")
+
+
 @query("harmonic_fit", "F1 F8")
 def harmonic_fit(spark, sf_dir):
     df = continuous(spark, sf_dir)
@@ -290,14 +361,23 @@ def forecast_run(spark, sf_dir):
     return rounded(out.predictions.unionByName(out.combined), 2, *BOUNDS)
 
 
-@query("saved_forecaster", "IO13")
+@query("saved_forecaster", "IO13 F2", sql_with(ctes("event_regions"), weekdays_sql("event_regions", "region"), """spreads AS (
+    SELECT region, STDDEV_POP(value - fitted) AS sd, MAX(date) AS last_date, ANY_VALUE(origin) AS origin
+    FROM weekly GROUP BY region),
+steps AS (SELECT CAST(unnest(generate_series(1, 7)) AS INTEGER) AS step),
+ahead AS (
+    SELECT *, last_date + step AS date, datediff('day', origin, last_date + step) % 7 AS phase FROM spreads CROSS JOIN steps),
+means AS (SELECT region, phase, AVG(value) AS forecast FROM weekdays GROUP BY region, phase)""", body=f"""
+    SELECT region, step, date, 'weekly' AS model, ROUND(forecast, 4) AS forecast,
+           ROUND(forecast - {Z95} * sd, 4) AS lower_bound, ROUND(forecast + {Z95} * sd, 4) AS upper_bound
+    FROM ahead JOIN means USING (region, phase)"""))
 def saved_forecaster(spark, sf_dir):
-    df = continuous(spark, sf_dir)
-    params = forecast.fit_harmonic(df, REGION)
+    df = clean.with_min_history(event_regions(spark, sf_dir), REGION, 14)
+    params = forecast.fit_harmonic(df, REGION, WEEKLY)
     path = fresh_path(spark, "forecaster")
-    models.save_forecaster(params, forecast.fitted_values(df, params, REGION), path)
+    models.save_forecaster(params, forecast.fitted_values(df, params, REGION, WEEKLY), path)
     loaded, fitted = models.load_forecaster(spark, path, REGION)
-    return rounded(forecast.predict_harmonic(loaded, fitted, REGION, STEPS), 2, *BOUNDS)
+    return rounded(forecast.predict_harmonic(loaded, fitted, REGION, STEPS, WEEKLY, model="weekly"), 4, *BOUNDS)
 
 
 @query("regression_metrics", "A15", sql_with(ctes("region_daily"), naive_sql("region_daily", "region"), body="""
