@@ -23,11 +23,13 @@ def parse_daily(payloads: DataFrame, data_type: str = "historical") -> tuple[Dat
     """Rows of documents with parallel daily arrays, and the rejected documents."""
     parsed = payloads.withColumn("_doc", F.from_json("payload", DAILY_PAYLOAD))
     good = F.coalesce(F.col("_doc.daily.time").isNotNull(), F.lit(False))
-    daily = F.col("_doc.daily")
-    zipped = F.arrays_zip(
-        daily["time"].alias("time"), daily["temperature_2m_max"].alias("max"),
-        daily["temperature_2m_min"].alias("min"), daily["precipitation_sum"].alias("precipitation"),
-    )
+    daily, nothing = F.col("_doc.daily"), F.array().cast("array<double>")
+    # a measure that was not asked for has no array, and zipping a null array gives no rows
+    zipped = F.arrays_zip(daily["time"].alias("time"), *[
+        F.coalesce(daily[source], nothing).alias(name) for source, name in (
+            ("temperature_2m_max", "max"), ("temperature_2m_min", "min"), ("precipitation_sum", "precipitation"),
+        )
+    ])
     rows = parsed.filter(good).select("city", F.explode(zipped).alias("_r")).select(
         "city", F.col("_r").getField("time").try_cast("date").alias("date"),
         finite(F.col("_r").getField("max")).alias("max_temperature"),
