@@ -38,10 +38,14 @@ def test_exact_quantiles(spark, n):
     _check(spark, _columns(n))
 
 
-def test_exact_quantiles_through_the_sketch(spark, monkeypatch):
-    monkeypatch.setattr(quantile, "SKETCH_ROWS", 10_000)
-    monkeypatch.setattr(quantile, "BINS", 16)
-    _check(spark, _columns(30_000))
+def test_exact_quantiles_with_few_bins(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "BINS", 4)
+    _check(spark, _columns(20_000))
+
+
+def test_exact_quantiles_with_a_coarse_sketch(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "SKETCH_ACCURACY", 50)
+    _check(spark, _columns(5_000))
 
 
 def test_no_column_comes_together_in_one_task(spark):

@@ -2,10 +2,10 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. That is fine for a
 daily series, whose length the calendar bounds, and not for a column of a fact table.
-Here a sketch with a known rank error brackets each quantile, a histogram of the bracket
-finds the bin that holds the wanted rank, and only that bin is put in order. Every step
-is a map-side combined aggregate, and what is joined back has one row per column and
-quantile.
+Here a sketch with a known rank error puts two edges close around each quantile, a
+histogram between the edges finds the bin that holds the wanted rank, and only the values
+of that bin are put in order. Every step is a map-side combined aggregate, and what is
+joined back has a row per column or per column and quantile.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-SKETCH_ROWS = 100_000  # below this the histogram alone narrows a column well enough
-BINS = 4_096
+BINS = 4_096  # between two edges
 
 
 def unpivot_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -27,55 +26,55 @@ def unpivot_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, prob, quantile) by linear interpolation between order statistics."""
-    values = unpivot_numbers(df, columns)
+def _edges(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, n, edges): least value, two sketched values around each quantile, greatest value."""
     margin = 4 / SKETCH_ACCURACY
-    cuts = [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
-    sketch = values.groupBy("column").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
-        F.percentile_approx("value", cuts, SKETCH_ACCURACY).alias("cuts"),
-    )
-    small = F.col("n") <= SKETCH_ROWS
-    brackets = sketch.select("column", F.inline(F.array(*[
-        F.struct(
-            F.lit(p).alias("prob"),
-            (F.lit(p) * (F.col("n") - 1)).alias("position"),
-            F.when(small, F.col("low")).otherwise(F.col("cuts")[2 * i]).alias("low"),
-            F.when(small, F.col("high")).otherwise(F.col("cuts")[2 * i + 1]).alias("high"),
-        )
-        for i, p in enumerate(probs)
-    ])))
+    cuts = sorted(min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1))
+    wide = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(c).alias(f"n{i}"),
+        F.concat(
+            F.array(F.min(F.col(c).cast("double"))),
+            F.percentile_approx(F.col(c).cast("double"), cuts, SKETCH_ACCURACY),
+            F.array(F.max(F.col(c).cast("double"))),
+        ).alias(f"edges{i}"),
+    )])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"edges{i}").alias("edges"))
+        for i, c in enumerate(columns)
+    ]))).filter(F.col("n") > 0)
 
-    # The bin is a monotone function of the value, so bins are in value order.
-    share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
-    bin_of = (
-        F.when(F.col("value") < F.col("low"), -1)
-        .otherwise(F.coalesce(F.least(F.floor(share * BINS).cast("int"), F.lit(BINS - 1)), F.lit(0)))
-    )
+
+def _bin(n_edges: int):
+    """Number of the bin of a value: a monotone function of it, so bins are in value order."""
+    step = sum((F.when(F.col("value") >= F.col("edges")[i], 1).otherwise(0) for i in range(1, n_edges - 1)), F.lit(0))
+    low, high = F.get("edges", step), F.get("edges", step + 1)
+    share = F.coalesce(F.try_divide(F.col("value") - low, high - low), F.lit(0.0))
+    return step.cast("bigint") * BINS + F.least(F.floor(share * BINS), F.lit(BINS - 1))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, prob, quantile) by linear interpolation between order statistics."""
+    edges = _edges(df, columns, probs)
     binned = (
-        values.join(F.broadcast(brackets), "column")  # one row per column and quantile
-        .filter(F.col("value") <= F.col("high"))
-        .withColumn("bin", bin_of)
+        unpivot_numbers(df, columns).join(F.broadcast(edges), "column")  # one row per column
+        .select("column", "value", "n", _bin(2 * len(probs) + 2).alias("bin"))
     )
-    in_bin_order = W.partitionBy("column", "prob").orderBy("bin")  # at most BINS + 1 rows
+    in_bin_order = W.partitionBy("column").orderBy("bin")  # a bounded number of bins
+    in_value_order = W.partitionBy("column", "prob").orderBy("value")
     wanted = (
-        binned.groupBy("column", "prob", "position", "bin").agg(F.count("*").alias("rows"))
+        binned.groupBy("column", "bin").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
         .withColumn("upto", F.sum("rows").over(in_bin_order))
-        .groupBy("column", "prob", "position")
-        .agg(
-            F.min(F.when(F.col("upto") > F.floor("position"), F.col("bin"))).alias("first_bin"),
-            F.min(F.when(F.col("upto") > F.ceil("position"), F.col("bin"))).alias("last_bin"),
-            F.min(F.when(F.col("upto") > F.floor("position"), F.col("upto") - F.col("rows"))).alias("before"),
-        )
-        .drop("position")
+        .select("column", "bin", (F.col("upto") - F.col("rows")).alias("before"), "upto", F.inline(F.array(*[
+            F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("n") - 1)).alias("position")) for p in probs
+        ])))
+        # the bins that hold the order statistic below or the one above the position
+        .filter((F.floor("position") < F.col("upto")) & (F.ceil("position") >= F.col("before")))
+        .drop("upto")
     )
-    in_value_order = W.partitionBy("column", "prob").orderBy("value")
     return (
-        binned.join(F.broadcast(wanted), ["column", "prob"])
-        .filter(F.col("bin").isin(F.col("first_bin"), F.col("last_bin")))
-        .groupBy("column", "prob", "position", "before", "value").agg(F.count("*").alias("rows"))
-        .withColumn("upto", F.col("before") + F.sum("rows").over(in_value_order))
+        binned.drop("n").join(F.broadcast(wanted), ["column", "bin"])  # at most two rows per column and quantile
+        .groupBy("column", "prob", "position", "bin", "before", "value").agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.min("before").over(in_value_order) + F.sum("rows").over(in_value_order))
         .groupBy("column", "prob", "position")
         .agg(
             F.min(F.when(F.col("upto") > F.floor("position"), F.col("value"))).alias("below"),
