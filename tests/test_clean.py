@@ -109,7 +109,8 @@ def test_import_counts_rows_read_and_kept(spark):
 def test_stored_import_reports_from_the_write(spark, tmp_path):
     raw = spark.createDataFrame([("r", "2024-01-01", 1.0), ("r", "2024-01-01", 2.0)], "region string, date string, value double")
     seen = ingest.store(ingest.import_main(raw), str(tmp_path / "main"), run_at=dt.datetime(2024, 1, 2))
-    assert seen["processed_rows"] == 1
+    assert (seen["original_rows"], seen["processed_rows"]) == (2, 1)
+    assert seen["content_hash"] == ingest.import_main(raw).envelope.first().content_hash
     assert (tmp_path / "main" / "region=r" / "run_ts=20240102_000000").is_dir()
 
 

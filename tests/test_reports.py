@@ -69,6 +69,13 @@ def test_quality_report(spark):
     assert (dates["column"], dates.min, dates.max, dates.range_days) == ("date", "2024-01-01", "2024-01-03", 2)
 
 
+def test_not_a_number_counts_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (2.0,), (None,)], "v double")
+    assert reports.missing_values(df).first().missing == 2
+    row = reports.describe_numbers(df).first()
+    assert (row["count"], row.mean, row.p50, row.max) == (1, 2.0, 2.0, 2.0)
+
+
 def test_report_of_text_only(spark):
     report = reports.quality_report(spark.createDataFrame([("x",)], "s string"))
     assert report.numeric.count() == 0 and report.dates.count() == 0

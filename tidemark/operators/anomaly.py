@@ -280,8 +280,9 @@ def analyse_customers(
     """
     top = top_customers(df, customer, value, limits.top_customers)
     ranked = F.broadcast(top.select(customer, "total_value"))  # at most top_customers rows
-    candidates = with_min_history(df.join(ranked, customer), [customer], limits.min_history)
-    detected = detect(candidates, [customer], value, date, limits, [region])
+    # counted after the detectors, whose sort the count can use
+    detected = detect(df.join(ranked, customer), [customer], value, date, limits, [region])
+    detected = with_min_history(detected, [customer], limits.min_history)
     metrics = customer_metrics(detected, [customer], value, date, [region], ["total_value"])
     return AnomalyReport(
         summary=report_summary(df, metrics, limits, analysed_at, customer),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import half_up, percent_of
 from ..functions.quantile import exact_quantiles
-from ..schema import date_columns, numeric_columns
+from ..schema import date_columns, finite, numeric_columns
 
 
 def main_summary(df: DataFrame, key: Sequence[str] = ("region",), value: str = "value", date: str = "date") -> DataFrame:
@@ -85,7 +85,11 @@ def count_duplicates(df: DataFrame) -> DataFrame:
 
 def missing_values(df: DataFrame) -> DataFrame:
     types = dict(df.dtypes)
-    counted = _per_column(df, df.columns, {
+    known = df.select([  # not a number is as missing as null
+        F.nanvl(F.col(c), F.lit(None).cast(t)).alias(c) if t in ("double", "float") else F.col(c)
+        for c, t in types.items()
+    ])
+    counted = _per_column(known, df.columns, {
         "missing": lambda c: F.count_if(c.isNull()), "total": lambda c: F.count("*"),
     })
     named = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
@@ -94,16 +98,16 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 
 def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of the numeric columns."""
+    """Count, mean, sample deviation, extremes and exact quartiles of the finite numbers of each column."""
     columns = list(columns or numeric_columns(df))
     if not columns:
         return _no_rows(df, "column string, count bigint, mean double, std double, min double, p25 double, "
                             "p50 double, p75 double, max double")
-    basic = _per_column(df, columns, {
-        "count": F.count, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")),
-        "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double")),
+    numbers = df.select([finite(F.col(c).cast("double")).alias(c) for c in columns])
+    basic = _per_column(numbers, columns, {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
     })
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(*[
+    quartiles = exact_quantiles(numbers, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
     ])
@@ -175,12 +179,13 @@ def content_hash(df: DataFrame, key: Sequence[str] = (), scale: int = 6) -> Data
     """
     columns = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(
-        F.count("*").alias("n_rows"), F.sum(_row_bits(df, columns, scale)).cast("string").alias("content_hash")
+        F.count("*").alias("n_rows"), F.sum(row_bits(df.select(*columns), scale)).cast("string").alias("content_hash")
     )
 
 
-def _row_bits(df: DataFrame, columns: Sequence[str], scale: int) -> Column:
-    text = F.concat_ws("|", *[_as_text(F.col(c), df.schema[c].dataType, scale) for c in columns])
+def row_bits(df: DataFrame, scale: int = 6) -> Column:
+    """32 bits of a hash of the text of a row, over the columns of ``df``."""
+    text = F.concat_ws("|", *[_as_text(F.col(f.name), f.dataType, scale) for f in df.schema])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
 
 
@@ -192,10 +197,9 @@ def import_envelope(
     ``copies`` holds how many rows each kept row stands for, so the input is not read again.
     Rows are reduced to one per key combination first; only those are counted apart.
     """
-    columns = [c for c in processed.columns if c != copies]
     by_key = processed.groupBy(*key).agg(
         F.sum(copies).alias("_read"), F.count("*").alias("_kept"), F.min(date).alias("_first"),
-        F.max(date).alias("_last"), F.sum(_row_bits(processed, columns, scale)).alias("_bits"),
+        F.max(date).alias("_last"), F.sum(row_bits(processed.drop(copies), scale)).alias("_bits"),
     )
     return by_key.agg(
         F.sum("_read").alias("original_rows"), F.sum("_kept").alias("processed_rows"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.anomaly import AnomalyReport, Thresholds, analyse_customers
 from ..sources.reports import write_report
+from ..storage import materialise
 from .ingest import import_customers
 
 
@@ -17,8 +18,9 @@ def analyse(raw: DataFrame, customer: str = "customer_id", date: str = "date", v
     """Canonical rows, one per customer, region and day, then the analysis.
 
     However many raw rows a customer has, what is shuffled by customer is bounded by the days.
+    The canonical rows feed every part of the report and are written once to the shared folder.
     """
-    rows = import_customers(raw, customer, date, value, region, sequence).rows
+    rows = materialise(import_customers(raw, customer, date, value, region, sequence).rows, "customers")
     return analyse_customers(rows, limits=limits, analysed_at=analysed_at)
 
 

@@ -23,6 +23,7 @@ class Import:
     rows: DataFrame
     summary: DataFrame
     envelope: DataFrame
+    counted: DataFrame  # the rows and how many raw rows each stands for
 
 
 def _require(df: DataFrame, columns: list[str]) -> None:
@@ -39,7 +40,7 @@ def import_main(raw: DataFrame, date: str = "date", value: str = "value", region
     canonical = clean.canonical_main(raw, date, value, region, extra)
     kept = clean.keep_first(canonical, ["region", "date"], sequence, COPIES).drop(*extra)
     rows = kept.drop(COPIES)
-    return Import(rows, reports.main_summary(rows), reports.import_envelope(kept, COPIES))
+    return Import(rows, reports.main_summary(rows), reports.import_envelope(kept, COPIES), kept)
 
 
 def import_customers(raw: DataFrame, customer: str = "customer_id", date: str = "date", value: str = "value",
@@ -51,14 +52,19 @@ def import_customers(raw: DataFrame, customer: str = "customer_id", date: str =
     kept = clean.keep_first(canonical, ["customer_id", "date", "region"], sequence, COPIES).drop(*extra)
     rows = kept.drop(COPIES)
     envelope = reports.import_envelope(kept, COPIES, ["customer_id", "region"])
-    return Import(rows, reports.customer_summary_by_region(rows), envelope)
+    return Import(rows, reports.customer_summary_by_region(rows), envelope, kept)
 
 
 def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime | None = None) -> dict:
-    """Write the cleaned rows by region; the counts come from the write itself, not a second pass."""
+    """Write the cleaned rows by region.
+
+    Rows read and kept, date span and content hash come from the write itself, not a second pass.
+    """
     seen = Observation("import")
-    observed = imported.rows.observe(
-        seen, F.count(F.lit(1)).alias("processed_rows"), F.min("date").alias("start"), F.max("date").alias("end"),
+    observed = imported.counted.observe(
+        seen, F.sum(COPIES).alias("original_rows"), F.count(F.lit(1)).alias("processed_rows"),
+        F.min("date").alias("start"), F.max("date").alias("end"),
+        F.sum(reports.row_bits(imported.rows)).cast("string").alias("content_hash"),
     )
-    write_table(observed, path, fmt, partition_by=["region"], run_at=run_at)
+    write_table(observed.drop(COPIES), path, fmt, partition_by=["region"], run_at=run_at)
     return seen.get

@@ -16,7 +16,7 @@ VALID_DAYS = 7
 def save_snapshot(weather: DataFrame, path: str, provider: str) -> None:
     """Add a provider's rows; the date range is a column, not part of a file name."""
     (
-        weather.drop("provider").withColumn("provider", F.lit(provider))
+        weather.drop("provider").withColumn("provider", F.lit(provider)).hint("rebalance", F.col("city"))
         .write.mode("append").partitionBy("provider", "city").parquet(path)
     )
 

@@ -40,10 +40,16 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType, **option
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = (), run_at: dt.datetime | None = None) -> None:
-    """Write, partitioned by a key; a run time becomes one more partition column, not a file name."""
+    """Write, partitioned by a key; a run time becomes one more partition column, not a file name.
+
+    Rows are rebalanced by the key first: without it every task writes a file for every key,
+    and AQE splits a key that holds much more than the others.
+    """
     if run_at is not None:
         df = df.withColumn("run_ts", F.lit(run_at.strftime("%Y%m%d_%H%M%S")))
         partition_by = [*partition_by, "run_ts"]
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -129,8 +129,8 @@ def regional_summary(spark, sf_dir):
            COALESCE(anomaly_dates, '') AS anomaly_dates, COALESCE(anomaly_values, '') AS anomaly_values
     FROM metrics"""))
 def customer_anomaly_metrics(spark, sf_dir):
-    rows = clean.with_min_history(cust_orders(spark, sf_dir), KEY)
-    out = anomaly.customer_metrics(anomaly.detect(rows, KEY))
+    rows = clean.with_min_history(anomaly.detect(cust_orders(spark, sf_dir), KEY), KEY)
+    out = anomaly.customer_metrics(rows)
     out = rounded(out, 4, "max_z_score", "max_daily_change", "max_weekly_change", "mean_value", "std_value")
     texts = F.transform("anomaly_values", lambda v: F.format_string("%.2f", v))
     return rounded(out, 6, "anomaly_rate").withColumns({
@@ -206,7 +206,7 @@ def moving_average(spark, sf_dir):
                      CASE WHEN moving_average_flag THEN 'moving_average' END) AS detectors
     FROM detected"""))
 def detected_rows(spark, sf_dir):
-    out = anomaly.detect(clean.with_min_history(cust_orders(spark, sf_dir), KEY), KEY)
+    out = clean.with_min_history(anomaly.detect(cust_orders(spark, sf_dir), KEY), KEY)
     return out.select(
         "customer_id", "date", "value", *[f"{d}_flag" for d in anomaly.DETECTORS], "is_anomaly",
         F.array_join("detectors", ",").alias("detectors"),
