@@ -88,7 +88,7 @@ def main() -> int:
     parser.add_argument("--skip", nargs="*", default=())
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    sf_dir = f"/root/testdata/sf{args.sf}"
+    sf_dir = args.sf if "/" in args.sf else f"/root/testdata/sf{args.sf}"
     spark, con = session(), duck(sf_dir)
     oracles, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
