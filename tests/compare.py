@@ -18,11 +18,11 @@ TABLES = (
 ).split()
 
 
-def session(cpus: str = "8", partitions: str = "8") -> SparkSession:
+def session(cpus: str = "8", partitions: str = "8", zone: str = "UTC") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("tidemark")
         .config("spark.sql.shuffle.partitions", partitions).config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+        .config("spark.sql.session.timeZone", zone).config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -86,10 +86,11 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
     parser.add_argument("--skip", nargs="*", default=())
+    parser.add_argument("--zone", default="UTC")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     sf_dir = args.sf if "/" in args.sf else f"/root/testdata/sf{args.sf}"
-    spark, con = session(), duck(sf_dir)
+    spark, con = session(zone=args.zone), duck(sf_dir)
     oracles, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
         if args.names and not any(n in name for n in args.names):

@@ -75,6 +75,18 @@ def to_date(col: Column, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(col.cast("string"), F.lit(fmt)).cast("date")
 
 
+def utc_instant(df: DataFrame, name: str) -> Column:
+    """A column as an instant in any session zone; wall-clock values without zone are taken as UTC."""
+    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(name)).cast("timestamp")
+    return F.col(name).cast("timestamp")
+
+
+def utc_day(instant: Column) -> Column:
+    """The UTC date of an instant."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86_400).cast("int"))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

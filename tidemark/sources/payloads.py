@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
 from ..operators.weather import DEFAULT_TIMEZONE
-from ..schema import DAILY_PAYLOAD, GEOCODE_PAYLOAD, READINGS_PAYLOAD, finite
+from ..schema import DAILY_PAYLOAD, GEOCODE_PAYLOAD, READINGS_PAYLOAD, finite, utc_day
 
 
 def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -44,20 +44,21 @@ def parse_daily(payloads: DataFrame, data_type: str = "historical") -> tuple[Dat
 def parse_readings(payloads: DataFrame, source: str = "api") -> tuple[DataFrame, DataFrame]:
     """Rows of documents with a list of nested readings, and the rejected documents.
 
-    No rain entry means 0; the first of several weather entries counts.
+    No rain entry means 0; the first of several weather entries counts. Dates are UTC dates.
     """
     parsed = payloads.withColumn("_doc", F.from_json("payload", READINGS_PAYLOAD))
     good = F.coalesce(F.col("_doc.list").isNotNull(), F.lit(False))
     item = parsed.filter(good).select("city", F.explode("_doc.list").alias("_i"))
     ts = F.timestamp_seconds("_i.dt")
+    day = utc_day(ts)
     first = F.try_element_at("_i.weather", F.lit(1))
     rows = item.select(
-        "city", ts.alias("ts"), ts.cast("date").alias("date"),
+        "city", ts.alias("ts"), day.alias("date"),
         finite(F.col("_i.main.temp")).alias("temperature"), finite(F.col("_i.main.humidity")).alias("humidity"),
         finite(F.col("_i.main.pressure")).alias("pressure"), finite(F.col("_i.wind.speed")).alias("wind_speed"),
         F.coalesce(finite(F.col("_i.rain").getField("3h")), F.lit(0.0)).alias("precipitation"),
         first.getField("main").alias("weather_main"), first.getField("description").alias("weather_description"),
-        is_weekend(ts.cast("date")).alias("is_weekend"), F.lit(source).alias("data_source"),
+        is_weekend(day).alias("is_weekend"), F.lit(source).alias("data_source"),
     )
     rejects = parsed.filter(~good).select("city", "payload", F.lit("no list block").alias("error"))
     return rows, rejects

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weather import DESCRIPTIONS
+from ..schema import utc_day, utc_instant
 
 
 def daily_rollup(readings: DataFrame, ts: str = "ts", lateness: str = "3 hours") -> DataFrame:
@@ -15,7 +16,7 @@ def daily_rollup(readings: DataFrame, ts: str = "ts", lateness: str = "3 hours")
     and day has a fixed size; equal counts go to the smaller name. Days are UTC days.
     """
     kinds = sorted(DESCRIPTIONS)
-    timed = readings.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    timed = readings.withColumn(ts, utc_instant(readings, ts)).withWatermark(ts, lateness)
     counters = [F.count_if(F.col("weather_main") == k).alias(f"_n_{i}") for i, k in enumerate(kinds)]
     daily = timed.groupBy("city", F.window(ts, "1 day").alias("_window")).agg(
         F.avg("temperature").alias("temperature"), F.min("temperature").alias("temp_min"),
@@ -28,7 +29,7 @@ def daily_rollup(readings: DataFrame, ts: str = "ts", lateness: str = "3 hours")
     ]))
     span = F.abs(F.col("temp_max") - F.col("temp_min"))
     return daily.select(
-        "city", F.col("_window.start").cast("date").alias("date"), "temperature", "temp_min", "temp_max",
+        "city", utc_day(F.col("_window.start")).alias("date"), "temperature", "temp_min", "temp_max",
         "humidity", "pressure", "wind_speed", "precipitation", "n_readings",
         F.when(ranked[0]["n"] < 0, ranked[0]["kind"]).alias("weather_main"),
         F.least(F.lit(95.0), F.greatest(F.lit(70.0), 100 - span * 5)).alias("temp_confidence"),

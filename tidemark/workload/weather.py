@@ -10,6 +10,7 @@ from ..functions import weather as rules
 from ..operators import features, weather
 from ..plans import weather as plans
 from ..sources import payloads, snapshots
+from ..schema import utc_instant
 from ..storage import fresh_path
 from .inputs import (
     city_regions, ctes, event_regions, holiday_dates, readings, weather_daily,
@@ -285,15 +286,16 @@ def daily_payload_rejects(spark, sf_dir):
 
 def _reading_documents(spark, sf_dir):
     """Documents of up to 40 readings each; every third reading has no rain entry."""
+    rows = readings(spark, sf_dir)
     item = F.struct(
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("dt"),
+        F.unix_seconds(utc_instant(rows, "ts")).alias("dt"),
         F.struct(F.col("temperature").alias("temp"), "humidity", "pressure").alias("main"),
         F.struct(F.col("wind_speed").alias("speed")).alias("wind"),
         F.when(F.col("event_id") % 3 != 0, F.struct(F.col("precipitation").alias("3h"))).alias("rain"),
         F.array(F.struct(F.col("weather_main").alias("main"), rules.describe(F.col("weather_main")).alias("description")),
                 F.struct(F.lit("Mist").alias("main"), F.lit("x").alias("description"))).alias("weather"),
     )
-    rows = readings(spark, sf_dir).withColumn("item", item).withColumn("part", F.floor(F.col("event_id") / 40))
+    rows = rows.withColumn("item", item).withColumn("part", F.floor(F.col("event_id") / 40))
     return rows.groupBy("city", "part").agg(F.collect_list("item").alias("list")).select(
         "city", F.to_json(F.struct("list")).alias("value")
     )
