@@ -52,8 +52,15 @@ def test_rows_are_added_up_before_the_shuffle(spark, tmp_path):
     assert logical.index("FlatMapGroupsInPandasWithState") < logical.index("MapInPandas")
 
 
+def test_a_table_may_be_a_folder(spark, sf, tmp_path):
+    events = table(spark, sf, "events")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    out = run_available(file_stream(spark, str(tmp_path / "events.parquet"), events.schema).select("event_id"), "ids")
+    assert out.distinct().count() == events.count()
+
+
 def test_rollup_equals_the_batch_on_closed_days(spark, sf):
-    events = file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    events = file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
     out = run_available(rollup.daily_rollup(readings_of(events)), "rollup")
     batch = weather.daily_forecast(readings(spark, sf))
     joined = out.alias("s").join(batch.alias("b"), ["city", "date"])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.anomaly import ROUNDING, Thresholds
+from ..schema import utc_instant
 
 DAY_MS = 86_400_000
 _PARTIAL = "customer_id string, day int, ts timestamp, value double"
@@ -75,7 +76,7 @@ def real_time_alerts(
 
     rows = stream.filter(F.col(customer).isNotNull()).select(
         F.col(customer).cast("string").alias("customer_id"),
-        F.unix_date(F.col(ts).cast("date")).alias("day"), F.col(ts).cast("timestamp").alias("ts"),
+        F.unix_date(F.col(ts).cast("date")).alias("day"), utc_instant(stream, ts).alias("ts"),
         F.col(value).cast("double").alias("value"),
     )
     return (

@@ -7,11 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..storage import fresh_path
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, fmt: str = "parquet") -> DataFrame:
-    reader = spark.readStream.format(fmt).schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder)
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """A stream of the files of a table, be it one file or a folder: a pattern may match either."""
+    return spark.readStream.format(fmt).schema(schema).load(f"{path}*")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from .weather import DAILY_FORECAST
 
 
 def _event_stream(spark, sf_dir):
-    return file_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    return file_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
 
 
 @query("streamed_alerts", "X1", sql_with(ctes("cust_events"), """history AS (
