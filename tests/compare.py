@@ -32,7 +32,9 @@ def session(cpus: str = "8", partitions: str = "8", zone: str = "UTC") -> SparkS
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{Path(sf_dir) / name}.parquet'")
+        path = Path(sf_dir) / f"{name}.parquet"
+        files = path / "*.parquet" if path.is_dir() else path
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{files}'")
     return con
 
 
