@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_blocks
+from . import jaccard_join, token_blocks
 
 QUERIES = {}
 ORACLES = {}
@@ -24,3 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_digest(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents
+), texts AS (
+  SELECT w, min(doc_id) AS rep, count(*) AS n_copies FROM words WHERE len(w) > 0 GROUP BY w
+), grams AS (
+  SELECT DISTINCT rep, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM texts
+), sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
+common AS (SELECT a.rep AS u, b.rep AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM common JOIN sizes s ON s.rep = u JOIN sizes t ON t.rep = v
+  WHERE c::DOUBLE / (s.n + t.n - c) >= 0.8
+), reach AS (
+  SELECT rep AS a, rep AS b FROM texts UNION SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b
+), classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT u AS rep, count(*) AS n_links FROM links GROUP BY u)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
+FROM words d LEFT JOIN texts t ON t.w = d.w LEFT JOIN classes c ON c.rep = t.rep LEFT JOIN counts k ON k.rep = t.rep
+"""
