@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, token_blocks
+from . import jaccard_join, paragraphs, token_blocks
 
 QUERIES = {}
 ORACLES = {}
@@ -50,3 +50,37 @@ counts AS (SELECT u AS rep, count(*) AS n_links FROM links GROUP BY u)
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
 FROM words d LEFT JOIN texts t ON t.w = d.w LEFT JOIN classes c ON c.rep = t.rep LEFT JOIN counts k ON k.rep = t.rep
 """
+
+
+@query
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_paragraph_dedup"] = r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS paragraph, l FROM lines
+), paragraphs AS (
+  SELECT doc_id, paragraph::INTEGER AS paragraph, list_sum(list_transform(l[1:paragraph], lambda x: length(x) + 1)) AS before, l[paragraph + 1] AS line,
+         list_filter(string_split_regex(lower(l[paragraph + 1]), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM numbered
+), own AS (
+  SELECT doc_id, paragraph, coalesce(before, 0)::BIGINT AS s, coalesce(before, 0)::BIGINT + length(line) AS e, w FROM paragraphs WHERE len(w) >= 30
+), texts AS (
+  SELECT row_number() OVER (ORDER BY min((doc_id, paragraph))) AS id, w, min((doc_id, paragraph)) AS first, count(*) AS n FROM own GROUP BY w
+), grams AS (
+  SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM texts
+), sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+common AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM common JOIN sizes s ON s.id = u JOIN sizes t ON t.id = v WHERE c::DOUBLE / (s.n + t.n - c) >= 0.8
+), reach AS (
+  SELECT id AS a, id AS b FROM texts UNION SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b
+), classes AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
+sums AS (SELECT c, sum(n) AS occurrences, min(first) AS kept FROM classes JOIN texts USING (id) GROUP BY c HAVING sum(n) > 1)
+SELECT o.doc_id, o.paragraph, o.s AS start, o.e AS "end", s.kept[1] AS class_doc, s.kept[2] AS class_paragraph, s.occurrences,
+       NOT (o.doc_id = s.kept[1] AND o.paragraph = s.kept[2]) AS removed
+FROM own o JOIN texts t ON t.w = o.w JOIN classes c ON c.id = t.id JOIN sums s ON s.c = c.c
+"""
