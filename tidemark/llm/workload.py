@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, paragraphs, token_blocks
+from . import jaccard_join, paragraphs, quality, token_blocks, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -84,3 +84,13 @@ SELECT o.doc_id, o.paragraph, o.s AS start, o.e AS "end", s.kept[1] AS class_doc
        NOT (o.doc_id = s.kept[1] AND o.paragraph = s.kept[2]) AS removed
 FROM own o JOIN texts t ON t.w = o.w JOIN classes c ON c.id = t.id JOIN sums s ON s.c = c.c
 """
+
+
+@query
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
