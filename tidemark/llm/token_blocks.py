@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -23,7 +24,7 @@ from . import files, frames
 
 TAIL = "<QQ"
 SHARD_BYTES = 64 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 
 @cache
@@ -49,20 +50,17 @@ def encode_texts(texts: Sequence[str | None], path: str) -> list[bytes]:
     """
     memo = _memo(path)
     words = [(t or "").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in memo})
-    found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False))} if new else {}
-    if len(memo) + len(found) > MEMO_WORDS:
-        kept = {w: memo[w] for ws in words for w in ws if w in memo}
+    new = list(set().union(*words).difference(memo))
+    if len(memo) + len(new) > MEMO_WORDS:
         memo.clear()
-        found |= kept
-    memo.update(found)
-    out = [b"".join(map(memo.__getitem__, ws)) for ws in words]
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    return out
+        new = list(set().union(*words))
+    if new:
+        found = _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)
+        memo.update(zip(new, (array("I", e.ids).tobytes() for e in found)))
+    return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
-def _some_texts(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _some_texts(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most`` bytes of text, one row at least."""
     import pyarrow.compute as pc
 
@@ -217,7 +215,9 @@ def _read(spark_manifest: DataFrame, key_type: str, ids: bool, key: str) -> Data
                     yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"`{key}` {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * ids
-    return spark_manifest.select("path", "first_token").repartition("path").mapInArrow(run, schema)
+        # a shard is work for a task of its own, so the few rows are spread by hand
+    n = int(spark_manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spark_manifest.select("path", "first_token").repartition(n, "path").mapInArrow(run, schema)
 
 
 def read_token_blocks(manifest: DataFrame, *, key: str = "doc_id", key_type: str = "bigint", ids: bool = True) -> DataFrame:
