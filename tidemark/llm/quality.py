@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,26 +15,15 @@ BINS = 12
 RANK = 4
 SAMPLE = 12_000
 EPOCHS = 6
-MEMO_WORDS = 500_000
 STATISTICS = (
     "upper", "punctuation", "digits", "space", "beyond_ascii", "symbols", "bars", "exclamations", "word_length",
     "distinct_words", "repeats_in_a_row", "words", "distinct_lines", "words_a_line", "most_frequent_word",
 )
 
 
-@cache
-def _memo() -> dict[str, int]:
-    return {}
-
-
 def word_buckets(words: list[str]) -> np.ndarray:
-    memo = _memo()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
 
 
 def statistics(text: str, words: list[str], counts: np.ndarray) -> list[float]:
