@@ -239,9 +239,7 @@ def leaks(
     without a key or item are searched and found all the same. Repeated items and documents give repeated rows. An empty
     table gives no rows. Other columns are not looked at.
     """
-    items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, -(-size // slice_chars))
+    items, slices = _slices(benchmark, item, item_text, slice_chars)
     source = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text"))
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)["item_id"]
 
@@ -261,14 +259,42 @@ def leaks(
 
     out = None
     for n in range(slices):
-        # a slice's size is bounded by its parameter, on average over the hash
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).toPandas()
-        part = passed(docs.sparkSession.sparkContext.broadcast(own))
+        part = passed(docs.sparkSession.sparkContext.broadcast(_slice(items, n, slices)))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns."""
-    found = leaks(docs, benchmark, key=key, text=text, **options).select(F.col(key).alias("__id")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(F.col("__id")), "left_anti")
+def _slices(benchmark: DataFrame, item: str, item_text: str, slice_chars: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return items, max(1, -(-size // slice_chars))
+
+
+def _slice(items: DataFrame, n: int, slices: int) -> pd.DataFrame:
+    """A part of the items, dealt by a hash; its size is bounded by the parameter, on average."""
+    return items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).toPandas()
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", slice_chars: int = SLICE_CHARS,
+) -> DataFrame:
+    """The documents in which :func:`leaks` finds no benchmark item, with all their columns, without a shuffle.
+
+    Each slice of the benchmark is a pass over what the slices before it have left.
+    """
+    names = docs.columns
+    items, slices = _slices(benchmark, item, item_text, slice_chars)
+
+    def passed(df: DataFrame, held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index_of(held.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[f[0] for f in search(index, [t or "" for t in batch.column("__text").to_pylist()])]] = False
+                yield batch.select(names).filter(pa.array(keep))
+
+        return df.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, df.schema)
+
+    for n in range(slices):
+        docs = passed(docs, docs.sparkSession.sparkContext.broadcast(_slice(items, n, slices)))
+    return docs

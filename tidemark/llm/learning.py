@@ -40,5 +40,17 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], key: str =
     return docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
+def kept(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``keep`` allows by the score of their text."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            yield batch.select(names).filter(pa.array(keep(score(texts)), pa.bool_()))
+
+    return docs.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

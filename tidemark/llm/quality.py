@@ -125,6 +125,13 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rank: int = RANK,
     return model
 
 
+def learned(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, sample: int, key: str, text: str):
+    """The function that scores texts, learned from labelled documents whose key has another remainder than ``left_out``."""
+    own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text).orderBy("__id").toPandas()
+    model = fit(own["text"].tolist(), own["label"].to_numpy())
+    return lambda texts: sigmoid(fm_score(model, *rows_of(texts, model["edges"])))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality",
     modulus: int = 4, left_out: int = 2, threshold: float = 0.7, sample: int = SAMPLE,
@@ -137,19 +144,15 @@ def quality_scores(
     rows get equal scores. An empty table gives no rows; without labels, or with one kind alone, all texts get the
     share of label 1. Columns beside key and text are not looked at.
     """
-    own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text).orderBy("__id").toPandas()
-    model = fit(own["text"].tolist(), own["label"].to_numpy())
-
-    def score(texts: list[str]) -> np.ndarray:
-        return sigmoid(fm_score(model, *rows_of(texts, model["edges"])))
-
+    score = learned(docs, labels, label, modulus, left_out, sample, key, text)
     held = F.coalesce(learning.remainder(key, modulus) == left_out, F.lit(True))
     return learning.scored(docs, score, key, text).select(
         key, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not rejected, with all their columns. Each row is judged by its own text."""
-    model_of = quality_scores(docs, labels, key=key, text=text, **options)
-    rejected = model_of.filter("predicted = 0").select(F.col(key).alias("__id")).distinct()
-    return docs.join(rejected, docs[key].eqNullSafe(F.col("__id")), "left_anti")
+def good_documents(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality",
+    modulus: int = 4, left_out: int = 2, threshold: float = 0.7, sample: int = SAMPLE,
+) -> DataFrame:
+    """The documents that :func:`quality_scores` doesn't reject, with all their columns, in one pass without a shuffle."""
+    return learning.kept(docs, learned(docs, labels, label, modulus, left_out, sample, key, text), lambda scores: scores >= threshold, text)
