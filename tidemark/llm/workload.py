@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, metric_tree, mixing, paragraphs, quality, token_blocks, toxicity, warc
+from . import decontaminate, jaccard_join, metric_tree, mixing, paragraphs, pii, quality, token_blocks, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -127,3 +127,8 @@ WITH v AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scores QUALIFY rank <= 20
 """
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
