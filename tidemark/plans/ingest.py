@@ -56,8 +56,9 @@ def import_customers(raw: DataFrame, customer: str = "customer_id", date: str =
 
 
 def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime | None = None) -> dict:
-    """Write the cleaned rows by region.
+    """Add the cleaned rows to a store, by region and run; other runs and regions stay as they are.
 
+    A run is named by its time, now if none is given. Storing a run again replaces its regions.
     Rows read and kept, date span and content hash come from the write itself, not a second pass.
     """
     seen = Observation("import")
@@ -66,5 +67,6 @@ def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime
         F.min("date").alias("start"), F.max("date").alias("end"),
         F.sum(reports.row_bits(imported.rows)).cast("string").alias("content_hash"),
     )
+    run_at = run_at or dt.datetime.now(dt.timezone.utc)
     write_table(observed.drop(COPIES), path, fmt, partition_by=["region"], run_at=run_at)
     return seen.get

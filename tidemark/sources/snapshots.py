@@ -14,9 +14,10 @@ VALID_DAYS = 7
 
 
 def save_snapshot(weather: DataFrame, path: str, provider: str) -> None:
-    """Add a provider's rows; the date range is a column, not part of a file name."""
+    """Add a provider's rows and when they were saved; what was saved earlier for the same days is no longer read."""
+    saved = weather.drop("provider").withColumns({"provider": F.lit(provider), "saved_at": F.current_timestamp()})
     (
-        weather.drop("provider").withColumn("provider", F.lit(provider)).hint("rebalance", F.col("city"))
+        saved.hint("rebalance", F.col("city"))
         .write.mode("append").partitionBy("provider", "city").parquet(path)
     )
 
@@ -26,8 +27,11 @@ def load_snapshot(
     start: dt.date | None = None, end: dt.date | None = None, valid_days: int = VALID_DAYS,
     now: dt.datetime | None = None,
 ) -> DataFrame:
-    """Rows of files no older than ``valid_days``; provider, city and dates are pruned or pushed down."""
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in WEATHER)}, provider string"
+    """The newest saved row of each city and day, from files no older than ``valid_days``.
+
+    Provider, city and dates are pruned or pushed down. Rows of a city and day collapse before the shuffle.
+    """
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in WEATHER)}, provider string, saved_at timestamp"
     rows = spark.read.schema(schema).parquet(path).filter(F.col("provider") == provider)
     if cities is not None:
         rows = rows.filter(F.col("city").isin(list(cities)))
@@ -38,4 +42,9 @@ def load_snapshot(
     when = F.current_timestamp() if now is None else F.lit(now)
     # whole days of age count, so a file is valid until one day after its last valid day
     oldest = when - F.make_dt_interval(F.lit(valid_days + 1))
-    return rows.filter(F.col("_metadata.file_modification_time") > oldest).select(*WEATHER.names)
+    rows = rows.filter(F.col("_metadata.file_modification_time") > oldest)
+    rest = [c for c in WEATHER.names if c not in ("city", "date")]
+    # of rows saved at the same moment the greatest, so the choice does not depend on their order
+    newest = F.max(F.struct("saved_at", F.struct(*rest).alias("row")))["row"].alias("row")
+    found = rows.groupBy("city", "date").agg(newest)
+    return found.select("city", "date", "row.*").select(*WEATHER.names)

@@ -42,6 +42,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
                 partition_by: Sequence[str] = (), run_at: dt.datetime | None = None) -> None:
     """Write, partitioned by a key; a run time becomes one more partition column, not a file name.
 
+    Overwriting a partitioned table replaces the partitions that ``df`` has rows for and leaves all others as they are.
     Rows are rebalanced by the key first: without it every task writes a file for every key,
     and AQE splits a key that holds much more than the others.
     """
@@ -54,7 +55,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.save(path)
 
 
@@ -75,19 +76,17 @@ def read_sheets(spark: SparkSession, root: str, schemas: dict[str, T.StructType]
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, columns and column names of each table."""
+    """Rows, columns, column names, files and bytes of each table; tables are read from files."""
     out = None
     for name, df in tables.items():
-        one = df.agg(F.count("*").alias("n_rows")).select(
+        files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
+        one = files.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_files"),
+            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        ).select(
             F.lit(name).alias("sheet"), "n_rows", F.lit(len(df.columns)).alias("n_columns"),
-            F.lit(",".join(df.columns)).alias("column_names"),
+            F.lit(",".join(df.columns)).alias("column_names"), "n_files", "bytes",
         )
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def file_sizes(df: DataFrame) -> DataFrame:
-    """Bytes per file that a file relation reads."""
-    return df.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")
-    ).distinct()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_scratch()
 
@@ -36,4 +38,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, which cuts its lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._materialised = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what :func:`materialise` wrote for ``df``, when nothing that is still to run reads it."""
+    path = getattr(df, "_materialised", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        df._materialised = None
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, so that functions of it run there."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="ship-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True

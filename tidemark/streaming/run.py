@@ -8,8 +8,13 @@ from ..storage import fresh_path
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
-    """A stream of the files of a table, be it one file or a folder: a pattern may match either."""
-    return spark.readStream.format(fmt).schema(schema).load(f"{path}*")
+    """A stream of the files of a table, be it a folder or one file.
+
+    The source takes one file only as a pattern; with the last letter as a class of its own the pattern matches this
+    path and no other.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.format(fmt).schema(schema).load(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

@@ -66,11 +66,16 @@ def csv_round_trip(spark, sf_dir):
 
 
 @query("partitioned_store", "IO3 A21", sql_with(ctes("raw_orders"), FIRST_MAIN, body="""
-    SELECT region, date, value, '20240131_120000' AS run_ts FROM first_main"""))
+    SELECT region, date, value, '20240131_120000' AS run_ts FROM first_main
+    UNION ALL SELECT region, date, value, '20240201_120000' FROM first_main WHERE region < 'B'
+    UNION ALL SELECT region, date, value, '20240201_120000' FROM first_main WHERE region >= 'M'"""))
 def partitioned_store(spark, sf_dir):
+    """A run of all regions, and a second run whose regions come one after the other, one of them twice."""
     path = fresh_path(spark, "main")
-    imported = ingest.import_main(raw_orders(spark, sf_dir), sequence="seq")
-    ingest.store(imported, path, run_at=dt.datetime(2024, 1, 31, 12))
+    raw = raw_orders(spark, sf_dir)
+    ingest.store(ingest.import_main(raw, sequence="seq"), path, run_at=dt.datetime(2024, 1, 31, 12))
+    for part in ("region < 'B'", "region >= 'M'", "region < 'B'"):
+        ingest.store(ingest.import_main(raw.filter(part), sequence="seq"), path, run_at=dt.datetime(2024, 2, 1, 12))
     schema = T.StructType([*MAIN.fields, T.StructField("run_ts", T.StringType())])
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
@@ -97,7 +102,10 @@ def sheets(spark, sf_dir):
     )
 
 
-_TABLES = ("customer", "orders", "lineitem", "events")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query("inventory", "IO11", " UNION ALL ".join(
@@ -105,7 +113,13 @@ _TABLES = ("customer", "orders", "lineitem", "events")
     (SELECT CAST(COUNT(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns,
     (SELECT STRING_AGG(column_name, ',') FROM (DESCRIBE {t})) AS column_names""" for t in _TABLES))
 def inventory(spark, sf_dir):
-    return tabular.inventory({t: table(spark, sf_dir, t) for t in _TABLES})
+    found = tabular.inventory({t: table(spark, sf_dir, t) for t in _TABLES})
+    return found.drop("n_files", "bytes")  # SQL sees the tables, not their files
+
+
+@query("table_files", "IO11")
+def table_files(spark, sf_dir):
+    return tabular.inventory({t: table(spark, sf_dir, t) for t in _TABLES}).select("sheet", "n_rows", "n_files", "bytes")
 
 
 @query("report_sink_alerts", "IO6", sql_with(analysis_sql("cust_events"), body=ALERTS_BODY))

@@ -337,7 +337,8 @@ hit_type = "struct<name:string,latitude:double,longitude:double,timezone:string>
 
 
 @query("snapshot_rows", "IO7", sql_with(ctes("weather_daily"), body="""
-    SELECT city, date, temperature, humidity, pressure, wind_speed, precipitation, CAST(NULL AS DOUBLE) AS cloud_cover,
+    SELECT city, date, CASE WHEN date >= DATE '2024-01-12' THEN temperature + 1 ELSE temperature END AS temperature,
+           humidity, pressure, wind_speed, precipitation, CAST(NULL AS DOUBLE) AS cloud_cover,
            is_holiday, is_weekend, 'a' AS data_source FROM weather_daily
     WHERE city IN ('click', 'view') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def snapshot_rows(spark, sf_dir):
@@ -345,6 +346,9 @@ def snapshot_rows(spark, sf_dir):
     rows = weather_daily(spark, sf_dir)
     snapshots.save_snapshot(weather.standardise(rows, "a"), path, "a")
     snapshots.save_snapshot(weather.standardise(rows, "b"), path, "b")
+    # part of the days is saved again with other values
+    again = rows.filter(F.col("date") >= F.lit("2024-01-12").cast("date")).withColumn("temperature", F.col("temperature") + 1)
+    snapshots.save_snapshot(weather.standardise(again, "a"), path, "a")
     return snapshots.load_snapshot(
         spark, path, "a", ["click", "view"], dt.date(2024, 1, 5), dt.date(2024, 1, 20)
     )
