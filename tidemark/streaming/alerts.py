@@ -1,89 +1,66 @@
-"""Real-time customer alerts on a stream of readings.
+"""Real-time customer alerts on a stream of readings, as sliding windows of column expressions.
 
-The state of a customer is one total per day of the window, so it does not grow with the
-number of rows the customer has, and rows are added up per customer and day before they
-are shuffled. The window ends at the customer's own latest day: a stream has no latest day
-of all rows.
+A window holds one day and the days before it that the day is judged by, one total for each, so the state of a customer
+is a few numbers for each day that late rows may still reach. Rows are added up before they are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.anomaly import ROUNDING, Thresholds
 from ..schema import utc_instant
 
-DAY_MS = 86_400_000
-_PARTIAL = "customer_id string, day int, ts timestamp, value double"
-_ALERT = (
-    "customer_id string, alert_type string, date date, latest_value double, expected_range string, z_score double"
-)
+DAY_S = 86_400
 
 
-def _partial_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        if len(rows):
-            yield rows.groupby(["customer_id", "day"], as_index=False).agg(ts=("ts", "max"), value=("value", "sum"))
+def _sum(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
 
 
-def _judge(totals: dict[int, float], z_threshold: float) -> tuple | None:
-    """Latest total against the earlier ones, or None where nothing is unusual."""
-    *earlier, latest = sorted(totals)
-    if len(earlier) < 2:
-        return None
-    history = np.array([round(totals[d], 2) for d in earlier])
-    value = round(totals[latest], 2)
-    mean, std = history.mean(), history.std(ddof=1)
-    if std <= ROUNDING * max(1.0, abs(mean)):
-        return None
-    z = abs(value - mean) / std
-    return (latest, value, f"{mean:.2f} ± {2 * std:.2f}", z) if z > z_threshold else None
-
-
-def real_time_alerts(
+def daily_verdicts(
     stream: DataFrame, customer: str = "customer_id", ts: str = "ts", value: str = "value",
     limits: Thresholds = Thresholds(), days: int = 3, lateness: str = "3 days",
 ) -> DataFrame:
-    """A stream of alerts: whenever new rows move a customer's latest day out of its range."""
-    threshold = limits.z_score
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        totals = dict(zip(*state.get)) if state.exists else {}
-        for rows in batches:
-            for day, total in zip(rows["day"].tolist(), rows["value"].tolist()):
-                totals[day] = totals.get(day, 0.0) + total
-        newest = max(totals)
-        totals = {d: v for d, v in totals.items() if d >= newest - days}
-        state.update((list(totals), list(totals.values())))
-        state.setTimeoutTimestamp(max((newest + days + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
-        found = _judge(totals, threshold)
-        if found:
-            day, latest, expected, z = found
-            yield pd.DataFrame({
-                "customer_id": [key[0]], "alert_type": ["real_time"],
-                "date": [pd.Timestamp(day, unit="D").date()], "latest_value": [latest],
-                "expected_range": [expected], "z_score": [z],
-            })
+    """For each customer and UTC day with rows: the total, and whether it is out of the range of the ``days`` before.
 
+    Run it in update mode: a day's verdict comes again whenever rows change it or a day that it is judged by, and the
+    last one holds. It also comes when a day is no longer unusual. Rows later than ``lateness`` are left out.
+    """
     rows = stream.filter(F.col(customer).isNotNull()).select(
-        F.col(customer).cast("string").alias("customer_id"),
-        F.unix_date(F.col(ts).cast("date")).alias("day"), utc_instant(stream, ts).alias("ts"),
+        F.col(customer).cast("string").alias("customer_id"), utc_instant(stream, ts).alias("ts"),
         F.col(value).cast("double").alias("value"),
+    ).withWatermark("ts", lateness).withColumn("span", F.window("ts", f"{days + 1} days", "1 day"))
+    # how many days before the window's last one a row is
+    age = days - F.floor((F.unix_seconds("ts") - F.unix_seconds("span.start")) / DAY_S)
+    totals = [F.sum(F.when(age == k, F.coalesce("value", F.lit(0.0)))).alias(f"_d{k}") for k in range(days + 1)]
+    found = rows.groupBy("customer_id", "span").agg(*totals).filter(F.col("_d0").isNotNull())
+    earlier = [F.col(f"_d{k}") for k in range(1, days + 1)]
+    n = _sum([c.isNotNull().cast("int") for c in earlier])
+    found = found.withColumn("_n", n).withColumn("_mean", _sum([F.coalesce(c, F.lit(0.0)) for c in earlier]) / F.nullif("_n", F.lit(0)))
+    squares = _sum([F.coalesce((c - F.col("_mean")) ** 2, F.lit(0.0)) for c in earlier])
+    found = found.withColumn("_std", F.when(F.col("_n") > 1, F.sqrt(squares / (F.col("_n") - 1))))
+    judged = F.col("_std") > ROUNDING * F.greatest(F.lit(1.0), F.abs("_mean"))
+    z = F.when(judged, F.abs(F.col("_d0") - F.col("_mean")) / F.col("_std"))
+    return found.select(
+        "customer_id", F.lit("real_time").alias("alert_type"),
+        F.date_from_unix_date((F.unix_seconds("span.end") / DAY_S).cast("int") - 1).alias("date"), F.col("_d0").alias("latest_value"),
+        F.when(judged, F.format_string("%.2f ± %.2f", "_mean", 2 * F.col("_std"))).alias("expected_range"), z.alias("z_score"),
+        F.coalesce(z > limits.z_score, F.lit(False)).alias("is_alert"),
     )
-    return (
-        rows.mapInPandas(_partial_totals, _PARTIAL)
-        .withWatermark("ts", lateness)
-        .groupBy("customer_id")
-        .applyInPandasWithState(
-            update, _ALERT, "days array<int>, totals array<double>", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+
+
+def current_alerts(verdicts: DataFrame) -> DataFrame:
+    """The alerts that hold: of the verdicts as ``run.run_updates`` stores them, each customer's latest day, last word.
+
+    Verdicts of a customer and day collapse before the shuffle.
+    """
+    columns = [c for c in verdicts.columns if c not in ("customer_id", "date", "batch")]
+    last = verdicts.groupBy("customer_id", "date").agg(F.max_by(F.struct(*columns), "batch").alias("verdict"))
+    newest = F.max("date").over(W.partitionBy("customer_id"))
+    held = last.withColumn("_newest", newest).filter((F.col("date") == F.col("_newest")) & F.col("verdict.is_alert"))
+    return held.select("customer_id", "date", "verdict.*").drop("is_alert")

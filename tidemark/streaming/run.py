@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..storage import fresh_path
 
@@ -22,6 +23,11 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
 
     Output and checkpoint go to the shared folder, so a restarted job goes on where it was.
     """
+    return run_counted(stream, name)[0]
+
+
+def run_counted(stream: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As :func:`run_available`, and how many rows came too late and were left out."""
     spark = stream.sparkSession
     out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
     query = (
@@ -29,4 +35,25 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), late
+
+
+def run_updates(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is available in update mode and return every update, with the number of its ``batch``.
+
+    A batch that is run again replaces what it had written.
+    """
+    spark = stream.sparkSession
+    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(keep).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(out)

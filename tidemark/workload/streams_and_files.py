@@ -14,7 +14,7 @@ from ..sources import reports as report_sink
 from ..sources import tabular
 from ..storage import fresh_path
 from ..streaming import alerts, rollup
-from ..streaming.run import file_stream, run_available
+from ..streaming.run import file_stream, run_available, run_updates
 from .cleaning import FIRST_MAIN
 from .customers import ALERTS_BODY, TOP, analysis_sql
 from .inputs import ctes, cust_events, event_regions, raw_orders, readings, readings_of, region_daily, table
@@ -35,14 +35,14 @@ def _event_stream(spark, sf_dir):
     FROM history WHERE next_date IS NULL AND sd > 1e-9 * GREATEST(1, ABS(mu)) AND ABS(value - mu) / sd > 2"""))
 def streamed_alerts(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).withColumnRenamed("user_id", "customer_id")
-    out = run_available(alerts.real_time_alerts(stream), "alerts")
-    return rounded(out, 4, "z_score").drop("expected_range")
+    verdicts = run_updates(alerts.daily_verdicts(stream), "alerts")
+    return rounded(rounded(alerts.current_alerts(verdicts), 4, "z_score"), 2, "latest_value").drop("expected_range")
 
 
 @query("streamed_daily_rollup", "X2", sql_with(ctes("readings"), DAILY_FORECAST, body=f"""
     SELECT city, date, temp_min, temp_max, {half_up('temperature', 4)} AS temperature, {half_up('humidity', 4)} AS humidity,
            {half_up('pressure', 4)} AS pressure, {half_up('wind_speed', 4)} AS wind_speed,
-           {half_up('precipitation', 2)} AS precipitation, weather_main, n_readings,
+           {half_up('precipitation', 2)} AS precipitation, weather_main, n_readings, data_source, is_weekend,
            {half_up('temp_confidence', 4)} AS temp_confidence
     FROM daily_forecast WHERE date + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 3 HOUR FROM readings)"""))
 def streamed_daily_rollup(spark, sf_dir):
@@ -143,8 +143,8 @@ def report_sink_top(spark, sf_dir):
 
 
 @query("batch_rollup_of_readings", "A9 X2", sql_with(ctes("readings"), DAILY_FORECAST, body="""
-    SELECT city, date, n_readings, weather_main, temp_min, temp_max FROM daily_forecast"""))
+    SELECT city, date, n_readings, weather_main, temp_min, temp_max, data_source, is_weekend FROM daily_forecast"""))
 def batch_rollup_of_readings(spark, sf_dir):
     return rollup.daily_rollup(readings(spark, sf_dir)).select(
-        "city", "date", "n_readings", "weather_main", "temp_min", "temp_max"
+        "city", "date", "n_readings", "weather_main", "temp_min", "temp_max", "data_source", "is_weekend"
     )
