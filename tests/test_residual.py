@@ -47,6 +47,17 @@ def test_split_does_not_depend_on_partitions(spark, data):
     assert 10 < one.count() < 60
 
 
+def test_a_forest_does_not_depend_on_the_partitions_of_its_rows(spark, data):
+    df, fitted = data
+    rows = residual.align(features.feature_table(df, ["k"]), fitted, ["k"])
+    names = features.feature_names(rows.drop("residual"), ["k"])
+    found = set()
+    for n in (1, 4, 16):
+        model = residual.train(rows.repartition(n), names, residual.ForestSettings(trees=10, depth=4), key=["k"])
+        found.add(model.transform(rows).agg(F.sum(F.round("predicted_residual", 9))).first()[0])
+    assert len({round(x, 6) for x in found}) == 1
+
+
 def test_alignment_is_inner_and_without_nulls(spark, data):
     df, fitted = data
     table = features.feature_table(df, ["k"])

@@ -23,12 +23,14 @@ GRID = {"numTrees": (50, 100, 200), "maxDepth": (5, 10, 15, MAX_DEPTH), "minInst
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """Settings of the residual forest."""
+    """Settings of the residual forest. Without ``bootstrap`` every tree sees every row."""
 
     trees: int = 100
     depth: int = 10
     min_leaf: int = 1
     seed: int = 42
+    bootstrap: bool = True
+    partitions: int = 32
     test_share: float = 0.2
 
 
@@ -40,8 +42,9 @@ def align(features: DataFrame, targets: DataFrame, key: Sequence[str], target: s
 
 
 def _share_of(df_key: Sequence[str], date: str, salt: str):
-    """A number in [0, 1) that depends on the row's key and date only, not on its partition."""
-    return F.pmod(F.xxhash64(F.lit(salt), *df_key, date), F.lit(1_000_000)) / 1_000_000
+    """A number in [0, 1) that depends on the row's key and date only, not on its partition: 32 bits of their MD5."""
+    name = F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in df_key], F.col(date).cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") / 4294967296.0
 
 
 def split(df: DataFrame, key: Sequence[str], test_share: float = 0.2, date: str = "date") -> tuple[DataFrame, DataFrame]:
@@ -57,21 +60,24 @@ def _pipeline(features: Sequence[str], settings: ForestSettings, target: str) ->
         RandomForestRegressor(
             featuresCol="_scaled", labelCol=target, predictionCol="predicted_residual",
             numTrees=settings.trees, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
-            featureSubsetStrategy="all", seed=settings.seed,
+            featureSubsetStrategy="all", seed=settings.seed, bootstrap=settings.bootstrap,
         ),
     ])
 
 
-def _spread(rows: DataFrame, key: Sequence[str], date: str) -> DataFrame:
-    """Rows over all cores, by hash, where they lie in fewer partitions; growing a tree uses one task each."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *key, date)
+def _laid_out(rows: DataFrame, key: Sequence[str], date: str, settings: ForestSettings) -> DataFrame:
+    """Rows in the stated number of partitions, by hash of key and date and in their order.
+
+    The forest draws its bootstrap rows for each partition, so equal rows give equal trees only in an equal layout.
+    The number is a setting of the model, to be raised with the data, and not taken from the cluster.
+    """
+    return rows.repartition(settings.partitions, *key, date).sortWithinPartitions(*key, date)
 
 
 def train(rows: DataFrame, features: Sequence[str], settings: ForestSettings = ForestSettings(),
           target: str = "residual", key: Sequence[str] = (), date: str = "date") -> PipelineModel:
     """Assemble, standardise and grow the forest on training rows."""
-    return _pipeline(features, settings, target).fit(_spread(rows, key, date))
+    return _pipeline(features, settings, target).fit(_laid_out(rows, key, date, settings))
 
 
 def search(rows: DataFrame, features: Sequence[str], key: Sequence[str], grid: dict[str, Sequence[int]] | None = None,
@@ -92,7 +98,7 @@ def search(rows: DataFrame, features: Sequence[str], key: Sequence[str], grid: d
         estimator=pipeline, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold", parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=target, predictionCol="predicted_residual", metricName="mse"),
     )
-    fitted = validator.fit(_spread(folded, key, date))
+    fitted = validator.fit(_laid_out(folded, key, date, settings))
     scores = [({p.name: v for p, v in m.items()}, float(s)) for m, s in zip(maps, fitted.avgMetrics)]
     return fitted.bestModel, scores
 

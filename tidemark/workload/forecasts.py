@@ -433,15 +433,107 @@ def corrected_predictions(spark, sf_dir):
 
 @query("residual_forest_search", "R4")
 def residual_forest_search(spark, sf_dir):
+    """The whole grid of 36 settings over five folds."""
     df, fitted = _residual_rows(spark, sf_dir)
     table = features.feature_table(df, REGION)
     names = features.feature_names(table, REGION)
     training, test = residual.split(materialise(residual.align(table, fitted, REGION), "features"), REGION)
-    grid = {"numTrees": (10,), "maxDepth": (3, 5), "minInstancesPerNode": (1, 4)}
-    best, _ = residual.search(training, names, REGION, grid, folds=3)
+    best, _ = residual.search(training, names, REGION)
     return rounded(residual.train_and_test_metrics(best, training, test), 2, "mse", "mae", "r2", "rmse")
 
 
+# One tree on the day of the week that sees every row once is the mean residual of each weekday, which SQL can say.
+ONE_TREE = residual.ForestSettings(trees=1, bootstrap=False)
+
+
+def _share_sql(salt: str) -> str:
+    return f"('0x' || substr(md5('{salt}|' || region || '|' || CAST(date AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0"
+
+
+WEEKDAY_TREE = f"""residuals AS (
+    SELECT region, date, actual, fitted, residual, isodow(date) AS weekday, {_share_sql('split')} < 0.2 AS held FROM naive),
+by_weekday AS (SELECT weekday, AVG(residual) AS predicted FROM residuals WHERE NOT held GROUP BY weekday),
+weekday_tree AS (SELECT * FROM residuals JOIN by_weekday USING (weekday))"""
+
+
+def tree_metrics_sql(src: str) -> str:
+    return f"""SELECT CASE WHEN held THEN 'test' ELSE 'train' END AS part, COUNT(*) AS n_rows,
+        ROUND(AVG(POW(residual - predicted, 2)), 2) AS mse, ROUND(AVG(ABS(residual - predicted)), 2) AS mae,
+        ROUND(1 - SUM(POW(residual - predicted, 2)) / (VAR_POP(residual) * COUNT(*)), 6) AS r2,
+        ROUND(SQRT(AVG(POW(residual - predicted, 2))), 4) AS rmse FROM {src} GROUP BY 1"""
+
+
+def _weekday_rows(spark, sf_dir):
+    """The seasonal model's residuals beside the day of the week and a constant."""
+    fitted = materialise(forecast.seasonal_naive_fit(region_daily(spark, sf_dir), REGION), "naive")
+    table = fitted.select(*REGION, "date", F.weekday("date").alias("day_of_week"), F.lit(1).alias("constant"))
+    return fitted, table, materialise(residual.align(table, fitted, REGION), "features")
+
+
+def _weekday_tree(spark, sf_dir):
+    fitted, table, rows = _weekday_rows(spark, sf_dir)
+    training, test = residual.split(rows, REGION)
+    return fitted, table, training, test, residual.train(training, ["day_of_week", "constant"], ONE_TREE, key=REGION)
+
+
+def _rounded_metrics(metrics):
+    return rounded(rounded(rounded(metrics, 2, "mse", "mae"), 6, "r2"), 4, "rmse")
+
+
+@query("weekday_tree_metrics", "R3 A15", sql_with(
+    ctes("region_daily"), naive_sql("region_daily", "region"), WEEKDAY_TREE, body=tree_metrics_sql("weekday_tree")))
+def weekday_tree_metrics(spark, sf_dir):
+    _, _, training, test, model = _weekday_tree(spark, sf_dir)
+    return _rounded_metrics(residual.train_and_test_metrics(model, training, test))
+
+
+@query("weekday_tree_importances", "S8 R3", sql_with(
+    ctes("region_daily"), naive_sql("region_daily", "region"), WEEKDAY_TREE, body="""
+    SELECT 'day_of_week' AS feature, CAST(CASE WHEN COUNT(*) > 1 THEN 1 ELSE 0 END AS DOUBLE) AS importance FROM by_weekday
+    UNION ALL SELECT 'constant', CAST(0 AS DOUBLE)"""))
+def weekday_tree_importances(spark, sf_dir):
+    _, _, training, _, model = _weekday_tree(spark, sf_dir)
+    return rounded(residual.importances(model, training), 6, "importance")
+
+
+@query("weekday_tree_corrections", "R5 IO12", sql_with(
+    ctes("region_daily"), naive_sql("region_daily", "region"), WEEKDAY_TREE, body="""
+    SELECT region, date, fitted, ROUND(predicted, 4) AS predicted_residual, ROUND(fitted + predicted, 4) AS corrected
+    FROM weekday_tree"""))
+def weekday_tree_corrections(spark, sf_dir):
+    fitted, table, _, _, model = _weekday_tree(spark, sf_dir)
+    path = fresh_path(spark, "forest")
+    models.save_forest(model, path)
+    out = residual.correct(fitted, table, models.load_forest(path), REGION, "fitted")
+    return rounded(out, 4, "predicted_residual", "corrected")
+
+
+@query("weekday_tree_search", "R4", sql_with(
+    ctes("region_daily"), naive_sql("region_daily", "region"), WEEKDAY_TREE, f"""folds AS (
+    SELECT *, CAST(FLOOR({_share_sql('fold')} * 5) AS INTEGER) AS fold FROM residuals WHERE NOT held),
+others AS (
+    SELECT f.n AS fold, weekday, AVG(residual) AS by_day, ANY_VALUE(mean) AS mean
+    FROM range(5) AS f(n) JOIN folds ON folds.fold <> f.n
+    JOIN (SELECT g.n AS fold_out, AVG(residual) AS mean FROM range(5) AS g(n) JOIN folds ON folds.fold <> g.n GROUP BY 1) AS m
+        ON m.fold_out = f.n
+    GROUP BY f.n, weekday),
+errors AS (
+    SELECT AVG(flat) AS flat, AVG(deep) AS deep FROM (
+        SELECT fold, AVG(POW(residual - mean, 2)) AS flat, AVG(POW(residual - by_day, 2)) AS deep
+        FROM folds JOIN others USING (fold, weekday) GROUP BY fold)),
+chosen AS (
+    SELECT t.* EXCLUDE (predicted), CASE WHEN e.deep < e.flat THEN t.predicted
+           ELSE (SELECT AVG(residual) FROM residuals WHERE NOT held) END AS predicted
+    FROM weekday_tree AS t, errors AS e)""", body=tree_metrics_sql("chosen")))
+def weekday_tree_search(spark, sf_dir):
+    """A tree of no depth, the plain mean, against one that tells the weekdays apart."""
+    _, _, rows = _weekday_rows(spark, sf_dir)
+    training, test = residual.split(rows, REGION)
+    grid = {"maxDepth": (0, 10)}
+    best, _ = residual.search(training, ["day_of_week", "constant"], REGION, grid, settings=ONE_TREE)
+    return _rounded_metrics(residual.train_and_test_metrics(best, training, test))
+
+
 @query("modellable_orders", "P5 G3", sql_with(ctes("cust_orders"), body="""
     SELECT customer_id, region, date, value FROM (
         SELECT *, COUNT(*) OVER (PARTITION BY customer_id) AS n FROM cust_orders) WHERE n >= 12"""))
