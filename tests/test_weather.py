@@ -107,9 +107,20 @@ def test_regions_of_cities(spark):
     assert (row.region, row.temperature, row.precipitation) == ("广东", 15.0, 3.0)
 
 
-def test_local_time(spark):
-    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 20),)], "t timestamp")
-    assert df.select(weather.local_time(F.col("t"), F.lit("Asia/Shanghai")).cast("date")).first()[0] == day(1)
+def test_readings_are_dated_in_the_zone_of_their_city(spark):
+    doc = '{"list": [{"dt": 1704139200, "main": {"temp": 1}}]}'  # 20:00 UTC of the first day
+    zones = spark.createDataFrame([("a", "Asia/Shanghai")], "city string, timezone string")
+    holidays = spark.createDataFrame([(day(1),)], "date date")
+    rows = payloads.parse_readings(_documents(spark, [("a", doc), ("b", doc)]), zones=zones, holidays=holidays)[0]
+    assert [(r.city, r.date, r.is_holiday) for r in rows.orderBy("city").collect()] == [("a", day(1), True), ("b", day(0), False)]
+
+
+def test_enrichment_does_not_depend_on_the_order_of_rows(spark):
+    main = [("r", day(i), float(v)) for i in range(3) for v in (1, 2)]
+    obs = spark.createDataFrame([("r", day(0), 10.0), ("r", day(2), 20.0)], "region string, date date, temperature double")
+    for rows in (main, main[::-1]):
+        out = weather.enrich(spark.createDataFrame(rows, "region string, date date, value double"), obs)
+        assert sorted((r.date, r.temperature) for r in out.collect()) == [(day(i), 10.0 + 5 * i) for i in range(3) for _ in range(2)]
 
 
 def _documents(spark, rows):

@@ -2,36 +2,38 @@
 
 All operators here work within a series. Windows are partitioned by the series key only,
 so a chain of them costs one shuffle; a series holds at most one row per day (and region),
-which bounds what one task sees. Fills never cross from one series into the next.
+which bounds what one task sees. Fills never cross from one series into the next. Where a
+series may hold several rows of a date, ``ties`` names the columns that order them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_calendar, with_date_parts
 
 
-def _so_far(key: Sequence[str], date: str, descending: bool = False):
-    order = F.col(date).desc() if descending else F.col(date).asc()
-    return W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+def _so_far(key: Sequence[str], date: str, ties: Sequence[str] = (), descending: bool = False):
+    """Rows up to the current one; rows of one date are in the order of the ``ties``."""
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in (date, *ties)]
+    return W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def carry_forward(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date") -> DataFrame:
+def carry_forward(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
     """Each null takes the last value before it."""
-    w = _so_far(key, date)
+    w = _so_far(key, date, ties)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
 def carry_forward_or_reject(
-    df: DataFrame, key: Sequence[str], column: str, date: str = "date"
+    df: DataFrame, key: Sequence[str], column: str, date: str = "date", ties: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Carried-forward rows of complete series, and the keys that still hold a null."""
-    filled = carry_forward(df, key, [column], date)
+    filled = carry_forward(df, key, [column], date, ties)
     holes = F.count_if(F.col(column).isNull()).over(W.partitionBy(*key))
     marked = filled.withColumn("_holes", holes)
     complete = marked.filter(F.col("_holes") == 0).drop("_holes")
@@ -39,9 +41,9 @@ def carry_forward_or_reject(
     return complete, rejected
 
 
-def carry_then_zero(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date") -> DataFrame:
+def carry_then_zero(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
     """Carry forward; what is still missing becomes 0."""
-    w = _so_far(key, date)
+    w = _so_far(key, date, ties)
     return df.withColumns({
         c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) for c in columns
     })
@@ -49,17 +51,17 @@ def carry_then_zero(df: DataFrame, key: Sequence[str], columns: Sequence[str], d
 
 def _interpolated(
     df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str, lead: bool,
-    fallback: dict[str, Column] | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Linear by row position between known values; after the last one its value holds.
 
     Looking back and looking ahead are both running frames, the second over the reversed
     order: a frame to the end of the partition would be evaluated anew for every row.
     """
-    back, ahead = _so_far(key, date), _so_far(key, date, descending=True)
+    back, ahead = _so_far(key, date, ties), _so_far(key, date, ties, descending=True)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col(c).cast("double").alias("v")))
              for c in columns}
-    out = df.withColumn("_pos", F.row_number().over(W.partitionBy(*key).orderBy(date)))
+    out = df.withColumn("_pos", F.row_number().over(W.partitionBy(*key).orderBy(date, *ties)))
     out = out.withColumns({f"_prev_{c}": F.last(known[c], ignorenulls=True).over(back) for c in columns})
     out = out.withColumns({f"_next_{c}": F.last(known[c], ignorenulls=True).over(ahead) for c in columns})
     filled = {}
@@ -69,34 +71,33 @@ def _interpolated(
         choices = [F.col(c), prev["v"] + (nxt["v"] - prev["v"]) * step, prev["v"]]
         if lead:
             choices.append(nxt["v"])
-        if fallback:
-            choices.append(fallback[c])
         filled[c] = F.coalesce(*choices)
     helpers = ["_pos", *[f"_{side}_{c}" for c in columns for side in ("prev", "next")]]
     return out.withColumns(filled).drop(*helpers)
 
 
-def linear_fill(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date") -> DataFrame:
+def linear_fill(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
     """Interpolate, carry the last value on and the first value back."""
-    return _interpolated(df, key, columns, date, lead=True)
+    return _interpolated(df, key, columns, date, True, ties)
 
 
-def interpolate(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date") -> DataFrame:
+def interpolate(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
     """Interpolate and carry the last value on; leading nulls stay."""
-    return _interpolated(df, key, columns, date, lead=False)
+    return _interpolated(df, key, columns, date, False, ties)
 
 
 def repair_observations(
     df: DataFrame, key: Sequence[str], numbers: Sequence[str], others: Sequence[str] = (), date: str = "date",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Interpolate the numbers and carry all other columns forward."""
-    out = interpolate(df, key, numbers, date)
-    return carry_forward(out, key, others, date) if others else out
+    out = interpolate(df, key, numbers, date, ties)
+    return carry_forward(out, key, others, date, ties) if others else out
 
 
-def interpolate_or_mean(df: DataFrame, key: Sequence[str], column: str, date: str = "date") -> DataFrame:
+def interpolate_or_mean(df: DataFrame, key: Sequence[str], column: str, date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
     """Interpolate; leading nulls take the mean of the interpolated series."""
-    out = interpolate(df, key, [column], date)
+    out = interpolate(df, key, [column], date, ties)
     mean = F.avg(column).over(W.partitionBy(*key))
     return out.withColumn(column, F.coalesce(column, mean))
 

@@ -52,11 +52,6 @@ def standardise(df: DataFrame, provider: str) -> DataFrame:
     return df.select(columns)
 
 
-def local_time(ts: Column, timezone: Column) -> Column:
-    """A UTC instant as the city's wall clock shows it."""
-    return F.from_utc_timestamp(ts, timezone)
-
-
 def split_horizon(days: int, max_history: int = 3) -> tuple[int, int]:
     """How many days of a request are history and how many are forecast."""
     history = min(max_history, days)
@@ -116,10 +111,13 @@ def overlap_days(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("date",))
 def enrich(main: DataFrame, weather: DataFrame, key: Sequence[str] = ("region",), date: str = "date") -> DataFrame:
     """Weather beside each main row, its gaps filled within the region.
 
-    Filling stays within a region: one region's weather says nothing about the next one's.
+    Filling stays within a region: one region's weather says nothing about the next one's. The region's days are filled
+    first, one row for each day that has a main row, so any number of main rows of a day take the same values and no
+    task gets more rows of a region than the calendar has days.
     """
     measures = [c for c in WEATHER_MEASURES if c in weather.columns]
-    return linear_fill(main.join(weather, [*key, date], "left"), key, measures, date)
+    days = main.select(*key, date).distinct().join(weather.select(*key, date, *measures), [*key, date], "left")
+    return main.join(linear_fill(days, key, measures, date, ties=measures), [*key, date], "left")
 
 
 def by_region(weather: DataFrame, cities: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
+from ..operators.features import flag_dates
 from ..operators.weather import DEFAULT_TIMEZONE
-from ..schema import DAILY_PAYLOAD, GEOCODE_PAYLOAD, READINGS_PAYLOAD, finite, utc_day
+from ..schema import DAILY_PAYLOAD, GEOCODE_PAYLOAD, READINGS_PAYLOAD, finite
 
 
 def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -41,16 +42,25 @@ def parse_daily(payloads: DataFrame, data_type: str = "historical") -> tuple[Dat
     return rows, rejects
 
 
-def parse_readings(payloads: DataFrame, source: str = "api") -> tuple[DataFrame, DataFrame]:
+def parse_readings(
+    payloads: DataFrame, source: str = "api", zones: DataFrame | None = None, holidays: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Rows of documents with a list of nested readings, and the rejected documents.
 
-    No rain entry means 0; the first of several weather entries counts. Dates are UTC dates.
+    No rain entry means 0; the first of several entries of conditions counts. Dates are those of the city's zone, from
+    ``zones`` (city, timezone; a city it lacks is in UTC). Holidays are the dates that ``holidays`` holds.
     """
     parsed = payloads.withColumn("_doc", F.from_json("payload", READINGS_PAYLOAD))
     good = F.coalesce(F.col("_doc.list").isNotNull(), F.lit(False))
     item = parsed.filter(good).select("city", F.explode("_doc.list").alias("_i"))
     ts = F.timestamp_seconds("_i.dt")
-    day = utc_day(ts)
+    zone = F.lit("UTC")
+    if zones is not None:
+        item = item.join(zones.select("city", F.col("timezone").alias("_zone")), "city", "left")
+        zone = F.coalesce("_zone", zone)
+    # from the instant in UTC, whatever the session's zone is
+    wall_clock = F.convert_timezone(F.lit("UTC"), zone, F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")))
+    day = F.to_date(wall_clock)
     first = F.try_element_at("_i.weather", F.lit(1))
     rows = item.select(
         "city", ts.alias("ts"), day.alias("date"),
@@ -60,6 +70,10 @@ def parse_readings(payloads: DataFrame, source: str = "api") -> tuple[DataFrame,
         first.getField("main").alias("weather_main"), first.getField("description").alias("weather_description"),
         is_weekend(day).alias("is_weekend"), F.lit(source).alias("data_source"),
     )
+    if holidays is None:
+        rows = rows.withColumn("is_holiday", F.lit(False))
+    else:
+        rows = flag_dates(rows, holidays).withColumn("is_holiday", F.col("is_holiday") == 1)
     rejects = parsed.filter(~good).select("city", "payload", F.lit("no list block").alias("error"))
     return rows, rejects
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
+from ..storage import remove
 from .tabular import write_table
 
 
@@ -22,8 +24,11 @@ def write_report(report, path: str, fmt: str = "csv", parts: tuple[str, ...] | N
         if parts is not None and field.name not in parts:
             continue
         part = getattr(report, field.name)
-        if field.name == "alerts" and part.isEmpty():
+        target, seen = f"{path}/{field.name}", Observation(f"rows of {field.name}")
+        counted = (_flat(part) if fmt == "csv" else part).observe(seen, F.count(F.lit(1)).alias("n"))
+        write_table(counted, target, fmt)
+        if field.name == "alerts" and not seen.get["n"]:
+            remove(part.sparkSession, target)
             continue
-        write_table(_flat(part) if fmt == "csv" else part, f"{path}/{field.name}", fmt)
         written.append(field.name)
     return written

@@ -47,12 +47,16 @@ def discard(df: DataFrame) -> None:
     """Remove what :func:`materialise` wrote for ``df``, when nothing that is still to run reads it."""
     path = getattr(df, "_materialised", None)
     if path:
-        jvm = df.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(df.sparkSession, path)
         df._materialised = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once for each application, so that functions of it run there."""
     context = spark.sparkContext

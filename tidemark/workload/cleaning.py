@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, reports
 from ..plans import ingest
+from ..schema import check_columns
 from .inputs import (
-    KEY, ctes, cust_events, cust_orders, event_regions, holed, raw_orders, region_daily, table, weather_daily,
+    KEY, ctes, cust_events, cust_orders, event_regions, nulled, raw_orders, region_daily, table, weather_full,
 )
 from .registry import half_up, query, rounded, sql_with
 
@@ -79,13 +80,13 @@ def import_customers_envelope(spark, sf_dir):
     return ingest.import_customers(raw_orders(spark, sf_dir), sequence="seq").envelope
 
 
-@query("modelling_gate", "P5", sql_with(ctes("holed"), body="""
+@query("modelling_gate", "P5", sql_with(ctes("nulled"), body="""
     SELECT customer_id, n_rows, n_nulls, reason, reason = 'ok' AS valid FROM (
         SELECT *, CASE WHEN n_rows < 18 THEN 'too_short' WHEN n_nulls > n_rows * 0.25 THEN 'too_many_nulls'
                   ELSE 'ok' END AS reason
-        FROM (SELECT customer_id, COUNT(*) AS n_rows, COUNT(*) - COUNT(value) AS n_nulls FROM holed GROUP BY customer_id))"""))
+        FROM (SELECT customer_id, COUNT(*) AS n_rows, COUNT(*) - COUNT(value) AS n_nulls FROM nulled GROUP BY customer_id))"""))
 def modelling_gate(spark, sf_dir):
-    return clean.modelling_gate(holed(spark, sf_dir), KEY, min_rows=18, max_null_share=0.25)
+    return clean.modelling_gate(nulled(spark, sf_dir), KEY, min_rows=18, max_null_share=0.25)
 
 
 @query("modellable_rows", "P5", sql_with(ctes("region_daily"), body="""
@@ -128,9 +129,9 @@ def main_summary(spark, sf_dir):
     return reports.main_summary(region_daily(spark, sf_dir))
 
 
-@query("main_summary_with_nulls", "A5", _summary_sql("holed", "customer_id"))
+@query("main_summary_with_nulls", "A5", _summary_sql("nulled", "customer_id"))
 def main_summary_with_nulls(spark, sf_dir):
-    return reports.main_summary(holed(spark, sf_dir), KEY)
+    return reports.main_summary(nulled(spark, sf_dir), KEY)
 
 
 @query("customer_summary_by_region", "A6", sql_with(ctes("cust_orders"), body="""
@@ -152,7 +153,7 @@ def _repeated(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-@query("quality_overview", "A11 P4", """
+@query("quality_overview", "A11", """
     SELECT CAST(SUM(n) AS BIGINT) AS total_rows, 5 AS total_columns, CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows
     FROM (SELECT COUNT(*) AS n FROM lineitem
           GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)""")
@@ -160,13 +161,34 @@ def quality_overview(spark, sf_dir):
     return reports.quality_report(_repeated(spark, sf_dir)).overview
 
 
-@query("quality_columns", "A11", sql_with(ctes("weather_daily"), body="""
+_REQUIRED = {"events": ["event_id", "ts", "value"], "orders": ["o_orderkey", "o_orderdate", "value"]}
+
+
+@query("required_columns", "P4", " UNION ALL ".join(
+    f"""SELECT '{t}' AS sheet, COUNT(*) = {len(need)} AS is_valid, {len(need)} - CAST(COUNT(*) AS INTEGER) AS n_missing,
+    (SELECT STRING_AGG(column_name, ',') FROM (DESCRIBE {t})) AS available_columns, (SELECT COUNT(*) FROM {t}) AS n_rows
+    FROM (DESCRIBE {t}) WHERE column_name IN ({', '.join(f"'{c}'" for c in need)})""" for t, need in _REQUIRED.items()))
+def required_columns(spark, sf_dir):
+    out = None
+    for name, need in _REQUIRED.items():
+        rows = table(spark, sf_dir, name)
+        check = check_columns(rows, need)
+        one = rows.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("sheet"), F.lit(check["is_valid"]).alias("is_valid"),
+            F.lit(len(check["missing_columns"])).alias("n_missing"),
+            F.lit(",".join(check["available_columns"])).alias("available_columns"), "n_rows",
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("quality_columns", "A11", sql_with(ctes("weather_full"), body="""
     SELECT "column", missing, ROUND(missing * 100.0 / total, 2) AS missing_percentage FROM (
-        SELECT 'temperature' AS "column", COUNT(*) - COUNT(temperature) AS missing, COUNT(*) AS total FROM weather_daily
-        UNION ALL SELECT 'humidity', COUNT(*) - COUNT(humidity), COUNT(*) FROM weather_daily
-        UNION ALL SELECT 'city', COUNT(*) - COUNT(city), COUNT(*) FROM weather_daily)"""))
+        SELECT 'temperature' AS "column", COUNT(*) - COUNT(temperature) AS missing, COUNT(*) AS total FROM weather_full
+        UNION ALL SELECT 'humidity', COUNT(*) - COUNT(humidity), COUNT(*) FROM weather_full
+        UNION ALL SELECT 'city', COUNT(*) - COUNT(city), COUNT(*) FROM weather_full)"""))
 def quality_columns(spark, sf_dir):
-    rows = weather_daily(spark, sf_dir).select("city", "temperature", "humidity")
+    rows = weather_full(spark, sf_dir).select("city", "temperature", "humidity")
     return reports.quality_report(rows).columns.drop("data_type")
 
 

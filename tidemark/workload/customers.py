@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, clean
 from ..operators.anomaly import SENSITIVITY, Thresholds
-from .inputs import KEY, ctes, cust_events, cust_orders, holed, region_daily
+from .inputs import KEY, ctes, cust_events, cust_orders, nulled, region_daily
 from .registry import query, rounded, sql_with
 
 TOP = """top AS (
@@ -163,10 +163,10 @@ def z_score_rows(spark, sf_dir):
     return rounded(out, 4, "z_score").select("customer_id", "date", "value", "z_score")
 
 
-@query("z_score_rows_with_nulls", "W6", sql_with(ctes("holed"), detect_sql("holed"), body="""
+@query("z_score_rows_with_nulls", "W6", sql_with(ctes("nulled"), detect_sql("nulled"), body="""
     SELECT customer_id, date, value, ROUND(z_score, 4) AS z_score FROM detected"""))
 def z_score_rows_with_nulls(spark, sf_dir):
-    out = anomaly.with_z_score(holed(spark, sf_dir), KEY)
+    out = anomaly.with_z_score(nulled(spark, sf_dir), KEY)
     return rounded(out, 4, "z_score").select("customer_id", "date", "value", "z_score")
 
 
@@ -178,11 +178,11 @@ def iqr_fences(spark, sf_dir):
     return rounded(out, 4, "lower_fence", "upper_fence").drop("region")
 
 
-@query("relative_changes", "W8 W9", sql_with(ctes("holed"), detect_sql("holed"), body="""
+@query("relative_changes", "W8 W9", sql_with(ctes("nulled"), detect_sql("nulled"), body="""
     SELECT customer_id, date, value, ROUND(daily_change, 8) AS daily_change, ROUND(weekly_change, 8) AS weekly_change
     FROM detected"""))
 def relative_changes(spark, sf_dir):
-    out = anomaly.with_changes(holed(spark, sf_dir), KEY)
+    out = anomaly.with_changes(nulled(spark, sf_dir), KEY)
     return rounded(out, 8, "daily_change", "weekly_change").drop("region")
 
 

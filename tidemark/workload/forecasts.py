@@ -10,7 +10,7 @@ from ..operators.forecast import Harmonic
 from ..plans import forecasting
 from ..sources import models
 from ..storage import fresh_path, materialise
-from .inputs import KEY, ctes, cust_events, cust_orders, event_regions, holed, holiday_dates, region_daily
+from .inputs import KEY, ctes, cust_events, cust_orders, event_regions, nulled, holiday_dates, region_daily
 from .registry import half_up, query, rounded, sql_with
 from .series import interpolate_sql, spine_sql
 
@@ -323,8 +323,8 @@ def calendar_additive_forecast(spark, sf_dir):
     )
 
 
-@query("trained_models", "F3 F6", sql_with(ctes("holed"), """gate AS (
-    SELECT customer_id, COUNT(*) AS n_all, COUNT(*) - COUNT(value) AS n_null, COUNT(value) AS n FROM holed
+@query("trained_models", "F3 F6", sql_with(ctes("nulled"), """gate AS (
+    SELECT customer_id, COUNT(*) AS n_all, COUNT(*) - COUNT(value) AS n_null, COUNT(value) AS n FROM nulled
     GROUP BY customer_id),
 statuses AS (
     SELECT customer_id, model, CASE WHEN n_all < 18 THEN 'too_short' WHEN n_null > n_all * 0.3 THEN 'too_many_nulls'
@@ -333,7 +333,7 @@ statuses AS (
     body="SELECT model, status, COUNT(*) AS n_series FROM statuses GROUP BY model, status"))
 def trained_models(spark, sf_dir):
     trained = forecast.train_all(
-        holed(spark, sf_dir), KEY, spec=Harmonic(periods=(7,), harmonics=1), min_rows=18, max_null_share=0.3
+        nulled(spark, sf_dir), KEY, spec=Harmonic(periods=(7,), harmonics=1), min_rows=18, max_null_share=0.3
     )
     return forecast.model_listing(trained)
 

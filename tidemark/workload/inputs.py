@@ -70,13 +70,15 @@ def event_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_series(raw_events(spark, sf_dir), ["region"])
 
 
-def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer series with missing days, leading and inner nulls."""
+def nulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer series with leading and inner nulls."""
     day = F.dayofmonth("date")
-    return (
-        cust_events(spark, sf_dir).filter(day % 9 != 0)
-        .withColumn("value", F.when((day != 1) & (day % 4 != 0), F.col("value")))
-    )
+    return cust_events(spark, sf_dir).withColumn("value", F.when((day != 1) & (day % 4 != 0), F.col("value")))
+
+
+def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer series with nulls and with missing days, for the operators that lay out days."""
+    return nulled(spark, sf_dir).filter(F.dayofmonth("date") % 9 != 0)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,12 @@ def readings_of(events: DataFrame) -> DataFrame:
 
 
 def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City weather by day with every seventh day missing and nulls by a rule on the date."""
+    """City weather by day with every seventh day missing, for the operators that fill or compare days."""
+    return weather_full(spark, sf_dir).filter(F.dayofmonth("date") % 7 != 0)
+
+
+def weather_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City weather by day with nulls by a rule on the date."""
     day = F.dayofmonth("date")
     daily = readings(spark, sf_dir).groupBy("city", "date").agg(
         half_up(F.avg("temperature"), 4).alias("temperature"), half_up(F.avg("humidity"), 4).alias("humidity"),
@@ -110,8 +117,7 @@ def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("weather_main"),
     )
     return (
-        daily.filter(day % 7 != 0)
-        .withColumn("temperature", F.when(day % 5 != 0, F.col("temperature")))
+        daily.withColumn("temperature", F.when(day % 5 != 0, F.col("temperature")))
         .withColumn("humidity", F.when(day % 4 != 1, F.col("humidity")))
         .withColumn("is_holiday", day.isin(1, 15)).withColumn("is_weekend", F.weekday("date") >= 5)
         .withColumn("data_source", F.lit("api"))
@@ -149,7 +155,8 @@ def ctes(*names: str) -> str:
 _NEEDS = {
     "cust_events": ("raw_events",),
     "raw_orders": ("customer_regions",), "cust_orders": ("raw_orders",), "region_daily": ("raw_orders",),
-    "event_regions": ("raw_events",), "holed": ("cust_events",), "weather_daily": ("readings",),
+    "event_regions": ("raw_events",), "nulled": ("cust_events",), "holed": ("nulled",),
+    "weather_full": ("readings",), "weather_daily": ("weather_full",),
 }
 
 _SQL = {
@@ -173,10 +180,11 @@ _SQL = {
         SELECT region, date, ROUND(SUM(value), 2) AS value FROM raw_orders GROUP BY region, date""",
     "event_regions": """
         SELECT region, date, ROUND(SUM(value), 2) AS value FROM raw_events GROUP BY region, date""",
-    "holed": """
+    "nulled": """
         SELECT customer_id, region, date,
-               CASE WHEN day(date) <> 1 AND day(date) % 4 <> 0 THEN value END AS value
-        FROM cust_events WHERE day(date) % 9 <> 0""",
+               CASE WHEN day(date) <> 1 AND day(date) % 4 <> 0 THEN value END AS value FROM cust_events""",
+    "holed": "SELECT * FROM nulled WHERE day(date) % 9 <> 0",
+    "weather_daily": "SELECT * FROM weather_full WHERE day(date) % 7 <> 0",
     "readings": """
         SELECT *, CASE WHEN precipitation > 5 THEN CASE WHEN temperature > 0 THEN 'Rain' ELSE 'Snow' END
                        WHEN humidity > 80 AND pressure < 1010 THEN 'Clouds'
@@ -189,7 +197,7 @@ _SQL = {
                      ROUND(GREATEST(value - 50, 0), 2) AS precipitation,
                      CASE WHEN event_id % 7 = 0 THEN 'simulated' ELSE 'api' END AS data_source, event_id
               FROM events)""",
-    "weather_daily": """
+    "weather_full": """
         SELECT city, date, CASE WHEN day(date) % 5 <> 0 THEN t END AS temperature,
                CASE WHEN day(date) % 4 <> 1 THEN h END AS humidity, pressure, wind_speed, precipitation,
                weather_main, day(date) IN (1, 15) AS is_holiday, isodow(date) >= 6 AS is_weekend, 'api' AS data_source
@@ -198,8 +206,7 @@ _SQL = {
                      ROUND(SUM(precipitation), 2) AS precipitation,
                      CASE WHEN MAX(precipitation) > 150 THEN 'Rain' WHEN MAX(pressure) > 1029 THEN 'Clear'
                           ELSE 'Clouds' END AS weather_main
-              FROM readings GROUP BY city, date)
-        WHERE day(date) % 7 <> 0""",
+              FROM readings GROUP BY city, date)""",
     "city_regions": """
         SELECT city, 'R' || CAST(length(city) % 5 AS VARCHAR) AS region
         FROM (SELECT DISTINCT event_type AS city FROM events)""",

@@ -8,7 +8,7 @@ from ..functions import calendar
 from ..operators import features, fill
 from ..plans import modelling
 from .inputs import (
-    KEY, ctes, cust_events, cust_orders, event_regions, holed, holiday_dates, readings, region_daily, weather_daily,
+    KEY, ctes, cust_events, cust_orders, event_regions, holed, nulled, holiday_dates, readings, region_daily, weather_daily,
 )
 from .registry import half_up, query, rounded, sql_with
 
@@ -73,10 +73,10 @@ def rolling_sql(key: str, windows, stats) -> str:
 
 
 @query("linear_fill", "G1", sql_with(
-    ctes("holed"), interpolate_sql("filled", "holed", "customer_id", ["value"], True),
+    ctes("nulled"), interpolate_sql("filled", "nulled", "customer_id", ["value"], True),
     body=f"SELECT customer_id, region, date, {half_up('value', 4)} AS value FROM filled"))
 def linear_fill(spark, sf_dir):
-    return rounded(fill.linear_fill(holed(spark, sf_dir), KEY, ["value"]), 4, "value")
+    return rounded(fill.linear_fill(nulled(spark, sf_dir), KEY, ["value"]), 4, "value")
 
 
 @query("repaired_observations", "G2", sql_with(
@@ -97,35 +97,35 @@ FILLED_MEAN = "COALESCE(value, AVG(value) OVER (PARTITION BY customer_id))"
 
 
 @query("interpolated_or_mean", "G3", sql_with(
-    ctes("holed"), interpolate_sql("filled", "holed", "customer_id", ["value"], False),
+    ctes("nulled"), interpolate_sql("filled", "nulled", "customer_id", ["value"], False),
     body=f"""SELECT customer_id, date, {half_up(FILLED_MEAN, 4)} AS value FROM filled"""))
 def interpolated_or_mean(spark, sf_dir):
-    return rounded(fill.interpolate_or_mean(holed(spark, sf_dir), KEY, "value"), 4, "value").drop("region")
+    return rounded(fill.interpolate_or_mean(nulled(spark, sf_dir), KEY, "value"), 4, "value").drop("region")
 
 
-@query("carried_or_zero", "G4", sql_with(ctes("holed"), body="""
+@query("carried_or_zero", "G4", sql_with(ctes("nulled"), body="""
     SELECT customer_id, date, COALESCE(LAST_VALUE(value IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY date
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS value FROM holed"""))
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS value FROM nulled"""))
 def carried_or_zero(spark, sf_dir):
-    return fill.carry_then_zero(holed(spark, sf_dir), KEY, ["value"]).drop("region")
+    return fill.carry_then_zero(nulled(spark, sf_dir), KEY, ["value"]).drop("region")
 
 
 CARRIED = """carried AS (
     SELECT customer_id, date, LAST_VALUE(value IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY date
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM holed),
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM nulled),
 counted AS (SELECT *, COUNT(*) OVER s - COUNT(value) OVER s AS n_missing FROM carried WINDOW s AS (PARTITION BY customer_id))"""
 
 
 @query("carried_complete_series", "G5", sql_with(
-    ctes("holed"), CARRIED, body="SELECT customer_id, date, value FROM counted WHERE n_missing = 0"))
+    ctes("nulled"), CARRIED, body="SELECT customer_id, date, value FROM counted WHERE n_missing = 0"))
 def carried_complete_series(spark, sf_dir):
-    return fill.carry_forward_or_reject(holed(spark, sf_dir), KEY, "value")[0].drop("region")
+    return fill.carry_forward_or_reject(nulled(spark, sf_dir), KEY, "value")[0].drop("region")
 
 
-@query("carried_rejected_series", "G5", sql_with(ctes("holed"), CARRIED, body="""
+@query("carried_rejected_series", "G5", sql_with(ctes("nulled"), CARRIED, body="""
     SELECT customer_id, MAX(n_missing) AS n_missing FROM counted WHERE n_missing > 0 GROUP BY customer_id"""))
 def carried_rejected_series(spark, sf_dir):
-    return fill.carry_forward_or_reject(holed(spark, sf_dir), KEY, "value")[1]
+    return fill.carry_forward_or_reject(nulled(spark, sf_dir), KEY, "value")[1]
 
 
 @query("outliers_to_median", "G6 W7", sql_with(
@@ -188,12 +188,12 @@ def modelling_table_with_gaps(spark, sf_dir):
 
 
 @query("forecast_input", "G9 G3 D2", sql_with(
-    ctes("holed"), interpolate_sql("filled", "holed", "customer_id", ["value"], False), body=f"""
+    ctes("nulled"), interpolate_sql("filled", "nulled", "customer_id", ["value"], False), body=f"""
     SELECT customer_id, date, {half_up(FILLED_MEAN, 4)} AS value,
            year(date) AS year, month(date) AS month, day(date) AS day, isodow(date) - 1 AS dayofweek,
            dayofyear(date) AS dayofyear, quarter(date) AS quarter FROM filled"""))
 def forecast_input(spark, sf_dir):
-    return rounded(fill.forecast_input(holed(spark, sf_dir), KEY), 4, "value").drop("region")
+    return rounded(fill.forecast_input(nulled(spark, sf_dir), KEY), 4, "value").drop("region")
 
 
 @query("numbered_days", "G9", sql_with(ctes("cust_events"), body="""

@@ -13,7 +13,7 @@ from ..schema import utc_instant
 from ..sources import payloads, snapshots
 from ..storage import fresh_path
 from .inputs import (
-    city_regions, ctes, event_regions, holiday_dates, readings, weather_daily,
+    city_regions, ctes, event_regions, holiday_dates, readings, weather_daily, weather_full,
 )
 from .registry import half_up, query, rounded, sql_with
 from .series import interpolate_sql
@@ -84,7 +84,7 @@ def daily_forecast(spark, sf_dir):
     return rounded(rounded(weather.daily_forecast(readings(spark, sf_dir)), 4, *_ROLLED), 2, "precipitation")
 
 
-@query("weather_summary", "A7", sql_with(ctes("weather_daily"), body="""
+@query("weather_summary", "A7", sql_with(ctes("weather_full"), body="""
     SELECT city, MIN(date) AS start, MAX(date) AS end, COUNT(*) AS total_days,
            ROUND(AVG(temperature), 4) AS temperature_mean, MIN(temperature) AS temperature_min,
            MAX(temperature) AS temperature_max, ROUND(STDDEV_SAMP(temperature), 4) AS temperature_std,
@@ -93,9 +93,9 @@ def daily_forecast(spark, sf_dir):
            COUNT(*) FILTER (WHERE precipitation > 0) AS rainy_days,
            ROUND(1 - CAST(GREATEST(COUNT(*) - COUNT(temperature), COUNT(*) - COUNT(humidity),
                           COUNT(*) - COUNT(precipitation)) AS DOUBLE) / COUNT(*), 6) AS data_completeness
-    FROM weather_daily WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' GROUP BY city"""))
+    FROM weather_full WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' GROUP BY city"""))
 def weather_summary(spark, sf_dir):
-    out = weather.weather_summary(weather_daily(spark, sf_dir), dt.date(2024, 1, 3), dt.date(2024, 1, 27))
+    out = weather.weather_summary(weather_full(spark, sf_dir), dt.date(2024, 1, 3), dt.date(2024, 1, 27))
     out = rounded(out, 4, "temperature_mean", "temperature_std", "humidity_mean")
     return rounded(rounded(out, 2, "precipitation_total"), 6, "data_completeness")
 
@@ -104,9 +104,9 @@ _TENTH = {c: half_up(f"AVG({c})", 1) for c in ("temperature", "humidity", "press
 
 
 @query("city_summary", "A8 AR1", sql_with(
-    ctes("weather_daily"), """types AS (
+    ctes("weather_full"), """types AS (
     SELECT city, STRING_AGG(weather_main || ':' || CAST(n AS VARCHAR), ',' ORDER BY weather_main) AS weather_types
-    FROM (SELECT city, weather_main, COUNT(*) AS n FROM weather_daily WHERE weather_main IS NOT NULL
+    FROM (SELECT city, weather_main, COUNT(*) AS n FROM weather_full WHERE weather_main IS NOT NULL
           GROUP BY city, weather_main) GROUP BY city)""",
     body=f"""
     SELECT city, COUNT(*) AS total_days, {_TENTH['temperature']} AS temperature_mean,
@@ -121,9 +121,9 @@ _TENTH = {c: half_up(f"AVG({c})", 1) for c in ("temperature", "humidity", "press
            100 - CAST(FLOOR(CAST(COUNT(*) - COUNT(temperature) + COUNT(*) - COUNT(humidity) AS DOUBLE)
                             / (COUNT(*) * 11) * 100) AS BIGINT) AS data_quality,
            ANY_VALUE(weather_types) AS weather_types
-    FROM weather_daily JOIN types USING (city) GROUP BY city"""))
+    FROM weather_full JOIN types USING (city) GROUP BY city"""))
 def city_summary(spark, sf_dir):
-    out = weather.city_summary(weather_daily(spark, sf_dir))
+    out = weather.city_summary(weather_full(spark, sf_dir))
     entries = F.transform(F.map_entries("weather_types"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return out.withColumn("weather_types", F.array_join(F.array_sort(entries), ","))
 
@@ -143,10 +143,10 @@ BY_REGION = """by_region AS (
           FROM weather_daily GROUP BY city, date) JOIN city_regions USING (city) GROUP BY region, date)"""
 
 
-@query("weather_by_region", "J2", sql_with(ctes("weather_daily", "city_regions"), BY_REGION, body=f"""
+@query("weather_by_region", "J2", sql_with(ctes("weather_full", "city_regions"), BY_REGION.replace("weather_daily", "weather_full"), body=f"""
     SELECT region, date, {_measures_sql()} FROM by_region"""))
 def weather_by_region(spark, sf_dir):
-    out = weather.by_region(weather_daily(spark, sf_dir), city_regions(spark, sf_dir))
+    out = weather.by_region(weather_full(spark, sf_dir), city_regions(spark, sf_dir))
     return rounded(out, 4, *MEASURES)
 
 
@@ -255,7 +255,7 @@ def _land(df, name):
 
 
 def _daily_documents(spark, sf_dir):
-    """Documents with a bounded number of days each; some are broken."""
+    """Documents with a bounded number of days each, and two broken ones for each city."""
     daily = weather.daily_forecast(readings(spark, sf_dir)).withColumn("part", F.floor((F.dayofmonth("date") - 1) / 5))
     days = F.array_sort(F.collect_list(F.struct("date", "temp_max", "temp_min", "precipitation")))
     grouped = daily.groupBy("city", "part").agg(days.alias("d"))
@@ -265,21 +265,22 @@ def _daily_documents(spark, sf_dir):
         F.transform("d", lambda r: F.round(r["precipitation"], 2)).alias("precipitation_sum"),
     )
     good = F.to_json(F.struct(block.alias("daily")))
-    broken = F.when(F.col("part") == 5, F.lit('{"error": true}')).otherwise(F.lit("not json"))
-    return grouped.select("city", F.when(F.col("part").isin(4, 5), broken).otherwise(good).alias("value"))
+    whole = grouped.select("city", good.alias("value"))
+    broken = grouped.select("city").distinct().select("city", F.explode(F.array(F.lit('{"error": true}'), F.lit("not json"))).alias("value"))
+    return whole.unionByName(broken)
 
 
 @query("daily_payload_rows", "IO8 JS1 AR1", sql_with(ctes("readings"), DAILY_FORECAST, body="""
     SELECT city, date, temp_max AS max_temperature, temp_min AS min_temperature,
            ROUND(precipitation, 2) AS precipitation, 'forecast' AS data_type
-    FROM daily_forecast WHERE day(date) <= 20"""))
+    FROM daily_forecast"""))
 def daily_payload_rows(spark, sf_dir):
     return payloads.parse_daily(_land(_daily_documents(spark, sf_dir), "daily"), "forecast")[0]
 
 
 @query("daily_payload_rejects", "IO8 S5", sql_with(ctes("readings"), body="""
-    SELECT city, CASE WHEN part = 5 THEN '{"error": true}' ELSE 'not json' END AS payload, 'no daily block' AS error
-    FROM (SELECT DISTINCT city, (day(date) - 1) // 5 AS part FROM readings) WHERE part IN (4, 5)"""))
+    SELECT city, payload, 'no daily block' AS error FROM (SELECT DISTINCT city FROM readings)
+    CROSS JOIN (VALUES ('{"error": true}'), ('not json')) AS b(payload)"""))
 def daily_payload_rejects(spark, sf_dir):
     return payloads.parse_daily(_land(_daily_documents(spark, sf_dir), "daily"))[1]
 
@@ -301,14 +302,19 @@ def _reading_documents(spark, sf_dir):
     )
 
 
-@query("reading_payload_rows", "IO9 JS1 AR1", sql_with(ctes("readings"), body="""
-    SELECT city, CAST(floor(epoch(ts)) AS BIGINT) AS dt, date, temperature, humidity, pressure, wind_speed,
+@query("reading_payload_rows", "IO9 JS1 AR1", sql_with(ctes("readings", "holiday_dates"), """local AS (
+    SELECT * REPLACE (CAST(CASE WHEN length(city) % 2 = 0 THEN ts + INTERVAL 8 HOUR ELSE ts END AS DATE) AS date) FROM readings)""", body="""
+    SELECT city, CAST(floor(epoch(ts)) AS BIGINT) AS dt, date, date IN (SELECT date FROM holiday_dates) AS is_holiday, temperature, humidity, pressure, wind_speed,
            CASE WHEN event_id % 3 <> 0 THEN precipitation ELSE 0 END AS precipitation, weather_main,
            CASE weather_main WHEN 'Clear' THEN '晴天' WHEN 'Clouds' THEN '多云' WHEN 'Rain' THEN '雨天'
                 WHEN 'Snow' THEN '雪天' ELSE '小雨' END AS weather_description,
-           isodow(date) >= 6 AS is_weekend, 'api' AS data_source FROM readings"""))
+           isodow(date) >= 6 AS is_weekend, 'api' AS data_source FROM local"""))
 def reading_payload_rows(spark, sf_dir):
-    rows = payloads.parse_readings(_land(_reading_documents(spark, sf_dir), "readings"))[0]
+    """Cities whose name has an even length are eight hours ahead."""
+    zone = F.when(F.length("city") % 2 == 0, "Asia/Shanghai").otherwise("UTC")
+    zones = city_regions(spark, sf_dir).select("city", zone.alias("timezone"))
+    landed = _land(_reading_documents(spark, sf_dir), "readings")
+    rows = payloads.parse_readings(landed, zones=zones, holidays=holiday_dates(spark, sf_dir))[0]
     return rows.withColumn("dt", F.unix_seconds("ts")).drop("ts")
 
 
@@ -336,14 +342,14 @@ def city_search_hits(spark, sf_dir):
 hit_type = "struct<name:string,latitude:double,longitude:double,timezone:string>"
 
 
-@query("snapshot_rows", "IO7", sql_with(ctes("weather_daily"), body="""
+@query("snapshot_rows", "IO7", sql_with(ctes("weather_full"), body="""
     SELECT city, date, CASE WHEN date >= DATE '2024-01-12' THEN temperature + 1 ELSE temperature END AS temperature,
            humidity, pressure, wind_speed, precipitation, CAST(NULL AS DOUBLE) AS cloud_cover,
-           is_holiday, is_weekend, 'a' AS data_source FROM weather_daily
+           is_holiday, is_weekend, 'a' AS data_source FROM weather_full
     WHERE city IN ('click', 'view') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def snapshot_rows(spark, sf_dir):
     path = fresh_path(spark, "snapshot")
-    rows = weather_daily(spark, sf_dir)
+    rows = weather_full(spark, sf_dir)
     snapshots.save_snapshot(weather.standardise(rows, "a"), path, "a")
     snapshots.save_snapshot(weather.standardise(rows, "b"), path, "b")
     # part of the days is saved again with other values
