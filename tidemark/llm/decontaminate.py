@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,8 +215,8 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     return out
 
 
-def _index_of(items: pd.DataFrame) -> Index:
-    return Index(items["item_id"].tolist(), items["text"].tolist())
+def _index_of(items: list[tuple]) -> Index:
+    return Index([i for i, _ in items], [t for _, t in items])
 
 
 def leaks(
@@ -270,9 +269,10 @@ def _slices(benchmark: DataFrame, item: str, item_text: str, slice_chars: int) -
     return items, max(1, -(-size // slice_chars))
 
 
-def _slice(items: DataFrame, n: int, slices: int) -> pd.DataFrame:
+def _slice(items: DataFrame, n: int, slices: int) -> list[tuple]:
     """A part of the items, dealt by a hash; its size is bounded by the parameter, on average."""
-    return items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).toPandas()
+    own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n)
+    return sorted((tuple(r) for r in own.collect()), key=str)
 
 
 def without_leaks(

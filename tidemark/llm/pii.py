@@ -123,7 +123,15 @@ def _sound(kind: str, t: Column) -> Column:
         return _small_parts(t).cast("int")
     if kind == "card":
         return luhn(t).cast("int")
-    return F.regexp_like(t, F.lit(r"^(?:\+|00)")).cast("int")
+    return F.lit(0)  # the sign before a number is what the rule goes by, so a candidate without it is told by the rest
+
+
+def _range(n: Column, edges: Sequence[int]) -> Column:
+    """How many of the edges a number reaches."""
+    out = F.lit(0)
+    for edge in edges:
+        out = out + (n >= edge).cast("int")
+    return out
 
 
 def with_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,10 +164,10 @@ def with_candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
             before = F.substring(F.col("x"), start + 1, m["s"] - start)
             return F.struct(
                 m["s"].alias("s"), m["e"].alias("e"), F.lit(k).alias("kind"),
-                F.least(F.length(_digits(t)), F.lit(20)).alias("digits"), _first_code(t, FORMS[kind]).alias("form"),
+                _range(F.length(_digits(t)), (1, 4, 7, 10, 13, 16, 20)).alias("digits"), _first_code(t, FORMS[kind]).alias("form"),
                 _side(F.substring(before, -1, 1)).alias("before"), _side(F.substring(F.col("x"), m["e"] + 1, F.lit(1))).alias("after"),
                 _first_code(before, WORDS_BEFORE).alias("words"), _sound(kind, t).alias("sound"),
-                F.least(F.floor(F.length(t) / 4), F.lit(10)).cast("int").alias("length"), F.array_contains("base", base).alias("positive"),
+                _range(F.length(t), (8, 12, 20, 32)).alias("length"), F.array_contains("base", base).alias("positive"),
             )
         return of
 

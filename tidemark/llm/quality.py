@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,17 +62,15 @@ def featured(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return join(index, np.int64), join(value, np.float64), np.array(size, np.int64), np.array(stats, np.float64).reshape(len(texts), len(STATISTICS))
 
 
-def rows_of(texts: list[str], edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assembled(index: np.ndarray, value: np.ndarray, size: np.ndarray, stats: np.ndarray, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers, values and row starts: hashed words, and for each statistic the bin it falls in, with value 1."""
-    index, value, size, stats = featured(texts)
     k = len(STATISTICS)
     bins = np.stack([WORD_BUCKETS + s * BINS + np.searchsorted(edges[s], stats[:, s], "right") for s in range(k)], axis=1)
     start = np.concatenate([[0], np.cumsum(size + k)])
-    out, x = np.empty(start[-1], np.int64), np.ones(start[-1])
+    out, x = np.empty(start[-1], np.int32), np.ones(start[-1], np.float32)
     own = np.repeat(start[:-1], size) + np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)
     out[own], x[own] = index, value
-    last = (start[1:, None] - k) + np.arange(k)
-    out[last] = bins
+    out[(start[1:, None] - k) + np.arange(k)] = bins
     return out, x, start
 
 
@@ -83,24 +84,23 @@ def fm_score(model: dict, index: np.ndarray, x: np.ndarray, start: np.ndarray) -
     return model["w0"] + np.add.reduceat(model["w"][index] * x, start[:-1]) + pairs
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rank: int = RANK, rate: float = 0.1, decay: float = 1e-4) -> dict:
-    """Weights by AdaGrad on the log loss, from a bounded sample in a fixed order.
+def fit(index: np.ndarray, value: np.ndarray, size: np.ndarray, stats: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rank: int = RANK, rate: float = 0.1, decay: float = 1e-4) -> dict:
+    """Weights by AdaGrad on the log loss, from the features of a bounded sample in a fixed order.
 
     One class alone (or no text) gives a model that scores the share of label 1 everywhere, a half without any labels.
     """
     y = np.asarray(y, np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    size = WORD_BUCKETS + len(STATISTICS) * BINS
-    model = {"w0": float(np.log(share / (1 - share))), "w": np.zeros(size), "v": np.zeros((size, rank)), "edges": [np.zeros(0)] * len(STATISTICS)}
+    width = WORD_BUCKETS + len(STATISTICS) * BINS
+    model = {"w0": float(np.log(share / (1 - share))), "w": np.zeros(width), "v": np.zeros((width, rank)), "edges": [np.zeros(0)] * len(STATISTICS)}
     if len(set(y.tolist())) < 2:
         return model
-    stats = featured(texts)[3]
     model["edges"] = [np.unique(np.quantile(stats[:, s], np.arange(1, BINS) / BINS)) for s in range(stats.shape[1])]
-    index, x, start = rows_of(texts, model["edges"])
+    index, x, start = assembled(index, value, size, stats, model["edges"])
     rng = np.random.default_rng(11)
-    w, v = model["w"], rng.normal(0, 0.05, (size, rank))
+    w, v = model["w"], rng.normal(0, 0.05, (width, rank))
     model["v"] = v
-    sum_w, sum_v, sum_0 = np.full(size, 1e-6), np.full((size, rank), 1e-6), 1e-6
+    sum_w, sum_v, sum_0 = np.full(width, 1e-6), np.full((width, rank), 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for rows in np.array_split(order, max(1, len(order) // 128)):
@@ -127,9 +127,25 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rank: int = RANK,
 
 def learned(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, sample: int, key: str, text: str):
     """The function that scores texts, learned from labelled documents whose key has another remainder than ``left_out``."""
-    own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text).orderBy("__id").toPandas()
-    model = fit(own["text"].tolist(), own["label"].to_numpy())
-    return lambda texts: sigmoid(fm_score(model, *rows_of(texts, model["edges"])))
+    own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, value, size, stats = featured(batch.column("text").to_pylist())
+            edge = np.concatenate([[0], np.cumsum(size)])
+            index, value = index.astype("<i4"), value.astype("<f4")
+            packed = [[x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])] for x in (index, value)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), batch.column("label"), *(pa.array(x, pa.binary()) for x in (*packed, [r.tobytes() for r in stats]))],
+                ["id", "label", "words", "value", "stats"])
+
+    kinds = dict(own.dtypes)
+    rows = own.mapInArrow(features, f"id {kinds['__id']}, label {kinds['label']}, words binary, value binary, stats binary").orderBy("id").collect()
+    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    size = np.array([len(r["words"]) // 4 for r in rows], np.int64)
+    stats = joined("stats", np.float64).reshape(len(rows), len(STATISTICS))
+    model = fit(joined("words", "<i4"), joined("value", "<f4"), size, stats, np.array([r["label"] for r in rows], np.float64))
+    return lambda texts: sigmoid(fm_score(model, *assembled(*featured(texts), model["edges"])))
 
 
 def quality_scores(
