@@ -20,7 +20,7 @@ HEADLINE = (
     "detected_rows", "anomaly_listing", "real_time_alerts", "import_main", "import_customers",
     "import_customers_envelope", "main_summary", "quality_overview", "quality_numbers", "profile_report",
     "content_hash", "linear_fill", "daily_continuity", "modelling_table", "feature_table", "rolling_statistics",
-    "sequence_windows", "daily_forecast", "city_summary", "weather_enrichment", "compare_sources",
+    "sequence_windows", "daily_forecast", "city_summary", "climate_enrichment", "compare_sources",
     "reading_payload_rows", "simple_forecasts", "ensemble_forecast", "cross_validated_mean",
     "cross_validated_harmonic", "residual_autocorrelation", "harmonic_forecast", "streamed_daily_rollup",
 )

@@ -162,16 +162,16 @@ def test_sequence_windows(spark):
     assert [(r.inputs, r.target) for r in rows] == [([float(j) for j in range(i - 7, i)], float(i)) for i in range(7, 10)]
 
 
-def test_weather_block_is_all_or_nothing(spark):
+def test_climate_block_is_all_or_nothing(spark):
     df = series(spark, [1, 2])
-    assert features.align_weather(df, df.withColumn("temperature", F.lit(1.0)), ["k"]).columns == df.columns
+    assert features.align_climate(df, df.withColumn("temperature", F.lit(1.0)), ["k"]).columns == df.columns
 
 
-def test_weather_resample_sums_zero_on_missing_days(spark):
+def test_climate_resample_sums_zero_on_missing_days(spark):
     cols = "k string, date date, temperature double, humidity double, pressure double, wind_speed double, precipitation double"
     w = spark.createDataFrame([("a", day(0), 1.0, 1.0, 1.0, 1.0, 2.0), ("a", day(0), 3.0, 1.0, 1.0, 1.0, 2.0),
                                ("a", day(2), 5.0, 1.0, 1.0, 1.0, None)], cols)
-    out = features.resample_weather(w, ["k"])
+    out = features.resample_climate(w, ["k"])
     assert column(out, "precipitation") == [4.0, 0.0, 0.0] and column(out, "temperature") == [2.0, None, 5.0]
-    aligned = features.align_weather(series(spark, range(4), days=[-1, 0, 1, 3]), w, ["k"])
+    aligned = features.align_climate(series(spark, range(4), days=[-1, 0, 1, 3]), w, ["k"])
     assert column(aligned, "weather_temperature") == [2.0, 2.0, 2.0, 2.0]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import plan_text
-from tidemark.operators import anomaly, clean, reports, weather
+from tidemark.operators import anomaly, clean, reports, climate
 from tidemark.plans import customers, ingest
 
 DAYS, HOT = 40, 20_000
@@ -84,7 +84,7 @@ def test_hot_city_rolls_up_map_side(raw):
         F.col("value").alias("pressure"), F.col("value").alias("wind_speed"), F.col("value").alias("precipitation"),
         F.lit("Rain").alias("weather_main"), F.lit("api").alias("data_source"),
     )
-    out = weather.daily_forecast(readings)
+    out = climate.daily_forecast(readings)
     assert max(_shuffled_rows(out)) <= 31 * DAYS * 8
     assert out.count() == 31 * DAYS
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import anomaly, clean, weather
+from tidemark.operators import anomaly, clean, climate
 from tidemark.streaming import alerts, rollup
 from tidemark.streaming.run import file_stream, run_available, run_counted, run_updates
 from tidemark.workload.inputs import readings, readings_of, table
@@ -101,7 +101,7 @@ def test_a_table_may_be_a_folder(spark, sf, tmp_path):
 def test_rollup_equals_the_batch_on_closed_days(spark, sf):
     events = file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
     out = run_available(rollup.daily_rollup(readings_of(events)), "rollup")
-    batch = weather.daily_forecast(readings(spark, sf))
+    batch = climate.daily_forecast(readings(spark, sf))
     joined = out.alias("s").join(batch.alias("b"), ["city", "date"])
     assert out.count() > 100 and joined.count() == out.count()
     off = joined.filter(

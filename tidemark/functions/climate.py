@@ -1,4 +1,4 @@
-"""Weather vocabulary and row-level rules."""
+"""Climate vocabulary and row-level rules."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .numeric import clip
 
-# Weather type -> description.
+# Climate type -> description.
 DESCRIPTIONS = {
     "Clear": "晴天",
     "Clouds": "多云",
@@ -25,14 +25,14 @@ DESCRIPTIONS = {
 BOUNDS = {"humidity": (20, 95), "pressure": (980, 1040), "wind_speed": (0.5, 15)}
 
 
-def describe(weather_type: Column) -> Column:
-    """Description of a weather type; an unknown type stands for itself."""
+def describe(climate_type: Column) -> Column:
+    """Description of a climate type; an unknown type stands for itself."""
     names = F.create_map(*[F.lit(x) for x in chain.from_iterable(DESCRIPTIONS.items())])
-    return F.coalesce(F.try_element_at(names, weather_type), weather_type)
+    return F.coalesce(F.try_element_at(names, climate_type), climate_type)
 
 
 def classify(temperature: Column, humidity: Column, pressure: Column, precipitation: Column) -> Column:
-    """Weather type by rule; null where no rule decides."""
+    """Climate type by rule; null where no rule decides."""
     return (
         F.when(precipitation > 5, F.when(temperature > 0, "Rain").otherwise("Snow"))
         .when((humidity > 80) & (pressure < 1010), "Clouds")

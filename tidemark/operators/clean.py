@@ -75,7 +75,7 @@ def keep_first(
 
 
 def daily_series(df: DataFrame, key: Sequence[str], value: str = "value", date: str = "date") -> DataFrame:
-    """Total per key and day, rounded to cents; rows without key or date are dropped.
+    """Total per key and day; rows without key or date are dropped.
 
     This is what bounds every later per-key window: however many rows one key has, what is
     shuffled by key is at most one row per calendar day.
@@ -85,7 +85,7 @@ def daily_series(df: DataFrame, key: Sequence[str], value: str = "value", date:
         present = present & F.col(k).isNotNull()
     return (
         df.filter(present).groupBy(*key, date)
-        .agg(F.round(F.sum(value), 2).alias(value))
+        .agg(F.sum(value).alias(value))
     )
 
 
@@ -148,11 +148,3 @@ def first_rows(df: DataFrame, key: Sequence[str], n: int, date: str = "date", la
     order = F.col(date).desc() if last else F.col(date).asc()
     rank = F.row_number().over(W.partitionBy(*key).orderBy(order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-
-
-def textual(df: DataFrame) -> DataFrame:
-    """All scalar columns as text, as a file without types would hold them."""
-    return df.select([
-        F.col(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name).cast("string").alias(f.name)
-        for f in df.schema
-    ])

@@ -1,4 +1,4 @@
-"""Weather: standard columns, unions with precedence, roll-ups, summaries and comparisons."""
+"""Climate: standard columns, unions with precedence, roll-ups, summaries and comparisons."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
 from ..functions.numeric import half_up, ratio
-from ..schema import WEATHER
+from ..schema import CLIMATE
 from .clean import keep_first
-from .features import WEATHER_MEASURES
+from .features import CLIMATE_MEASURES
 from .fill import linear_fill
 
 # Provider column that stands in for a standard one.
@@ -38,7 +38,7 @@ def region_cities(spark: SparkSession, regions: dict[str, Sequence[str]] | None
 def standardise(df: DataFrame, provider: str) -> DataFrame:
     """The eleven standard columns; a missing one comes from its alias or is null."""
     columns = []
-    for field in WEATHER:
+    for field in CLIMATE:
         name = field.name
         if name == "data_source":
             col = F.lit(provider)
@@ -108,25 +108,25 @@ def overlap_days(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("date",))
     return a.select(*columns).distinct().intersect(b.select(*columns).distinct())
 
 
-def enrich(main: DataFrame, weather: DataFrame, key: Sequence[str] = ("region",), date: str = "date") -> DataFrame:
-    """Weather beside each main row, its gaps filled within the region.
+def enrich(main: DataFrame, climate: DataFrame, key: Sequence[str] = ("region",), date: str = "date") -> DataFrame:
+    """Climate beside each main row, its gaps filled within the region.
 
-    Filling stays within a region: one region's weather says nothing about the next one's. The region's days are filled
+    Filling stays within a region: one region's climate says nothing about the next one's. The region's days are filled
     first, one row for each day that has a main row, so any number of main rows of a day take the same values and no
     task gets more rows of a region than the calendar has days.
     """
-    measures = [c for c in WEATHER_MEASURES if c in weather.columns]
-    days = main.select(*key, date).distinct().join(weather.select(*key, date, *measures), [*key, date], "left")
+    measures = [c for c in CLIMATE_MEASURES if c in climate.columns]
+    days = main.select(*key, date).distinct().join(climate.select(*key, date, *measures), [*key, date], "left")
     return main.join(linear_fill(days, key, measures, date, ties=measures), [*key, date], "left")
 
 
-def by_region(weather: DataFrame, cities: DataFrame) -> DataFrame:
-    """City weather per region and day: means over the cities, and the sum of precipitation.
+def by_region(climate: DataFrame, cities: DataFrame) -> DataFrame:
+    """City climate per region and day: means over the cities, and the sum of precipitation.
 
     Reduced to one row per city and day before the join with the city table.
     """
-    means = [c for c in WEATHER_MEASURES if c != "precipitation"]
-    daily = weather.groupBy("city", "date").agg(
+    means = [c for c in CLIMATE_MEASURES if c != "precipitation"]
+    daily = climate.groupBy("city", "date").agg(
         *[F.avg(c).alias(c) for c in means], F.sum("precipitation").alias("precipitation")
     )
     return daily.join(cities.select("city", "region"), "city").groupBy("region", "date").agg(
@@ -137,7 +137,7 @@ def by_region(weather: DataFrame, cities: DataFrame) -> DataFrame:
 def daily_forecast(readings: DataFrame) -> DataFrame:
     """3-hourly readings per city and day, with a confidence from the day's temperature range.
 
-    The readings are first reduced per city, day, weather type and source, which needs sums
+    The readings are first reduced per city, day, climate type and source, which needs sums
     and extremes of numbers only and so runs as a hash aggregate over the readings. The most
     frequent type and the source are then taken from those few rows per city and day.
     """
@@ -167,15 +167,15 @@ def daily_forecast(readings: DataFrame) -> DataFrame:
     )
 
 
-def weather_summary(weather: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
+def climate_summary(climate: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
                     key: Sequence[str] = ("city",)) -> DataFrame:
     """Per city and period; completeness is 1 minus the null share of the worst column."""
-    rows = weather
+    rows = climate
     if start is not None:
         rows = rows.filter(F.col("date") >= F.lit(start))
     if end is not None:
         rows = rows.filter(F.col("date") <= F.lit(end))
-    nulls = [F.count_if(F.col(c).isNull()) for c in weather.columns if c not in key]
+    nulls = [F.count_if(F.col(c).isNull()) for c in climate.columns if c not in key]
     t, h, p = F.col("temperature"), F.col("humidity"), F.col("precipitation")
     return rows.groupBy(*key).agg(
         F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("total_days"),
@@ -188,10 +188,10 @@ def weather_summary(weather: DataFrame, start: dt.date | None = None, end: dt.da
     )
 
 
-def city_summary(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFrame:
-    """Per city to one digit, with weather types counted and the share of filled cells."""
-    cells = len(weather.columns)
-    nulls = sum((F.count_if(F.col(c).isNull()) for c in weather.columns), F.lit(0))
+def city_summary(climate: DataFrame, key: Sequence[str] = ("city",)) -> DataFrame:
+    """Per city to one digit, with climate types counted and the share of filled cells."""
+    cells = len(climate.columns)
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in climate.columns), F.lit(0))
 
     def tenth(col: Column) -> Column:
         return half_up(col, 1)
@@ -200,7 +200,7 @@ def city_summary(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFram
     for c in ("temperature", "humidity", "pressure"):
         stats += [tenth(F.avg(c)).alias(f"{c}_mean"), tenth(F.max(c)).alias(f"{c}_max"),
                   tenth(F.min(c)).alias(f"{c}_min")]
-    base = weather.groupBy(*key).agg(
+    base = climate.groupBy(*key).agg(
         F.count("*").alias("total_days"), *stats, tenth(F.stddev_samp("temperature")).alias("temperature_std"),
         tenth(F.avg("wind_speed")).alias("wind_speed_mean"), tenth(F.max("wind_speed")).alias("wind_speed_max"),
         tenth(F.sum("precipitation")).alias("precipitation_total"),
@@ -208,19 +208,19 @@ def city_summary(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFram
         F.count_if("is_holiday").alias("holidays"), F.count_if("is_weekend").alias("weekends"),
         (100 - F.floor(nulls / (F.count("*") * cells) * 100)).alias("data_quality"),
     )
-    return base.join(weather_types(weather, key), list(key), "left")
+    return base.join(condition_types(climate, key), list(key), "left")
 
 
-def weather_types(weather: DataFrame, key: Sequence[str] = ("city",)) -> DataFrame:
-    """How often each weather type occurs, as a map; counted per type before types are gathered."""
-    counted = weather.filter(F.col("weather_main").isNotNull()).groupBy(*key, "weather_main").agg(
+def condition_types(climate: DataFrame, key: Sequence[str] = ("city",)) -> DataFrame:
+    """How often each climate type occurs, as a map; counted per type before types are gathered."""
+    counted = climate.filter(F.col("weather_main").isNotNull()).groupBy(*key, "weather_main").agg(
         F.count("*").alias("n")
     )
     entries = F.array_sort(F.collect_list(F.struct("weather_main", "n")))
     return counted.groupBy(*key).agg(F.map_from_entries(entries).alias("weather_types"))
 
 
-def mean_and_max(weather: DataFrame, measure: str = "max_temperature", key: Sequence[str] = ("city",)) -> DataFrame:
-    return weather.groupBy(*key).agg(
+def mean_and_max(climate: DataFrame, measure: str = "max_temperature", key: Sequence[str] = ("city",)) -> DataFrame:
+    return climate.groupBy(*key).agg(
         F.avg(measure).alias(f"mean_{measure}"), F.max(measure).alias(f"max_{measure}")
     )

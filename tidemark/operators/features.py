@@ -1,4 +1,4 @@
-"""Lag, rolling, trend, sequence and weather features of daily series.
+"""Lag, rolling, trend, sequence and climate features of daily series.
 
 Columns are always emitted: a series shorter than a lag or window has nulls there, so the
 schema does not depend on the data.
@@ -17,7 +17,7 @@ from .fill import carry_then_zero, on_daily_spine
 
 MODEL_LAGS = (1, 2, 3, 7, 14, 30)
 MODEL_WINDOWS = (3, 7, 14, 30)
-WEATHER_MEASURES = ("temperature", "humidity", "pressure", "wind_speed", "precipitation")
+CLIMATE_MEASURES = ("temperature", "humidity", "pressure", "wind_speed", "precipitation")
 
 _ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
@@ -70,28 +70,28 @@ def flag_dates(df: DataFrame, calendar: DataFrame, flag: str = "is_holiday", dat
     return df.join(F.broadcast(marked), date, "left").withColumn(flag, F.coalesce("_on", F.lit(0))).drop("_on")
 
 
-def resample_weather(df: DataFrame, key: Sequence[str], date: str = "date") -> DataFrame:
+def resample_climate(df: DataFrame, key: Sequence[str], date: str = "date") -> DataFrame:
     """One row per key and day: means, and the sum of precipitation (0 on days without rows)."""
     daily = df.groupBy(*key, date).agg(
-        *[F.avg(c).alias(c) for c in WEATHER_MEASURES if c != "precipitation"],
+        *[F.avg(c).alias(c) for c in CLIMATE_MEASURES if c != "precipitation"],
         F.coalesce(F.sum("precipitation"), F.lit(0.0)).alias("precipitation"),
     )
     spread = on_daily_spine(daily, key, date)
     return spread.withColumn("precipitation", F.coalesce("precipitation", F.lit(0.0)))
 
 
-def align_weather(df: DataFrame, weather: DataFrame, key: Sequence[str], date: str = "date") -> DataFrame:
-    """``weather_*`` columns on the rows of ``df``: the daily resample, carried forward, then back.
+def align_climate(df: DataFrame, climate: DataFrame, key: Sequence[str], date: str = "date") -> DataFrame:
+    """``climate_*`` columns on the rows of ``df``: the daily resample, carried forward, then back.
 
-    All or nothing: a weather relation that lacks a measure adds no column.
+    All or nothing: a climate relation that lacks a measure adds no column.
     """
-    if any(c not in weather.columns for c in WEATHER_MEASURES):
+    if any(c not in climate.columns for c in CLIMATE_MEASURES):
         return df
-    daily = resample_weather(weather, key, date).select(
-        *key, date, *[F.col(c).alias(f"weather_{c}") for c in WEATHER_MEASURES]
+    daily = resample_climate(climate, key, date).select(
+        *key, date, *[F.col(c).alias(f"weather_{c}") for c in CLIMATE_MEASURES]  # fixed values: names of the features
     )
     joined = df.join(daily, [*key, date], "left")
-    names = [f"weather_{c}" for c in WEATHER_MEASURES]
+    names = [f"weather_{c}" for c in CLIMATE_MEASURES]
     back = W.partitionBy(*key).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy(*key).orderBy(F.col(date).desc()).rowsBetween(W.unboundedPreceding, 0)
     carried = joined.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in names})
@@ -99,11 +99,11 @@ def align_weather(df: DataFrame, weather: DataFrame, key: Sequence[str], date: s
 
 
 def feature_table(
-    df: DataFrame, key: Sequence[str], value: str = "value", weather: DataFrame | None = None,
+    df: DataFrame, key: Sequence[str], value: str = "value", climate: DataFrame | None = None,
     holidays: DataFrame | None = None, lags: bool = True, rolling: bool = True, dates: bool = True,
     date: str = "date",
 ) -> DataFrame:
-    """Calendar, lag, rolling, weather and trend features, without nulls.
+    """Calendar, lag, rolling, climate and trend features, without nulls.
 
     Joins come first and windows last, so that all windows share one shuffle by key.
     """
@@ -113,8 +113,8 @@ def feature_table(
             out = flag_dates(out, holidays, date=date)
         else:
             out = out.withColumn("is_holiday", F.lit(0))
-    if weather is not None:
-        out = align_weather(out, weather, key, date)
+    if climate is not None:
+        out = align_climate(out, climate, key, date)
     if dates:
         out = out.withColumns(calendar_columns(F.col(date))).withColumns(cyclic_columns(F.col(date)))
     if lags:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import half_up, normal_quantile, ratio
+from ..storage import ship
 
 MODELS = ("seasonal_naive", "mean", "drift", "autoregressive")
 
@@ -123,6 +124,7 @@ def _coefficients(moments: DataFrame, group: Sequence[str], spec: Harmonic) -> D
                 n_terms=n_terms.astype("int32"), coefficients=list(beta), status=status
             )[order]
 
+    ship(moments.sparkSession)
     return moments.mapInPandas(solve, schema)
 
 

@@ -50,13 +50,13 @@ class Correction:
     corrected: DataFrame
 
 
-def correct(df: DataFrame, fitted: DataFrame, key: Sequence[str], weather: DataFrame | None = None,
+def correct(df: DataFrame, fitted: DataFrame, key: Sequence[str], climate: DataFrame | None = None,
             settings: residual.ForestSettings = residual.ForestSettings(), value: str = "value") -> Correction:
     """Learn the residuals of ``fitted`` from features of the series and add them back.
 
     Tree building reads its rows many times, so the aligned table is written once.
     """
-    table = features.feature_table(df, key, value, weather)
+    table = features.feature_table(df, key, value, climate)
     names = features.feature_names(table, key, value)
     rows = materialise(residual.align(table, fitted, key), "features")
     training, test = residual.split(rows, key, settings.test_share)

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import clean, reports
-from ..schema import check_columns
+from ..schema import check_columns, to_instant
 from ..sources.tabular import write_table
 
 
 COPIES = "_copies"
+_AT = "_at"
 
 
 @dataclass(frozen=True)
@@ -32,24 +33,31 @@ def _require(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing columns {check['missing_columns']}, there are {check['available_columns']}")
 
 
+def _dated(kept: DataFrame, key: list[str]) -> DataFrame:
+    return kept.select(*key, F.to_date(_AT).alias("date"), "value", COPIES)
+
+
 def import_main(raw: DataFrame, date: str = "date", value: str = "value", region: str | Column = "region",
                 sequence: str | None = None) -> Import:
-    """One row per region and day, the first by ``sequence``."""
+    """One row per region and time, the first by ``sequence``; ``date`` is the day of it.
+
+    Rows of one day at other times are not copies of each other. ``clean.daily_series`` adds them up, as a step of its own.
+    """
     _require(raw, [date, value])
     extra = [sequence] if sequence else []
-    canonical = clean.canonical_main(raw, date, value, region, extra)
-    kept = clean.keep_first(canonical, ["region", "date"], sequence, COPIES).drop(*extra)
+    canonical = clean.canonical_main(raw, date, value, region, [*extra, to_instant(F.col(date)).alias(_AT)]).drop("date")
+    kept = _dated(clean.keep_first(canonical, ["region", _AT], sequence, COPIES), ["region"])
     rows = kept.drop(COPIES)
     return Import(rows, reports.main_summary(rows), reports.import_envelope(kept, COPIES), kept)
 
 
 def import_customers(raw: DataFrame, customer: str = "customer_id", date: str = "date", value: str = "value",
                      region: str = "region", sequence: str | None = None) -> Import:
-    """One row per customer, region and day, the first by ``sequence``."""
+    """One row per customer, region and time, the first by ``sequence``; see :func:`import_main` for the days."""
     _require(raw, [customer, date, value, region])
     extra = [sequence] if sequence else []
-    canonical = clean.canonical_customers(raw, customer, date, value, region, extra)
-    kept = clean.keep_first(canonical, ["customer_id", "date", "region"], sequence, COPIES).drop(*extra)
+    canonical = clean.canonical_customers(raw, customer, date, value, region, [*extra, to_instant(F.col(date)).alias(_AT)]).drop("date")
+    kept = _dated(clean.keep_first(canonical, ["customer_id", _AT, "region"], sequence, COPIES), ["customer_id", "region"])
     rows = kept.drop(COPIES)
     envelope = reports.import_envelope(kept, COPIES, ["customer_id", "region"])
     return Import(rows, reports.customer_summary_by_region(rows), envelope, kept)

@@ -19,12 +19,12 @@ _S, _D, _F, _B, _TS = T.StringType(), T.DateType(), T.DoubleType(), T.BooleanTyp
 
 MAIN = _struct(("region", _S), ("date", _D), ("value", _F))
 CUSTOMER = _struct(("customer_id", _S), ("region", _S), ("date", _D), ("value", _F))
-WEATHER = _struct(
+CLIMATE = _struct(
     ("city", _S), ("date", _D), ("temperature", _F), ("humidity", _F), ("pressure", _F),
     ("wind_speed", _F), ("precipitation", _F), ("cloud_cover", _F),
     ("is_holiday", _B), ("is_weekend", _B), ("data_source", _S),
 )
-DAILY_WEATHER = _struct(
+DAILY_CLIMATE = _struct(
     ("city", _S), ("date", _D), ("max_temperature", _F), ("min_temperature", _F),
     ("precipitation", _F), ("data_type", _S),
 )
@@ -39,7 +39,7 @@ DAILY_PAYLOAD = T.StructType([
     ])),
 ])
 
-# Payload of the 3-hourly provider: a list of nested readings.
+# Payload of the 3-hourly provider: a list of nested readings. The names of its fields.
 READINGS_PAYLOAD = T.StructType([
     T.StructField("list", T.ArrayType(T.StructType([
         T.StructField("dt", T.LongType()),
@@ -68,6 +68,11 @@ def to_number(col: Column) -> Column:
     return finite(col.try_cast("double"))
 
 
+def to_instant(col: Column) -> Column:
+    """Coerce to a wall-clock time, midnight for a date; what does not parse becomes null."""
+    return col.cast("string").try_cast("timestamp_ntz")
+
+
 def to_date(col: Column, fmt: str | None = None) -> Column:
     """Coerce to a date; what does not parse becomes null."""
     if fmt is None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
 from ..operators.features import flag_dates
-from ..operators.weather import DEFAULT_TIMEZONE
+from ..operators.climate import DEFAULT_TIMEZONE
 from ..schema import DAILY_PAYLOAD, GEOCODE_PAYLOAD, READINGS_PAYLOAD, finite
 
 

@@ -13,7 +13,7 @@ MEANS = ("temperature", "humidity", "pressure", "wind_speed")
 def daily_rollup(readings: DataFrame, ts: str = "ts", lateness: str = "3 hours") -> DataFrame:
     """One row per city and UTC day, emitted once the watermark has passed the day.
 
-    Readings are first rolled up by city, day and weather type, whatever types there are, then by city and day, so the
+    Readings are first rolled up by city, day and climate type, whatever types there are, then by city and day, so the
     state of a day has a row for each type that occurs. The most frequent type wins, of equal ones the smaller name.
     Readings later than ``lateness`` are left out; ``run.run_counted`` tells how many.
     """

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cleaning, customers, forecasts, series, streams_and_files, weather  # noqa: F401
+from . import cleaning, customers, forecasts, series, streams_and_files, climate  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]

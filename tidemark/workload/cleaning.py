@@ -8,7 +8,7 @@ from ..operators import clean, reports
 from ..plans import ingest
 from ..schema import check_columns
 from .inputs import (
-    KEY, ctes, cust_events, cust_orders, event_regions, nulled, raw_orders, region_daily, table, weather_full,
+    KEY, ctes, cust_events, cust_orders, event_regions, nulled, raw_orders, region_daily, table, climate_full,
 )
 from .registry import half_up, query, rounded, sql_with
 
@@ -32,6 +32,30 @@ def import_customers(spark, sf_dir):
     return ingest.import_customers(raw_orders(spark, sf_dir), sequence="seq").rows
 
 
+FIRST_TIMES = """timed AS (
+    SELECT 'R' || CAST(user_id % 5 AS VARCHAR) AS region, ts, value, event_id FROM events),
+first_times AS (
+    SELECT region, CAST(ts AS DATE) AS date, value FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY region, ts ORDER BY event_id) AS rn FROM timed) WHERE rn = 1)"""
+
+
+def _timed(spark, sf_dir):
+    region = F.concat(F.lit("R"), (F.col("user_id") % 5).cast("string"))
+    return table(spark, sf_dir, "events").select(region.alias("region"), F.col("ts").alias("date"), "value", F.col("event_id").alias("seq"))
+
+
+@query("import_times_of_day", "P1", sql_with(FIRST_TIMES, body="SELECT * FROM first_times"))
+def import_times_of_day(spark, sf_dir):
+    return ingest.import_main(_timed(spark, sf_dir), sequence="seq").rows
+
+
+@query("days_of_imported_times", "P1", sql_with(FIRST_TIMES, body="""
+    SELECT region, date, ROUND(SUM(value), 2) AS value FROM first_times GROUP BY region, date"""))
+def days_of_imported_times(spark, sf_dir):
+    rows = ingest.import_main(_timed(spark, sf_dir), sequence="seq").rows
+    return rounded(clean.daily_series(rows, ["region"]), 2, "value")
+
+
 @query("first_without_sequence", "W13 S2", sql_with(ctes("raw_orders"), body="""
     SELECT region, date, value, customer_id FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY region, date ORDER BY customer_id, value) AS rn FROM raw_orders)
@@ -182,13 +206,13 @@ def required_columns(spark, sf_dir):
     return out
 
 
-@query("quality_columns", "A11", sql_with(ctes("weather_full"), body="""
+@query("quality_columns", "A11", sql_with(ctes("climate_full"), body="""
     SELECT "column", missing, ROUND(missing * 100.0 / total, 2) AS missing_percentage FROM (
-        SELECT 'temperature' AS "column", COUNT(*) - COUNT(temperature) AS missing, COUNT(*) AS total FROM weather_full
-        UNION ALL SELECT 'humidity', COUNT(*) - COUNT(humidity), COUNT(*) FROM weather_full
-        UNION ALL SELECT 'city', COUNT(*) - COUNT(city), COUNT(*) FROM weather_full)"""))
+        SELECT 'temperature' AS "column", COUNT(*) - COUNT(temperature) AS missing, COUNT(*) AS total FROM climate_full
+        UNION ALL SELECT 'humidity', COUNT(*) - COUNT(humidity), COUNT(*) FROM climate_full
+        UNION ALL SELECT 'city', COUNT(*) - COUNT(city), COUNT(*) FROM climate_full)"""))
 def quality_columns(spark, sf_dir):
-    rows = weather_full(spark, sf_dir).select("city", "temperature", "humidity")
+    rows = climate_full(spark, sf_dir).select("city", "temperature", "humidity")
     return reports.quality_report(rows).columns.drop("data_type")
 
 

@@ -1,4 +1,4 @@
-"""Weather: vocabulary, payloads, unions, roll-ups, summaries, comparisons, enrichment."""
+"""Climate: vocabulary, payloads, unions, roll-ups, summaries, comparisons, enrichment."""
 
 from __future__ import annotations
 
@@ -6,26 +6,26 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import weather as rules
-from ..operators import features, weather
-from ..plans import weather as plans
+from ..functions import climate as rules
+from ..operators import features, climate
+from ..plans import climate as plans
 from ..schema import utc_instant
 from ..sources import payloads, snapshots
 from ..storage import fresh_path
 from .inputs import (
-    city_regions, ctes, event_regions, holiday_dates, readings, weather_daily, weather_full,
+    city_regions, ctes, event_regions, holiday_dates, readings, climate_daily, climate_full,
 )
 from .registry import half_up, query, rounded, sql_with
 from .series import interpolate_sql
 
-MEASURES = list(features.WEATHER_MEASURES)
+MEASURES = list(features.CLIMATE_MEASURES)
 
 
 def _measures_sql(columns=MEASURES, digits: int = 4) -> str:
     return ", ".join(f"{half_up(c, digits)} AS {c}" for c in columns)
 
 
-@query("weather_vocabulary", "P9 P10 P11", sql_with(ctes("readings"), body="""
+@query("climate_vocabulary", "P9 P10 P11", sql_with(ctes("readings"), body="""
     SELECT event_id, CASE WHEN precipitation = 0 THEN 'dry' WHEN precipitation > 5 THEN 'wet' ELSE 'mixed' END AS icon,
            CASE weather_main WHEN 'Clear' THEN '晴天' WHEN 'Clouds' THEN '多云' WHEN 'Rain' THEN '雨天'
                 WHEN 'Snow' THEN '雪天' WHEN 'Drizzle' THEN '小雨' ELSE weather_main END AS description,
@@ -33,7 +33,7 @@ def _measures_sql(columns=MEASURES, digits: int = 4) -> str:
                 WHEN humidity > 80 AND pressure < 1010 THEN 'Clouds'
                 WHEN humidity < 40 AND pressure > 1020 THEN 'Clear' END AS by_rule
     FROM readings"""))
-def weather_vocabulary(spark, sf_dir):
+def climate_vocabulary(spark, sf_dir):
     rule = rules.classify(*[F.col(c) for c in ("temperature", "humidity", "pressure", "precipitation")])
     return readings(spark, sf_dir).select(
         "event_id", rules.precipitation_icon(F.col("precipitation")).alias("icon"),
@@ -59,7 +59,7 @@ def standard_columns(spark, sf_dir):
         F.col("pressure").alias("pressure_msl"), "precipitation", F.col("wind_speed").alias("cloudcover"),
         F.lit("x").alias("data_source"),
     )
-    return weather.standardise(raw, "open")
+    return climate.standardise(raw, "open")
 
 
 DAILY_FORECAST = """type_counts AS (
@@ -81,10 +81,10 @@ _ROLLED = ["temperature", "humidity", "pressure", "wind_speed", "temp_confidence
     SELECT * EXCLUDE (n_readings) REPLACE ({_measures_sql(_ROLLED)}, {half_up('precipitation', 2)} AS precipitation)
     FROM daily_forecast"""))
 def daily_forecast(spark, sf_dir):
-    return rounded(rounded(weather.daily_forecast(readings(spark, sf_dir)), 4, *_ROLLED), 2, "precipitation")
+    return rounded(rounded(climate.daily_forecast(readings(spark, sf_dir)), 4, *_ROLLED), 2, "precipitation")
 
 
-@query("weather_summary", "A7", sql_with(ctes("weather_full"), body="""
+@query("climate_summary", "A7", sql_with(ctes("climate_full"), body="""
     SELECT city, MIN(date) AS start, MAX(date) AS end, COUNT(*) AS total_days,
            ROUND(AVG(temperature), 4) AS temperature_mean, MIN(temperature) AS temperature_min,
            MAX(temperature) AS temperature_max, ROUND(STDDEV_SAMP(temperature), 4) AS temperature_std,
@@ -93,9 +93,9 @@ def daily_forecast(spark, sf_dir):
            COUNT(*) FILTER (WHERE precipitation > 0) AS rainy_days,
            ROUND(1 - CAST(GREATEST(COUNT(*) - COUNT(temperature), COUNT(*) - COUNT(humidity),
                           COUNT(*) - COUNT(precipitation)) AS DOUBLE) / COUNT(*), 6) AS data_completeness
-    FROM weather_full WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' GROUP BY city"""))
-def weather_summary(spark, sf_dir):
-    out = weather.weather_summary(weather_full(spark, sf_dir), dt.date(2024, 1, 3), dt.date(2024, 1, 27))
+    FROM climate_full WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-27' GROUP BY city"""))
+def climate_summary(spark, sf_dir):
+    out = climate.climate_summary(climate_full(spark, sf_dir), dt.date(2024, 1, 3), dt.date(2024, 1, 27))
     out = rounded(out, 4, "temperature_mean", "temperature_std", "humidity_mean")
     return rounded(rounded(out, 2, "precipitation_total"), 6, "data_completeness")
 
@@ -104,9 +104,9 @@ _TENTH = {c: half_up(f"AVG({c})", 1) for c in ("temperature", "humidity", "press
 
 
 @query("city_summary", "A8 AR1", sql_with(
-    ctes("weather_full"), """types AS (
+    ctes("climate_full"), """types AS (
     SELECT city, STRING_AGG(weather_main || ':' || CAST(n AS VARCHAR), ',' ORDER BY weather_main) AS weather_types
-    FROM (SELECT city, weather_main, COUNT(*) AS n FROM weather_full WHERE weather_main IS NOT NULL
+    FROM (SELECT city, weather_main, COUNT(*) AS n FROM climate_full WHERE weather_main IS NOT NULL
           GROUP BY city, weather_main) GROUP BY city)""",
     body=f"""
     SELECT city, COUNT(*) AS total_days, {_TENTH['temperature']} AS temperature_mean,
@@ -121,9 +121,9 @@ _TENTH = {c: half_up(f"AVG({c})", 1) for c in ("temperature", "humidity", "press
            100 - CAST(FLOOR(CAST(COUNT(*) - COUNT(temperature) + COUNT(*) - COUNT(humidity) AS DOUBLE)
                             / (COUNT(*) * 11) * 100) AS BIGINT) AS data_quality,
            ANY_VALUE(weather_types) AS weather_types
-    FROM weather_full JOIN types USING (city) GROUP BY city"""))
+    FROM climate_full JOIN types USING (city) GROUP BY city"""))
 def city_summary(spark, sf_dir):
-    out = weather.city_summary(weather_full(spark, sf_dir))
+    out = climate.city_summary(climate_full(spark, sf_dir))
     entries = F.transform(F.map_entries("weather_types"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return out.withColumn("weather_types", F.array_join(F.array_sort(entries), ","))
 
@@ -131,8 +131,8 @@ def city_summary(spark, sf_dir):
 @query("city_mean_and_max", "A18", sql_with(ctes("readings"), DAILY_FORECAST, body="""
     SELECT city, ROUND(AVG(temp_max), 4) AS mean_temp_max, MAX(temp_max) AS max_temp_max FROM daily_forecast GROUP BY city"""))
 def city_mean_and_max(spark, sf_dir):
-    daily = weather.daily_forecast(readings(spark, sf_dir))
-    return rounded(weather.mean_and_max(daily, "temp_max"), 4, "mean_temp_max")
+    daily = climate.daily_forecast(readings(spark, sf_dir))
+    return rounded(climate.mean_and_max(daily, "temp_max"), 4, "mean_temp_max")
 
 
 BY_REGION = """by_region AS (
@@ -140,39 +140,39 @@ BY_REGION = """by_region AS (
            AVG(wind_speed) AS wind_speed, SUM(precipitation) AS precipitation
     FROM (SELECT city, date, AVG(temperature) AS temperature, AVG(humidity) AS humidity, AVG(pressure) AS pressure,
                  AVG(wind_speed) AS wind_speed, SUM(precipitation) AS precipitation
-          FROM weather_daily GROUP BY city, date) JOIN city_regions USING (city) GROUP BY region, date)"""
+          FROM climate_daily GROUP BY city, date) JOIN city_regions USING (city) GROUP BY region, date)"""
 
 
-@query("weather_by_region", "J2", sql_with(ctes("weather_full", "city_regions"), BY_REGION.replace("weather_daily", "weather_full"), body=f"""
+@query("climate_by_region", "J2", sql_with(ctes("climate_full", "city_regions"), BY_REGION.replace("climate_daily", "climate_full"), body=f"""
     SELECT region, date, {_measures_sql()} FROM by_region"""))
-def weather_by_region(spark, sf_dir):
-    out = weather.by_region(weather_full(spark, sf_dir), city_regions(spark, sf_dir))
+def climate_by_region(spark, sf_dir):
+    out = climate.by_region(climate_full(spark, sf_dir), city_regions(spark, sf_dir))
     return rounded(out, 4, *MEASURES)
 
 
-@query("weather_enrichment", "J1 J2 G1", sql_with(
-    ctes("weather_daily", "city_regions", "event_regions"), BY_REGION,
+@query("climate_enrichment", "J1 J2 G1", sql_with(
+    ctes("climate_daily", "city_regions", "event_regions"), BY_REGION,
     "joined AS (SELECT * FROM event_regions LEFT JOIN by_region USING (region, date))",
     interpolate_sql("enriched", "joined", "region", MEASURES, True),
     body=f"SELECT region, date, value, {_measures_sql()} FROM enriched"))
-def weather_enrichment(spark, sf_dir):
-    regional = weather.by_region(weather_daily(spark, sf_dir), city_regions(spark, sf_dir))
-    return rounded(weather.enrich(event_regions(spark, sf_dir), regional), 4, *MEASURES)
+def climate_enrichment(spark, sf_dir):
+    regional = climate.by_region(climate_daily(spark, sf_dir), city_regions(spark, sf_dir))
+    return rounded(climate.enrich(event_regions(spark, sf_dir), regional), 4, *MEASURES)
 
 
-@query("holiday_weather", "J6 P3 A9", sql_with(ctes("readings", "holiday_dates"), DAILY_FORECAST, body="""
+@query("holiday_climate", "J6 P3 A9", sql_with(ctes("readings", "holiday_dates"), DAILY_FORECAST, body="""
     SELECT city, date, ROUND(temperature, 4) AS temperature, ROUND(humidity, 4) AS humidity,
            ROUND(pressure, 4) AS pressure, ROUND(wind_speed, 4) AS wind_speed, ROUND(precipitation, 2) AS precipitation,
            CAST(NULL AS DOUBLE) AS cloud_cover, date IN (SELECT date FROM holiday_dates) AS is_holiday, is_weekend,
            'events' AS data_source FROM daily_forecast"""))
-def holiday_weather(spark, sf_dir):
+def holiday_climate(spark, sf_dir):
     out = plans.standard_daily(readings(spark, sf_dir), "events", holiday_dates(spark, sf_dir))
     return rounded(rounded(out, 4, "temperature", "humidity", "pressure", "wind_speed"), 2, "precipitation")
 
 
 def _provider_a(spark, sf_dir):
-    """Daily weather, most days."""
-    return weather_daily(spark, sf_dir).select("city", "date", "temperature", "humidity", "pressure")
+    """Daily climate, most days."""
+    return climate_daily(spark, sf_dir).select("city", "date", "temperature", "humidity", "pressure")
 
 
 def _provider_b(spark, sf_dir):
@@ -183,66 +183,66 @@ def _provider_b(spark, sf_dir):
     )
 
 
-PROVIDERS = """provider_a AS (SELECT city, date, temperature, humidity, pressure FROM weather_daily),
+PROVIDERS = """provider_a AS (SELECT city, date, temperature, humidity, pressure FROM climate_daily),
 provider_b AS (SELECT city, date, MAX(temperature) AS temperature, MAX(humidity) AS humidity, MIN(pressure) AS pressure
     FROM readings WHERE day(date) % 6 <> 0 GROUP BY city, date)"""
 
 
-@query("compare_sources", "J8", sql_with(ctes("weather_daily"), PROVIDERS, body="""
+@query("compare_sources", "J8", sql_with(ctes("climate_daily"), PROVIDERS, body="""
     SELECT city, date, a.temperature AS temperature_a, a.humidity AS humidity_a, a.pressure AS pressure_a,
            b.temperature AS temperature_b, b.humidity AS humidity_b, b.pressure AS pressure_b,
            ROUND(a.temperature - b.temperature, 4) AS temperature_diff, ROUND(a.humidity - b.humidity, 4) AS humidity_diff,
            ROUND(a.pressure - b.pressure, 4) AS pressure_diff
     FROM provider_a AS a FULL OUTER JOIN provider_b AS b USING (city, date)"""))
 def compare_sources(spark, sf_dir):
-    out = weather.compare_sources(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir))
+    out = climate.compare_sources(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir))
     return rounded(out, 4, "temperature_diff", "humidity_diff", "pressure_diff")
 
 
-@query("fail_over", "J9", sql_with(ctes("weather_daily"), PROVIDERS, body="""
+@query("fail_over", "J9", sql_with(ctes("climate_daily"), PROVIDERS, body="""
     SELECT city, date, CASE WHEN a.pressure IS NOT NULL THEN a.temperature ELSE b.temperature END AS temperature,
            CASE WHEN a.pressure IS NOT NULL THEN a.humidity ELSE b.humidity END AS humidity,
            CASE WHEN a.pressure IS NOT NULL THEN 'primary' ELSE 'secondary' END AS data_source
     FROM provider_a AS a FULL OUTER JOIN provider_b AS b USING (city, date)"""))
 def fail_over(spark, sf_dir):
-    return weather.fail_over(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir), ["temperature", "humidity"])
+    return climate.fail_over(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir), ["temperature", "humidity"])
 
 
-@query("union_with_precedence", "S3", sql_with(ctes("weather_daily"), PROVIDERS, body="""
+@query("union_with_precedence", "S3", sql_with(ctes("climate_daily"), PROVIDERS, body="""
     SELECT city, date, temperature, humidity, pressure FROM provider_a
     UNION ALL SELECT city, date, temperature, humidity, pressure FROM provider_b
     WHERE (city, date) NOT IN (SELECT (city, date) FROM provider_a)"""))
 def union_with_precedence(spark, sf_dir):
-    return weather.union_preferring(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir))
+    return climate.union_preferring(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir))
 
 
-@query("request_horizon", "S4 S3", sql_with(ctes("weather_daily"), PROVIDERS, body="""
+@query("request_horizon", "S4 S3", sql_with(ctes("climate_daily"), PROVIDERS, body="""
     SELECT city, date, temperature, humidity, pressure FROM provider_a
     WHERE date > DATE '2024-01-17' AND date <= DATE '2024-01-20'
     UNION ALL SELECT city, date, temperature, humidity, pressure FROM provider_b
     WHERE date > DATE '2024-01-20' AND date <= DATE '2024-01-24'"""))
 def request_horizon(spark, sf_dir):
-    return weather.horizon(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir), dt.date(2024, 1, 20), 7)
+    return climate.horizon(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir), dt.date(2024, 1, 20), 7)
 
 
-@query("overlap_days", "S6", sql_with(ctes("weather_daily"), PROVIDERS, body="""
+@query("overlap_days", "S6", sql_with(ctes("climate_daily"), PROVIDERS, body="""
     SELECT date FROM provider_a INTERSECT SELECT date FROM provider_b"""))
 def overlap_days(spark, sf_dir):
-    return weather.overlap_days(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir))
+    return climate.overlap_days(_provider_a(spark, sf_dir), _provider_b(spark, sf_dir))
 
 
-@query("complete_weather", "S3 G2 P3 S5", sql_with(
-    ctes("weather_daily"), """both_providers AS (
-    SELECT city, date, temperature, humidity, pressure FROM weather_daily
+@query("complete_climate", "S3 G2 P3 S5", sql_with(
+    ctes("climate_daily"), """both_providers AS (
+    SELECT city, date, temperature, humidity, pressure FROM climate_daily
     UNION ALL SELECT city, date, temperature, humidity, pressure FROM (
         SELECT city, date, MAX(temperature) AS temperature, MAX(humidity) AS humidity, MIN(pressure) AS pressure
         FROM readings WHERE day(date) % 6 <> 0 GROUP BY city, date)
-    WHERE (city, date) NOT IN (SELECT (city, date) FROM weather_daily))""",
+    WHERE (city, date) NOT IN (SELECT (city, date) FROM climate_daily))""",
     interpolate_sql("completed", "both_providers", "city", ["temperature", "humidity", "pressure"], False),
     body=f"SELECT city, date, {_measures_sql(['temperature', 'humidity', 'pressure'])} FROM completed"))
-def complete_weather(spark, sf_dir):
-    history = weather.standardise(_provider_a(spark, sf_dir), "a")
-    forecast = weather.standardise(_provider_b(spark, sf_dir), "b")
+def complete_climate(spark, sf_dir):
+    history = climate.standardise(_provider_a(spark, sf_dir), "a")
+    forecast = climate.standardise(_provider_b(spark, sf_dir), "b")
     out = plans.complete(history, forecast).select("city", "date", "temperature", "humidity", "pressure")
     return rounded(out, 4, "temperature", "humidity", "pressure")
 
@@ -256,7 +256,7 @@ def _land(df, name):
 
 def _daily_documents(spark, sf_dir):
     """Documents with a bounded number of days each, and two broken ones for each city."""
-    daily = weather.daily_forecast(readings(spark, sf_dir)).withColumn("part", F.floor((F.dayofmonth("date") - 1) / 5))
+    daily = climate.daily_forecast(readings(spark, sf_dir)).withColumn("part", F.floor((F.dayofmonth("date") - 1) / 5))
     days = F.array_sort(F.collect_list(F.struct("date", "temp_max", "temp_min", "precipitation")))
     grouped = daily.groupBy("city", "part").agg(days.alias("d"))
     block = F.struct(
@@ -342,19 +342,19 @@ def city_search_hits(spark, sf_dir):
 hit_type = "struct<name:string,latitude:double,longitude:double,timezone:string>"
 
 
-@query("snapshot_rows", "IO7", sql_with(ctes("weather_full"), body="""
+@query("snapshot_rows", "IO7", sql_with(ctes("climate_full"), body="""
     SELECT city, date, CASE WHEN date >= DATE '2024-01-12' THEN temperature + 1 ELSE temperature END AS temperature,
            humidity, pressure, wind_speed, precipitation, CAST(NULL AS DOUBLE) AS cloud_cover,
-           is_holiday, is_weekend, 'a' AS data_source FROM weather_full
+           is_holiday, is_weekend, 'a' AS data_source FROM climate_full
     WHERE city IN ('click', 'view') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
 def snapshot_rows(spark, sf_dir):
     path = fresh_path(spark, "snapshot")
-    rows = weather_full(spark, sf_dir)
-    snapshots.save_snapshot(weather.standardise(rows, "a"), path, "a")
-    snapshots.save_snapshot(weather.standardise(rows, "b"), path, "b")
+    rows = climate_full(spark, sf_dir)
+    snapshots.save_snapshot(climate.standardise(rows, "a"), path, "a")
+    snapshots.save_snapshot(climate.standardise(rows, "b"), path, "b")
     # part of the days is saved again with other values
     again = rows.filter(F.col("date") >= F.lit("2024-01-12").cast("date")).withColumn("temperature", F.col("temperature") + 1)
-    snapshots.save_snapshot(weather.standardise(again, "a"), path, "a")
+    snapshots.save_snapshot(climate.standardise(again, "a"), path, "a")
     return snapshots.load_snapshot(
         spark, path, "a", ["click", "view"], dt.date(2024, 1, 5), dt.date(2024, 1, 20)
     )

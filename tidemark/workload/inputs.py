@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import weather as rules
+from ..functions import climate as rules
 from ..functions.numeric import half_up
-from ..operators.clean import daily_series
+from ..operators import clean
 
 KEY = ["customer_id"]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def daily_series(df: DataFrame, key: list[str]) -> DataFrame:
+    """Totals per key and day, in cents."""
+    return clean.daily_series(df, key).withColumn("value", F.round("value", 2))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as customer readings: several rows per customer and day."""
     return table(spark, sf_dir, "events").select(
@@ -82,7 +87,7 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as weather readings of five cities."""
+    """Events as climate readings of five cities."""
     return readings_of(table(spark, sf_dir, "events"))
 
 
@@ -101,13 +106,13 @@ def readings_of(events: DataFrame) -> DataFrame:
     return rows.withColumn("weather_main", F.coalesce(by_rule, otherwise))
 
 
-def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City weather by day with every seventh day missing, for the operators that fill or compare days."""
-    return weather_full(spark, sf_dir).filter(F.dayofmonth("date") % 7 != 0)
+def climate_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City climate by day with every seventh day missing, for the operators that fill or compare days."""
+    return climate_full(spark, sf_dir).filter(F.dayofmonth("date") % 7 != 0)
 
 
-def weather_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City weather by day with nulls by a rule on the date."""
+def climate_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City climate by day with nulls by a rule on the date."""
     day = F.dayofmonth("date")
     daily = readings(spark, sf_dir).groupBy("city", "date").agg(
         half_up(F.avg("temperature"), 4).alias("temperature"), half_up(F.avg("humidity"), 4).alias("humidity"),
@@ -156,7 +161,7 @@ _NEEDS = {
     "cust_events": ("raw_events",),
     "raw_orders": ("customer_regions",), "cust_orders": ("raw_orders",), "region_daily": ("raw_orders",),
     "event_regions": ("raw_events",), "nulled": ("cust_events",), "holed": ("nulled",),
-    "weather_full": ("readings",), "weather_daily": ("weather_full",),
+    "climate_full": ("readings",), "climate_daily": ("climate_full",),
 }
 
 _SQL = {
@@ -184,7 +189,7 @@ _SQL = {
         SELECT customer_id, region, date,
                CASE WHEN day(date) <> 1 AND day(date) % 4 <> 0 THEN value END AS value FROM cust_events""",
     "holed": "SELECT * FROM nulled WHERE day(date) % 9 <> 0",
-    "weather_daily": "SELECT * FROM weather_full WHERE day(date) % 7 <> 0",
+    "climate_daily": "SELECT * FROM climate_full WHERE day(date) % 7 <> 0",
     "readings": """
         SELECT *, CASE WHEN precipitation > 5 THEN CASE WHEN temperature > 0 THEN 'Rain' ELSE 'Snow' END
                        WHEN humidity > 80 AND pressure < 1010 THEN 'Clouds'
@@ -197,7 +202,7 @@ _SQL = {
                      ROUND(GREATEST(value - 50, 0), 2) AS precipitation,
                      CASE WHEN event_id % 7 = 0 THEN 'simulated' ELSE 'api' END AS data_source, event_id
               FROM events)""",
-    "weather_full": """
+    "climate_full": """
         SELECT city, date, CASE WHEN day(date) % 5 <> 0 THEN t END AS temperature,
                CASE WHEN day(date) % 4 <> 1 THEN h END AS humidity, pressure, wind_speed, precipitation,
                weather_main, day(date) IN (1, 15) AS is_holiday, isodow(date) >= 6 AS is_weekend, 'api' AS data_source

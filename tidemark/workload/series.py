@@ -8,7 +8,7 @@ from ..functions import calendar
 from ..operators import features, fill
 from ..plans import modelling
 from .inputs import (
-    KEY, ctes, cust_events, cust_orders, event_regions, holed, nulled, holiday_dates, readings, region_daily, weather_daily,
+    KEY, ctes, cust_events, cust_orders, event_regions, holed, nulled, holiday_dates, readings, region_daily, climate_daily,
 )
 from .registry import half_up, query, rounded, sql_with
 
@@ -80,13 +80,13 @@ def linear_fill(spark, sf_dir):
 
 
 @query("repaired_observations", "G2", sql_with(
-    ctes("weather_daily"), interpolate_sql("filled", "weather_daily", "city", ["temperature", "humidity"], False),
+    ctes("climate_daily"), interpolate_sql("filled", "climate_daily", "city", ["temperature", "humidity"], False),
     body=f"""SELECT city, date, {_round_sql(['temperature', 'humidity'])}, weather_main
             FROM (SELECT * REPLACE (LAST_VALUE(CASE WHEN day(date) % 3 <> 0 THEN weather_main END IGNORE NULLS) OVER (
                       PARTITION BY city ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS weather_main)
                   FROM filled)"""))
 def repaired_observations(spark, sf_dir):
-    rows = weather_daily(spark, sf_dir).withColumn(
+    rows = climate_daily(spark, sf_dir).withColumn(
         "weather_main", F.when(F.dayofmonth("date") % 3 != 0, F.col("weather_main"))
     )
     out = fill.repair_observations(rows, ["city"], ["temperature", "humidity"], ["weather_main"])
@@ -272,15 +272,15 @@ RESAMPLED = """resampled AS (
     FROM spine LEFT JOIN (
         SELECT city, date, AVG(temperature) AS temperature, AVG(humidity) AS humidity, AVG(pressure) AS pressure,
                AVG(wind_speed) AS wind_speed, COALESCE(SUM(precipitation), 0) AS precipitation
-        FROM weather_daily GROUP BY city, date) USING (city, date))"""
+        FROM climate_daily GROUP BY city, date) USING (city, date))"""
 
 
-@query("resampled_weather", "A10 J3", sql_with(
-    ctes("weather_daily"), spine_sql("spine", "weather_daily", "city"), RESAMPLED, body=f"""
+@query("resampled_climate", "A10 J3", sql_with(
+    ctes("climate_daily"), spine_sql("spine", "climate_daily", "city"), RESAMPLED, body=f"""
     SELECT city, date, {_round_sql(['temperature', 'humidity', 'pressure', 'wind_speed'])},
            {half_up('precipitation', 2)} AS precipitation FROM resampled"""))
-def resampled_weather(spark, sf_dir):
-    out = features.resample_weather(weather_daily(spark, sf_dir), ["city"])
+def resampled_climate(spark, sf_dir):
+    out = features.resample_climate(climate_daily(spark, sf_dir), ["city"])
     return rounded(rounded(out, 4, "temperature", "humidity", "pressure", "wind_speed"), 2, "precipitation")
 
 
@@ -293,34 +293,34 @@ def city_series(spark, sf_dir):
     return readings(spark, sf_dir).groupBy("city", "date").agg(F.round(F.sum("temperature"), 2).alias("value"))
 
 
-_WEATHER_FILLED = ", ".join(
+_CLIMATE_FILLED = ", ".join(
     f"""COALESCE(LAST_VALUE({c} IGNORE NULLS) OVER back, LAST_VALUE({c} IGNORE NULLS) OVER ahead) AS weather_{c}"""
-    for c in features.WEATHER_MEASURES)
+    for c in features.CLIMATE_MEASURES)
 ALIGNED = f"""aligned AS (
-    SELECT city, date, value, {_WEATHER_FILLED}
+    SELECT city, date, value, {_CLIMATE_FILLED}
     FROM city_series LEFT JOIN resampled USING (city, date)
     WINDOW back AS (PARTITION BY city ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
            ahead AS (PARTITION BY city ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
-_WEATHER_NAMES = [f"weather_{c}" for c in features.WEATHER_MEASURES]
+_CLIMATE_NAMES = [f"weather_{c}" for c in features.CLIMATE_MEASURES]
 
 
-@query("weather_features", "R2 J4 A10", sql_with(
-    ctes("weather_daily"), CITY_SERIES, spine_sql("spine", "weather_daily", "city"), RESAMPLED, ALIGNED,
-    body=f"SELECT city, date, value, {_round_sql(_WEATHER_NAMES)} FROM aligned"))
-def weather_features(spark, sf_dir):
-    out = features.align_weather(city_series(spark, sf_dir), weather_daily(spark, sf_dir), ["city"])
-    return rounded(out, 4, *_WEATHER_NAMES)
+@query("climate_features", "R2 J4 A10", sql_with(
+    ctes("climate_daily"), CITY_SERIES, spine_sql("spine", "climate_daily", "city"), RESAMPLED, ALIGNED,
+    body=f"SELECT city, date, value, {_round_sql(_CLIMATE_NAMES)} FROM aligned"))
+def climate_features(spark, sf_dir):
+    out = features.align_climate(city_series(spark, sf_dir), climate_daily(spark, sf_dir), ["city"])
+    return rounded(out, 4, *_CLIMATE_NAMES)
 
 
 _FEATURES = [
     "day_of_week", "day_of_month", "month", "quarter", "is_weekend", "is_holiday",
     "day_sin", "day_cos", "week_sin", "week_cos", *[f"lag_{n}" for n in features.MODEL_LAGS], *_ROLLED,
-    *_WEATHER_NAMES, "trend", "trend_squared",
+    *_CLIMATE_NAMES, "trend", "trend_squared",
 ]
 
 
 @query("feature_table", "R1 G4 W3 W4 W5 D1 D3", sql_with(
-    ctes("weather_daily", "holiday_dates"), CITY_SERIES, spine_sql("spine", "weather_daily", "city"), RESAMPLED, ALIGNED,
+    ctes("climate_daily", "holiday_dates"), CITY_SERIES, spine_sql("spine", "climate_daily", "city"), RESAMPLED, ALIGNED,
     f"""raw_features AS (
     SELECT *, {CALENDAR_SQL}, CAST(date IN (SELECT date FROM holiday_dates) AS INTEGER) AS is_holiday, {CYCLE_SQL},
            {lag_sql('city', features.MODEL_LAGS)},
@@ -335,6 +335,6 @@ _FEATURES = [
     WINDOW back AS (PARTITION BY city ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def feature_table(spark, sf_dir):
     out = features.feature_table(
-        city_series(spark, sf_dir), ["city"], weather=weather_daily(spark, sf_dir), holidays=holiday_dates(spark, sf_dir)
+        city_series(spark, sf_dir), ["city"], climate=climate_daily(spark, sf_dir), holidays=holiday_dates(spark, sf_dir)
     )
     return rounded(out, 4, *_FEATURES)

@@ -19,7 +19,7 @@ from .cleaning import FIRST_MAIN
 from .customers import ALERTS_BODY, TOP, analysis_sql
 from .inputs import ctes, cust_events, event_regions, raw_orders, readings, readings_of, region_daily, table
 from .registry import half_up, query, rounded, sql_with
-from .weather import DAILY_FORECAST
+from .climate import DAILY_FORECAST
 
 
 def _event_stream(spark, sf_dir):
