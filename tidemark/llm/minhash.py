@@ -20,7 +20,6 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS = 4
 CHUNK = 128  # members of a cluster that meet as many others in one unit of work
-MEMO_WORDS = 500_000
 
 
 def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
@@ -28,24 +27,13 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity ** rows))
 
 
-@cache
-def _memo() -> dict[bytes, int]:
-    return {}
-
-
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text: lower case, parted by ASCII white space."""
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    memo = _memo()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(words: list[bytes], n: int = WORDS) -> np.ndarray:
