@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 Q = 14  # characters of a gram
 WINDOW = 80  # characters of an item that must be found in a document
 EDITS = 4  # that a window may differ by
@@ -264,6 +266,7 @@ def leaks(
 
 
 def _slices(benchmark: DataFrame, item: str, item_text: str, slice_chars: int) -> tuple[DataFrame, int]:
+    ship(benchmark.sparkSession)
     items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     return items, max(1, -(-size // slice_chars))

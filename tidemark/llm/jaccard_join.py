@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, ship
 from . import minhash
 
 RECALL = 0.9999
@@ -48,6 +48,7 @@ def similar_documents(
     A null or empty text is in a class of its own, without links, with one copy. A row without a key takes part and
     never names a class unless none of the class has a key. Repeated rows count as copies. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     bands = minhash.bands_for(similarity, recall)
     signed = materialise(signatures(docs, key, text, bands, words), "signatures")
     texts = signed.filter("node is not null").groupBy("node").agg(F.min("__id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key's text, modulo ``modulus``; null for a null key."""
@@ -21,6 +23,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn_from: C
     The bound is on the sample to learn from alone. A key with several labels counts with the least, one with several
     texts with the least; rows without key or label are not learned from.
     """
+    ship(docs.sparkSession)
     own = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & learn_from).groupBy(key).agg(F.min(label).alias("label"))
     own = own.orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).alias("__id"), "label")
     texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("text"))
@@ -36,6 +39,7 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], key: str =
             values = score([t or "" for t in batch.column("__text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(values, pa.float64())], [key, "score"])
 
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, score double")
 
@@ -49,6 +53,7 @@ def kept(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callab
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             yield batch.select(names).filter(pa.array(keep(score(texts)), pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, docs.schema)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, ship
 
 PIVOTS = 16
 TREE_ROWS = 2048
@@ -135,6 +135,7 @@ def largest_products(
     queries meet each tree. A query starts with the k-th product among ``seeds`` sampled entries as its floor.
     """
     spark = vectors.sparkSession
+    ship(spark)
     all_rows = materialise(whole_vectors(vectors, key, vector, scale), "vectors")
     n = all_rows.count()
     # so many parts that neither a part of one vector's keys nor what is left of all its parts grows faster than the root of n

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, ship
 from . import minhash
 
 RECALL = 0.998
@@ -86,6 +86,7 @@ def repeated_paragraphs(
     that a row with a key has. Repeated rows of one key have the same places, so both keep what one keeps.
     An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     bands = minhash.bands_for(similarity, recall)
     own = materialise(signed_paragraphs(docs, key, text, min_words, bands), "paragraphs")
     place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "paragraph")

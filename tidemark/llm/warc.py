@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, materialise
+from ..storage import fresh_path, materialise, ship
 from . import files
 
 MAGIC = b"\x1f\x8b\x08"
@@ -182,6 +182,7 @@ def write_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", htm
     that has one and never are referred to. Rows that repeat the greatest key are all stored whole. An empty table
     makes no archive.
     """
+    ship(pages.sparkSession)
     folder = folder or fresh_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     own = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
@@ -223,6 +224,7 @@ def read_records(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES, payload
     Each archive is cut into ranges of ``split_bytes`` for as many tasks. Length and digest of a record with a payload
     are those of the payload read; a revisit's are those its headers give for the whole payload.
     """
+    ship(archives.sparkSession)
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = archives.filter("bytes > 0").select(
         "path", F.explode(F.sequence(F.lit(0), (F.col("bytes") - 1).cast("long"), F.lit(split_bytes).cast("long"))).alias("start"))
