@@ -266,6 +266,70 @@ def damped_trend_summary(spark, sf_dir):
     return rounded(out, 4, "residual_std", "aic", "bic")
 
 
+def design_sql(spec: Harmonic, n: str = "n") -> list[str]:
+    """The value of each term at day ``t``, 0 where the series is too short for the season, as in ``Harmonic.design``."""
+    out = ["1.0::DOUBLE"]
+    if spec.use_trend:
+        out.append("(1 - POW(0.98::DOUBLE, t)) * (0.98::DOUBLE / 0.02::DOUBLE)" if spec.use_damped_trend else "t / 1000.0::DOUBLE")
+    for name, period in spec.terms():
+        if period is not None:
+            wave, _, h = name.split("_")
+            out.append(f"CASE WHEN {n} >= {2 * period} THEN {wave}(t * (2 * pi() * {h} / {period})) ELSE 0 END")
+    return out + [f"{r}::DOUBLE" for r in spec.regressors]
+
+
+def solve_sql(rows: str, key: str, size: int) -> str:
+    """CTEs from ``rows`` (the key, value, x0, x1, ...) to ``beta`` (the key, b0, b1, ...): the normal equations by elimination."""
+    sums = [f"SUM(x{i} * x{j}) AS m_{i}_{j}" for i in range(size) for j in range(i, size)] + [f"SUM(x{i} * value) AS y_{i}" for i in range(size)]
+    out, last = [f"sums AS (SELECT {key}, {', '.join(sums)} FROM {rows} GROUP BY {key})"], "sums"
+    for p in range(size - 1):
+        new = []
+        for i in range(p + 1, size):
+            part = f"CASE WHEN m_{p}_{p} > 1e-9 THEN m_{p}_{i} / m_{p}_{p} ELSE 0 END"
+            new += [f"m_{i}_{j} - {part} * m_{p}_{j} AS m_{i}_{j}" for j in range(i, size)] + [f"y_{i} - {part} * y_{p} AS y_{i}"]
+        out.append(f"step_{p} AS (SELECT * REPLACE ({', '.join(new)}) FROM {last})")
+        last = f"step_{p}"
+    for i in range(size - 1, -1, -1):
+        known = "".join(f" - m_{i}_{j} * b{j}" for j in range(i + 1, size))
+        out.append(f"back_{i} AS (SELECT *, CASE WHEN m_{i}_{i} > 1e-9 THEN (y_{i}{known}) / m_{i}_{i} ELSE 0 END AS b{i} FROM {last})")
+        last = f"back_{i}"
+    return ",\n".join([*out, f"beta AS (SELECT {key}, {', '.join(f'b{i}' for i in range(size))} FROM {last})"])
+
+
+def harmonic_sql(src: str, key: str, spec: Harmonic) -> str:
+    """CTEs up to ``fits`` (key, date, actual, fitted) and ``ends`` (key, n, origin, last_date, sd and coefficients)."""
+    xs = design_sql(spec)
+    more = "".join(f", {r}" for r in spec.regressors)
+    total = " + ".join(f"b{i} * x{i}" for i in range(len(xs)))
+    return f"""timed AS (
+    SELECT *, datediff('day', origin, date)::DOUBLE AS t FROM (
+        SELECT {key}, date, value{more}, MIN(date) OVER s AS origin, COUNT(*) OVER s AS n
+        FROM {src} WHERE value IS NOT NULL WINDOW s AS (PARTITION BY {key}))),
+terms AS (SELECT *, {', '.join(f'{x} AS x{i}' for i, x in enumerate(xs))} FROM timed),
+{solve_sql('terms', key, len(xs))},
+fits AS (SELECT {key}, date, value AS actual, {total} AS fitted FROM terms JOIN beta USING ({key})),
+ends AS (
+    SELECT * FROM beta JOIN (SELECT {key}, STDDEV_POP(actual - fitted) AS sd FROM fits GROUP BY {key}) USING ({key})
+    JOIN (SELECT {key}, COUNT(*) AS n, MIN(date) AS origin, MAX(date) AS last_date FROM timed GROUP BY {key}) USING ({key}))"""
+
+
+def harmonic_ahead_sql(key: str, spec: Harmonic, steps: int, model: str, digits: int, regressors: str = "") -> str:
+    """The forecast from ``ends``; ``regressors`` are SQL columns of the days ahead."""
+    total = " + ".join(f"b{i} * ({x})" for i, x in enumerate(design_sql(spec)))
+    return f"""SELECT {key}, step, date, '{model}' AS model, ROUND(forecast, {digits}) AS forecast,
+           ROUND(forecast - {Z95} * sd, {digits}) AS lower_bound, ROUND(forecast + {Z95} * sd, {digits}) AS upper_bound
+    FROM (SELECT *, {total} AS forecast FROM (
+        SELECT *, datediff('day', origin, date)::DOUBLE AS t{regressors} FROM (
+            SELECT *, last_date + step AS date
+            FROM ends CROSS JOIN (SELECT CAST(unnest(generate_series(1, {steps})) AS INTEGER) AS step))))"""
+
+
+SEASONS = Harmonic()
+DAMPED_WEEK = Harmonic(periods=(7,), use_damped_trend=True)
+CALENDAR = Harmonic(periods=(7, 365), regressors=("is_holiday",))
+WEEK = Harmonic(periods=(7,))
+
+
 @query("cross_validated_trend", "A16 F1", sql_with(ctes("cust_events"), """folds AS (
     SELECT *, pos // size AS fold FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS pos,
@@ -287,39 +351,54 @@ def cross_validated_trend(spark, sf_dir):
     return rounded(out, 4, "mae_mean", "rmse_mean", "mape_mean")
 
 
-@query("harmonic_fit", "F1 F8")
+@query("harmonic_fit", "F1 F8", sql_with(ctes("region_daily"), CONTINUOUS, harmonic_sql("continuous", "region", SEASONS), body="""
+    SELECT region, date, actual, ROUND(fitted, 2) AS fitted, ROUND(actual - fitted, 2) AS residual FROM fits"""))
 def harmonic_fit(spark, sf_dir):
-    df = continuous(spark, sf_dir)
+    df = materialise(continuous(spark, sf_dir), "continuous")
     return rounded(forecast.fitted_values(df, forecast.fit_harmonic(df, REGION), REGION), 2, "fitted", "residual")
 
 
-@query("harmonic_forecast", "F1 F2")
+@query("harmonic_forecast", "F1 F2", sql_with(
+    ctes("region_daily"), CONTINUOUS, harmonic_sql("continuous", "region", SEASONS),
+    body=harmonic_ahead_sql("region", SEASONS, 30, "harmonic", 2)))
 def harmonic_forecast(spark, sf_dir):
-    df = continuous(spark, sf_dir)
+    df = materialise(continuous(spark, sf_dir), "continuous")
     params = materialise(forecast.fit_harmonic(df, REGION), "params")
     fitted = forecast.fitted_values(df, params, REGION)
     return rounded(forecast.predict_harmonic(params, fitted, REGION, 30), 2, *BOUNDS)
 
 
-@query("damped_harmonic_summary", "F1 F7")
+@query("damped_harmonic_summary", "F1 F7", sql_with(
+    ctes("cust_events"), harmonic_sql("cust_events", "customer_id", DAMPED_WEEK), body="""
+    SELECT customer_id, n AS fitted_length, 6 AS parameters_count, ROUND(sd, 4) AS residual_std,
+           ROUND(n * LN(sse / n) + 12, 4) AS aic, ROUND(n * LN(sse / n) + 6 * LN(n), 4) AS bic,
+           '7' AS seasonal_periods, TRUE AS use_trend, TRUE AS use_damped_trend
+    FROM (SELECT customer_id, COUNT(*) AS n, SUM(POW(actual - fitted, 2)) AS sse, STDDEV_POP(actual - fitted) AS sd
+          FROM fits GROUP BY customer_id)"""))
 def damped_harmonic_summary(spark, sf_dir):
-    spec = Harmonic(periods=(7,), use_damped_trend=True)
+    spec = DAMPED_WEEK
     df = cust_events(spark, sf_dir)
     fitted = forecast.fitted_values(df, forecast.fit_harmonic(df, KEY, spec), KEY, spec)
     out = forecast.model_summary(fitted, KEY, len(spec.terms()), spec)
     return rounded(out, 4, "residual_std", "aic", "bic")
 
 
-@query("calendar_additive_forecast", "F5 J6")
+@query("calendar_additive_forecast", "F5 J6", sql_with(
+    ctes("region_daily"), CONTINUOUS, """holidays AS (SELECT DISTINCT date FROM continuous WHERE day(date) IN (1, 15)),
+flagged AS (SELECT *, CASE WHEN date IN (SELECT date FROM holidays) THEN 1 ELSE 0 END AS is_holiday FROM continuous)""",
+    harmonic_sql("flagged", "region", CALENDAR),
+    body=harmonic_ahead_sql("region", CALENDAR, STEPS, "calendar", 2, ", CASE WHEN date IN (SELECT date FROM holidays) THEN 1 ELSE 0 END AS is_holiday")))
 def calendar_additive_forecast(spark, sf_dir):
-    spec = Harmonic(periods=(7,), regressors=("is_holiday",))
-    calendar = holiday_dates(spark, sf_dir)
-    df = features.flag_dates(event_regions(spark, sf_dir), calendar)
+    """Trend, week, year and holidays: the first and the fifteenth of every month of the series."""
+    spec = CALENDAR
+    rows = materialise(continuous(spark, sf_dir), "continuous")
+    calendar = rows.select("date").distinct().filter(F.dayofmonth("date").isin(1, 15))
+    df = materialise(features.flag_dates(rows, calendar), "flagged")
     params = forecast.fit_harmonic(df, REGION, spec)
     fitted = forecast.fitted_values(df, params, REGION, spec)
     future = calendar.withColumn("is_holiday", F.lit(1))
     return rounded(
-        forecast.predict_harmonic(params, fitted, REGION, STEPS, spec, model="calendar", future=future), 4, *BOUNDS
+        forecast.predict_harmonic(params, fitted, REGION, STEPS, spec, model="calendar", future=future), 2, *BOUNDS
     )
 
 
@@ -338,7 +417,24 @@ def trained_models(spark, sf_dir):
     return forecast.model_listing(trained)
 
 
-@query("cross_validated_harmonic", "A16 F1")
+@query("cross_validated_harmonic", "A16 F1", sql_with(ctes("cust_events"), f"""placed AS (
+    SELECT *, pos // size AS fold FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS pos,
+               datediff('day', MIN(date) OVER (PARTITION BY customer_id), date)::DOUBLE AS t,
+               COUNT(*) OVER (PARTITION BY customer_id) // 5 AS size FROM cust_events)),
+training AS (
+    SELECT f.customer_id, f.fold, o.value, o.t, COUNT(*) OVER (PARTITION BY f.customer_id, f.fold) AS n
+    FROM (SELECT DISTINCT customer_id, fold FROM placed WHERE fold < 5) AS f
+    JOIN placed AS o ON o.customer_id = f.customer_id AND o.fold <> f.fold),
+terms AS (SELECT *, {', '.join(f'{x} AS x{i}' for i, x in enumerate(design_sql(WEEK)))} FROM training)""",
+    solve_sql("terms", "customer_id, fold", len(design_sql(WEEK))), f"""errors AS (
+    SELECT customer_id, fold, value, ABS(value - ({' + '.join(f'b{i} * ({x})' for i, x in enumerate(design_sql(WEEK, "14")))})) AS e
+    FROM placed JOIN beta USING (customer_id, fold)),
+scored AS (
+    SELECT customer_id, fold, AVG(e) AS mae, SQRT(AVG(e * e)) AS rmse,
+           AVG(CASE WHEN value <> 0 THEN e / ABS(value) END) * 100 AS mape FROM errors GROUP BY customer_id, fold)""", body="""
+    SELECT customer_id, ROUND(AVG(mae), 4) AS mae_mean, ROUND(AVG(rmse), 4) AS rmse_mean, ROUND(AVG(mape), 4) AS mape_mean
+    FROM scored GROUP BY customer_id"""))
 def cross_validated_harmonic(spark, sf_dir):
     out = forecast.cross_validate_harmonic(cust_events(spark, sf_dir), KEY, Harmonic(periods=(7,)))
     return rounded(out, 4, "mae_mean", "rmse_mean", "mape_mean")
