@@ -30,7 +30,7 @@ class ForestSettings:
     min_leaf: int = 1
     seed: int = 42
     bootstrap: bool = True
-    partitions: int = 32
+    partitions: int = 8
     test_share: float = 0.2
 
 
