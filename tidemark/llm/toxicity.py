@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from . import learning
 from .learning import sigmoid
 
@@ -52,51 +55,43 @@ def text_features(text: str) -> np.ndarray:
     return np.array(sorted({b for w in set(WORD.findall(text.lower())) for b in word_features(w)}), np.int64)
 
 
-def chosen(rows: list[np.ndarray], y: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """The buckets that tell the labels apart best, by the root of their deviance; at most ``most``."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    found, place, n = np.unique(flat, return_inverse=True, return_counts=True)
-    with_label = np.bincount(place, np.repeat(y, [len(r) for r in rows]), len(found))
-    share = y.mean()
-    expected = n * share
-    gain = np.abs(with_label - expected) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    gain[n < LEAST_TEXTS] = 0
-    best = np.lexsort((found, -gain))[:most]
-    return np.sort(found[best[gain[best] > LEAST_GAIN]])
+def places(features: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where the found buckets are among the features; others are left out."""
+    return np.searchsorted(features, found[np.isin(found, features, assume_unique=True)])
 
 
-def fit(texts: list[str], y: np.ndarray, penalty: float = PENALTY, ridge: float = 2e-6, steps: int = 600, rate: float = 0.05) -> dict:
+def counterfactuals(text: str) -> list[tuple[str, str]]:
+    """The sentences that name a group, each with its terms swapped."""
+    return [(s, swapped(s)) for s in SENTENCE.findall(text) if any(w in SWAPS for w in WORD.findall(s.lower()))]
+
+
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+
+def fit(features: np.ndarray, rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY, ridge: float = 2e-6, steps: int = 600, rate: float = 0.05) -> dict:
     """Weights that make the log loss, a ridge and ``penalty`` times the mean squared score change least.
 
-    The score change is that of a labelled sentence that names groups when its terms are swapped for others of their kind.
-    One label alone (or no text) gives a model that scores the share of label 1 everywhere, a half without any labels.
+    ``rows`` are the places of each text's buckets among the features. The score change is that of a labelled sentence
+    that names groups, when its terms are swapped for others of their kind: ``pairs`` are the places of both. One label
+    alone (or no text) gives a model that scores the share of label 1 everywhere, a half without any labels.
     """
     y = np.asarray(y, np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     model = {"b": float(np.log(share / (1 - share))), "features": np.zeros(0, np.int64), "w": np.zeros(0)}
-    if len(set(y.tolist())) < 2:
-        return model
-    rows = [text_features(t) for t in texts]
-    features = chosen(rows, y)
     k = len(features)
-    if not k:
+    if len(set(y.tolist())) < 2 or not k:
         return model
-
-    def packed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        kept = [np.searchsorted(features, r[np.isin(r, features, assume_unique=True)]) for r in sets]
-        return np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate(kept) if kept else np.zeros(0, np.int64)
-
-    row, column = packed(rows)
-    sentences = [s for t in texts for s in SENTENCE.findall(t) if any(w in SWAPS for w in WORD.findall(s.lower()))]
-    here, there = packed([text_features(s) for s in sentences]), packed([text_features(swapped(s)) for s in sentences])
+    row, column = _flat(rows)
+    here, there = _flat([p[0] for p in pairs]), _flat([p[1] for p in pairs])
     w, b = np.zeros(k), model["b"]
     m, s, n = np.zeros(k + 1), np.zeros(k + 1), len(y)
     for step in range(1, steps + 1):
         error = (sigmoid(b + np.bincount(row, w[column], n)) - y) / n
         g = np.bincount(column, error[row], k) + ridge * w
-        if sentences:
-            change = np.bincount(here[0], w[here[1]], len(sentences)) - np.bincount(there[0], w[there[1]], len(sentences))
-            pull = 2 * penalty * change / len(sentences)
+        if pairs:
+            change = np.bincount(here[0], w[here[1]], len(pairs)) - np.bincount(there[0], w[there[1]], len(pairs))
+            pull = 2 * penalty * change / len(pairs)
             g += np.bincount(here[1], pull[here[0]], k) - np.bincount(there[1], pull[there[0]], k)
         g = np.append(g, error.sum())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -106,6 +101,43 @@ def fit(texts: list[str], y: np.ndarray, penalty: float = PENALTY, ridge: float
     return {"b": float(b), "features": features[heavy], "w": w[heavy]}
 
 
+def learned(texts: DataFrame, penalty: float = PENALTY) -> dict:
+    """The model of a bounded sample (label, text).
+
+    Buckets are counted on the executors, which also look up the chosen ones; the driver gets those and their places.
+    """
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([text_features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), found], ["label", "buckets"])
+
+    texts = materialise(texts.select("__id", F.col("label").cast("double").alias("label"), "text"), "labelled")
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("y")).first()
+    if not total["n"] or total["y"] in (0, total["n"]):
+        return fit(np.zeros(0, np.int64), [], np.full(total["n"], total["y"] > 0), [])
+    share = total["y"] / total["n"]
+    counts = texts.select("label", "text").mapInArrow(buckets, "label double, buckets array<bigint>").select("label", F.explode("buckets").alias("bucket"))
+    counts = counts.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("y")).filter(F.col("n") >= LEAST_TEXTS)
+    rated = counts.select("bucket", (F.abs(F.col("y") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))).alias("gain"))
+    best = rated.filter(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "bucket").limit(FEATURES).collect()
+    features = np.array(sorted(r["bucket"] for r in best), np.int64)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda text: places(features, text_features(text)).astype("<i4").tobytes()
+        for batch in batches:
+            own = batch.column("text").to_pylist()
+            pairs = [[x for a, b in counterfactuals(t) for x in (packed(a), packed(b))] for t in own]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), batch.column("label"), pa.array([packed(t) for t in own], pa.binary()), pa.array(pairs, pa.list_(pa.binary()))],
+                ["id", "label", "found", "pairs"])
+
+    kind = dict(texts.dtypes)["__id"]
+    rows = texts.mapInArrow(looked_up, f"id {kind}, label double, found binary, pairs array<binary>").orderBy("id").collect()
+    unpacked = lambda raw: np.frombuffer(raw, "<i4").astype(np.int64)
+    pairs = [(unpacked(a), unpacked(b)) for r in rows for a, b in zip(r["pairs"][::2], r["pairs"][1::2])]
+    return fit(features, [unpacked(r["found"]) for r in rows], np.array([r["label"] for r in rows]), pairs, penalty)
+
+
 @cache
 def _memo(name: bytes) -> dict[str, tuple[int, ...]]:
     return {}
@@ -142,8 +174,8 @@ def toxicity_scores(
     without a key is scored and counts as held out. Repeated rows get equal scores. An empty table gives no rows;
     without labels, or with one kind alone, all texts get the share of label 1. Other columns are not looked at.
     """
-    own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text).orderBy("__id").toPandas()
-    model = fit(own["text"].tolist(), own["label"].to_numpy(), penalty)
+    own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text)
+    model = learned(own, penalty)
     held = F.coalesce(learning.remainder(key, modulus) == left_out, F.lit(True))
     return learning.scored(docs, lambda texts: score_texts(model, texts), key, text).select(
         key, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
