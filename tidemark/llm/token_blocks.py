@@ -7,6 +7,7 @@ and a tail that says how long the two are. Shards of a folder are numbered in do
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from array import array
@@ -19,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, materialise
+from ..storage import fresh_path, materialise, ship
 from . import files, frames
 
 TAIL = "<QQ"
 SHARD_BYTES = 64 << 20
 MEMO_WORDS = 800_000
+MEMO_CHARS = 64
+SIGNS = string.punctuation.replace("'", "")  # an apostrophe may begin a token of letters
+FIRST_ODD_LETTER = "\u0130"
 
 
 @cache
@@ -42,22 +46,54 @@ def _memo(path: str) -> dict[str, bytes]:
     return {}
 
 
+@cache
+def _takes_parts(path: str) -> bool:
+    """Whether ids of a text are those of its parts: between blanks, and of a word and the signs after it."""
+    ids = lambda t: _tokenizer(path).encode(t, add_special_tokens=False).ids
+    probes = ("Ab c", ["ab", "c"]), ("x\ny", ["x", "y"]), ("Éa,.; b!", ["éa", ",.;", "b", "!"]), ("  a  %%% ", ["a", "%%%"])
+    return all(ids(whole) == [i for p in parts for i in ids(p)] for whole, parts in probes)
+
+
+def _ids_of(parts: list[str], path: str) -> Iterator[bytes]:
+    return (array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast(parts, add_special_tokens=False))
+
+
 def encode_texts(texts: Sequence[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, as the library gives them for the whole text.
 
-    The tokenizer drops white space and no token, merge or composed character of it spans any, so a
-    text's ids are those of its words in order. Each word is given to the library once.
+    Where the tokenizer drops blanks and no token, merge or composed character spans one, a text's ids are those of its
+    parts between blanks, in order. Each part is given to the library once, and of a part that is letters and signs after
+    them only the lower-case letters and the signs, which the tokenizer takes apart just so. Any other tokenizer gets
+    the whole texts.
     """
+    if not _takes_parts(path):
+        return list(_ids_of([t or "" for t in texts], path))
     memo = _memo(path)
-    words = [(t or "").split() for t in texts]
-    new = list(set().union(*words).difference(memo))
+    words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    new = set().union(*words).difference(memo)
     if len(memo) + len(new) > MEMO_WORDS:
         memo.clear()
-        new = list(set().union(*words))
-    if new:
-        found = _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)
-        memo.update(zip(new, (array("I", e.ids).tobytes() for e in found)))
-    return [b"".join(map(memo.__getitem__, ws)) for ws in words]
+        new = set().union(*words)
+    wanted, joined = set(), {}
+    for w in new:
+        core = w.rstrip(SIGNS)
+        # beyond these letters lower case may have other lengths or forms
+        if core.isalpha() and max(core) < FIRST_ODD_LETTER:
+            low = core.lower()
+            if low != w:
+                joined[w] = (low, w[len(core):])
+                wanted.update(joined[w])
+                continue
+        wanted.add(w)
+    ask = list(wanted.difference(memo))
+    if ask:
+        memo.update(zip(ask, _ids_of(ask, path)))
+    memo.update((w, memo[low] + memo[signs]) for w, (low, signs) in joined.items())
+    out = [b"".join(map(memo.__getitem__, ws)) for ws in words]
+    for w in {*new, *ask}:
+        if len(w) > MEMO_CHARS:
+            del memo[w]
+    return out
 
 
 def _some_texts(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -165,6 +201,7 @@ def write_token_blocks(
     table gives an empty manifest. Other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or fresh_path(spark, "tokens")
     source = docs.select(F.col(order or key).alias("__order"), F.col(key).alias("__key"), F.col(text).alias("__text0"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -215,7 +252,8 @@ def _read(spark_manifest: DataFrame, key_type: str, ids: bool, key: str) -> Data
                     yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"`{key}` {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * ids
-        # a shard is work for a task of its own, so the few rows are spread by hand
+    ship(spark_manifest.sparkSession)
+    # a shard is work for a task of its own, so the few rows are spread by hand
     n = int(spark_manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return spark_manifest.select("path", "first_token").repartition(n, "path").mapInArrow(run, schema)
 
