@@ -14,7 +14,7 @@ import numpy as np
 
 BLOCK = 128
 HEAD = 7
-PERCENTILES = (0.5, 0.75, 0.9, 0.97, 1.0)
+PERCENTILES = (0.75, 0.9, 1.0)
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
