@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of an edge; the component's name is its least node.
 
-    ``edges`` has the columns u and v of any type that has an order. Each round a node takes the least label of its
-    neighbours, combined before the shuffle, and then the label of its label, so labels cover twice the distance.
-    Each round is written to the shared folder. Loops, repeated edges and rows with a null are ignored.
+    ``edges`` has the columns u and v of any type that has an order. Each round a node goes over to its least neighbour,
+    and to where that one goes, and the edges are rewritten between the nodes that are left; equal ones and loops go, so
+    the graph shrinks by what a round has tied together. The moves of all rounds in turn give each node's component.
+    Least neighbours are combined before the shuffle. Each round is written to the shared folder. Loops, repeated edges
+    and rows with a null are ignored.
     """
-    pairs = edges.select("u", "v").filter("u <> v")
-    both = materialise(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component"))
-    labels = materialise(labels, "labels")
-    while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("nearest"))
-        hooked = labels.join(near, labels.node == near.u).select("node", F.least("component", "nearest").alias("label"), F.col("component").alias("before"))
-        hooked = materialise(hooked, "labels")
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = materialise(hooked.join(jump, "label").select("node", F.least("label", "further").alias("component"), "before"), "labels")
-        if moved.filter("component <> before").isEmpty():
-            return moved.select("node", "component")
-        labels = moved.select("node", "component")
+    def between(u, v, rows: DataFrame) -> DataFrame:
+        return rows.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u <> v").distinct()
+
+    pairs = materialise(between(F.col("u"), F.col("v"), edges.filter("u is not null and v is not null")), "edges")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    labels = materialise(nodes.withColumn("component", F.col("node")), "labels")
+    while not pairs.isEmpty():
+        nearest = pairs.groupBy("v").agg(F.min("u").alias("up"))
+        further = nearest.select(F.col("v").alias("at"), F.col("up").alias("further"))
+        moves = nearest.join(further, nearest.up == further.at, "left")
+        moves = materialise(moves.select(F.col("v").alias("from"), F.coalesce("further", "up").alias("to")), "moves")
+        moved = pairs.join(moves.toDF("u", "u_to"), "u", "left").join(moves.toDF("v", "v_to"), "v")
+        left = materialise(between(F.coalesce("u_to", "u"), F.col("v_to"), moved), "edges")
+        renamed = labels.join(moves.toDF("component", "to"), "component", "left")
+        renamed = materialise(renamed.select("node", F.coalesce("to", "component").alias("component")), "labels")
+        for done in (pairs, moves, labels):
+            discard(done)
+        pairs, labels = left, renamed
+    return labels
