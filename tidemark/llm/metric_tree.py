@@ -23,7 +23,7 @@ PIVOTS = 16
 TREE_ROWS = 2048
 PAGE_ROWS = 64
 QUERIES_TOGETHER = 256
-SEEDS = 2048
+SEEDS = 8192
 SLACK = 1e-6
 
 
@@ -98,23 +98,35 @@ def search_tree(tree: dict[str, np.ndarray], rows: np.ndarray, ids: list[list[in
     lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
     to_page = _distances(lifted, _lifted(tree["routing"], longest))
     least = np.maximum(0, to_page - tree["radius"])
-    edge, parent = tree["edge"], tree["parent"]
-    for q in range(len(queries)):
-        best: list[tuple[int, int]] = []
-        floor = floors[q]
-        for page in np.argsort(least[q], kind="stable"):
-            reach = math.sqrt(max(0.0, square[q] + longest - 2 * floor)) * (1 + SLACK) + SLACK if floor > -math.inf else math.inf
-            if least[q, page] > reach:
-                break
-            a, b = edge[page], edge[page + 1]
-            near = a + np.flatnonzero(np.abs(parent[a:b] - to_page[q, page]) <= reach)
-            scores = rows[near] @ queries[q]
-            found = [(-int(scores[i]), x) for i in np.flatnonzero(scores >= floor) for x in ids[near[i]] if x != own[q]]
-            if found:
-                best = sorted(best + found)[:k]
-                if len(best) == k:
-                    floor = max(floor, -best[-1][0])
-        for score, x in best:
+    edge, parent, floors = tree["edge"], tree["parent"], floors.copy()
+    nearest = np.argsort(least, axis=1, kind="stable")
+    every, active = np.arange(len(queries)), np.ones(len(queries), bool)
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    for turn in range(nearest.shape[1]):  # each query's next page; queries of one page together
+        page = nearest[:, turn]
+        reach = np.full(len(queries), math.inf)
+        known = floors > -math.inf
+        reach[known] = np.sqrt(np.maximum(0, square[known] + longest - 2 * floors[known])) * (1 + SLACK) + SLACK
+        active &= least[every, page] <= reach  # all that a query has left is farther away
+        changed = set()
+        for p in np.unique(page[active]):
+            own_turn = np.flatnonzero(active & (page == p))
+            a, b = edge[p], edge[p + 1]
+            chance = np.abs(parent[a:b, None] - to_page[own_turn, p]) <= reach[own_turn]
+            near = a + np.flatnonzero(chance.any(axis=1))
+            scores = rows[near] @ queries[own_turn].T
+            for i, j in zip(*np.nonzero(scores >= floors[own_turn])):
+                q = own_turn[j]
+                found = [(-int(scores[i, j]), x) for x in ids[near[i]] if x != own[q]]
+                best[q] += found
+                if found:
+                    changed.add(q)
+        for q in changed:
+            best[q] = sorted(best[q])[:k]
+            if len(best[q]) == k:
+                floors[q] = max(floors[q], -best[q][-1][0])
+    for q, found in enumerate(best):
+        for score, x in found:
             yield q, x, -score
 
 
@@ -195,17 +207,23 @@ def largest_products(
     shape = "size int, cell int, part int, routing binary, radius array<double>, edge array<bigint>, vectors binary, parent array<double>, ids array<array<bigint>>"
     trees = materialise(placed.groupBy("size", "cell", "part").applyInArrow(build, shape), "trees")
 
+    seeds_of = {
+        size: (_matrix([v for v, found in own for _ in found]), np.array([x for _, found in own for x in found], np.int64)) for size, own in by_size.items()}
+
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k-th product of each query with the seeds, none if there are fewer."""
         for batch in batches:
-            ids, vecs = batch.column("id").to_pylist(), batch.column("vec").to_pylist()
-            out = [None] * len(ids)
-            for size, own in by_size.items():
-                seed, seed_ids = _matrix([v for v, _ in own]), [x for _, x in own]
-                for i in (i for i, v in enumerate(vecs) if len(v) == size):
-                    scores = seed @ np.frombuffer(vecs[i], "<i4").astype(np.float64)
-                    best = sorted((s for j in np.argsort(-scores, kind="stable")[:k + 1] for s in [scores[j]] * sum(x != ids[i] for x in seed_ids[j])), reverse=True)
-                    out[i] = float(best[k - 1]) if len(best) >= k else None
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], ["id", "vec", "floor"])
+            ids, vecs = batch.column("id").to_numpy(), batch.column("vec").to_pylist()
+            out = np.full(len(ids), -np.inf)
+            sizes = np.array([len(v) for v in vecs])
+            for size, (rows, names) in seeds_of.items():
+                for at in np.array_split(np.flatnonzero(sizes == size), max(1, len(ids) // 256)):
+                    if len(at) and len(names) >= k:
+                        scores = _matrix([vecs[i] for i in at]) @ rows.T
+                        scores[names == ids[at, None]] = -np.inf
+                        out[at] = np.partition(scores, len(names) - k, axis=1)[:, -k]
+            column = pa.array(out, pa.float64(), mask=np.isinf(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], ["id", "vec", "floor"])
 
     queries = all_rows.filter(is_query(F.col("id"))).mapInArrow(floors, "id long, vec binary, floor double")
     queries = materialise(queries, "queries").withColumn("size", F.octet_length("vec"))
