@@ -285,7 +285,6 @@ def without_leaks(
 
     Each slice of the benchmark is a pass over what the slices before it have left.
     """
-    names = docs.columns
     items, slices = _slices(benchmark, item, item_text, slice_chars)
 
     def passed(df: DataFrame, held) -> DataFrame:
@@ -293,10 +292,10 @@ def without_leaks(
             index = _index_of(held.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in search(index, [t or "" for t in batch.column("__text").to_pylist()])]] = False
-                yield batch.select(names).filter(pa.array(keep))
+                keep[[f[0] for f in search(index, [t or "" for t in batch.column(text).to_pylist()])]] = False
+                yield batch.filter(pa.array(keep))
 
-        return df.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, df.schema)
+        return df.mapInArrow(run, df.schema)
 
     for n in range(slices):
         docs = passed(docs, docs.sparkSession.sparkContext.broadcast(_slice(items, n, slices)))

@@ -31,13 +31,23 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn_from: C
     return held.groupBy("__id").agg(F.min("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("__id", "label", "text")
 
 
+TEXTS_AT_ONCE = 512
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that what is made from their texts stays small."""
+    for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score`` of every row. ``score`` gets the whole texts of a batch; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = score([t or "" for t in batch.column("__text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(values, pa.float64())], [key, "score"])
+        for whole in batches:
+            for batch in _slices(whole):
+                values = score([t or "" for t in batch.column("__text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(values, pa.float64())], [key, "score"])
 
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
@@ -46,15 +56,15 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], key: str =
 
 def kept(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``keep`` allows by the score of their text."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            yield batch.select(names).filter(pa.array(keep(score(texts)), pa.bool_()))
+        for whole in batches:
+            for batch in _slices(whole):
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                yield batch.filter(pa.array(keep(score(texts)), pa.bool_()))
 
     ship(docs.sparkSession)
-    return docs.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
