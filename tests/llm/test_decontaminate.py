@@ -82,6 +82,21 @@ def test_long_texts_are_searched_in_pieces(monkeypatch):
     assert [f[:2] for f in d.search(d.Index([0], [item]), ["", text, item])] == [(1, 0), (2, 0)]
 
 
+@pytest.mark.parametrize("cut", range(5))
+def test_a_hit_belongs_to_its_own_text_whatever_the_neighbours(spark, cut):
+    rng = random.Random(9)
+    item, clean = normal(prose(rng, 16))[:80], prose(rng, 30)
+    assert len(item) == 80 and item[0] != " " != item[-1]
+    index = d.Index([0], [item])
+    for text in (item[cut:].strip(), item[:80 - cut].strip()):
+        alone = [(1, *f[1:]) for f in d.search(index, [text])]
+        assert alone == [(1, 0, 0, len(text), 80 - len(text))] or len(text) < 76 and not alone
+        assert d.search(index, [clean, text, clean]) == alone
+    benchmark = spark.createDataFrame([(1, item, 0)], ITEMS)
+    table = documents(spark, [(1, clean), (2, item[cut:].strip()), (3, clean)]).coalesce(1)
+    assert {r.doc_id for r in d.without_leaks(table, benchmark).collect()} == ({1, 3} if alone else {1, 2, 3})
+
+
 def test_awkward_tables(spark):
     rng = random.Random(8)
     df = awkward(spark, rng)

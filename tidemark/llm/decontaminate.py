@@ -114,53 +114,63 @@ class Index:
         own = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return self.item[own], self.place[own].astype(np.int64), np.repeat(at + offset, n)
 
-    def regions(self, codes: np.ndarray) -> np.ndarray:
-        """(item, window start, least diagonal of the band) of windows that share grams enough within a band."""
+    def regions(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(item, window start, least diagonal of the band, text) of windows that share grams enough within a band.
+
+        ``codes`` are texts one after the other with a character between them, ``first`` where each begins and the
+        next would. Grams count together only if they are of one text.
+        """
         item, place, at = self.hits(codes)
         if not len(item):
-            return np.zeros((0, 3), np.int64)
-        diagonal = at - place
+            return np.zeros((0, 4), np.int64)
+        diagonal, text = at - place, np.searchsorted(first, at, "right") - 1
         band = diagonal // BAND
         # a band also holds the first diagonals of the next, as many as edits can drift
         shared = diagonal % BAND < self.edits[item]
-        item, place, band = (np.concatenate([x, y[shared]]) for x, y in ((item, item), (place, place), (band, band - 1)))
+        pairs = ((item, item), (place, place), (band, band - 1), (text, text))
+        item, place, band, text = (np.concatenate([x, y[shared]]) for x, y in pairs)
         size = int(band.max() - band.min()) + 1
-        group = item.astype(np.int64) * size + (band - band.min())
+        group = (text * len(self.ids) + item) * size + (band - band.min())
         # an item's window cannot share more grams than its whole band
         _, back, n = np.unique(group, return_inverse=True, return_counts=True)
         enough = n[back] >= self.need[item]
-        item, place, band, group = item[enough], place[enough], band[enough], group[enough]
+        item, place, band, text, group = item[enough], place[enough], band[enough], text[enough], group[enough]
         order = np.lexsort((place, group))
-        item, place, band, group = item[order], place[order], band[order], group[order]
+        item, place, band, text, group = item[order], place[order], band[order], text[order], group[order]
         out = []
         edge = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(edge, np.append(edge[1:], len(group))):
             i = int(item[a])
             starts, own = self.starts(i), place[a:b]
             count = np.searchsorted(own, starts + self.window[i] - self.q, "right") - np.searchsorted(own, starts)
-            out += [(i, s, int(band[a]) * BAND) for s in starts[count >= self.need[i]]]
-        return np.array(out, np.int64).reshape(-1, 3)
+            out += [(i, s, int(band[a]) * BAND, int(text[a])) for s in starts[count >= self.need[i]]]
+        return np.array(out, np.int64).reshape(-1, 4)
 
-    def aligned(self, codes: np.ndarray, regions: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Item, edits, and start and end in ``codes`` of the regions whose window aligns within its edits."""
+    def aligned(self, codes: np.ndarray, regions: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Text, item, edits, and start and end in ``codes`` of the regions whose window aligns with their text within its edits."""
         for i in np.unique(regions[:, 0]):
             own = regions[regions[:, 0] == i]
             width, edits = int(self.window[i]), int(self.edits[i])
             for part in np.array_split(own, max(1, len(own) // 512)):
                 window = self.codes[i][part[:, 1:2] + np.arange(width)]
                 least = part[:, 1] + part[:, 2] - edits  # of the text places that the window's first character may meet
-                cost, start = banded_distance(window, codes, least, BAND + 3 * edits + 1)
+                low, high = first[part[:, 3]], first[part[:, 3] + 1] - 1
+                cost, start = banded_distance(window, codes, least, BAND + 3 * edits + 1, low, high)
                 best = cost.argmin(axis=1)
                 rows = np.arange(len(part))
                 for r in np.flatnonzero(cost[rows, best] <= edits):
-                    yield int(i), int(cost[r, best[r]]), int(start[r, best[r]]), int(least[r] + best[r] + width)
+                    a, b = max(start[r, best[r]], low[r]), min(least[r] + best[r] + width, high[r])
+                    yield int(part[r, 3]), int(i), int(cost[r, best[r]]), int(a), int(b)
 
 
-def banded_distance(window: np.ndarray, codes: np.ndarray, least: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+def banded_distance(
+    window: np.ndarray, codes: np.ndarray, least: np.ndarray, band: int, low: np.ndarray, high: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
     """Edits of whole windows against any part of the text, within a band of diagonals.
 
     Row r of ``window`` may begin at the text places ``least[r]`` to ``least[r] + band - 1``. Returns, for each diagonal
-    where an alignment may end, the least edits and the text place where it begins. Places beyond the text match nothing.
+    where an alignment may end, the least edits and the text place where it begins. The row's text lies from ``low[r]`` to
+    before ``high[r]``; places beyond it match nothing.
     """
     n, width = window.shape
     far = 1 << 20
@@ -170,7 +180,7 @@ def banded_distance(window: np.ndarray, codes: np.ndarray, least: np.ndarray, ba
     step = np.arange(band)
     for k in range(width):
         at = places + k
-        inside = (at >= 0) & (at < len(codes))
+        inside = (at >= low[:, None]) & (at < high[:, None])
         text = np.where(inside, codes[np.clip(at, 0, max(0, len(codes) - 1))], nothing) if len(codes) else np.full(at.shape, nothing)
         diagonal = cost + (text != window[:, k:k + 1])
         # a character of the window that the text lacks: from the next diagonal
@@ -199,17 +209,14 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
             end += 1
         # the character between two texts is in no item, so no gram spans two
         codes = _codes("\0".join(forms[at:end]))
-        regions = index.regions(codes)
+        first = np.cumsum([0, *(len(f) + 1 for f in forms[at:end])])
+        regions = index.regions(codes, first)
         if len(regions):
-            first = np.cumsum([0, *(len(f) + 1 for f in forms[at:end])])
             found: dict[tuple[int, int], list[int]] = {}
-            for i, cost, a, b in index.aligned(codes, regions):
-                a = max(a, 0)
-                t = int(np.searchsorted(first, a, "right")) - 1
-                a, b = a - int(first[t]), min(b, int(first[t + 1]) - 1) - int(first[t])
-                if b > a:
-                    own = found.setdefault((at + t, i), [a, b, cost])
-                    found[at + t, i] = [min(own[0], a), max(own[1], b), min(own[2], cost)]
+            for t, i, cost, a, b in index.aligned(codes, regions, first):
+                a, b = a - int(first[t]), b - int(first[t])
+                own = found.setdefault((at + t, i), [a, b, cost])
+                found[at + t, i] = [min(own[0], a), max(own[1], b), min(own[2], cost)]
             for (t, i), (a, b, cost) in sorted(found.items()):
                 a, b = origins(texts[t], [a, b - 1])
                 out.append((t, i, a, b + 1, cost))
