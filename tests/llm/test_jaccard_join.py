@@ -93,5 +93,19 @@ def test_awkward_table(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8, None}
 
 
+def test_null_repeated_and_shared_keys(spark):
+    rng = random.Random(6)
+    base, other, clean, lone = (prose(rng, 150) for _ in range(4))
+    near, far = _family(rng, base, 2, 3), [other, " ".join([*other.split()[:-1], "changed"])]
+    rows = [(1, base), (None, near[0]), (2, near[1]), (2, clean), (None, far[0]), (None, far[0]), (None, far[1]),
+            (3, lone), (3, lone), (3, lone), (4, ""), (4, ""), (None, None)]
+    df = documents(spark, rows)
+    assert _got(df) == _want(rows)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.without_near_copies(df).collect()]
+    assert [t for _, t in kept if t in (far[0], far[1])] in ([far[0]], [far[1]])
+    assert sorted(r for r in kept if r[1] not in far and r[0]) == sorted([(1, base), (2, clean), (3, lone), (4, ""), (4, "")])
+    assert len(kept) == 7 and (None, None) in kept
+
+
 def test_empty_table(spark):
     assert jaccard_join.similar_documents(documents(spark, [])).count() == 0

@@ -35,5 +35,14 @@ def test_awkward_table(spark):
     assert next(r.text for r in kept.collect() if r.doc_id == 5) == ""
 
 
+def test_near_copies_in_rows_without_a_key(spark):
+    rng = random.Random(3)
+    base, other = prose(rng, 120), prose(rng, 120)
+    near, far = (" ".join([*t.split()[:-1], "changed"]) for t in (base, other))
+    df = documents(spark, [(1, base), (None, near), (None, other), (None, f"x\n{far}")])
+    got = sorted(((r.doc_id, r.paragraph, r.class_doc, r.occurrences) for r in paragraphs.repeated_paragraphs(df).collect()), key=str)
+    assert got == sorted([(1, 0, 1, 2), (None, 0, 1, 2), (None, 0, None, 2), (None, 1, None, 2)], key=str)
+
+
 def test_empty_table(spark):
     assert paragraphs.repeated_paragraphs(documents(spark, [])).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialise, ship
 from . import minhash
@@ -32,6 +33,21 @@ def signatures(docs: DataFrame, key: str, text: str, bands: int, words: int) ->
     return docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"__id {kind}, node binary, bands array<bigint>")
 
 
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``__node``, the content key of each row's text; null without words."""
+    names = docs.columns
+    plain = dict(docs.dtypes)[text] == "string"  # no second copy of the texts then
+    source = docs if plain else docs.withColumn("__text", F.col(text).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = (minhash.words_of(t.as_py()) for t in batch.column(text if plain else "__text"))
+            nodes = pa.array([minhash.content_key(w) if w else None for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, nodes], [*names, "__node"])
+
+    return source.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
+
+
 def similar_documents(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = minhash.SIMILARITY,
     words: int = minhash.WORDS, recall: float = RECALL,
@@ -48,6 +64,16 @@ def similar_documents(
     A null or empty text is in a class of its own, without links, with one copy. A row without a key takes part and
     never names a class unless none of the class has a key. Repeated rows count as copies. An empty table gives no rows.
     """
+    signed, named = _named(docs, key, text, similarity, words, recall)
+    out = signed.select("__id", "node").join(named.select("node", "class_id", "n_links", "n_copies"), "node", "left")
+    return out.select(
+        F.col("__id").alias(key), F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+    )
+
+
+def _named(docs: DataFrame, key: str, text: str, similarity: float, words: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``__id, node`` of each row, and ``node, class_id, kept, n_links, n_copies`` of each text; kept is its class's node that stays."""
     ship(docs.sparkSession)
     bands = minhash.bands_for(similarity, recall)
     signed = materialise(signatures(docs, key, text, bands, words), "signatures")
@@ -55,25 +81,36 @@ def similar_documents(
     texts = materialise(texts, "texts")
 
     def with_grams(members: DataFrame) -> DataFrame:
-        wanted = members.join(texts.select("node", "rep"), "node")
-        # the key of a text is worth checking again: a repeated id may have other texts
-        source = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("__text"))
-        return minhash.grams_of(source.join(wanted, "rep"), ["node", "cluster", "side", "units"], n=words)
+        # by content: a key may be null, repeated or have several texts; copies become one before the shuffle
+        source = keyed(docs.select(F.col(text).cast("string").alias("__copy")), "__copy").filter("__node is not null")
+        source = source.groupBy(F.col("__node").alias("node")).agg(F.first("__copy").alias("__text"))
+        return minhash.grams_of(source.join(members, "node"), ["node", "cluster", "side", "units"], n=words)
 
     classes, counts = minhash.links(texts.select("node", "bands"), with_grams, similarity)
     named = texts.select("node", "rep", "n_copies").join(classes, "node", "left").join(counts, "node", "left")
     named = named.select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = materialise(named, "classes")
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "component").select("node", "class_id", "n_links", "n_copies")
-    out = signed.select("__id", "node").join(named, "node", "left")
-    return out.select(
-        F.col("__id").alias(key), F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-    )
+    first = F.struct(F.col("rep").isNull(), "rep", "node")
+    least = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.min_by("node", first).alias("kept"))
+    return signed, named.join(least, "component").select("node", "class_id", "kept", "n_links", "n_copies")
 
 
-def without_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that name their class: one of each class of near copies, with all their columns."""
-    found = similar_documents(docs, key=key, text=text, **options).filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("__id"))
-    return docs.join(found, docs[key] == F.col("__id"), "left_anti")
+def without_near_copies(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = minhash.SIMILARITY,
+    words: int = minhash.WORDS, recall: float = RECALL,
+) -> DataFrame:
+    """One row of each class of near copies, with all its columns, and all rows with a null or empty text.
+
+    Of a class a row of the least key stays, rows without a key last. Of rows of that key, those of one text only, and of
+    these the one that comes first by a hash of its columns. Rows are told apart by their texts, so other texts of a key
+    stay where one of them goes.
+    """
+    _, named = _named(docs, key, text, similarity, words, recall)
+    gone = named.filter("node <> kept").select("node")
+    # a row without words is a group of its own, by a number shorter than any content key
+    rows = keyed(docs, text).withColumn("__at", F.coalesce("__node", F.unhex(F.hex(F.monotonically_increasing_id()))))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(*plain))
+    # copies become one before the shuffle
+    one = rows.groupBy("__at").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return one.join(gone, F.col("__at") == F.col("node"), "left_anti").select("__row.*")

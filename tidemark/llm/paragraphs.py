@@ -48,26 +48,25 @@ def signed_paragraphs(docs: DataFrame, key: str, text: str, min_words: int, band
     return docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def _grams_of_paragraphs(source: DataFrame) -> DataFrame:
-    """Adds the grams of one paragraph (``paragraph``) of each row's text, if it still is the node's."""
-    carried = ["node", "cluster", "side", "units"]
-    kinds = dict(source.dtypes)
+def _lines(docs: DataFrame, text: str, min_words: int) -> DataFrame:
+    """``node, __text`` of every paragraph of at least ``min_words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, grams = [], []
-            wanted = zip(batch.column("__text").to_pylist(), batch.column("paragraph").to_pylist(), batch.column("node").to_pylist())
-            for at, (t, n, node) in enumerate(wanted):
-                lines = (t or "").split("\n", n + 1)
-                words = minhash.words_of(lines[n]) if n < len(lines) else []
-                if words and minhash.content_key(words) == node:
-                    keep.append(at)
-                    grams.append(minhash.shingles(words).astype("<u8").tobytes())
-            rows = batch.select(carried).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(grams, pa.binary())], [*carried, "grams"])
+            nodes, lines, size = [], [], 0
+            for t in batch.column("__text"):
+                for line in (t.as_py() or "").split("\n"):
+                    words = minhash.words_of(line)
+                    if len(words) >= min_words:
+                        nodes.append(minhash.content_key(words))
+                        lines.append(line)
+                        size += len(line)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(lines, pa.string())], ["node", "__text"])
+                    nodes, lines, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(lines, pa.string())], ["node", "__text"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "grams binary"])
-    return source.select(*carried, "paragraph", "__text").mapInArrow(run, schema)
+    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(run, "node binary, __text string")
 
 
 def repeated_paragraphs(
@@ -93,9 +92,9 @@ def repeated_paragraphs(
     texts = materialise(own.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
 
     def with_grams(members: DataFrame) -> DataFrame:
-        wanted = members.join(texts.select("node", F.col("first.doc").alias("doc"), F.col("first.paragraph").alias("paragraph")), "node")
-        source = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("__text"))
-        return _grams_of_paragraphs(source.join(wanted, "doc"))
+        # by content: a key may be null, repeated or have several texts; copies become one before the shuffle
+        source = _lines(docs, text, min_words).groupBy("node").agg(F.first("__text").alias("__text"))
+        return minhash.grams_of(source.join(members, "node"), ["node", "cluster", "side", "units"])
 
     classes, _ = minhash.links(texts.select("node", "bands"), with_grams, similarity)
     named = texts.select("node", "first", "n").join(classes, "node", "left")
