@@ -111,3 +111,17 @@ def test_content_hash_ignores_order_and_sees_copies_and_nulls(spark):
     assert fingerprint(rows) == fingerprint(rows[::-1])
     assert fingerprint(rows) != fingerprint(rows + rows[:1])
     assert fingerprint([("a", day(0), None)]) != fingerprint([(None, day(0), None)])
+
+
+def test_whole_reports_take_every_column(spark, sf):
+    from tidemark.schema import numeric_columns
+    from tidemark.workload import catalog
+    from tidemark.workload.inputs import climate_full, table
+
+    lineitem, orders, customer = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    for name, want in (("quality_numbers", numeric_columns(lineitem)), ("quality_columns", climate_full(spark, sf).columns),
+                       ("profile_report", orders.columns), ("value_profile", customer.columns)):
+        assert sorted(r.column for r in catalog.QUERIES[f"{name}_whole"](spark, sf).collect()) == sorted(want)
+    whole, repeated = (catalog.QUERIES[f"quality_overview_{x}"](spark, sf).first() for x in ("whole", "repeated"))
+    assert whole.total_columns == repeated.total_columns == len(lineitem.columns)
+    assert repeated.duplicate_rows - whole.duplicate_rows == lineitem.filter("l_linenumber = 1").count() > 0

@@ -271,6 +271,56 @@ def profile_report(spark, sf_dir):
     return rounded(reports.profile_report(rows), 4, "mean", "std").drop("data_type")
 
 
+# The reports above take a few columns each; these take every column of their tables.
+NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+CLIMATE = ("city", "date", "temperature", "humidity", "pressure", "wind_speed", "precipitation", "weather_main", "is_holiday",
+           "is_weekend", "data_source")
+ORDERS = (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False),
+          ("o_orderpriority", False))
+
+
+def _overview_sql(rows: str) -> str:
+    return f"""
+    SELECT CAST(SUM(n) AS BIGINT) AS total_rows, (SELECT CAST(COUNT(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS total_columns,
+           CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows
+    FROM (SELECT COUNT(*) AS n FROM ({rows}) AS l GROUP BY l)"""
+
+
+@query("quality_overview_whole", "A11", _overview_sql("SELECT * FROM lineitem"))
+def quality_overview_whole(spark, sf_dir):
+    return reports.quality_report(table(spark, sf_dir, "lineitem")).overview
+
+
+@query("quality_overview_repeated", "A11", _overview_sql("SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1"))
+def quality_overview_repeated(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return reports.quality_report(rows.unionAll(rows.filter("l_linenumber = 1"))).overview
+
+
+@query("quality_columns_whole", "A11", sql_with(ctes("climate_full"), body="""
+    SELECT "column", missing, ROUND(missing * 100.0 / total, 2) AS missing_percentage FROM (""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", COUNT(*) - COUNT({c}) AS missing, COUNT(*) AS total FROM climate_full""" for c in CLIMATE) + ")"))
+def quality_columns_whole(spark, sf_dir):
+    return reports.quality_report(climate_full(spark, sf_dir)).columns.drop("data_type")
+
+
+@query("quality_numbers_whole", "A11", " UNION ALL ".join(NUMERIC_SQL.format(c=c, t="lineitem") for c in NUMBERS))
+def quality_numbers_whole(spark, sf_dir):
+    return rounded(reports.quality_report(table(spark, sf_dir, "lineitem")).numeric, 4, "mean", "std", "p25", "p50", "p75")
+
+
+@query("value_profile_whole", "A12", " UNION ALL ".join(
+    PROFILE_SQL.format(c=c, t="customer") for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
+def value_profile_whole(spark, sf_dir):
+    return reports.value_profile(table(spark, sf_dir, "customer"))
+
+
+@query("profile_report_whole", "A12 A11", " UNION ALL ".join(
+    f"SELECT * REPLACE (ROUND(p25, 4) AS p25, ROUND(p50, 4) AS p50, ROUND(p75, 4) AS p75) FROM ({_profile_sql(c, n)})" for c, n in ORDERS))
+def profile_report_whole(spark, sf_dir):
+    return rounded(reports.profile_report(table(spark, sf_dir, "orders")), 4, "mean", "std", "p25", "p50", "p75").drop("data_type")
+
+
 @query("content_hash", "A13", sql_with(ctes("cust_events"), body="""
     SELECT region, COUNT(*) AS n_rows,
            CAST(SUM(CAST('0x' || substr(md5(concat_ws('|', customer_id, CAST(date AS VARCHAR),
