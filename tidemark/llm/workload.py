@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, metric_tree, mixing, paragraphs, pii, quality, token_blocks, toxicity, warc
+from . import (
+    decontaminate, filter_audit, jaccard_join, line_rules, metric_tree, mixing, paragraphs, pii, quality, runs, token_blocks, toxicity, warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -132,3 +134,90 @@ FROM scores QUALIFY rank <= 20
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda w: w <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts
+), failed AS (
+  SELECT doc_id, part, (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::INTEGER
+    + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > first, false)::INTEGER AS mask FROM words
+), known AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), orders AS (
+  SELECT '' AS o UNION ALL SELECT o || letter FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(letter) WHERE NOT contains(o, letter)
+), steps AS (
+  SELECT o AS filter_order, step::INTEGER AS step, (1 << (strpos('ABCDE', o[step]) - 1)) AS bit,
+         list_sum([0] || list_transform(string_split(o[1:step - 1], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE 1 << (strpos('ABCDE', c) - 1) END)) AS before
+  FROM orders, range(1, 6) r(step) WHERE length(o) = 5
+)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & (before::INTEGER | bit) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & before::INTEGER = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before::INTEGER <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before::INTEGER = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & before::INTEGER = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM counts, steps GROUP BY part, filter_order, step
+"""
+
+
+@query
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_line_rules"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda w: w <> '') AS w FROM texts
+), windows AS (
+  SELECT r, w[i:i + 2] AS g, i FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), repeated AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r
+), lines AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts
+), inner_lines AS (
+  SELECT r, line, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS x, len(list_filter(string_split_regex(line, '[ \t-\r]+'), lambda w: w <> '')) AS n,
+         length(regexp_replace(line, '[ \t-\r]+', '', 'g')) AS chars FROM lines
+), counted AS (
+  SELECT *, length(regexp_replace(x, '[^|»›•·]+', '', 'g')) AS separators, length(regexp_replace(x, '[^#*$%&|<>~^{}\\=]+', '', 'g')) AS signs,
+         length(regexp_replace(x, '[^!?]+', '', 'g')) AS marks FROM inner_lines WHERE x <> ''
+), judged AS (
+  SELECT r, line, chars, CASE
+    WHEN separators >= 3 AND 4 * separators >= n OR regexp_matches(x, '(?i)^[^a-z0-9]*(?:home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back to top|contact us|about us|site ?map|skip to content|read more|share this|print this page)[^a-z0-9]*$') THEN 'navigation'
+    WHEN length(x) <= 160 AND regexp_matches(x, '(?i)(?:all rights reserved|copyright \(c\)|©|terms of (?:use|service)|privacy policy|cookie policy|(?:uses|accept|enable) cookies|javascript is (?:disabled|required)|enable javascript|subscribe to (?:our|the) newsletter|lorem ipsum|licensed under|released under the|powered by)') THEN 'boilerplate'
+    WHEN right(x, 1) NOT IN ('.', '!', '?', '…', ':', ';', '"', chr(39), '”', '’', '»', ')', ']', '。', '！', '？') OR 10 * signs >= length(x) OR marks > n THEN 'punctuation'
+  END AS rule FROM counted
+), per_text AS (
+  SELECT r, count(*) - count(DISTINCT line) AS dup, coalesce(sum(chars) FILTER (rule IS NOT NULL), 0) AS lost, count(*) FILTER (rule = 'navigation') AS navigation,
+         count(*) FILTER (rule = 'boilerplate') AS boilerplate, count(*) FILTER (rule = 'punctuation') AS punctuation FROM judged GROUP BY r
+), joined AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars, coalesce(navigation, 0) AS lines_navigation,
+         coalesce(boilerplate, 0) AS lines_boilerplate, coalesce(punctuation, 0) AS lines_punctuation
+  FROM words LEFT JOIN repeated USING (r) LEFT JOIN per_text USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 30 * word_chars AS kept FROM joined
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
