@@ -73,8 +73,8 @@ def top_customers(
 
 
 def rows_of_top(df: DataFrame, top: DataFrame, customer: str = "customer_id") -> DataFrame:
-    """The rows of the ranked customers; ``top`` is limited to n rows, so it may be broadcast."""
-    return df.join(F.broadcast(top.select(customer)), customer, "left_semi")
+    """The rows of the ranked customers; a short ranking is broadcast, as Spark sees its size."""
+    return df.join(top.select(customer), customer, "left_semi")
 
 
 def with_z_score(df: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:

@@ -63,11 +63,11 @@ def sequence_windows(
 def flag_dates(df: DataFrame, calendar: DataFrame, flag: str = "is_holiday", date: str = "date") -> DataFrame:
     """1 on the dates the calendar holds, else 0.
 
-    Broadcast: there are at most some millions of distinct dates at all, and joining by date
-    would bring all series of a day into one task.
+    A calendar of usual size is broadcast, as Spark sees its size; a larger one is joined by date, and AQE splits the
+    days that hold very many rows.
     """
     marked = calendar.select(F.col(date)).distinct().withColumn("_on", F.lit(1))
-    return df.join(F.broadcast(marked), date, "left").withColumn(flag, F.coalesce("_on", F.lit(0))).drop("_on")
+    return df.join(marked, date, "left").withColumn(flag, F.coalesce("_on", F.lit(0))).drop("_on")
 
 
 def resample_climate(df: DataFrame, key: Sequence[str], date: str = "date") -> DataFrame:

@@ -36,6 +36,7 @@ class Harmonic:
     use_damped_trend: bool = False
     damping: float = 0.98
     regressors: tuple[str, ...] = ()
+    full_periods: float = 2.0  # a season is used if the series spans so many of its periods, from first to last day
 
     def terms(self) -> list[tuple[str, float | None]]:
         """(name, period) of each coefficient, period None for those that hold for any length."""
@@ -63,7 +64,7 @@ class Harmonic:
         return out + [F.col(r).cast("double") for r in self.regressors]
 
 
-def _solve(xtx: np.ndarray, xty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def solve(xtx: np.ndarray, xty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of a stack of normal equations, and which of them have full rank."""
     scale = np.sqrt(np.maximum(np.einsum("kii->ki", xtx), 1e-300))
     unit = xtx / scale[:, :, None] / scale[:, None, :]
@@ -72,6 +73,11 @@ def _solve(xtx: np.ndarray, xty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return solved / scale, rank_ok
 
 
+def usable_terms(spec: Harmonic, days: np.ndarray) -> np.ndarray:
+    """Which terms series of so many days from first to last have: the seasons of which they span enough periods."""
+    return np.array([[p is None or span >= spec.full_periods * p for _, p in spec.terms()] for span in days]).reshape(len(days), -1)
+
+
 def _moments(df: DataFrame, group: Sequence[str], spec: Harmonic, value: str, date: str) -> DataFrame:
     """The normal equations of each group as arrays: sums of products, combined before the shuffle."""
     terms = spec.design(F.datediff(date, "_origin").cast("double"))
@@ -89,8 +95,7 @@ def _moments(df: DataFrame, group: Sequence[str], spec: Harmonic, value: str, da
 
 def _coefficients(moments: DataFrame, group: Sequence[str], spec: Harmonic) -> DataFrame:
     """Solve the small system of every group; whole Arrow batches of groups at a time."""
-    periods = [p for _, p in spec.terms()]
-    width = len(periods)
+    width = len(spec.terms())
     rows, cols = np.triu_indices(width)
     schema = T.StructType([
         *[moments.schema[g] for g in group],
@@ -100,7 +105,7 @@ def _coefficients(moments: DataFrame, group: Sequence[str], spec: Harmonic) -> D
     ])
     order = [f.name for f in schema]
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
@@ -109,14 +114,14 @@ def _coefficients(moments: DataFrame, group: Sequence[str], spec: Harmonic) -> D
             xtx[:, rows, cols] = np.stack(batch["xtx"].to_numpy())
             xtx[:, cols, rows] = xtx[:, rows, cols]
             xty = np.stack(batch["xty"].to_numpy())
-            # A season needs two full periods; shorter series go without it.
-            usable = np.array([[p is None or count >= 2 * p for p in periods] for count in n])
+            days = (pd.to_datetime(batch["last_date"]) - pd.to_datetime(batch["_origin"])).dt.days + 1
+            usable = usable_terms(spec, days.to_numpy())
             beta = np.zeros((len(batch), width))
             full = np.zeros(len(batch), dtype=bool)
             for mask in np.unique(usable, axis=0):
                 at = np.flatnonzero((usable == mask).all(axis=1))
                 on = np.flatnonzero(mask)
-                beta[np.ix_(at, on)], full[at] = _solve(xtx[np.ix_(at, on, on)], xty[np.ix_(at, on)])
+                beta[np.ix_(at, on)], full[at] = solve(xtx[np.ix_(at, on, on)], xty[np.ix_(at, on)])
             n_terms = usable.sum(axis=1)
             status = np.where(n < 2, "too_short", np.where(~full, "rank_deficient",
                               np.where(n_terms < width, "reduced", "ok")))
@@ -125,7 +130,7 @@ def _coefficients(moments: DataFrame, group: Sequence[str], spec: Harmonic) -> D
             )[order]
 
     ship(moments.sparkSession)
-    return moments.mapInPandas(solve, schema)
+    return moments.mapInPandas(run, schema)
 
 
 def _with_origin(df: DataFrame, key: Sequence[str], date: str) -> DataFrame:
@@ -138,13 +143,14 @@ def fit_harmonic(
     """Parameters per series: ``origin, last_date, n, n_terms, coefficients, status``.
 
     A rank-deficient system (too few rows, a constant regressor) gets its least-norm solution
-    and says so in ``status``; it does not fail the other series.
+    and says so in ``status``; it does not fail the other series. A season is used if the series
+    spans ``spec.full_periods`` of its periods from first to last day, however many days of them are there.
     """
     known = df.filter(F.col(value).isNotNull() & F.col(date).isNotNull())
     return _coefficients(_moments(_with_origin(known, key, date), key, spec, value, date), key, spec)
 
 
-def _predicted(spec: Harmonic, date: Column) -> Column:
+def predicted(spec: Harmonic, date: Column) -> Column:
     t = F.datediff(date, F.col("origin")).cast("double")
     return sum((F.col("coefficients")[i] * x for i, x in enumerate(spec.design(t))), F.lit(0.0))
 
@@ -156,7 +162,7 @@ def fitted_values(
     """``key, date, actual, fitted, residual`` of every training row."""
     joined = df.filter(F.col(value).isNotNull()).join(params.select(*key, "origin", "coefficients"), list(key))
     return joined.select(
-        *key, date, F.col(value).alias("actual"), _predicted(spec, F.col(date)).alias("fitted")
+        *key, date, F.col(value).alias("actual"), predicted(spec, F.col(date)).alias("fitted")
     ).withColumn("residual", F.col("actual") - F.col("fitted"))
 
 
@@ -171,20 +177,22 @@ def predict_harmonic(
     spread = fitted.groupBy(*key).agg(F.stddev_pop("residual").alias("sd"))
     ahead = params.join(spread, list(key)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     ahead = ahead.withColumn("date", F.date_add("last_date", F.col("step")))
-    if spec.regressors:
-        if future is not None:
-            # one row per date, and there are only so many dates
-            by_date = future.groupBy("date").agg(*[F.max(r).alias(r) for r in spec.regressors])
-            ahead = ahead.join(F.broadcast(by_date), "date", "left")
-            ahead = ahead.withColumns({r: F.coalesce(r, F.lit(0)) for r in spec.regressors})
-        else:
-            ahead = ahead.withColumns({r: F.lit(0) for r in spec.regressors})
-    point = ahead.withColumn("forecast", _predicted(spec, F.col("date")))
+    point = with_future(ahead, spec, future).withColumn("forecast", predicted(spec, F.col("date")))
     return with_interval(point, confidence).select(
         *key, "step", "date", F.lit(model).alias("model"), "forecast", "lower_bound", "upper_bound"
     )
 
 
+def with_future(ahead: DataFrame, spec: Harmonic, future: DataFrame | None) -> DataFrame:
+    """The regressors of the days ahead, from a table with a row per date; 0 where it says nothing."""
+    if not spec.regressors:
+        return ahead
+    if future is None:
+        return ahead.withColumns({r: F.lit(0) for r in spec.regressors})
+    by_date = future.groupBy("date").agg(*[F.max(r).alias(r) for r in spec.regressors])
+    return ahead.join(by_date, "date", "left").withColumns({r: F.coalesce(r, F.lit(0)) for r in spec.regressors})
+
+
 def with_interval(df: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Bounds at ``forecast`` plus and minus the normal quantile times ``sd``."""
     z = normal_quantile(confidence)
@@ -393,7 +401,7 @@ def cross_validate_harmonic(
     ).filter(F.col("fold") >= 0)
     params = _coefficients(without, [*key, "fold"], spec).select(*key, "fold", "origin", "coefficients")
     tested = rows.filter(F.col("fold") >= 0).join(params, [*key, "fold"])
-    errors = tested.withColumn("_e", F.col(value) - _predicted(spec, F.col(date))).withColumn("_actual", F.col(value))
+    errors = tested.withColumn("_e", F.col(value) - predicted(spec, F.col(date))).withColumn("_actual", F.col(value))
     return _mean_scores(errors, key)
 
 

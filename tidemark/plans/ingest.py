@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, reports
 from ..schema import check_columns, to_instant
-from ..sources.tabular import write_table
+from ..sources.tabular import new_run, write_table
 
 
 COPIES = "_copies"
@@ -63,11 +63,12 @@ def import_customers(raw: DataFrame, customer: str = "customer_id", date: str =
     return Import(rows, reports.customer_summary_by_region(rows), envelope, kept)
 
 
-def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime | None = None) -> dict:
+def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime | str | None = None) -> dict:
     """Add the cleaned rows to a store, by region and run; other runs and regions stay as they are.
 
-    A run is named by its time, now if none is given. Storing a run again replaces its regions.
-    Rows read and kept, date span and content hash come from the write itself, not a second pass.
+    A run gets a name of its own, so two imports never share one, however close they are. Storing a run of the same
+    ``run_at`` (a time or a name) again replaces its regions. The rows of every file are in order of date and key. Rows
+    read and kept, date span and content hash come from the write itself, not a second pass.
     """
     seen = Observation("import")
     observed = imported.counted.observe(
@@ -75,6 +76,6 @@ def store(imported: Import, path: str, fmt: str = "parquet", run_at: dt.datetime
         F.min("date").alias("start"), F.max("date").alias("end"),
         F.sum(reports.row_bits(imported.rows)).cast("string").alias("content_hash"),
     )
-    run_at = run_at or dt.datetime.now(dt.timezone.utc)
-    write_table(observed.drop(COPIES), path, fmt, partition_by=["region"], run_at=run_at)
+    order = [c for c in ("date", "customer_id") if c in imported.rows.columns]
+    write_table(observed.drop(COPIES), path, fmt, partition_by=["region"], run_at=run_at or new_run(), sort_by=order)
     return seen.get

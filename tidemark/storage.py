@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,6 +30,11 @@ def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+def literal_path(path: str) -> str:
+    """A pattern that matches this path and no other, for sources that read their path as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..storage import fresh_path
+from ..storage import fresh_path, literal_path
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     """A stream of the files of a table, be it a folder or one file.
 
     The source takes one file only as a pattern; with the last letter as a class of its own the pattern matches this
-    path and no other.
+    path and no other, whatever signs its name has.
     """
     path = path.rstrip("/")
-    return spark.readStream.format(fmt).schema(schema).load(f"{path[:-1]}[{path[-1]}]")
+    last = path[-1] if path[-1] not in "\\]^-" else f"\\{path[-1]}"
+    return spark.readStream.format(fmt).schema(schema).load(f"{literal_path(path[:-1])}[{last}]")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

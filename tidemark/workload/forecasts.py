@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_quantile
-from ..operators import clean, features, fill, forecast, residual
+from ..operators import arima, clean, errors, features, fill, forecast, residual
 from ..operators.forecast import Harmonic
 from ..plans import forecasting
 from ..sources import models
@@ -267,7 +267,7 @@ def damped_trend_summary(spark, sf_dir):
 
 
 def design_sql(spec: Harmonic, n: str = "n") -> list[str]:
-    """The value of each term at day ``t``, 0 where the series is too short for the season, as in ``Harmonic.design``."""
+    """The value of each term at day ``t``, 0 where the ``n`` days of the series are too few for the season, as in ``Harmonic.design``."""
     out = ["1.0::DOUBLE"]
     if spec.use_trend:
         out.append("(1 - POW(0.98::DOUBLE, t)) * (0.98::DOUBLE / 0.02::DOUBLE)" if spec.use_damped_trend else "t / 1000.0::DOUBLE")
@@ -278,22 +278,25 @@ def design_sql(spec: Harmonic, n: str = "n") -> list[str]:
     return out + [f"{r}::DOUBLE" for r in spec.regressors]
 
 
-def solve_sql(rows: str, key: str, size: int) -> str:
-    """CTEs from ``rows`` (the key, value, x0, x1, ...) to ``beta`` (the key, b0, b1, ...): the normal equations by elimination."""
+def solve_sql(rows: str, key: str, size: int, prefix: str = "") -> str:
+    """CTEs from ``rows`` (the key, value, x0, x1, ...) to ``beta`` (the key, b0, b1, ...): the normal equations by elimination.
+
+    ``prefix`` goes before the name of every CTE.
+    """
     sums = [f"SUM(x{i} * x{j}) AS m_{i}_{j}" for i in range(size) for j in range(i, size)] + [f"SUM(x{i} * value) AS y_{i}" for i in range(size)]
-    out, last = [f"sums AS (SELECT {key}, {', '.join(sums)} FROM {rows} GROUP BY {key})"], "sums"
+    out, last = [f"{prefix}sums AS (SELECT {key}, {', '.join(sums)} FROM {rows} GROUP BY {key})"], f"{prefix}sums"
     for p in range(size - 1):
         new = []
         for i in range(p + 1, size):
             part = f"CASE WHEN m_{p}_{p} > 1e-9 THEN m_{p}_{i} / m_{p}_{p} ELSE 0 END"
             new += [f"m_{i}_{j} - {part} * m_{p}_{j} AS m_{i}_{j}" for j in range(i, size)] + [f"y_{i} - {part} * y_{p} AS y_{i}"]
-        out.append(f"step_{p} AS (SELECT * REPLACE ({', '.join(new)}) FROM {last})")
-        last = f"step_{p}"
+        out.append(f"{prefix}step_{p} AS (SELECT * REPLACE ({', '.join(new)}) FROM {last})")
+        last = f"{prefix}step_{p}"
     for i in range(size - 1, -1, -1):
         known = "".join(f" - m_{i}_{j} * b{j}" for j in range(i + 1, size))
-        out.append(f"back_{i} AS (SELECT *, CASE WHEN m_{i}_{i} > 1e-9 THEN (y_{i}{known}) / m_{i}_{i} ELSE 0 END AS b{i} FROM {last})")
-        last = f"back_{i}"
-    return ",\n".join([*out, f"beta AS (SELECT {key}, {', '.join(f'b{i}' for i in range(size))} FROM {last})"])
+        out.append(f"{prefix}back_{i} AS (SELECT *, CASE WHEN m_{i}_{i} > 1e-9 THEN (y_{i}{known}) / m_{i}_{i} ELSE 0 END AS b{i} FROM {last})")
+        last = f"{prefix}back_{i}"
+    return ",\n".join([*out, f"{prefix}beta AS (SELECT {key}, {', '.join(f'b{i}' for i in range(size))} FROM {last})"])
 
 
 def harmonic_sql(src: str, key: str, spec: Harmonic) -> str:
@@ -303,14 +306,14 @@ def harmonic_sql(src: str, key: str, spec: Harmonic) -> str:
     total = " + ".join(f"b{i} * x{i}" for i in range(len(xs)))
     return f"""timed AS (
     SELECT *, datediff('day', origin, date)::DOUBLE AS t FROM (
-        SELECT {key}, date, value{more}, MIN(date) OVER s AS origin, COUNT(*) OVER s AS n
+        SELECT {key}, date, value{more}, MIN(date) OVER s AS origin, datediff('day', MIN(date) OVER s, MAX(date) OVER s) + 1 AS n
         FROM {src} WHERE value IS NOT NULL WINDOW s AS (PARTITION BY {key}))),
 terms AS (SELECT *, {', '.join(f'{x} AS x{i}' for i, x in enumerate(xs))} FROM timed),
 {solve_sql('terms', key, len(xs))},
 fits AS (SELECT {key}, date, value AS actual, {total} AS fitted FROM terms JOIN beta USING ({key})),
 ends AS (
     SELECT * FROM beta JOIN (SELECT {key}, STDDEV_POP(actual - fitted) AS sd FROM fits GROUP BY {key}) USING ({key})
-    JOIN (SELECT {key}, COUNT(*) AS n, MIN(date) AS origin, MAX(date) AS last_date FROM timed GROUP BY {key}) USING ({key}))"""
+    JOIN (SELECT {key}, MAX(n) AS n, MIN(date) AS origin, MAX(date) AS last_date FROM timed GROUP BY {key}) USING ({key}))"""
 
 
 def harmonic_ahead_sql(key: str, spec: Harmonic, steps: int, model: str, digits: int, regressors: str = "") -> str:
@@ -403,11 +406,12 @@ def calendar_additive_forecast(spark, sf_dir):
 
 
 @query("trained_models", "F3 F6", sql_with(ctes("nulled"), """gate AS (
-    SELECT customer_id, COUNT(*) AS n_all, COUNT(*) - COUNT(value) AS n_null, COUNT(value) AS n FROM nulled
+    SELECT customer_id, COUNT(*) AS n_all, COUNT(*) - COUNT(value) AS n_null,
+           datediff('day', MIN(date) FILTER (value IS NOT NULL), MAX(date) FILTER (value IS NOT NULL)) + 1 AS days FROM nulled
     GROUP BY customer_id),
 statuses AS (
     SELECT customer_id, model, CASE WHEN n_all < 18 THEN 'too_short' WHEN n_null > n_all * 0.3 THEN 'too_many_nulls'
-           ELSE CASE model WHEN 'harmonic' THEN CASE WHEN n < 14 THEN 'reduced' ELSE 'ok' END ELSE 'ok' END END AS status
+           ELSE CASE model WHEN 'harmonic' THEN CASE WHEN days < 14 THEN 'reduced' ELSE 'ok' END ELSE 'ok' END END AS status
     FROM gate CROSS JOIN (VALUES ('seasonal_naive'), ('mean'), ('drift'), ('autoregressive'), ('harmonic')) AS m(model))""",
     body="SELECT model, status, COUNT(*) AS n_series FROM statuses GROUP BY model, status"))
 def trained_models(spark, sf_dir):
@@ -421,14 +425,16 @@ def trained_models(spark, sf_dir):
     SELECT *, pos // size AS fold FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS pos,
                datediff('day', MIN(date) OVER (PARTITION BY customer_id), date)::DOUBLE AS t,
-               COUNT(*) OVER (PARTITION BY customer_id) // 5 AS size FROM cust_events)),
+               COUNT(*) OVER (PARTITION BY customer_id) // 5 AS size,
+               datediff('day', MIN(date) OVER (PARTITION BY customer_id), MAX(date) OVER (PARTITION BY customer_id)) + 1 AS n
+        FROM cust_events)),
 training AS (
-    SELECT f.customer_id, f.fold, o.value, o.t, COUNT(*) OVER (PARTITION BY f.customer_id, f.fold) AS n
+    SELECT f.customer_id, f.fold, o.value, o.t, o.n
     FROM (SELECT DISTINCT customer_id, fold FROM placed WHERE fold < 5) AS f
     JOIN placed AS o ON o.customer_id = f.customer_id AND o.fold <> f.fold),
 terms AS (SELECT *, {', '.join(f'{x} AS x{i}' for i, x in enumerate(design_sql(WEEK)))} FROM training)""",
     solve_sql("terms", "customer_id, fold", len(design_sql(WEEK))), f"""errors AS (
-    SELECT customer_id, fold, value, ABS(value - ({' + '.join(f'b{i} * ({x})' for i, x in enumerate(design_sql(WEEK, "14")))})) AS e
+    SELECT customer_id, fold, value, ABS(value - ({' + '.join(f'b{i} * ({x})' for i, x in enumerate(design_sql(WEEK)))})) AS e
     FROM placed JOIN beta USING (customer_id, fold)),
 scored AS (
     SELECT customer_id, fold, AVG(e) AS mae, SQRT(AVG(e * e)) AS rmse,
@@ -637,3 +643,123 @@ def weekday_tree_search(spark, sf_dir):
         SELECT *, COUNT(*) OVER (PARTITION BY customer_id) AS n FROM cust_orders) WHERE n >= 12"""))
 def modellable_orders(spark, sf_dir):
     return fill.interpolate_or_mean(clean.modellable(cust_orders(spark, sf_dir), KEY, min_rows=12), KEY, "value")
+
+
+def lagged_sql(src: str, key: str, column: str, lags) -> str:
+    """``src`` with the column's values of that many rows ago."""
+    return ", ".join(f"LAG({column}, {k}) OVER (PARTITION BY {key} ORDER BY date) AS {column}_{k}" for k in lags)
+
+
+def autocorrelated_sql(order: int) -> str:
+    """CTEs from ``continuous`` to ``lines`` (region, f1, f2, level, slope): a straight line whose errors follow an autoregression."""
+    f = [f"f{k}" for k in range(1, order + 1)]
+    late = lambda c: c + "".join(f" - {x} * {c}_{k}" for k, x in enumerate(f, 1))
+    phi = {1: "r1 / r0 AS f1, 0 AS f2", 2: "r1 * (r0 - r2) / (r0 * r0 - r1 * r1) AS f1, (r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1) AS f2"}[order]
+    cov = ", ".join(f"SUM((v - a - b * t) * (v{f'_{k}' if k else ''} - a - b * t{f'_{k}' if k else ''})) AS r{k}" for k in range(order + 1))
+    return f"""timed AS (
+    SELECT region, date, value AS v, datediff('day', MIN(date) OVER (PARTITION BY region), date) / 1000.0::DOUBLE AS t FROM continuous),
+lags AS (SELECT *, {lagged_sql('timed', 'region', 'v', range(1, order + 1))}, {lagged_sql('timed', 'region', 't', range(1, order + 1))} FROM timed),
+late AS (SELECT * FROM lags WHERE v_{order} IS NOT NULL),
+first AS (SELECT region, REGR_INTERCEPT(v, t) AS a, REGR_SLOPE(v, t) AS b FROM late GROUP BY region),
+covariances AS (SELECT region, {cov} FROM late JOIN first USING (region) GROUP BY region),
+phis AS (SELECT region, {phi} FROM covariances),
+less AS (SELECT region, date, {late('v')} AS y, {late('t')} AS x, f1, f2 FROM late JOIN phis USING (region)),
+lines AS (
+    SELECT region, COUNT(*) AS n, MAX(date) AS last_date, ANY_VALUE(f1) AS f1, ANY_VALUE(f2) AS f2, REGR_SLOPE(y, x) AS slope,
+           REGR_INTERCEPT(y, x) / (1 - ANY_VALUE(f1) - ANY_VALUE(f2)) AS level,
+           SQRT((REGR_SYY(y, x) - POW(REGR_SXY(y, x), 2) / REGR_SXX(y, x)) / COUNT(*)) AS sigma FROM less GROUP BY region)"""
+
+
+def _autocorrelated_fit(spark, sf_dir, order):
+    params = errors.fit_autocorrelated(continuous(spark, sf_dir), REGION, TREND_ONLY, order)
+    out = params.select("region", "n", *(F.col("phi")[k].alias(f"phi_{k + 1}") for k in range(order)), F.col("coefficients")[0].alias("level"),
+                        F.col("coefficients")[1].alias("slope"), "sigma", "status")
+    return rounded(rounded(out, 6, *(f"phi_{k + 1}" for k in range(order))), 2, "level", "slope", "sigma")
+
+
+@query("autocorrelated_fit", "F1", sql_with(ctes("region_daily"), CONTINUOUS, autocorrelated_sql(1), body="""
+    SELECT region, n, ROUND(f1, 6) AS phi_1, ROUND(level, 2) AS level, ROUND(slope, 2) AS slope, ROUND(sigma, 2) AS sigma, 'ok' AS status FROM lines"""))
+def autocorrelated_fit(spark, sf_dir):
+    return _autocorrelated_fit(spark, sf_dir, 1)
+
+
+@query("autocorrelated_fit_two_lags", "F1", sql_with(ctes("region_daily"), CONTINUOUS, autocorrelated_sql(2), body="""
+    SELECT region, n, ROUND(f1, 6) AS phi_1, ROUND(f2, 6) AS phi_2, ROUND(level, 2) AS level, ROUND(slope, 2) AS slope,
+           ROUND(sigma, 2) AS sigma, 'ok' AS status FROM lines"""))
+def autocorrelated_fit_two_lags(spark, sf_dir):
+    return _autocorrelated_fit(spark, sf_dir, 2)
+
+
+@query("autocorrelated_forecast", "F1 F2", sql_with(ctes("region_daily"), CONTINUOUS, autocorrelated_sql(1), """ends AS (
+    SELECT l.*, t AS last_t, v - level - slope * t AS e FROM lines AS l JOIN timed AS d ON d.region = l.region AND d.date = l.last_date),
+points AS (
+    SELECT region, step, last_date + step AS date, level + slope * (last_t + step / 1000.0::DOUBLE) + POW(f1, step) * e AS forecast,
+           sigma * SQRT((1 - POW(f1, 2 * step)) / (1 - f1 * f1)) AS sd
+    FROM ends CROSS JOIN (SELECT CAST(unnest(generate_series(1, 14)) AS INTEGER) AS step))""", body=f"""
+    SELECT region, step, date, 'autocorrelated' AS model, ROUND(forecast, 2) AS forecast,
+           ROUND(forecast - {Z95} * sd, 2) AS lower_bound, ROUND(forecast + {Z95} * sd, 2) AS upper_bound FROM points"""))
+def autocorrelated_forecast(spark, sf_dir):
+    params = errors.fit_autocorrelated(continuous(spark, sf_dir), REGION, TREND_ONLY, 1)
+    return rounded(errors.predict_autocorrelated(params, REGION, 14, TREND_ONLY), 2, *BOUNDS)
+
+
+ARIMA_LAGS = (1, 7, 8)
+
+
+def _recursion_sql(name: str, steps: int, w0: str, a0: str, y0: str) -> list[str]:
+    """Columns ``{name}w1, {name}y1, ...`` of the differences and values ahead, written out; ``w0(k)`` and so on name those k days before."""
+    out = []
+    for h in range(1, steps + 1):
+        w = lambda k, h=h: f"{name}w{h - k}" if k < h else w0.format(k - h)
+        a = lambda k, h=h: "0" if k < h else a0.format(k - h)
+        y = lambda k, h=h: f"{name}y{h - k}" if k < h else y0.format(k - h)
+        terms = [f"p{i} * {w(k)}" for i, k in enumerate(ARIMA_LAGS)] + [f"q{i} * {a(k)}" for i, k in enumerate(ARIMA_LAGS)]
+        out.append(f"{' + '.join(terms)} AS {name}w{h}, {name}w{h} + {y(1)} + {y(7)} - {y(8)} AS {name}y{h}")
+    return out
+
+
+ARIMA = ",\n".join([
+    f"""differenced AS (
+    SELECT region, date, value AS y, value - LAG(value, 1) OVER s - LAG(value, 7) OVER s + LAG(value, 8) OVER s AS w
+    FROM continuous WINDOW s AS (PARTITION BY region ORDER BY date)),
+lagged AS (SELECT *, {lagged_sql('differenced', 'region', 'w', range(1, 16))} FROM differenced),
+long_rows AS (
+    SELECT region, w AS value, {', '.join(f'w_{k} AS x{k - 1}' for k in range(1, 16))} FROM lagged WHERE w_15 IS NOT NULL)""",
+    solve_sql("long_rows", "region", 15, "long_"),
+    f"""innovations AS (
+    SELECT lagged.*, w - ({' + '.join(f'b{k - 1} * w_{k}' for k in range(1, 16))}) AS a FROM lagged JOIN long_beta USING (region)),
+with_innovations AS (SELECT *, {lagged_sql('innovations', 'region', 'a', range(1, 9))}, {lagged_sql('innovations', 'region', 'y', range(1, 9))} FROM innovations),
+short_rows AS (
+    SELECT region, w AS value, w_1 AS x0, w_7 AS x1, w_8 AS x2, a_1 AS x3, a_7 AS x4, a_8 AS x5 FROM with_innovations WHERE a_8 IS NOT NULL)""",
+    solve_sql("short_rows", "region", 6, "short_"),
+    """arima_errors AS (
+    SELECT region, COUNT(*) AS n, SUM(POW(value - (b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4 + b5 * x5), 2)) AS sse
+    FROM short_rows JOIN short_beta USING (region) GROUP BY region),
+arima AS (
+    SELECT region, n, b0 AS p0, b1 AS p1, b2 AS p2, b3 AS q0, b4 AS q1, b5 AS q2, SQRT(sse / n) AS sigma,
+           n * LN(sse / n) + 14 AS aic, n * LN(sse / n) + 7 * LN(n) AS bic FROM arima_errors JOIN short_beta USING (region))""",
+])
+
+
+@query("seasonal_arima", "F4", sql_with(ctes("region_daily"), CONTINUOUS, ARIMA, body="""
+    SELECT region, n, ROUND(p0, 5) AS ar_1, ROUND(p1, 5) AS ar_7, ROUND(p2, 5) AS ar_8, ROUND(q0, 5) AS ma_1, ROUND(q1, 5) AS ma_7,
+           ROUND(q2, 5) AS ma_8, ROUND(sigma, 2) AS sigma, ROUND(aic, 2) AS aic, ROUND(bic, 2) AS bic FROM arima"""))
+def seasonal_arima(spark, sf_dir):
+    params = arima.fit_seasonal_arima(continuous(spark, sf_dir), REGION)
+    names = [f"{c}_{k}" for c in ("ar", "ma") for k in ARIMA_LAGS]
+    out = params.select("region", "n", *(F.col(c)[i].alias(f"{c}_{k}") for c in ("ar", "ma") for i, k in enumerate(ARIMA_LAGS)), "sigma", "aic", "bic")
+    return rounded(rounded(out, 5, *names), 2, "sigma", "aic", "bic")
+
+
+@query("seasonal_arima_forecast", "F4 F2", sql_with(ctes("region_daily"), CONTINUOUS, ARIMA, f"""state AS (
+    SELECT * FROM with_innovations JOIN arima USING (region) QUALIFY ROW_NUMBER() OVER (PARTITION BY region ORDER BY date DESC) = 1),
+named AS (SELECT *, y AS y_0, w AS w_0, a AS a_0 FROM state),
+unit AS (SELECT *, {', '.join(f'{1 if k == 0 else 0}::DOUBLE AS u_{k}' for k in range(9))} FROM named),
+paths AS (SELECT *, {', '.join(_recursion_sql('f', 7, 'w_{}', 'a_{}', 'y_{}') + _recursion_sql('g', 7, 'u_{}', 'u_{}', 'u_{}'))} FROM unit),
+points AS (
+    {' UNION ALL '.join(f"SELECT region, {h} AS step, date + {h} AS date, fy{h} AS forecast, sigma * SQRT(1{''.join(f' + gy{j} * gy{j}' for j in range(1, h))}) AS sd FROM paths" for h in range(1, 8))})""",
+    body=f"""SELECT region, step, date, 'seasonal_arima' AS model, ROUND(forecast, 1) AS forecast,
+           ROUND(forecast - {Z95} * sd, 1) AS lower_bound, ROUND(forecast + {Z95} * sd, 1) AS upper_bound FROM points"""))
+def seasonal_arima_forecast(spark, sf_dir):
+    params = arima.fit_seasonal_arima(continuous(spark, sf_dir), REGION)
+    return rounded(arima.predict_seasonal_arima(params, REGION, STEPS), 1, *BOUNDS)
