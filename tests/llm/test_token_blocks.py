@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,10 @@ from tidemark.llm import frames, token_blocks
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ids(text, memo=None):
+    return token_blocks.encode_texts(pa.array([text]), PATH, memo)[0].tolist()
+
+
 def _library(text):
     return token_blocks._tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
 
@@ -47,19 +52,45 @@ def test_few_outliers_become_exceptions():
 @settings(max_examples=80, deadline=None)
 @given(st.text(max_size=80))
 def test_words_give_the_ids_of_whole_texts(text):
-    assert np.frombuffer(token_blocks.encode_texts([text], PATH)[0], "<u4").tolist() == _library(text)
+    assert _ids(text) == _library(text)
 
 
 @pytest.mark.parametrize("text", ["á ́b", "ΟΔΟΣ ΟΔΟΣ", "<|endoftext|>x <|startoftext|>", "don't  I'LL", "1234 ²½", " a b\x85c", "İI ﬁ"])
 def test_awkward_texts_give_the_ids_of_whole_texts(text):
-    assert np.frombuffer(token_blocks.encode_texts([text], PATH)[0], "<u4").tolist() == _library(text)
+    assert _ids(text) == _library(text)
 
 
 def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_blocks, "MEMO_WORDS", 5)
-    texts = [" ".join(f"w{i}x{j}" for j in range(4)) for i in range(9)] + ["w0x0 w8x3"]
+    monkeypatch.setattr(token_blocks, "MEMO_BYTES", 5 * token_blocks.ENTRY_BYTES)
+    texts = [" ".join(f"w{i}x{j}" for j in range(4)) for i in range(9)] + ["w0x0 w8x3 " + "long" * 30, "abc abc, ABC!! x", "w8x3 abc"]
+    memo = token_blocks.Memo()
     for t in texts:
-        assert np.frombuffer(token_blocks.encode_texts([t], PATH)[0], "<u4").tolist() == _library(t)
+        assert _ids(t, memo) == _library(t)
+        assert len(memo.young) + len(memo.old) < 30 and not any(len(w) > token_blocks.MEMO_CHARS for w in memo.young)
+
+
+def test_many_texts_at_once_give_the_ids_of_each():
+    rng = random.Random(9)
+    texts = [None, "", *(prose(rng, rng.randint(0, 50)).replace("a", rng.choice(["a", "Á", "\n", " ,.", "1", "'s "])) for _ in range(80)), "", "x"]
+    ids, n = token_blocks.encode_texts(pa.array(texts).slice(1), PATH)
+    edge = np.concatenate([[0], np.cumsum(n)])
+    assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == [_library(t) for t in texts[1:]]
+
+
+def test_a_tokenizer_without_ends_of_words_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, n = token_blocks.encode_texts(pa.array(["Ab  c\n d", None, "x y"]), path)
+    want = [token_blocks._tokenizer(path).encode(t, add_special_tokens=False).ids for t in ("Ab  c\n d", "", "x y")]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+
+
+@pytest.mark.parametrize("w", range(1, 33))
+def test_packing_round_trips_at_every_width(w):
+    values = np.random.default_rng(w).integers(0, 2**w, (5, frames.BLOCK), np.uint64).astype(np.uint32)
+    bits = (values[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
+    rows = frames._packed(values, w)
+    assert (rows == np.packbits(bits.astype(np.uint8).reshape(5, -1), axis=1, bitorder="little")).all()
+    assert (frames._unpacked(rows, w) == values).all()
 
 
 def test_documents_equal_the_library(spark, sf):

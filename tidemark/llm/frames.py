@@ -21,6 +21,33 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
+def _packed(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below ``2 ** w`` as bytes, ``w`` bits each, lowest bits first: eight values are w bytes, put together in words."""
+    eights = values.reshape(-1, 8).astype(np.uint64)
+    words = np.zeros((len(eights), -(-w // 8)), np.uint64)
+    for i in range(8):
+        word, shift = divmod(w * i, 64)
+        words[:, word] |= eights[:, i] << np.uint64(shift)
+        if shift + w > 64:
+            words[:, word + 1] |= eights[:, i] >> np.uint64(64 - shift)
+    return words.astype("<u8").view(np.uint8)[:, :w].reshape(len(values), -1)
+
+
+def _unpacked(rows: np.ndarray, w: int) -> np.ndarray:
+    """The values of :func:`_packed`."""
+    eights = rows.reshape(-1, w)
+    wide = np.zeros((len(eights), 8 * -(-w // 8)), np.uint8)
+    wide[:, :w] = eights
+    words = wide.view("<u8")
+    out = np.empty((len(eights), 8), np.uint64)
+    for i in range(8):
+        word, shift = divmod(w * i, 64)
+        out[:, i] = words[:, word] >> np.uint64(shift)
+        if shift + w > 64:
+            out[:, i] |= words[:, word + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << w) - 1)).astype(np.uint32).reshape(len(rows), BLOCK)
+
+
 def encode(ids: np.ndarray, lengths: np.ndarray, percentiles: tuple[float, ...] = PERCENTILES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of the documents whose ids lie one after another in ``ids``; no block spans two documents.
 
@@ -62,10 +89,9 @@ def encode(ids: np.ndarray, lengths: np.ndarray, percentiles: tuple[float, ...]
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
         for part in np.array_split(own, max(1, len(own) // 4096)):
-            bits = ((above[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            rows = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+            rows = _packed(above[part] & np.uint32((1 << int(w)) - 1), int(w))
             kept = np.arange(rows.shape[1]) < packed[part][:, None]
-            out[(at[part] + HEAD)[:, None].repeat(rows.shape[1], 1)[kept] + np.nonzero(kept)[1]] = rows[kept]
+            out[((at[part] + HEAD)[:, None] + np.arange(rows.shape[1]))[kept]] = rows[kept]
     block, place = np.nonzero(odd)
     nth_odd = np.arange(len(block)) - (np.cumsum(exceptions) - exceptions)[block]
     out[(at + HEAD + packed)[block] + nth_odd] = place
@@ -89,8 +115,7 @@ def decode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for part in np.array_split(own, max(1, len(own) // 4096)):
             places = (at[part] + HEAD)[:, None] + np.arange(BLOCK * w // 8)
             rows = data[np.minimum(places, len(data) - 1)]
-            bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-            above[part] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            above[part] = _unpacked(rows, int(w))
     block = np.repeat(np.arange(len(at)), exceptions)
     nth = np.arange(len(block)) - (np.cumsum(exceptions) - exceptions)[block]
     place = data[(at + HEAD + packed)[block] + nth]

@@ -7,15 +7,17 @@ and a tail that says how long the two are. Shards of a folder are numbered in do
 
 from __future__ import annotations
 
+import re
 import string
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +27,13 @@ from . import files, frames
 
 TAIL = "<QQ"
 SHARD_BYTES = 64 << 20
-MEMO_WORDS = 800_000
+MEMO_BYTES = 12 << 20
 MEMO_CHARS = 64
+ENTRY_BYTES = 200  # what a dictionary needs for an entry beside its letters and ids
+WORDS_AT_ONCE = 2048
 SIGNS = string.punctuation.replace("'", "")  # an apostrophe may begin a token of letters
-FIRST_ODD_LETTER = "\u0130"
+#: Letters whose lower case is one letter of the same form.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f"
 
 
 @cache
@@ -40,10 +45,30 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@cache
-def _memo(path: str) -> dict[str, bytes]:
-    """Ids of words met before, kept while the worker lives; never more than ``MEMO_WORDS``."""
-    return {}
+class Memo:
+    """Ids of words met lately in a task: of two generations that take ``MEMO_BYTES`` each, the older one goes."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def ids_of(self, words: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of each word; ``encode`` gives those of the words that are not known."""
+        out = list(map(self.young.get, words))
+        lacking = [i for i, ids in enumerate(out) if ids is None]
+        for i in lacking:
+            out[i] = self.old.get(words[i])
+        new = [i for i in lacking if out[i] is None]
+        for i, ids in zip(new, encode([words[i] for i in new]) if new else ()):
+            out[i] = ids
+        for i in lacking:
+            if len(words[i]) <= MEMO_CHARS:
+                self.young[words[i]] = out[i]
+                self.bytes += len(words[i]) + len(out[i]) + ENTRY_BYTES
+        if self.bytes > MEMO_BYTES:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        return out
 
 
 @cache
@@ -54,52 +79,99 @@ def _takes_parts(path: str) -> bool:
     return all(ids(whole) == [i for p in parts for i in ids(p)] for whole, parts in probes)
 
 
-def _ids_of(parts: list[str], path: str) -> Iterator[bytes]:
-    return (array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast(parts, add_special_tokens=False))
+@cache
+def _ends(path: str) -> np.ndarray:
+    """For each id whether its token ends a word; none do where the tokenizer marks no ends."""
+    tokenizer = _tokenizer(path)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix:
+        out[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    return out
 
 
-def encode_texts(texts: Sequence[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, as the library gives them for the whole text.
+def _ids_of(parts: Sequence[str], path: str) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast(list(parts), add_special_tokens=False)]
 
-    Where the tokenizer drops blanks and no token, merge or composed character spans one, a text's ids are those of its
-    parts between blanks, in order. Each part is given to the library once, and of a part that is letters and signs after
-    them only the lower-case letters and the signs, which the tokenizer takes apart just so. Any other tokenizer gets
-    the whole texts.
+
+def _ids_of_words(words: list[str], path: str) -> list[bytes]:
+    """Ids of words of one kind each: letters alone, signs alone, or nothing.
+
+    The library gets many at once, parted by blanks, and their ids are cut where a token ends a word. Where the cuts are
+    not as many as the words, it gets them one by one.
     """
-    if not _takes_parts(path):
-        return list(_ids_of([t or "" for t in texts], path))
-    memo = _memo(path)
-    words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*words).difference(memo)
-    if len(memo) + len(new) > MEMO_WORDS:
-        memo.clear()
-        new = set().union(*words)
-    wanted, joined = set(), {}
-    for w in new:
-        core = w.rstrip(SIGNS)
-        # beyond these letters lower case may have other lengths or forms
-        if core.isalpha() and max(core) < FIRST_ODD_LETTER:
-            low = core.lower()
-            if low != w:
-                joined[w] = (low, w[len(core):])
-                wanted.update(joined[w])
-                continue
-        wanted.add(w)
-    ask = list(wanted.difference(memo))
-    if ask:
-        memo.update(zip(ask, _ids_of(ask, path)))
-    memo.update((w, memo[low] + memo[signs]) for w, (low, signs) in joined.items())
-    out = [b"".join(map(memo.__getitem__, ws)) for ws in words]
-    for w in {*new, *ask}:
-        if len(w) > MEMO_CHARS:
-            del memo[w]
+    out: list[bytes] = []
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        some = words[at:at + WORDS_AT_ONCE]
+        if "" in some:
+            out += _ids_of(some, path)
+            continue
+        ids = np.array(_tokenizer(path).encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(_ends(path)[ids]) + 1
+        if len(cut) != len(some) or len(ids) != cut[-1]:
+            out += _ids_of(some, path)
+            continue
+        raw, edge = ids.astype("<u4").tobytes(), [0, *(4 * cut).tolist()]
+        out += [raw[a:b] for a, b in zip(edge, edge[1:])]
     return out
 
 
-def _some_texts(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``most`` bytes of text, one row at least."""
-    import pyarrow.compute as pc
+def _taken_apart(parts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Letters in lower case, the signs after them, and whether a part is so made; the others are whole in the first."""
+    found = pc.extract_regex(parts, f"^(?P<letters>[{LETTERS}]+)(?P<signs>[{re.escape(SIGNS)}]*)$")
+    plain = pc.is_valid(found)
+    letters = pc.utf8_lower(pc.struct_field(found, "letters"))
+    return pc.coalesce(letters, parts), pc.fill_null(pc.struct_field(found, "signs"), ""), plain
+
+
+def _looked_up(words: pa.Array, memo: Memo, encode: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the distinct words, one after another, with each word's first place and number among them."""
+    distinct = pc.dictionary_encode(words)
+    coded = memo.ids_of(distinct.dictionary.to_pylist(), encode)
+    size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    at = distinct.indices.to_numpy()
+    return np.frombuffer(b"".join(coded), "<u4"), (np.cumsum(size) - size)[at], size[at]
 
+
+def _gathered(table: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``table`` that begin at ``first``, one after another."""
+    return table[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def encode_texts(texts: pa.Array, path: str, memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and how many each has, as the library gives them for the whole text.
+
+    Where the tokenizer drops blanks and no token, merge or composed character spans one, a text's ids are those of its
+    parts between blanks, in order, and those of letters with signs after them are those of the lower-case letters and of
+    the signs. Each of these is looked up once for all texts. Any other tokenizer gets the whole texts.
+    """
+    memo = memo or Memo()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not _takes_parts(path):
+        coded = _ids_of(texts.to_pylist(), path)
+        return np.frombuffer(b"".join(coded), "<u4"), np.array([len(x) // 4 for x in coded], np.int64)
+    split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    edge = split.offsets.to_numpy()
+    parts = pc.dictionary_encode(split.flatten())
+    words, signs, plain = _taken_apart(parts.dictionary)
+    whole, few = pc.invert(plain), lambda w: _ids_of_words(w, path)
+    tables = [(words.filter(plain), few), (words.filter(whole), lambda w: _ids_of(w, path)), (signs, few)]
+    (table_w, first_w, size_w), (table_o, first_o, size_o), (table_s, first_s, size_s) = (_looked_up(w, memo, e) for w, e in tables)
+    # of each distinct part the ids of its letters, or of all of it, and those of its signs
+    own, at = np.concatenate([table_w, table_o, table_s]), plain.to_numpy(zero_copy_only=False)
+    first, size = np.empty((len(at), 2), np.int64), np.empty((len(at), 2), np.int64)
+    first[at, 0], size[at, 0] = first_w, size_w
+    first[~at, 0], size[~at, 0] = first_o + len(table_w), size_o
+    first[:, 1], size[:, 1] = first_s + len(table_w) + len(table_o), size_s
+    table, total = _gathered(own, first.ravel(), size.ravel()), size.sum(axis=1)
+    used = parts.indices.to_numpy()
+    n = total[used]
+    before = np.concatenate([[0], np.cumsum(n)])
+    return _gathered(table, (np.cumsum(total) - total)[used], n), np.diff(before[edge - edge[0]])
+
+
+def _some_texts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
@@ -109,33 +181,29 @@ def _some_texts(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iter
 
 
 def tokenised(docs: DataFrame, carried: Sequence[str], path: str, end_id: int, text: str = "text") -> DataFrame:
-    """``carried`` columns, ``n_tokens`` and ``blocks``: each document's ids and the end id, packed."""
+    """``carried`` columns, ``n_tokens``, ``blocks`` (each document's ids and the end id, packed) and ``sizes``, 16 bits for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         for whole in batches:
             for batch in _some_texts(whole, "__text"):
-                end = np.array([end_id], "<u4").tobytes()
-                coded = [x + end for x in encode_texts(batch.column("__text").to_pylist(), path)]
-                lengths = np.array([len(x) // 4 for x in coded], np.int64)
-                data, sizes, per_doc = frames.encode(np.frombuffer(b"".join(coded), "<u4"), lengths)
-                edge = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per_doc)])]
-                raw = data.tobytes()
-                packed = [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]
+                ids, lengths = encode_texts(batch.column("__text"), path, memo)
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                lengths = lengths + 1
+                data, sizes, per_doc = frames.encode(ids, lengths)
+                first = np.concatenate([[0], np.cumsum(per_doc)])
                 columns = [batch.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(lengths), pa.array(packed, pa.binary())], [*carried, "n_tokens", "blocks"]
-                )
+                packed = [_cut(data, np.concatenate([[0], np.cumsum(sizes)])[first]), _cut(sizes.astype("<u2").view(np.uint8), 2 * first)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lengths), *packed], [*carried, "n_tokens", "blocks", "sizes"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "n_tokens long", "blocks binary"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "n_tokens long", "blocks binary", "sizes binary"])
     return docs.select(*carried, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def _block_starts(blocks: bytes) -> Iterator[int]:
-    at = 0
-    while at < len(blocks):
-        yield at
-        at += frames.HEAD + -(-blocks[at + 4] * blocks[at + 5] // 8) + 5 * blocks[at + 6]
+def _cut(data: np.ndarray, edge: np.ndarray) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
 
 
 def _write_shards(folder: str, key: str, most: int):
@@ -144,7 +212,7 @@ def _write_shards(folder: str, key: str, most: int):
         keys: list = []
         sizes: list[int] = []
         counts: list[int] = []
-        starts: list[int] = []
+        starts: list[np.ndarray] = []
         part = None
         done, size = [], 0
 
@@ -152,7 +220,7 @@ def _write_shards(folder: str, key: str, most: int):
             nonlocal out
             docs = pa.table({"key": pa.array(keys, kind), "n_tokens": pa.array(counts, pa.int64()), "first_byte": pa.array(sizes, pa.int64())})
             tables = []
-            for table in (docs, pa.table({"block_start": pa.array(starts, pa.int64())})):
+            for table in (docs, pa.table({"block_start": pa.array(np.concatenate(starts))})):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table)
@@ -164,7 +232,7 @@ def _write_shards(folder: str, key: str, most: int):
 
         for batch in batches:
             kind = batch.schema.field(key).type
-            for k, n, blocks, p in zip(*(batch.column(c).to_pylist() for c in (key, "n_tokens", "blocks", "__part"))):
+            for k, n, blocks, own, p in zip(*(batch.column(c).to_pylist() for c in (key, "n_tokens", "blocks", "sizes", "__part"))):
                 if out is not None and size + len(blocks) > most:
                     close()
                 if out is None:
@@ -173,7 +241,8 @@ def _write_shards(folder: str, key: str, most: int):
                 keys.append(k)
                 counts.append(n)
                 sizes.append(size)
-                starts.extend(size + x for x in _block_starts(blocks))
+                block_sizes = np.frombuffer(own, "<u2").astype(np.int64)
+                starts.append(size + np.cumsum(block_sizes) - block_sizes)
                 out.write(blocks)
                 size += len(blocks)
         if out is not None:
