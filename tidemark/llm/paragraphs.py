@@ -1,4 +1,7 @@
-"""Paragraphs that repeat, exactly or nearly, within and across documents: MinHash banding, exact Jaccard, components."""
+"""Paragraphs that repeat, exactly or nearly, within and across documents: MinHash banding, exact Jaccard, components.
+
+Beside paragraphs, which are lines, passages are found that begin and end anywhere (see ``passages``).
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise, ship
-from . import minhash
+from . import minhash, passages
 
 RECALL = 0.998
 MIN_WORDS = 30
@@ -109,12 +112,40 @@ def repeated_paragraphs(
     )
 
 
+def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Repeated paragraphs and passages as one table, told apart by ``kind``.
+
+    Columns: key, kind, paragraph (null for passages), start, end, class_doc, class_start, occurrences, removed; see
+    :func:`repeated_paragraphs` and ``passages.repeated_passages``. A passage may lie in a repeated paragraph or span
+    several. class_start is the first occurrence's place: a paragraph's number among the lines, a passage's code point.
+    """
+    lines = repeated_paragraphs(docs, key=key, text=text, **options).select(
+        key, F.lit("paragraph").alias("kind"), "paragraph", "start", "end", "class_doc", F.col("class_paragraph").cast("long").alias("class_start"),
+        "occurrences", "removed")
+    found = passages.repeated_passages(docs, key=key, text=text).select(
+        key, F.lit("passage").alias("kind"), F.lit(None).cast("int").alias("paragraph"), "start", "end", "class_doc", "class_start", "occurrences", "removed")
+    return lines.unionByName(found)
+
+
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every removed paragraph, and the line end after it, cut out of the text."""
-    found = repeated_paragraphs(docs, key=key, text=text, **options).filter("removed")
-    # a document's own paragraphs, so no more than its text has
-    gone = found.groupBy(F.col(key).alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
+    """``docs`` with every removed paragraph, and the line end after it, and every removed passage cut out of the text.
+
+    What is cut is found by key and place, so rows of one key with several texts are to be told apart before.
+    """
+    found = repeats(docs, key=key, text=text, **options).filter("removed")
+    until = F.col("end") + F.when(F.col("kind") == "paragraph", 1).otherwise(0)
+    # a document's own spans, so no more than its text has
+    gone = found.groupBy(F.col(key).alias("__id")).agg(F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), until.alias("b")))).alias("__gone"))
     joined = docs.join(gone, docs[key] == F.col("__id"), "left")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda line, n: ~F.array_contains("__gone", n))
-    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+
+    def step(at, span):
+        piece = F.substring(F.col(text), (at["at"] + 1).cast("int"), F.greatest(F.lit(0), span["a"] - at["at"]).cast("int"))
+        return F.struct(F.greatest(at["at"], span["b"]).alias("at"), F.concat(at["left"], F.array(piece)).alias("left"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("left"))
+    rest = lambda at: F.concat(F.array_join(at["left"], ""), F.substring(F.col(text), (at["at"] + 1).cast("int"), F.length(text)))
+    left = F.aggregate("__gone", start, step, rest)
+    # with the last line the line end before it goes
+    last = F.exists("__gone", lambda span: span["b"] > F.length(text))
+    kept = F.when(F.col("__gone").isNull(), F.col(text)).when(last, F.regexp_replace(left, r"\n\z", "")).otherwise(left)
     return joined.select(*(kept.alias(c) if c == text else docs[c] for c in docs.columns))

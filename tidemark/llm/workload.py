@@ -56,7 +56,7 @@ FROM words d LEFT JOIN texts t ON t.w = d.w LEFT JOIN classes c ON c.rep = t.rep
 
 @query
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraphs.repeats(table(spark, sf_dir, "documents"))
 
 
 ORACLES["op4_paragraph_dedup"] = r"""
@@ -81,10 +81,44 @@ links AS (
 ), reach AS (
   SELECT id AS a, id AS b FROM texts UNION SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b
 ), classes AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
-sums AS (SELECT c, sum(n) AS occurrences, min(first) AS kept FROM classes JOIN texts USING (id) GROUP BY c HAVING sum(n) > 1)
-SELECT o.doc_id, o.paragraph, o.s AS start, o.e AS "end", s.kept[1] AS class_doc, s.kept[2] AS class_paragraph, s.occurrences,
+sums AS (SELECT c, sum(n) AS occurrences, min(first) AS kept FROM classes JOIN texts USING (id) GROUP BY c HAVING sum(n) > 1),
+pieces AS (
+  SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \t-\r]')) AS w, generate_subscripts(string_split_regex(coalesce(text, ''), '[ \t-\r]'), 1) AS i FROM documents
+), placed AS (
+  SELECT *, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1)::BIGINT AS start FROM pieces
+), counted AS (
+  SELECT doc_id, lower(w) AS w, length(w) AS n, start, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM placed WHERE w <> ''
+), cuts AS (
+  SELECT *, coalesce((lag(n, 1) OVER d + 2 * lag(n, 2) OVER d + 4 * lag(n, 3) OVER d + 5 * lag(n, 4) OVER d) % 9 = 0, false) AS begins
+  FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+), stretches AS (
+  SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM cuts
+), numbered_words AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id, stretch ORDER BY k) - 1) // 64 AS piece FROM stretches
+), units AS (
+  SELECT doc_id, min(k) AS k, min(start) AS s, max(start + n) AS e, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS t FROM numbered_words GROUP BY doc_id, stretch, piece
+), unit_counts AS (
+  SELECT t, min((doc_id, s)) AS first, count(*) AS n_all FROM units GROUP BY t HAVING min(doc_id) < max(doc_id)
+), repeated_units AS (
+  SELECT u.*, c.first, c.n_all, CASE WHEN u.n >= 5 THEN NOT (u.doc_id = c.first[1] AND u.s = c.first[2]) END AS said
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM units) u JOIN unit_counts c USING (t)
+), stretched AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS stretch FROM repeated_units
+), decided AS (
+  SELECT *, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY doc_id, stretch ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                     first_value(said IGNORE NULLS) OVER (PARTITION BY doc_id, stretch ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), false) AS removed
+  FROM stretched
+), spans AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, stretch, removed ORDER BY unit) AS span FROM decided
+), passages AS (
+  SELECT doc_id, 'passage' AS kind, NULL::INTEGER AS paragraph, min(s) AS start, max(e) AS "end", arg_max(first[1], n * 1000000000 - unit) AS class_doc,
+         arg_max(first[2], n * 1000000000 - unit) AS class_start, arg_max(n_all, n * 1000000000 - unit) AS occurrences, removed
+  FROM spans GROUP BY doc_id, stretch, removed, span HAVING sum(n) >= 20
+)
+SELECT o.doc_id, 'paragraph' AS kind, o.paragraph, o.s AS start, o.e AS "end", s.kept[1] AS class_doc, s.kept[2]::BIGINT AS class_start, s.occurrences,
        NOT (o.doc_id = s.kept[1] AND o.paragraph = s.kept[2]) AS removed
 FROM own o JOIN texts t ON t.w = o.w JOIN classes c ON c.id = t.id JOIN sums s ON s.c = c.c
+UNION ALL SELECT * FROM passages
 """
 
 
