@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_calendar, with_date_parts
+from . import scan
 
 
 def _so_far(key: Sequence[str], date: str, ties: Sequence[str] = (), descending: bool = False):
@@ -23,8 +24,17 @@ def _so_far(key: Sequence[str], date: str, ties: Sequence[str] = (), descending:
     return W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def carry_forward(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
-    """Each null takes the last value before it."""
+def carry_forward(
+    df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = (), every: str | None = None,
+) -> DataFrame:
+    """Each null takes the last value before it.
+
+    With ``every`` (day, hour, ...) a key is scanned by segments of that length, for keys that hold very many rows.
+    """
+    if every:
+        found = scan.known_around(df, key, columns, date, ties, every)
+        filled = found.withColumns({c: F.col(f"_prev_{c}")["v"] for c in columns})
+        return filled.drop("_pos", *(f"_{side}_{c}" for side in ("prev", "next") for c in columns))
     w = _so_far(key, date, ties)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
@@ -51,19 +61,22 @@ def carry_then_zero(df: DataFrame, key: Sequence[str], columns: Sequence[str], d
 
 def _interpolated(
     df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str, lead: bool,
-    ties: Sequence[str] = (),
+    ties: Sequence[str] = (), every: str | None = None,
 ) -> DataFrame:
     """Linear by row position between known values; after the last one its value holds.
 
     Looking back and looking ahead are both running frames, the second over the reversed
     order: a frame to the end of the partition would be evaluated anew for every row.
     """
-    back, ahead = _so_far(key, date, ties), _so_far(key, date, ties, descending=True)
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col(c).cast("double").alias("v")))
-             for c in columns}
-    out = df.withColumn("_pos", F.row_number().over(W.partitionBy(*key).orderBy(date, *ties)))
-    out = out.withColumns({f"_prev_{c}": F.last(known[c], ignorenulls=True).over(back) for c in columns})
-    out = out.withColumns({f"_next_{c}": F.last(known[c], ignorenulls=True).over(ahead) for c in columns})
+    if every:
+        out = scan.known_around(df.withColumns({c: F.col(c).cast("double") for c in columns}), key, columns, date, ties, every)
+    else:
+        back, ahead = _so_far(key, date, ties), _so_far(key, date, ties, descending=True)
+        known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col(c).cast("double").alias("v")))
+                 for c in columns}
+        out = df.withColumn("_pos", F.row_number().over(W.partitionBy(*key).orderBy(date, *ties)))
+        out = out.withColumns({f"_prev_{c}": F.last(known[c], ignorenulls=True).over(back) for c in columns})
+        out = out.withColumns({f"_next_{c}": F.last(known[c], ignorenulls=True).over(ahead) for c in columns})
     filled = {}
     for c in columns:
         prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
@@ -76,23 +89,30 @@ def _interpolated(
     return out.withColumns(filled).drop(*helpers)
 
 
-def linear_fill(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
-    """Interpolate, carry the last value on and the first value back."""
-    return _interpolated(df, key, columns, date, True, ties)
+def linear_fill(
+    df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = (), every: str | None = None,
+) -> DataFrame:
+    """Interpolate, carry the last value on and the first value back; ``every`` as in :func:`carry_forward`."""
+    return _interpolated(df, key, columns, date, True, ties, every)
 
 
-def interpolate(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = ()) -> DataFrame:
-    """Interpolate and carry the last value on; leading nulls stay."""
-    return _interpolated(df, key, columns, date, False, ties)
+def interpolate(
+    df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", ties: Sequence[str] = (), every: str | None = None,
+) -> DataFrame:
+    """Interpolate and carry the last value on; leading nulls stay; ``every`` as in :func:`carry_forward`."""
+    return _interpolated(df, key, columns, date, False, ties, every)
 
 
 def repair_observations(
     df: DataFrame, key: Sequence[str], numbers: Sequence[str], others: Sequence[str] = (), date: str = "date",
-    ties: Sequence[str] = (),
+    ties: Sequence[str] = (), every: str | None = None,
 ) -> DataFrame:
-    """Interpolate the numbers and carry all other columns forward."""
-    out = interpolate(df, key, numbers, date, ties)
-    return carry_forward(out, key, others, date, ties) if others else out
+    """Interpolate the numbers and carry all other columns forward.
+
+    Raw readings of a city are not bounded by the calendar: give ``every`` to scan them by segments of time.
+    """
+    out = interpolate(df, key, numbers, date, ties, every)
+    return carry_forward(out, key, others, date, ties, every) if others else out
 
 
 def interpolate_or_mean(df: DataFrame, key: Sequence[str], column: str, date: str = "date", ties: Sequence[str] = ()) -> DataFrame:

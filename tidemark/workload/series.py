@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import features, fill
+from ..operators import features, fill, scan
 from ..plans import modelling
 from .inputs import (
     KEY, ctes, cust_events, cust_orders, event_regions, holed, nulled, holiday_dates, readings, region_daily, climate_daily,
@@ -338,3 +338,44 @@ def feature_table(spark, sf_dir):
         city_series(spark, sf_dir), ["city"], climate=climate_daily(spark, sf_dir), holidays=holiday_dates(spark, sf_dir)
     )
     return rounded(out, 4, *_FEATURES)
+
+
+RAW_READINGS = """raw_readings AS (
+    SELECT city, event_id, CASE WHEN event_id % 5 <> 0 THEN temperature END AS temperature,
+           CASE WHEN event_id % 3 = 1 THEN humidity END AS humidity, CASE WHEN event_id % 4 = 0 THEN weather_main END AS kind,
+           ROW_NUMBER() OVER (PARTITION BY city ORDER BY ts, event_id) AS date FROM readings)"""
+
+
+def raw_readings(spark, sf_dir):
+    """Single readings of each city, with holes; nothing bounds how many a city has."""
+    part = F.col("event_id")
+    return readings(spark, sf_dir).select(
+        "city", "event_id", "ts", F.when(part % 5 != 0, F.col("temperature")).alias("temperature"),
+        F.when(part % 3 == 1, F.col("humidity")).alias("humidity"), F.when(part % 4 == 0, F.col("weather_main")).alias("kind"))
+
+
+@query("segmented_observations", "G1 G2", sql_with(
+    ctes("readings"), RAW_READINGS, interpolate_sql("repaired", "raw_readings", "city", ["temperature", "humidity"], False), body="""
+    SELECT city, event_id, ROUND(temperature, 4) AS temperature, ROUND(humidity, 4) AS humidity,
+           LAST_VALUE(kind IGNORE NULLS) OVER (PARTITION BY city ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kind
+    FROM repaired"""))
+def segmented_observations(spark, sf_dir):
+    out = fill.repair_observations(raw_readings(spark, sf_dir), ["city"], ["temperature", "humidity"], ["kind"], "ts", ["event_id"], every="day")
+    return rounded(out, 4, "temperature", "humidity").drop("ts")
+
+
+@query("segmented_changes", "W1 W2 W8 W10", sql_with(ctes("readings"), RAW_READINGS, body="""
+    SELECT city, event_id, LAG(temperature, 1) OVER w AS lag_1, LAG(temperature, 7) OVER w AS lag_7,
+           CASE WHEN COUNT(temperature) OVER f = 5 THEN ROUND(AVG(temperature) OVER f, 4) END AS rolling_mean_5,
+           CASE WHEN COUNT(temperature) OVER f = 5 THEN MAX(temperature) OVER f END AS rolling_max_5
+    FROM raw_readings WINDOW w AS (PARTITION BY city ORDER BY date),
+         f AS (PARTITION BY city ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""))
+def segmented_changes(spark, sf_dir):
+    rows = raw_readings(spark, sf_dir).select("city", "event_id", F.struct("ts", "event_id").alias("at"), "ts", "temperature")
+
+    def changes(part, key):
+        lagged = features.add_lags(part, key, "temperature", (1, 7), "at")
+        return features.add_rolling(lagged, key, "temperature", (5,), ("mean", "max"), "at")
+
+    out = scan.in_segments(rows, ["city"], 7, changes, "ts", ["event_id"], every="day")
+    return rounded(out, 4, "rolling_mean_5").drop("at", "ts", "temperature")
