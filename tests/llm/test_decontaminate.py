@@ -113,3 +113,16 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], ITEMS)
     assert d.leaks(none, spark.createDataFrame([(1, "x" * 99, 0)], ITEMS)).count() == 0
     assert d.leaks(some, empty).count() == 0 and d.without_leaks(some, empty).count() == 1
+
+
+def test_slices_are_bounded_however_often_items_repeat(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, 40) for _ in range(12)]
+    rows = [(i % 12, texts[i % 12]) for i in range(3000)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    items, n = d._slices(bench, "item_id", "text", 600)
+    sizes = [sum(len(t) for _, t, _ in d._slice(items, k, n)) for k in range(n)]
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1200
+    docs = documents(spark, [(1, "start " + texts[3] + " end"), (2, prose(rng, 50))])
+    whole, sliced = (d.leaks(docs, bench, slice_chars=k).collect() for k in (10**6, 600))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, sliced)) and len(whole) == 250 and {r.doc_id for r in whole} == {1}

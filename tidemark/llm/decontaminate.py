@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import ship
+from .learning import slices
+from .memory import tidy
 
 Q = 14  # characters of a gram
 WINDOW = 80  # characters of an item that must be found in a document
@@ -224,8 +227,15 @@ def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int
     return out
 
 
-def _index_of(items: list[tuple]) -> Index:
-    return Index([i for i, _ in items], [t for _, t in items])
+_INDEXES: dict[str, Index] = {}
+
+
+def _index_of(items: list[tuple], name: str) -> Index:
+    """The index of a slice, built once in a worker; the last one is kept, under the slice's name."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index([i for i, *_ in items], [t for _, t, *_ in items])
+    return _INDEXES[name]
 
 
 def leaks(
@@ -242,21 +252,25 @@ def leaks(
     and is never found. start and end are in code points of the whole text and span all windows found; edits are those
     of the best one.
 
-    The benchmark goes along with the tasks in slices of about ``slice_chars`` characters (dealt by a hash of the item),
-    as many as it takes, each with a pass over the documents. Null or empty texts on either side match nothing; rows
+    The distinct items go along with the tasks in slices of about ``slice_chars`` characters (dealt by a hash, never more
+    than twice that, but for an item that is longer alone), as many as it takes, each with a pass over the documents. Null or empty texts on either side match nothing; rows
     without a key or item are searched and found all the same. Repeated items and documents give repeated rows. An empty
     table gives no rows. Other columns are not looked at.
     """
-    items, slices = _slices(benchmark, item, item_text, slice_chars)
+    items, n_slices = _slices(benchmark, item, item_text, slice_chars)
     source = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__text"))
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)["item_id"]
 
     def passed(held) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index_of(held.value)
+            index = _index_of(held.value, name)
             ids = pa.array(index.ids, kind)
-            for batch in batches:
-                found = search(index, [t or "" for t in batch.column("__text").to_pylist()])
+            times = [n for _, t, n in held.value if len(normalised(t)) >= Q]  # an item's rows, of those that the index has
+            for batch in (part for whole in batches for part in slices(whole)):
+                found = [f for f in search(index, [t or "" for t in batch.column("__text").to_pylist()]) for _ in range(times[f[1]])]
                 columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id").take(columns[0]), ids.take(columns[1]), *columns[2:]], [key, "item_id", "start", "end", "edits"]
@@ -266,22 +280,33 @@ def leaks(
         return source.mapInArrow(run, f"`{key}` {kinds[0]}, item_id {kinds[1]}, start long, end long, edits long")
 
     out = None
-    for n in range(slices):
-        part = passed(docs.sparkSession.sparkContext.broadcast(_slice(items, n, slices)))
+    for n in range(n_slices):
+        part = passed(docs.sparkSession.sparkContext.broadcast(_slice(items, n, n_slices)))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _slices(benchmark: DataFrame, item: str, item_text: str, slice_chars: int) -> tuple[DataFrame, int]:
+    """The distinct items with their number of rows ``n``, and how many slices hold no more than twice ``slice_chars`` each.
+
+    One item alone may be longer; it is never cut.
+    """
     ship(benchmark.sparkSession)
     items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    return items, max(1, -(-size // slice_chars))
-
-
-def _slice(items: DataFrame, n: int, slices: int) -> list[tuple]:
-    """A part of the items, dealt by a hash; its size is bounded by the parameter, on average."""
-    own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n)
+    items = items.groupBy("item_id", "text").agg(F.count("*").cast("int").alias("n"))
+    total, longest = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    n_slices = max(1, -(-(total or 0) // slice_chars))
+    while n_slices > 1:
+        sizes = items.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices))).agg(F.sum(F.length("text")).alias("size"))
+        if sizes.agg(F.max("size")).first()[0] <= max(2 * slice_chars, longest):
+            break
+        n_slices *= 2
+    return items, n_slices
+
+
+def _slice(items: DataFrame, n: int, n_slices: int) -> list[tuple]:
+    """A part of the items, dealt by a hash."""
+    own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == n)
     return sorted((tuple(r) for r in own.collect()), key=str)
 
 
@@ -292,18 +317,21 @@ def without_leaks(
 
     Each slice of the benchmark is a pass over what the slices before it have left.
     """
-    items, slices = _slices(benchmark, item, item_text, slice_chars)
+    items, n_slices = _slices(benchmark, item, item_text, slice_chars)
 
     def passed(df: DataFrame, held) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index_of(held.value)
-            for batch in batches:
+            index = _index_of(held.value, name)
+            for batch in (part for whole in batches for part in slices(whole)):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in search(index, [t or "" for t in batch.column(text).to_pylist()])]] = False
                 yield batch.filter(pa.array(keep))
 
         return df.mapInArrow(run, df.schema)
 
-    for n in range(slices):
-        docs = passed(docs, docs.sparkSession.sparkContext.broadcast(_slice(items, n, slices)))
+    for n in range(n_slices):
+        docs = passed(docs, docs.sparkSession.sparkContext.broadcast(_slice(items, n, n_slices)))
     return docs

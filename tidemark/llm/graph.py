@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialise
 
+SPREAD = 16  # tasks that the edges of one node are dealt to
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of an edge; the component's name is its least node.
@@ -28,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
         further = nearest.select(F.col("v").alias("at"), F.col("up").alias("further"))
         moves = nearest.join(further, nearest.up == further.at, "left")
         moves = materialise(moves.select(F.col("v").alias("from"), F.coalesce("further", "up").alias("to")), "moves")
-        moved = pairs.join(moves.toDF("u", "u_to"), "u", "left").join(moves.toDF("v", "v_to"), "v")
+        # many edges may begin at one node, so they and copies of its move are dealt out by the other end
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SPREAD)))
+        spread = moves.toDF("u", "u_to").withColumn("part", F.explode(F.lit(list(range(SPREAD))).cast("array<bigint>")))
+        moved = dealt.join(spread, ["u", "part"], "left").join(moves.toDF("v", "v_to"), "v")
         left = materialise(between(F.coalesce("u_to", "u"), F.col("v_to"), moved), "edges")
         renamed = labels.join(moves.toDF("component", "to"), "component", "left")
         renamed = materialise(renamed.select("node", F.coalesce("to", "component").alias("component")), "labels")

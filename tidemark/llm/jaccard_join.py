@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..storage import materialise, ship
 from . import minhash
+from .learning import slices
+from .memory import tidy
 
 RECALL = 0.9999
 
@@ -18,8 +20,9 @@ RECALL = 0.9999
 def signatures(docs: DataFrame, key: str, text: str, bands: int, words: int) -> DataFrame:
     """``__id``, ``node`` (the content key; null without words) and ``bands`` of each document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             nodes, signed = [], []
             for t in batch.column("__text").to_pylist():
                 w = minhash.words_of(t)
@@ -39,8 +42,9 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     plain = dict(docs.dtypes)[text] == "string"  # no second copy of the texts then
     source = docs if plain else docs.withColumn("__text", F.col(text).cast("string"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words = (minhash.words_of(t.as_py()) for t in batch.column(text if plain else "__text"))
             nodes = pa.array([minhash.content_key(w) if w else None for w in words], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, nodes], [*names, "__node"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import ship
+from .memory import tidy
 
 
 def remainder(key: str, modulus: int) -> Column:
@@ -34,7 +35,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn_from: C
 TEXTS_AT_ONCE = 512
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of few rows, so that what is made from their texts stays small."""
     for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
         yield batch.slice(at, TEXTS_AT_ONCE)
@@ -43,9 +44,10 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score`` of every row. ``score`` gets the whole texts of a batch; a null text is an empty one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 values = score([t or "" for t in batch.column("__text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(values, pa.float64())], [key, "score"])
 
@@ -57,9 +59,10 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], key: str =
 def kept(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``keep`` allows by the score of their text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole):
                 texts = [t or "" for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(keep(score(texts)), pa.bool_()))
 

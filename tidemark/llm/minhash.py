@@ -9,12 +9,14 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import discard, materialise
 from . import graph
+from .memory import tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -76,13 +78,36 @@ def content_key(words: list[bytes]) -> bytes:
 def candidate_clusters(signed: DataFrame) -> DataFrame:
     """``node, cluster`` of the nodes that share a band with another. ``signed`` has a row per node: node, bands.
 
-    A bucket's nodes are tied to its least node, not to each other.
+    A bucket's nodes are tied to its least node, not to each other: first within a batch of rows, then the least nodes of
+    all batches, so a bucket sends as many rows through the shuffle as batches know it, however many nodes it has.
     """
-    rows = signed.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    held = materialise(rows.join(shared, "bucket"), "buckets")
-    least = held.groupBy("bucket").agg(F.min("node").alias("v"))
-    return graph.components(held.join(least, "bucket").select(F.col("node").alias("u"), "v"))
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("bucket", pa.int64()), ("u", pa.binary()), ("v", pa.binary())])
+        for batch in batches:
+            nodes = batch.column("node")
+            bands = batch.column("bands")
+            rank = np.argsort(pc.sort_indices(nodes).to_numpy())
+            size = pc.list_value_length(bands).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            bucket = bands.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((rank[owner], bucket))
+            bucket, owner = bucket[order], owner[order]
+            first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else np.zeros(0, np.int64)
+            least = owner[np.repeat(first, np.diff(np.append(first, len(bucket))))] if len(bucket) else owner
+            tied = np.unique(np.stack([owner, least])[:, owner != least], axis=1)
+            take = lambda at: nodes.take(pa.array(at, pa.int64()))
+            own, n = owner[first], tied.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), take(own), pa.nulls(len(own), pa.binary())], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), take(tied[0]), take(tied[1])], schema=kind)
+
+    met = materialise(signed.select("node", "bands").mapInArrow(run, "bucket long, u binary, v binary"), "buckets")
+    rows = met.filter("bucket is not null").select("bucket", "u")
+    shared = rows.groupBy("bucket").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select("bucket", "v")
+    edges = rows.join(shared, "bucket").select("u", "v").unionByName(met.filter("bucket is null").select("u", "v"))
+    out = graph.components(edges)
+    discard(met)
+    return out
 
 
 def with_units(clusters: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -178,6 +203,7 @@ def links(signed: DataFrame, texts, similarity: float = SIMILARITY) -> tuple[Dat
     work = texts(members).withColumn("unit", F.explode("units"))
     found = materialise(verified(work, similarity), "links")
     classes = graph.components(found.filter("v is not null"))
+    discard(members)
     counts = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     return classes, counts
 
@@ -186,6 +212,7 @@ def grams_of(df: DataFrame, carried: list[str], text: str = "__text", key: str =
     """``carried`` columns and grams, for the rows whose text has the content key ``key``."""
     kinds = dict(df.dtypes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(t) for t in batch.column(text).to_pylist()]

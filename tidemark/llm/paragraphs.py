@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, ship
 from . import minhash, passages
+from .memory import tidy
 
 RECALL = 0.998
 MIN_WORDS = 30
@@ -30,6 +31,7 @@ def split_paragraphs(text: str) -> list[tuple[int, int, str]]:
 def signed_paragraphs(docs: DataFrame, key: str, text: str, min_words: int, bands: int) -> DataFrame:
     """``doc, paragraph, start, end, node, bands`` of every paragraph of at least ``min_words`` words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
@@ -54,6 +56,7 @@ def signed_paragraphs(docs: DataFrame, key: str, text: str, min_words: int, band
 def _lines(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     """``node, __text`` of every paragraph of at least ``min_words`` words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, lines, size = [], [], 0

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialise
 from . import minhash
+from .memory import tidy
 
 #: Weights of the lengths of the last words, the latest first, and what their sum is divided by.
 WEIGHTS = (1, 2, 4, 5)
@@ -68,6 +69,7 @@ def unit_starts(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _units(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``row, doc, unit, n_words, start, end, hash`` of all units of all texts; ``row`` numbers the rows, ``unit`` a text's units."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole):

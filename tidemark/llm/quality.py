@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import learning
 from .learning import sigmoid
+from .memory import tidy
 
 WORD_BUCKETS = 1 << 14
 BINS = 12
@@ -129,6 +130,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_o
     """The function that scores texts, learned from labelled documents whose key has another remainder than ``left_out``."""
     own = learning.labelled_texts(docs, labels, label, learning.remainder(key, modulus) != left_out, sample, key, text)
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, value, size, stats = featured(batch.column("text").to_pylist())

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, materialise, ship
 from . import files, frames
+from .memory import tidy
 
 TAIL = "<QQ"
 SHARD_BYTES = 64 << 20
@@ -170,7 +171,7 @@ def encode_texts(texts: pa.Array, path: str, memo: Memo | None = None) -> tuple[
     return _gathered(table, (np.cumsum(total) - total)[used], n), np.diff(before[edge - edge[0]])
 
 
-def _some_texts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _some_texts(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most`` bytes of text, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -183,6 +184,7 @@ def _some_texts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
 def tokenised(docs: DataFrame, carried: Sequence[str], path: str, end_id: int, text: str = "text") -> DataFrame:
     """``carried`` columns, ``n_tokens``, ``blocks`` (each document's ids and the end id, packed) and ``sizes``, 16 bits for each block."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for whole in batches:
@@ -207,6 +209,7 @@ def _cut(data: np.ndarray, edge: np.ndarray) -> pa.Array:
 
 
 def _write_shards(folder: str, key: str, most: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = None
         keys: list = []
@@ -307,6 +310,7 @@ def read_shard(path: str, docs_at_once: int = 2048) -> Iterator[tuple[pa.Array,
 
 
 def _read(spark_manifest: DataFrame, key_type: str, ids: bool, key: str) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first_token").to_pylist()):
