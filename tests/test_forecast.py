@@ -211,3 +211,14 @@ def test_run(spark):
 def test_fit_shuffles_once_by_key(spark):
     assert exchanges(forecast.fit_simple(series(spark, range(20)), ["k"])) == 1
     assert exchanges(forecast.fit_harmonic(series(spark, range(20)), ["k"])) <= 2
+
+
+def test_comparison_ranks_models_by_their_cross_validation(spark):
+    df = series(spark, _values(100), "weekly").unionByName(series(spark, [5.0] * 10, "short"))
+    spec = Harmonic(periods=(7,))
+    trained = forecast.train_all(df, ["k"], spec=spec, min_rows=30)
+    rows = {(r.k, r.model): r for r in forecast.model_comparison(trained, forecast.cross_validated(df, ["k"], spec), ["k"]).collect()}
+    assert len(rows) == 10
+    assert rows["weekly", "harmonic"].rank == 1 and rows["weekly", "mean"].rank == 2 and rows["weekly", "drift"].rank is None
+    assert rows["weekly", "harmonic"].rmse_mean < rows["weekly", "mean"].rmse_mean
+    assert all(rows["short", m].rmse_mean is None and rows["short", m].rank is None for m in ("mean", "harmonic"))

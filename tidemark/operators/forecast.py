@@ -301,6 +301,30 @@ def model_listing(trained: DataFrame) -> DataFrame:
     return trained.groupBy("model", "status").agg(F.count("*").alias("n_series"))
 
 
+def model_comparison(trained: DataFrame, scores: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per series and model: its status beside its cross-validated mae_mean, rmse_mean and mape_mean, and its rank.
+
+    ``scores`` has a row per series and model that was cross-validated (see :func:`cross_validated`); a model without
+    scores, or one whose status says that it was not fitted, has none. Rank 1 is the smallest rmse_mean of the series'
+    models with scores; equal ones are in order of their names.
+    """
+    numbers = ("mae_mean", "rmse_mean", "mape_mean")
+    fitted = F.col("status").isin("ok", "reduced", "rank_deficient")
+    rows = trained.join(scores.select(*key, "model", *numbers), [*key, "model"], "left")
+    rows = rows.withColumns({c: F.when(fitted, F.col(c)) for c in numbers})
+    place = F.row_number().over(W.partitionBy(*key).orderBy(F.col("rmse_mean").asc_nulls_last(), "model"))
+    return rows.withColumn("rank", F.when(F.col("rmse_mean").isNotNull(), place)).select(*key, "model", "status", *numbers, "rank")
+
+
+def cross_validated(
+    df: DataFrame, key: Sequence[str], spec: Harmonic = Harmonic(), value: str = "value", folds: int = 5, date: str = "date",
+) -> DataFrame:
+    """Cross-validation scores of the models that can leave rows out, the mean and the harmonic one, by series and model."""
+    known = df.filter(F.col(value).isNotNull())
+    mean = cross_validate_mean(known, key, value, folds, date).withColumn("model", F.lit("mean"))
+    return mean.unionByName(cross_validate_harmonic(known, key, spec, value, folds, date).withColumn("model", F.lit("harmonic")))
+
+
 def model_summary(fitted: DataFrame, key: Sequence[str], n_params: int | Column, spec: Harmonic | None = None) -> DataFrame:
     """Gaussian AIC and BIC, parameter count, fitted length, residual deviation, model settings."""
     stats = fitted.groupBy(*key).agg(

@@ -763,3 +763,44 @@ points AS (
 def seasonal_arima_forecast(spark, sf_dir):
     params = arima.fit_seasonal_arima(continuous(spark, sf_dir), REGION)
     return rounded(arima.predict_seasonal_arima(params, REGION, STEPS), 1, *BOUNDS)
+
+
+@query("compared_models", "F6 A16", sql_with(ctes("cust_events"), """statuses AS (
+    SELECT customer_id, model, CASE WHEN n < 18 THEN 'too_short' WHEN model = 'harmonic' AND days < 14 THEN 'reduced' ELSE 'ok' END AS status
+    FROM (SELECT customer_id, COUNT(*) AS n, datediff('day', MIN(date), MAX(date)) + 1 AS days FROM cust_events GROUP BY customer_id)
+    CROSS JOIN (VALUES ('seasonal_naive'), ('mean'), ('drift'), ('autoregressive'), ('harmonic')) AS m(model)),
+placed AS (
+    SELECT *, pos // size AS fold FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS pos,
+               datediff('day', MIN(date) OVER (PARTITION BY customer_id), date)::DOUBLE AS t,
+               COUNT(*) OVER (PARTITION BY customer_id) // 5 AS size,
+               datediff('day', MIN(date) OVER (PARTITION BY customer_id), MAX(date) OVER (PARTITION BY customer_id)) + 1 AS n
+        FROM cust_events)),
+training AS (
+    SELECT f.customer_id, f.fold, o.value, o.t, o.n
+    FROM (SELECT DISTINCT customer_id, fold FROM placed WHERE fold < 5) AS f
+    JOIN placed AS o ON o.customer_id = f.customer_id AND o.fold <> f.fold),
+means AS (SELECT customer_id, fold, AVG(value) AS mean FROM training GROUP BY customer_id, fold),""" + f"""
+terms AS (SELECT *, {', '.join(f'{x} AS x{i}' for i, x in enumerate(design_sql(WEEK)))} FROM training)""",
+    solve_sql("terms", "customer_id, fold", len(design_sql(WEEK))), f"""errors AS (
+    SELECT customer_id, fold, 'harmonic' AS model, value, ABS(value - ({' + '.join(f'b{i} * ({x})' for i, x in enumerate(design_sql(WEEK)))})) AS e
+    FROM placed JOIN beta USING (customer_id, fold)
+    UNION ALL SELECT customer_id, fold, 'mean', value, ABS(value - mean) FROM placed JOIN means USING (customer_id, fold)),
+scored AS (
+    SELECT customer_id, fold, model, AVG(e) AS mae, SQRT(AVG(e * e)) AS rmse,
+           AVG(CASE WHEN value <> 0 THEN e / ABS(value) END) * 100 AS mape FROM errors GROUP BY customer_id, fold, model),
+scores AS (
+    SELECT customer_id, model, AVG(mae) AS mae_mean, AVG(rmse) AS rmse_mean, AVG(mape) AS mape_mean FROM scored GROUP BY customer_id, model),
+listed AS (
+    SELECT s.customer_id, s.model, s.status, CASE WHEN status <> 'too_short' THEN mae_mean END AS mae_mean,
+           CASE WHEN status <> 'too_short' THEN rmse_mean END AS rmse_mean, CASE WHEN status <> 'too_short' THEN mape_mean END AS mape_mean
+    FROM statuses AS s LEFT JOIN scores AS c ON c.customer_id = s.customer_id AND c.model = s.model)""", body="""
+    SELECT customer_id, model, status, ROUND(mae_mean, 4) AS mae_mean, ROUND(rmse_mean, 4) AS rmse_mean, ROUND(mape_mean, 4) AS mape_mean,
+           CASE WHEN rmse_mean IS NOT NULL
+                THEN ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY rmse_mean NULLS LAST, model)::INTEGER END AS rank FROM listed"""))
+def compared_models(spark, sf_dir):
+    """The listing of the trained models with the metrics of their cross-validation."""
+    df = cust_events(spark, sf_dir)
+    trained = forecast.train_all(df, KEY, spec=WEEK, min_rows=18)
+    out = forecast.model_comparison(trained, forecast.cross_validated(df, KEY, WEEK), KEY)
+    return rounded(out, 4, "mae_mean", "rmse_mean", "mape_mean")
