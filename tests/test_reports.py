@@ -38,11 +38,22 @@ def test_exact_quantiles(spark, n):
     _check(spark, _columns(n))
 
 
-def test_exact_quantiles_with_few_bins(spark, monkeypatch):
-    monkeypatch.setattr(quantile, "BINS", 4)
+def test_exact_quantiles_with_many_rows_and_a_middling_sketch(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "SKETCH_ACCURACY", 1000)
     _check(spark, _columns(20_000))
 
 
+def test_numbers_take_two_reads_and_order_few_values(spark, tmp_path):
+    spark.range(50_000).selectExpr("cast(id as double) v", "cast(id % 3 as double) w").write.parquet(str(tmp_path / "t"))
+    df = reports.describe_numbers(spark.read.parquet(str(tmp_path / "t")))
+    rows = {r["column"]: r for r in df.collect()}
+    assert (rows["v"].p25, rows["v"].p50, rows["w"].p50, rows["w"]["count"]) == (12499.75, 24999.5, 1.0, 50_000)
+    plan = plan_text(df)
+    assert plan.split("Initial Plan")[0].count("FileScan") == 2
+    empty = {r["column"]: r for r in reports.describe_numbers(spark.read.parquet(str(tmp_path / "t")).limit(0)).collect()}
+    assert empty["v"]["count"] == 0 and empty["v"].p50 is None and len(empty) == 2
+
+
 def test_exact_quantiles_with_a_coarse_sketch(spark, monkeypatch):
     monkeypatch.setattr(quantile, "SKETCH_ACCURACY", 50)
     _check(spark, _columns(5_000))

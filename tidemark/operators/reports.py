@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import half_up, percent_of
-from ..functions.quantile import exact_quantiles
+from ..functions.quantile import described
 from ..schema import date_columns, finite, numeric_columns
 
 
@@ -98,21 +98,14 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 
 def describe_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of the finite numbers of each column."""
+    """Count, mean, sample deviation, extremes and exact quartiles of the finite numbers of each column, in two reads."""
     columns = list(columns or numeric_columns(df))
     if not columns:
         return _no_rows(df, "column string, count bigint, mean double, std double, min double, p25 double, "
                             "p50 double, p75 double, max double")
     numbers = df.select([finite(F.col(c).cast("double")).alias(c) for c in columns])
-    basic = _per_column(numbers, columns, {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-    })
-    quartiles = exact_quantiles(numbers, columns, [0.25, 0.5, 0.75]).groupBy("column").agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-        for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
-    ])
-    return basic.join(F.broadcast(quartiles), "column", "left").select(  # one row per column
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    return described(numbers, columns, [0.25, 0.5, 0.75]).select(
+        "column", "count", "mean", "std", "min", *(F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(("p25", "p50", "p75"))), "max"
     )
 
 
