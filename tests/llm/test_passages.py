@@ -18,13 +18,16 @@ def _units(text):
             end += 1
         spans.append((at, end))
         at = end
-    out, own = [], []
+    out, own, said = [], [], []
     for i, (a, b) in enumerate(spans):
         own.append((a, b))
-        size = [spans[i - k][1] - spans[i - k][0] if i >= k else None for k in range(4)]
-        if len(own) == 64 or None not in size and (size[0] + 2 * size[1] + 4 * size[2] + 5 * size[3]) % 9 == 0:
-            out.append(own)
+        size = [spans[i - k][1] - spans[i - k][0] if i >= k else None for k in range(3)]
+        said.append(None not in size and (size[0] + 3 * size[1] + 2 * size[2]) % 5 == 0)
+        if said[-1] and not any(said[-5:-1]):
+            out += [own[k:k + 64] for k in range(0, len(own), 64)]
             own = []
+    out += [own[k:k + 64] for k in range(0, len(own), 64)]
+    own = []
     out += [own] if own else []
     return [(u[0][0], u[-1][1], tuple(text[a:b].lower() for a, b in u)) for u in out]
 
@@ -37,27 +40,19 @@ def _want(rows, least=20):
     many = {w: p for w, p in places.items() if len({x[:2] for x in p}) > 1 or any(x[0] for x in p) and len(p) > 1}
     out = []
     for key, text in rows:
-        stretch, stretches = [], []
-        for a, b, words in _units(text):
+        spans = {False: [], True: []}
+        for i, (a, b, words) in enumerate(_units(text)):
             if words in many:
                 first = min(many[words])
-                elsewhere = (key is None, -1 if key is None else key, a) != first
-                stretch.append((a, b, len(words), None if first[0] else first[1], first[2], len(many[words]), elsewhere if len(words) >= 5 else None))
-            elif stretch:
-                stretches.append(stretch)
-                stretch = []
-        for own in [*stretches, stretch]:
-            said = [u[6] for u in own if u[6] is not None]
-            flag, spans = said[0] if said else False, []
-            for u in own:
-                was, flag = flag, flag if u[6] is None else u[6]
-                if not spans or flag != was:
-                    spans.append((flag, []))
-                spans[-1][1].append(u)
-            for removed, s in spans:
-                if sum(u[2] for u in s) >= least:
-                    best = max(s, key=lambda u: u[2])
-                    out.append((key, s[0][0], s[-1][1], sum(u[2] for u in s), *best[3:6], removed))
+                own = spans[(key is None, -1 if key is None else key, a) != first]
+                if not (own and own[-1][-1][0] == i - 1):
+                    own.append([])
+                own[-1].append((i, a, b, len(words), None if first[0] else first[1], first[2], len(many[words])))
+        for removed, stretches in spans.items():
+            for s in stretches:
+                if sum(u[3] for u in s) >= least:
+                    best = max(s, key=lambda u: u[3])
+                    out.append((key, s[0][1], s[-1][2], sum(u[3] for u in s), *best[4:], removed))
     return sorted(out, key=str)
 
 

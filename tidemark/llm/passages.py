@@ -1,9 +1,10 @@
 """Passages that occur in several documents, wherever lines end: units cut by content, equal ones found, neighbours joined.
 
-A text's words are cut into units after each word where a sum over the lengths of the last four words says so, and after
-64 words. Where a passage is repeated, the cuts within it are the same, so its whole units are equal. Units of the same
-words are copies of each other; those that occur in more than one document are marked, and marked neighbours are joined
-to spans.
+A text's words are cut into units after each word where a sum over the lengths of the last three words says so, unless it
+says so for one of the four words before, and after 64 words. So units have five words or more, but for the last of a text
+and what is left after 64 words. Where a passage is repeated, the cuts within it are the same, so its whole units are
+equal. Units of the same words are copies of each other; those that occur in more than one document are marked, and
+marked neighbours are joined to spans.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from . import minhash
 from .memory import tidy
 
 #: Weights of the lengths of the last words, the latest first, and what their sum is divided by.
-WEIGHTS = (1, 2, 4, 5)
-MODULUS = 9
+WEIGHTS = (1, 3, 2)
+MODULUS = 5
+APART = 5
 MOST_WORDS = 64
 LEAST_WORDS = 20
-SHORT = 5
 BYTES_AT_ONCE = 1 << 21
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -57,8 +58,12 @@ def unit_starts(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
     for back, weight in enumerate(WEIGHTS):
         total[back:] += weight * lengths[:n - back]
     whole[k - 1:] = text[k - 1:] == text[:n - k + 1]
+    said = whole & (total % MODULUS == 0)
+    cut = said.copy()
+    for back in range(1, APART):
+        cut[back:] &= ~(said[:-back] & (text[back:] == text[:-back]))
     begins = first.copy()
-    begins[1:] |= (whole & (total % MODULUS == 0))[:-1]
+    begins[1:] |= cut[:-1]
     starts = np.flatnonzero(begins)
     size = np.diff(np.append(starts, n))
     pieces = -(-size // MOST_WORDS)
@@ -115,12 +120,12 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     Words are parted by white space and compared in lower case, units by a hash of 64 bits. A passage is a stretch of
     whole units that occur in documents of other keys too, as long as possible, with ``least_words`` words or more; start
     and end are in code points, end exclusive. Units whose first occurrence (by key and place) is elsewhere are removed,
-    and a passage is either removed or kept; units of under 5 words, which may repeat by chance, go with the unit before
-    them, or else the one after. class_doc, class_start and ``occurrences`` are of the longest unit (the first of equal ones).
+    and a passage is either removed or kept. class_doc, class_start and ``occurrences`` are of the longest unit (the first
+    of equal ones).
 
-    A repeated passage of ``least_words`` and more is found but for the parts of units at its ends: half the units have 6
-    words or fewer, so of 60 words 20 lie in whole units in 9 of 10 cases. Null and empty texts have no passages. Rows without a
-    key are documents of their own and come last. Repeated rows of one key keep the same places. An empty table gives no rows.
+    A repeated passage is found but for the parts of units at its ends, which have 12 words on average. Null and empty
+    texts have no passages. Rows without a key are documents of their own and come last. Repeated rows of one key keep the
+    same places. An empty table gives no rows.
     """
     units = materialise(_units(docs, key, text), "units")
     place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "start")
@@ -128,19 +133,12 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     # a unit's occurrences are combined before the shuffle, and unique ones end here
     many = units.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"), others.alias("others")).filter("others")
     found = units.join(many.select("hash", "first", "n"), "hash")
-    elsewhere = ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")))
-    said = F.when(F.col("n_words") >= SHORT, elsewhere)
-    found = found.select("row", "doc", "unit", "n_words", "start", "end", F.struct(F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n").alias("class"), said.alias("said"))
+    removed = ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start")))
+    found = found.select("row", "doc", "unit", "n_words", "start", "end", F.struct(F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n").alias("class"), removed.alias("removed"))
     # a text's own units; neighbours differ by one from their number among those found
-    row = W.partitionBy("row").orderBy("unit")
-    stretch = W.partitionBy("row", "stretch")
-    found = found.withColumn("stretch", F.col("unit") - F.row_number().over(row))
-    before = F.last("said", ignorenulls=True).over(stretch.orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow))
-    removed = F.coalesce(before, F.first("said", ignorenulls=True).over(stretch.orderBy("unit").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(False))
-    found = found.withColumn("removed", removed)
-    number = F.row_number().over(W.partitionBy("row", "stretch", "removed").orderBy("unit"))
+    number = F.row_number().over(W.partitionBy("row", "removed").orderBy("unit"))
     longest = F.struct(F.col("n_words"), -F.col("unit"))
-    joined = found.withColumn("span", F.col("unit") - number).groupBy("row", "stretch", "removed", "span").agg(
+    joined = found.withColumn("span", F.col("unit") - number).groupBy("row", "removed", "span").agg(
         F.first("doc").alias("__doc"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
         F.max_by("class", longest).alias("class"),
     ).filter(F.col("n_words") >= least_words)

@@ -88,9 +88,11 @@ pieces AS (
   SELECT *, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1)::BIGINT AS start FROM pieces
 ), counted AS (
   SELECT doc_id, lower(w) AS w, length(w) AS n, start, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM placed WHERE w <> ''
+), said AS (
+  SELECT *, coalesce((n + 3 * lag(n, 1) OVER d + 2 * lag(n, 2) OVER d) % 5 = 0, false) AS ends FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY k)
 ), cuts AS (
-  SELECT *, coalesce((lag(n, 1) OVER d + 2 * lag(n, 2) OVER d + 4 * lag(n, 3) OVER d + 5 * lag(n, 4) OVER d) % 9 = 0, false) AS begins
-  FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+  SELECT *, coalesce(lag(ends AND NOT before) OVER (PARTITION BY doc_id ORDER BY k), false) AS begins
+  FROM (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), false) AS before FROM said)
 ), stretches AS (
   SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) AS stretch FROM cuts
 ), numbered_words AS (
@@ -100,20 +102,14 @@ pieces AS (
 ), unit_counts AS (
   SELECT t, min((doc_id, s)) AS first, count(*) AS n_all FROM units GROUP BY t HAVING min(doc_id) < max(doc_id)
 ), repeated_units AS (
-  SELECT u.*, c.first, c.n_all, CASE WHEN u.n >= 5 THEN NOT (u.doc_id = c.first[1] AND u.s = c.first[2]) END AS said
+  SELECT u.*, c.first, c.n_all, NOT (u.doc_id = c.first[1] AND u.s = c.first[2]) AS removed
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM units) u JOIN unit_counts c USING (t)
-), stretched AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS stretch FROM repeated_units
-), decided AS (
-  SELECT *, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY doc_id, stretch ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-                     first_value(said IGNORE NULLS) OVER (PARTITION BY doc_id, stretch ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), false) AS removed
-  FROM stretched
 ), spans AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, stretch, removed ORDER BY unit) AS span FROM decided
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, removed ORDER BY unit) AS span FROM repeated_units
 ), passages AS (
   SELECT doc_id, 'passage' AS kind, NULL::INTEGER AS paragraph, min(s) AS start, max(e) AS "end", arg_max(first[1], n * 1000000000 - unit) AS class_doc,
          arg_max(first[2], n * 1000000000 - unit) AS class_start, arg_max(n_all, n * 1000000000 - unit) AS occurrences, removed
-  FROM spans GROUP BY doc_id, stretch, removed, span HAVING sum(n) >= 20
+  FROM spans GROUP BY doc_id, removed, span HAVING sum(n) >= 20
 )
 SELECT o.doc_id, 'paragraph' AS kind, o.paragraph, o.s AS start, o.e AS "end", s.kept[1] AS class_doc, s.kept[2]::BIGINT AS class_start, s.occurrences,
        NOT (o.doc_id = s.kept[1] AND o.paragraph = s.kept[2]) AS removed
