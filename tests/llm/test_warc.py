@@ -56,3 +56,9 @@ def test_pages_table(spark, sf):
 
 def test_empty_table(spark):
     assert warc.archived_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_headers_of_any_length_come_back(spark):
+    rows = [(1, "http://a/" + "x" * (2 << 20), "same", None, None), (2, "http://b", "same", None, None), (3, "http://c/" + "y" * (1 << 20), "other", None, None)]
+    got = _got(warc.archived_pages(spark.createDataFrame(rows, PAGES)))
+    assert got == _want([r[:3] for r in rows]) and len(got) == 3

@@ -21,7 +21,6 @@ MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 1 << 30
 SPLIT_BYTES = 8 << 20
 CHUNK = 1 << 18
-MOST_HEADER = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = 0x70616765 << 96  # marks the record ids that hold a page id
@@ -109,16 +108,17 @@ class _Member:
 
 def _read_record(f, start: int, size: int, keep: bool) -> Record | None:
     """The record that starts at ``start``, or None if no member with a whole WARC header does."""
-    member, raw = _Member(f, start, size), b""
+    member, raw = _Member(f, start, size), bytearray()
     try:
-        while b"\r\n\r\n" not in raw and len(raw) < MOST_HEADER:
-            more = member.read()
+        # however long the header is, as long as the member says that it is a record
+        while (more := member.read()) and bytes(raw[:5] + more[:5]).startswith(b"WARC/"[:len(raw) + len(more)]):
+            seen = max(0, len(raw) - 3)
             raw += more
-            if not more or not raw.startswith(b"WARC/"[:len(raw)]):
+            if raw.find(b"\r\n\r\n", seen) >= 0:
                 break
     except (zlib.error, EOFError):
         return None
-    head, found, rest = raw.partition(b"\r\n\r\n")
+    head, found, rest = (bytes(x) for x in raw.partition(b"\r\n\r\n"))
     headers = _headers(head)
     if not found or not raw.startswith(b"WARC/1.") or not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
         return None
