@@ -133,7 +133,7 @@ def _coefficients(moments: DataFrame, group: Sequence[str], spec: Harmonic) -> D
     return moments.mapInPandas(run, schema)
 
 
-def _with_origin(df: DataFrame, key: Sequence[str], date: str) -> DataFrame:
+def with_origin(df: DataFrame, key: Sequence[str], date: str) -> DataFrame:
     return df.withColumn("_origin", F.min(date).over(W.partitionBy(*key)))
 
 
@@ -147,7 +147,7 @@ def fit_harmonic(
     spans ``spec.full_periods`` of its periods from first to last day, however many days of them are there.
     """
     known = df.filter(F.col(value).isNotNull() & F.col(date).isNotNull())
-    return _coefficients(_moments(_with_origin(known, key, date), key, spec, value, date), key, spec)
+    return _coefficients(_moments(with_origin(known, key, date), key, spec, value, date), key, spec)
 
 
 def predicted(spec: Harmonic, date: Column) -> Column:
@@ -410,7 +410,7 @@ def cross_validate_harmonic(
     The normal equations of "all but fold f" are those of the series minus those of the fold:
     one pass over the rows serves all refits. Held-out rows keep their dates.
     """
-    rows = _with_folds(_with_origin(df.filter(F.col(value).isNotNull()), key, date), key, folds, date)
+    rows = _with_folds(with_origin(df.filter(F.col(value).isNotNull()), key, date), key, folds, date)
     per_fold = _moments(rows, [*key, "fold"], spec, value, date)
     series = W.partitionBy(*key)
     width = len(spec.terms())

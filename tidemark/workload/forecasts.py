@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_quantile
-from ..operators import arima, clean, errors, features, fill, forecast, residual
+from ..operators import arima, choice, clean, errors, features, fill, forecast, residual
 from ..operators.forecast import Harmonic
 from ..plans import forecasting
 from ..sources import models
@@ -804,3 +804,36 @@ def compared_models(spark, sf_dir):
     trained = forecast.train_all(df, KEY, spec=WEEK, min_rows=18)
     out = forecast.model_comparison(trained, forecast.cross_validated(df, KEY, WEEK), KEY)
     return rounded(out, 4, "mae_mean", "rmse_mean", "mape_mean")
+
+
+CHOICE = choice.Candidates(periods=(7,), harmonics=(1, 2), dampings=(0.0, 0.9, 1.0))
+
+
+def selection_sql(src: str, key: str, candidates: choice.Candidates) -> str:
+    """CTEs to ``chosen``: of every candidate its regression by elimination, its error and AIC, and the smallest of each series."""
+    trends, waves = candidates.trends(), candidates.waves()
+    columns = ["1.0::DOUBLE", *("t / 1000.0::DOUBLE" if d == 1 else f"(1 - POW({d}::DOUBLE, t)) * ({d}::DOUBLE / {1 - d:.12g}::DOUBLE)" for d in trends)]
+    columns += [f"{wave}(t * (2 * pi() * {h} / {p}))" for p, h in waves for wave in ("sin", "cos")]
+    out = [f"""timed AS (
+    SELECT {key}, value, datediff('day', MIN(date) OVER s, date)::DOUBLE AS t, COUNT(*) OVER s AS n FROM {src} WINDOW s AS (PARTITION BY {key}))"""]
+    found = []
+    for k, (d, h, own) in enumerate(candidates.each()):
+        out.append(f"c{k}_rows AS (SELECT {key}, value, n, {', '.join(f'{columns[c]} AS x{i}' for i, c in enumerate(own))} FROM timed WHERE n > {len(own)})")
+        out.append(solve_sql(f"c{k}_rows", key, len(own), f"c{k}_"))
+        total = " + ".join(f"b{i} * x{i}" for i in range(len(own)))
+        found.append(f"""SELECT {key}, {k} AS c, {d}::DOUBLE AS damping, {h} AS harmonics, {len(own)} AS n_terms, ANY_VALUE(n) AS n,
+        SUM(POW(value - ({total}), 2)) AS sse FROM c{k}_rows JOIN c{k}_beta USING ({key}) GROUP BY {key}""")
+    out.append(f"found AS ({' UNION ALL '.join(found)})")
+    out.append(f"""chosen AS (
+    SELECT *, n * LN(sse / n) + 2 * n_terms AS aic FROM found QUALIFY ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY n * LN(sse / n) + 2 * n_terms, c) = 1)""")
+    return ",\n".join(out)
+
+
+@query("selected_harmonic", "F1 F7", sql_with(ctes("cust_events"), "long_series AS (SELECT * FROM cust_events QUALIFY COUNT(*) OVER (PARTITION BY customer_id) >= 20)",
+                                              selection_sql("long_series", "customer_id", CHOICE), body="""
+    SELECT customer_id, n, damping, harmonics::INTEGER AS harmonics, n_terms::INTEGER AS n_terms, ROUND(sse, 2) AS sse, ROUND(aic, 4) AS aic, 'ok' AS status FROM chosen"""))
+def selected_harmonic(spark, sf_dir):
+    """Trend and harmonics of each customer's series by AIC."""
+    params = choice.select_harmonic(clean.with_min_history(cust_events(spark, sf_dir), KEY, 20), KEY, CHOICE)
+    out = params.select("customer_id", "n", "damping", "harmonics", "n_terms", "sse", "aic", "status")
+    return rounded(rounded(out, 4, "aic"), 2, "sse")
