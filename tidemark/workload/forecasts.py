@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_quantile
-from ..operators import arima, choice, clean, errors, features, fill, forecast, residual
+from ..operators import arima, choice, clean, errors, features, fill, forecast, residual, series_forest
 from ..operators.forecast import Harmonic
 from ..plans import forecasting
 from ..sources import models
@@ -837,3 +837,28 @@ def selected_harmonic(spark, sf_dir):
     params = choice.select_harmonic(clean.with_min_history(cust_events(spark, sf_dir), KEY, 20), KEY, CHOICE)
     out = params.select("customer_id", "n", "damping", "harmonics", "n_terms", "sse", "aic", "status")
     return rounded(rounded(out, 4, "aic"), 2, "sse")
+
+
+SERIES_TREE = series_forest.SeriesForest(trees=1, depth=6, bootstrap=False, least_rows=1)
+
+
+def _series_tree(spark, sf_dir):
+    fitted, table, rows = _weekday_rows(spark, sf_dir)
+    return fitted, table, series_forest.fit(rows, REGION, ["day_of_week"], "residual", SERIES_TREE)
+
+
+@query("series_tree_corrections", "R3 R5", sql_with(ctes("region_daily"), naive_sql("region_daily", "region"), body="""
+    SELECT region, date, fitted, ROUND(AVG(residual) OVER d, 2) AS predicted_residual, ROUND(fitted + AVG(residual) OVER d, 2) AS corrected
+    FROM naive WINDOW d AS (PARTITION BY region, isodow(date))"""))
+def series_tree_corrections(spark, sf_dir):
+    """A tree for each region: on the day of the week alone, deep enough, it is the mean of the region's weekday."""
+    fitted, table, model = _series_tree(spark, sf_dir)
+    out = series_forest.correct(fitted, table, model, REGION, ["day_of_week"], SERIES_TREE)
+    return rounded(out, 2, "predicted_residual", "corrected")
+
+
+@query("series_tree_leaves", "R3", sql_with(ctes("region_daily"), naive_sql("region_daily", "region"), body="""
+    SELECT region, COUNT(*)::DOUBLE AS n, ROUND(AVG(residual), 2) AS value FROM naive GROUP BY region, isodow(date)"""))
+def series_tree_leaves(spark, sf_dir):
+    _, _, model = _series_tree(spark, sf_dir)
+    return rounded(model.filter("value is not null").select("region", "n", "value"), 2, "value")
