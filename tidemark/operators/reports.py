@@ -158,7 +158,7 @@ def profile_report(df: DataFrame) -> DataFrame:
     return base.join(F.broadcast(numbers), "column", "left")  # one row per column each
 
 
-def _as_text(col: Column, dtype: T.DataType, scale: int) -> Column:
+def as_text(col: Column, dtype: T.DataType, scale: int = 6) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         col = col.cast(f"decimal(38,{scale})")
     return F.coalesce(col.cast("string"), F.lit("\\N"))
@@ -178,7 +178,7 @@ def content_hash(df: DataFrame, key: Sequence[str] = (), scale: int = 6) -> Data
 
 def row_bits(df: DataFrame, scale: int = 6) -> Column:
     """32 bits of a hash of the text of a row, over the columns of ``df``."""
-    text = F.concat_ws("|", *[_as_text(F.col(f.name), f.dataType, scale) for f in df.schema])
+    text = F.concat_ws("|", *[as_text(F.col(f.name), f.dataType, scale) for f in df.schema])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
 
 

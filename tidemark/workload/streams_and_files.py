@@ -11,13 +11,13 @@ from ..operators import anomaly
 from ..plans import ingest
 from ..schema import MAIN
 from ..sources import reports as report_sink
-from ..sources import tabular
+from ..sources import tabular, versions
 from ..storage import fresh_path
 from ..streaming import alerts, rollup
 from ..streaming.run import file_stream, run_available, run_updates
 from .cleaning import FIRST_MAIN
 from .customers import ALERTS_BODY, TOP, analysis_sql
-from .inputs import ctes, cust_events, event_regions, raw_orders, readings, readings_of, region_daily, table
+from .inputs import ctes, cust_events, cust_orders, event_regions, raw_orders, readings, readings_of, region_daily, table
 from .registry import half_up, query, rounded, sql_with
 from .climate import DAILY_FORECAST
 
@@ -148,3 +148,25 @@ def batch_rollup_of_readings(spark, sf_dir):
     return rollup.daily_rollup(readings(spark, sf_dir)).select(
         "city", "date", "n_readings", "weather_main", "temp_min", "temp_max", "data_source", "is_weekend"
     )
+
+
+@query("changed_keys", "A13 J8", sql_with(ctes("cust_orders"), """newer AS (
+    SELECT customer_id, date, CASE WHEN customer_id::BIGINT % 97 = 0 AND day(date) < 8 THEN value + 1 ELSE value END AS value
+    FROM cust_orders WHERE customer_id::BIGINT % 101 <> 0
+    UNION ALL SELECT 'new-' || customer_id, date, value FROM cust_orders WHERE customer_id::BIGINT % 211 = 0),
+older_rows AS (SELECT customer_id, COUNT(*) AS n, list(ROW(date, value) ORDER BY date, value) AS r FROM cust_orders GROUP BY customer_id),
+newer_rows AS (SELECT customer_id, COUNT(*) AS n, list(ROW(date, value) ORDER BY date, value) AS r FROM newer GROUP BY customer_id)""", body="""
+    SELECT customer_id, CASE WHEN o.n IS NULL THEN 'added' WHEN w.n IS NULL THEN 'removed' ELSE 'changed' END AS change,
+           COALESCE(o.n, 0) AS old_rows, COALESCE(w.n, 0) AS new_rows
+    FROM older_rows AS o FULL JOIN newer_rows AS w USING (customer_id) WHERE o.r IS DISTINCT FROM w.r"""))
+def changed_keys(spark, sf_dir):
+    """Two stored versions of the customers' daily values, compared from the roots of their hash trees."""
+    older = cust_orders(spark, sf_dir).select("customer_id", "date", "value")
+    customer = F.col("customer_id").cast("long")
+    raised = F.when((customer % 97 == 0) & (F.dayofmonth("date") < 8), F.col("value") + 1).otherwise(F.col("value"))
+    added = older.filter(customer % 211 == 0).withColumn("customer_id", F.concat(F.lit("new-"), F.col("customer_id")))
+    newer = older.filter(customer % 101 != 0).withColumn("value", raised).unionByName(added)
+    paths = [fresh_path(spark, name) for name in ("older", "newer")]
+    for df, path in zip((older, newer), paths):
+        versions.store_version(df, path, ["customer_id"])
+    return versions.changed_keys(spark, *paths, ["customer_id"])
