@@ -1,5 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tests.helpers import series
@@ -75,6 +78,44 @@ def test_search(spark, data):
     assert best.stages[-1].getOrDefault("maxDepth") == 5
 
 
+def test_search_grows_one_forest_for_all_depths_and_scores_each(spark, data, monkeypatch):
+    df, fitted = data
+    table = features.feature_table(df, ["k"], rolling=False)
+    rows = residual.align(table, fitted.withColumn("residual", F.col("residual") + F.dayofmonth("date") % 5), ["k"]).cache()
+    names = features.feature_names(table, ["k"])
+    grid = {"numTrees": (3,), "maxDepth": (0, 2, 4, residual.MAX_DEPTH), "minInstancesPerNode": (1, 4)}
+    settings = residual.ForestSettings(partitions=2)
+    grown, made = [], []
+    grow, make = RandomForestRegressor._fit_java, RandomForestRegressor._create_model
+    with monkeypatch.context() as m:
+        m.setattr(RandomForestRegressor, "_fit_java", lambda self, d: grown.append(self.getMaxDepth()) or grow(self, d))
+        m.setattr(RandomForestRegressor, "_create_model", lambda self, j: made.append(j) or make(self, j))
+        best, scores = residual.search(rows, names, ["k"], grid, folds=2, settings=settings)
+    assert len(grown) == 2 * 2 + 1 and len(made) == 1  # folds by settings but for the depth, and the best
+
+    pipeline = residual._pipeline(names, settings, "residual")
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(getattr(pipeline.getStages()[-1], name), list(values))
+    maps = builder.build()
+    folded = rows.withColumn("_fold", F.floor(residual._share_of(["k"], "date", "fold") * 2).cast("int"))
+    plain = CrossValidator(
+        estimator=pipeline, estimatorParamMaps=maps, numFolds=2, foldCol="_fold",
+        evaluator=RegressionEvaluator(labelCol="residual", predictionCol="predicted_residual", metricName="mse"),
+    ).fit(residual._laid_out(folded, ["k"], "date", settings))
+    assert [s for s, _ in scores] == [{p.name: v for p, v in m.items()} for m in maps]
+    np.testing.assert_allclose([s for _, s in scores], plain.avgMetrics, rtol=1e-9)
+    chosen = scores[int(np.argmin(plain.avgMetrics))][0]
+    assert {name: best.stages[-1].getOrDefault(name) for name in grid} == chosen
+
+
+def test_search_names_an_empty_fold(spark, data):
+    df, fitted = data
+    rows = residual.align(features.add_trend(df, ["k"]).select("k", "date", "trend"), fitted, ["k"]).limit(1)
+    with pytest.raises(ValueError, match="is empty"):
+        residual.search(rows, ["trend"], ["k"], {"numTrees": (2,)}, folds=2)
+
+
 def test_full_grid_is_the_stated_one():
     sizes = [len(v) for v in residual.GRID.values()]
     assert np.prod(sizes) == 36
